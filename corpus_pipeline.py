@@ -12,7 +12,7 @@ from plumbline.llm import mixing, packing, quality, secrets, simhash
 from plumbline.llm.common import table, written
 
 #: Shares of the tokens to aim for beside the sound documents, which are read 1.05 times on average.
-TARGETS = {"sound": 0.97, "toxic": 0.01, "poor": 0.015, "poor_toxic": 0.005}
+TARGETS = {"sound": 0.93, "toxic": 0.03, "poor": 0.03, "poor_toxic": 0.01}
 SPARE = 1.05
 
 
@@ -33,8 +33,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; a document that is read twice has two rows."""
-    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), TARGETS, SPARE)
+    """Documents as often as their fitted rates say; a document that is read twice has two rows.
+
+    The domains are learned from all labelled documents, those rejected before included.
+    """
+    model = mixing.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, model, TARGETS, SPARE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

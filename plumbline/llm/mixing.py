@@ -102,8 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     priors = [math.log((sizes.get(d, 0) + 0.5) / (n + 0.5 * k)) for d in range(k)]
     if not best:
         return Classifier(priors, {})
-    present = F.array(*[F.array_contains("feats", w).cast("double") for w in best])
-    rows_in = held.select(F.col("_dom").cast("double").alias("label"), array_to_vector(present).alias("features"))
+    found = written(held.select("_dom", F.array_intersect("feats", F.array(*[F.lit(w) for w in best])).alias("hits")).coalesce(8), "labelled-hits")
+    present = F.array(*[F.array_contains("hits", w).cast("double") for w in best])
+    rows_in = found.select(F.col("_dom").cast("double").alias("label"), array_to_vector(present).alias("features"))
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=2e-3, elasticNetParam=0.5, standardization=False).fit(rows_in)
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     # the model has the domains up to the largest one labelled; the others stay as rare as the labels say
@@ -168,31 +169,38 @@ def fit_rates(members: DataFrame, targets: dict[str, float], spare: float | None
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, spare: float | None = None, keep: list[str] | None = None) -> DataFrame:
-    """`keep`, tokens, the posterior of each domain and rate: one row for each document.
+def _rated(docs: DataFrame, model: Classifier, targets: dict[str, float], spare: float | None, keep: list[str]) -> DataFrame:
+    """`keep`, tokens, posteriors p and rate of every document.
+
+    Only token counts and posteriors are written for the fit; the documents
+    are read again for the result, and their posteriors with them.
+    """
+    rows = lambda cols: described(docs, cols).select(*cols, "tokens", model.posteriors(F.col("feats")).alias("p"))
+    steps = fit_rates(written(rows([]), "memberships"), targets, spare)
+    p = [F.get("p", F.lit(d)) for d in range(len(DOMAINS))]
+    return rows(keep).withColumn("rate", _rate(p, steps, MAX_RATE))
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, spare: float | None = None) -> DataFrame:
+    """doc_id, tokens, the posterior of each domain and rate: one row for each document.
 
     A rate says how often a document is to be read in a pass over the mixture,
     on average. Documents without words have the rate of their posterior and
     add nothing to the sums.
     """
-    keep = keep or ["doc_id"]
-    model = fit(docs, labels)
-    rows = described(docs, keep)
-    members = written(rows.select(*keep, "tokens", model.posteriors(F.col("feats")).alias("p")), "memberships")
-    steps = fit_rates(members.select("tokens", "p"), targets or TARGETS, spare)
-    p = [F.get("p", F.lit(d)) for d in range(len(DOMAINS))]
-    return members.select(*keep, "tokens", *[p[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], _rate(p, steps, MAX_RATE).alias("rate"))
+    rated = _rated(docs, fit(docs, labels), targets or TARGETS, spare, ["doc_id"])
+    return rated.select("doc_id", "tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], spare: float) -> DataFrame:
+def mixed_documents(docs: DataFrame, model: Classifier, targets: dict[str, float], spare: float) -> DataFrame:
     """The documents, each as often as its rate says: whole times, and once more with the chance of the rest.
 
     The chance is a hash of the document, so that a second run mixes the same.
     """
-    rates = mixing_rates(docs, labels, targets, spare, docs.columns)
+    rated = _rated(docs, model, targets, spare, docs.columns)
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("rate") + chance).cast("int")
-    return rates.withColumn("_times", times).where("_times >= 1").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select(*docs.columns)
+    return rated.withColumn("_times", times).where("_times >= 1").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
