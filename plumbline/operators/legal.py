@@ -18,16 +18,27 @@ SECTION_HEADINGS = ["Headnote", "Held", "Issue for Consideration", "Case Law Cit
 PARAGRAPH = r"(?m)(?=^[ \t]*\d{1,3}\s*[.)]\s)"
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _keyed(text: Column, kind: str, pattern: str, groups: int) -> Column:
+    """(kind, key, raw) of a pattern's matches; the key joins its groups."""
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(groups + 1)]
+
+    def row(z: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), *[z[f"g{i}"] for i in range(1, groups + 1)]).alias("key"), z["g0"].alias("raw"))
+
+    return F.transform(F.arrays_zip(*parts), row)
+
+
 def citations(text: Column) -> Column:
     """Distinct (kind, key, raw), in the order of the patterns and then of the text."""
     found = []
     for kind, pattern, form in CITATIONS:
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(form.count("{") + 1)]
-        zipped = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
-        found.append(F.transform(zipped, lambda z, kind=kind, n=len(groups): F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), *[z[f"g{i}"] for i in range(1, n)]).alias("key"), z["g0"].alias("raw"))))
+        found.append(_keyed(text, kind, pattern, form.count("{")))
     for kind, pattern in (("SECTION", STATUTE), ("ARTICLE", ARTICLE)):
-        zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("no"))
-        found.append(F.transform(zipped, lambda z, kind=kind: F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), z["no"]).alias("key"), z["raw"].alias("raw"))))
+        found.append(_keyed(text, kind, pattern, 1))
     every = F.concat(*[F.coalesce(f, F.array().cast("array<struct<kind:string,key:string,raw:string>>")) for f in found])
     keys = F.array_distinct(F.transform(every, lambda x: x["key"]))
     return F.transform(keys, lambda k: F.get(F.filter(every, lambda x: x["key"] == k), F.lit(0)))
@@ -35,7 +46,7 @@ def citations(text: Column) -> Column:
 
 def paragraphs(text: Column, preamble: int = 200) -> Column:
     """(number, text) of numbered paragraphs; a long text before the first is paragraph 0; without numbers all is paragraph 0."""
-    parts = F.filter(F.transform(F.split(text, PARAGRAPH), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, PARAGRAPH), _bare), lambda p: p != "")
     pick = lambda p: F.nullif(F.regexp_extract(p, r"^(\d{1,3})\s*[.)]\s", 1), F.lit("")).cast("int")
     rows = F.transform(parts, lambda p: F.struct(F.coalesce(pick(p), F.lit(0)).alias("number"), p.alias("text")))
     numbered = F.exists(rows, lambda r: r["number"] > 0)
@@ -48,7 +59,7 @@ def sections(text: Column, headings: list[str] | None = None) -> Column:
     any_ = "|".join(names)
     parts = F.split(text, rf"(?m)(?=^[ \t]*(?:{any_})[ \t]*:?[ \t]*$)")
     head = lambda p: F.regexp_extract(p, rf"^[ \t]*({any_})[ \t]*:?[ \t]*(?:\r?\n|\z)", 1)
-    rows = F.transform(parts, lambda p: F.struct(F.coalesce(F.nullif(head(p), F.lit("")), F.lit("caption")).alias("h"), F.trim(F.regexp_replace(p, rf"^[ \t]*(?:{any_})[ \t]*:?[ \t]*(?:\r?\n|\z)", "")).alias("t")))
+    rows = F.transform(parts, lambda p: F.struct(F.coalesce(F.nullif(head(p), F.lit("")), F.lit("caption")).alias("h"), _bare(F.regexp_replace(p, rf"^[ \t]*(?:{any_})[ \t]*:?[ \t]*(?:\r?\n|\z)", "")).alias("t")))
     rows = F.filter(rows, lambda r: r["t"] != "")
     keys = F.array_distinct(F.transform(rows, lambda r: r["h"]))
     joined = F.transform(keys, lambda k: F.array_join(F.transform(F.filter(rows, lambda r: r["h"] == k), lambda r: r["t"]), "\n"))

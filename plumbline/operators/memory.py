@@ -20,7 +20,7 @@ def recency_score(ts: Column, as_of: Column) -> Column:
     """exp(-0.693 h / 24); a future time counts as now, a missing one as 0.5."""
     us = lambda x: F.unix_micros(x.cast("timestamp"))
     hours = F.greatest(F.lit(0.0), (us(as_of) - us(ts)) / 3.6e9)
-    return F.coalesce(F.exp(-0.693 * hours / 24), F.lit(0.5))
+    return F.when(ts.isNull(), 0.5).otherwise(F.exp(-0.693 * hours / 24))
 
 
 def frequency_score(n: Column, most: Column) -> Column:

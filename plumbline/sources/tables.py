@@ -18,7 +18,7 @@ def read_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = S
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = F.when(suffix != "pdf", F.try_validate_utf8(F.decode("content", "UTF-8")))
+    text = F.when(suffix != "pdf", F.try_validate_utf8(F.col("content").cast("string")))
     out = rows.withColumn("suffix", suffix).where(F.col("suffix").isin(*suffixes)).select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), "suffix", text.alias("text"))
     return out.withColumn("error", F.when(F.col("suffix") == "pdf", "no PDF reader").when(F.col("text").isNull(), "not UTF-8"))
 
@@ -40,9 +40,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Saved traces under date=... folders: those with an answer, and the unreadable ones."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).withColumn("path", F.input_file_name())
-    good = rows.where("_corrupt_record is null and generated_answer is not null").drop("_corrupt_record")
-    return good, failures(rows.where("_corrupt_record is not null"), F.col("path"), F.lit("unreadable"))
+    files = spark.read.option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    rows = files.withColumn("t", parsed).drop("value")
+    good = rows.where("t._corrupt_record is null and t.generated_answer is not null")
+    return good.select("t.*", *[c for c in rows.columns if c != "t"]).drop("_corrupt_record"), failures(rows.where("t._corrupt_record is not null"), F.col("path"), F.lit("unreadable"))
 
 
 def write_traces(df: DataFrame, path: str, date: str = "date") -> None:
