@@ -38,15 +38,15 @@ def _found(text: Column, kind: str) -> Column:
     return F.filter(zipped, lambda r: r["hit"].isNotNull())
 
 
-def scanned(docs: DataFrame, repo_col: str, owner_col: str, keep: list[str]) -> DataFrame:
-    """A written table of all documents: `keep`, row, repo, owner, and the matches of each kind (null where there are none)."""
+def scanned(docs: DataFrame, repo_col: str, owner_col: str, whole_rows: bool = False) -> DataFrame:
+    """A written table of all documents: row, repo, owner, the matches of each kind (null where there are none), and doc: doc_id, or the whole row."""
     text = F.col("_text")
     any_kind = text.rlike("|".join(f"(?:{rx})" for rx in PATTERNS.values()))
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), _found(text, k).alias("found")) for i, k in enumerate(KINDS)])
     rows = docs.select(
-        *keep, F.col(repo_col).cast("string").alias("_repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
+        F.struct(*(docs.columns if whole_rows else ["doc_id"])).alias("_doc"), F.col(repo_col).cast("string").alias("_repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
         whole().alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    return written(rows.select(*keep, "_row", "_repo", "_owner", F.when(any_kind, kinds).alias("_kinds")), "scanned")
+    return written(rows.select("_doc", "_row", "_repo", "_owner", F.when(any_kind, kinds).alias("_kinds")), "scanned")
 
 
 def candidates(scan: DataFrame) -> DataFrame:
@@ -81,13 +81,13 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     kind `token` are added where they are owner-specific and touch no base span.
     A null text has none; a null owner counts as one owner.
     """
-    scan = scanned(docs, repo_col, owner_col, ["doc_id"])
+    scan = scanned(docs, repo_col, owner_col)
     found = written(candidates(scan), "candidates")
     spans = judged(found, max_owners).groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
-    rows = scan.where("_kinds is not null").select("_row", "doc_id").join(spans, "_row", "left")
-    rows = rows.select("doc_id", F.coalesce("s", none).alias("s")).unionByName(scan.where("_kinds is null").select("doc_id", none.alias("s")))
+    rows = scan.where("_kinds is not null").select("_row", "_doc.doc_id").join(spans, "_row", "left")
+    rows = rows.select("doc_id", F.coalesce("s", none).alias("s")).unionByName(scan.where("_kinds is null").select("_doc.doc_id", none.alias("s")))
     base = F.filter("s", lambda x: x["kind"] < 3)
     touches = lambda x: F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     everything = F.filter("s", lambda x: (x["kind"] < 3) | (x["live"] & ~touches(x)))
@@ -104,8 +104,7 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
 
 def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every live credential masked in the text (and n_chars, if there, set anew); widely copied examples stay."""
-    names = docs.columns
-    scan = scanned(docs, repo_col, owner_col, names)
+    scan = scanned(docs, repo_col, owner_col, whole_rows=True)
     live = judged(written(candidates(scan), "candidates"), max_owners).where("live")
     before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     opened = live.select("_row", "start", "end", F.coalesce(F.max("end").over(before), F.lit(-1)).alias("reach"))
@@ -113,15 +112,17 @@ def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: s
     merged = opened.withColumn("n", F.sum((F.col("start") > F.col("reach")).cast("int")).over(run)).groupBy("_row", "n").agg(
         F.min("start").alias("start"), F.max("end").alias("end"))
     masks = merged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("m"))
-    text, m = F.col("text"), F.col("m")
+    text, m = F.col("_doc.text"), F.col("m")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(m, lambda x: x["end"]))
-    starts = F.concat(F.transform(m, lambda x: x["start"]), F.array(F.length("text").cast("bigint")))
+    starts = F.concat(F.transform(m, lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
     kept = F.zip_with(ends, starts, lambda e, s: F.substring(text, (e + 1).cast("int"), (s - e).cast("int")))
-    clean = F.when(m.isNull(), text).otherwise(F.array_join(kept, MASK))
-    hit = scan.where("_kinds is not null").join(masks, "_row", "left").withColumn("text", clean)
-    if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.when(m.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return scan.where("_kinds is null").select(*names).unionByName(hit.select(*names))
+    hit = scan.where("_kinds is not null").join(masks, "_row", "left").withColumn("_new", F.when(m.isNull(), text).otherwise(F.array_join(kept, MASK)))
+    fresh = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        old = F.col("_doc.n_chars")
+        fresh["n_chars"] = F.when(m.isNull(), old).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
+    masked = hit.select(*[fresh.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+    return scan.where("_kinds is null").select("_doc.*").unionByName(masked)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
