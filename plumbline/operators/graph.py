@@ -96,3 +96,78 @@ def view(nodes: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
     step = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("linked")) / F.greatest(F.lit(1), F.lit(cap) - F.col("linked"))))
     kept = rows.crossJoin(F.broadcast(total)).withColumn("_n", F.row_number().over(w)).where((F.col("degree") > 0) | (F.col("_n") % step == 0))  # one row
     return kept.select(*nodes.columns, "degree", (F.col("n") > cap).alias("truncated"))
+
+
+# Words of treatment in order of strength, and sections in which a statute is construed.
+TREATMENTS = [
+    ("CASE_OVERRULES_CASE", r"\boverrul(?:ed|ing)\b"), ("CASE_OVERRULES_CASE", r"\bnot\s+good\s+law\b"), ("CASE_DISTINGUISHES_CASE", r"\bdistinguish(?:ed|ing)\b"), ("CASE_DOUBTS_CASE", r"\bdoubted\b"),
+    ("CASE_DOES_NOT_FOLLOW_CASE", r"\bnot\s+follow(?:ed)?\b"), ("CASE_FOLLOWS_CASE", r"\bfollow(?:ed|ing)\b"), ("CASE_FOLLOWS_CASE", r"\breli(?:ed|ance)\s+(?:on|upon)\b"), ("CASE_APPROVES_CASE", r"\bapproved\b"),
+    ("CASE_CITES_CASE", r"\breferred\s+to\b"), ("CASE_CITES_CASE", r"\bcited\b"),
+]
+INTERPRETIVE = ("headnote", "held", "issue")
+
+
+def treatments(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, relation, text): each citation of a line with the strongest treatment named there; `lines`: doc_id, text."""
+    from plumbline.operators.legal import citations
+
+    each = lines.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) >= 8)
+    relation = None
+    for name, pattern in TREATMENTS:
+        hit = F.col("line").rlike(f"(?i){pattern}")
+        relation = F.when(hit, name) if relation is None else relation.when(hit, name)
+    found = each.select("doc_id", "line", relation.otherwise("CASE_CITES_CASE").alias("relation"), F.explode(citations(F.col("line"))).alias("c"))
+    return found.where(~F.col("c.kind").isin("SECTION", "ARTICLE")).select("doc_id", F.col("c.key").alias("key"), "relation", F.trim("line").alias("text"))
+
+
+def knowledge_graph(cases: DataFrame, cited: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a case collection.
+
+    cases: doc_id, key (own citation or null), court. cited: doc_id, section,
+    kind, key, ordinal. A case's node is its own citation, else its document;
+    a case's citation of itself is left out; one that no document has is a
+    dangling node. Statutes cited in interpretive sections are construed.
+    """
+    own = cases.select("doc_id", F.concat(F.lit("CASE:"), F.coalesce("key", F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")))).alias("id"), "key", F.coalesce("court", F.lit("Unknown Court")).alias("court"))
+    decided = own.select(F.col("id").alias("src"), F.concat(F.lit("COURT:"), F.col("court")).alias("dst"), F.lit("CASE_DECIDED_BY_COURT").alias("relation"), "doc_id", F.lit("caption").alias("section"), F.lit(-1).cast("long").alias("ordinal"))
+    rows = cited.join(own.select("doc_id", F.col("id").alias("src"), F.col("key").alias("own_key")), "doc_id")
+    is_case = ~F.col("kind").isin("SECTION", "ARTICLE", "ACT")
+    target = F.when(is_case, F.concat(F.lit("CASE:"), F.col("key"))).otherwise(F.col("key"))
+    relation = F.when(is_case, "CASE_CITES_CASE").when(F.col("section").isin(*INTERPRETIVE), "CASE_INTERPRETS_SECTION").otherwise("CASE_CITES_STATUTE")
+    links = rows.where(~is_case | F.col("own_key").isNull() | (F.col("key") != F.col("own_key"))).select("src", target.alias("dst"), relation.alias("relation"), "doc_id", "section", F.col("ordinal").cast("long").alias("ordinal"))
+    parents = rows.where(F.col("kind") == "ACT").select(F.col("key").alias("src"), F.concat(F.lit("STATUTE:"), F.get(F.split("key", ":"), F.lit(1))).alias("dst"), F.lit("SECTION_OF_STATUTE").alias("relation"), F.lit(None).cast(dict(cases.dtypes)["doc_id"]).alias("doc_id"), F.lit(None).cast("string").alias("section"), F.col("ordinal").cast("long").alias("ordinal"))
+    edges = decided.unionByName(links).unionByName(parents)
+    held = own.select("id", "doc_id", F.lit(True).alias("in_corpus"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(held.select("id"), "id", "left_anti")
+    nodes = held.unionByName(ends.select("id", F.lit(None).cast(dict(cases.dtypes)["doc_id"]).alias("doc_id"), F.lit(False).alias("in_corpus")))
+    return nodes.withColumn("type", F.get(F.split("id", ":"), F.lit(0))), edges
+
+
+def memory_graph(observations: DataFrame, sessions: DataFrame, limit: int = 150, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the latest observations with their sessions, concepts and files.
+
+    observations: id, session_id, project, title, concepts, files_read,
+    files_modified (JSON arrays, broken ones read as empty), epoch. sessions:
+    session_id, title. `limit` is part of the view.
+    """
+    rows = observations if project is None else observations.where(F.col("project") == project)
+    rows = rows.orderBy(F.desc("epoch"), "id").limit(limit)
+    obs = F.concat(F.lit("obs::"), F.col("id").cast("string"))
+    items = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+    def links(column: str, kind: str, prefix: str, label) -> DataFrame:
+        each = rows.select(obs.alias("source"), F.explode(items(column)).alias("x"))
+        return each.select("source", F.concat(F.lit(prefix), label(F.col("x"))).alias("target"), F.lit(kind).alias("kind"), label(F.col("x")).alias("label"))
+
+    base = lambda x: F.element_at(F.split(x, "/"), -1)
+    contains = rows.where("session_id is not null").join(sessions.withColumnRenamed("title", "session_title"), "session_id", "left").select(
+        F.concat(F.lit("session::"), F.col("session_id")).alias("source"), obs.alias("target"), F.lit("contains").alias("kind"), F.coalesce("session_title", F.substring("session_id", 1, 8)).alias("label"))
+    parts = [links("concepts", "tagged", "concept::", lambda x: x), links("files_read", "read", "file::", base), links("files_modified", "modified", "file::", base)]
+    edges = contains
+    for p in parts:
+        edges = edges.unionByName(p)
+    nodes = rows.select(obs.alias("id"), F.lit("observation").alias("type"), F.substring(F.coalesce("title", F.concat(F.lit("#"), F.col("id").cast("string"))), 1, 30).alias("label"))
+    nodes = nodes.unionByName(contains.select(F.col("source").alias("id"), F.lit("session").alias("type"), F.substring("label", 1, 28).alias("label")).distinct())
+    for p in parts:
+        nodes = nodes.unionByName(p.select(F.col("target").alias("id"), F.regexp_extract("target", "^([a-z]+)::", 1).alias("type"), "label").distinct())
+    return nodes.dropDuplicates(["id"]), edges.select("source", "target", "kind")

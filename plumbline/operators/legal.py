@@ -74,3 +74,42 @@ def parsed(docs: DataFrame) -> DataFrame:
     """doc_id, sections, paragraphs and citations; texts under 500 characters are left out."""
     rows = docs.where(F.length("text") >= 500)
     return rows.select("doc_id", sections(F.col("text")).alias("sections"), paragraphs(F.col("text")).alias("paragraphs"), citations(F.col("text")).alias("citations"))
+
+
+#: Sections without retrievable content, and the least length of a section's chunk (fixed values).
+NOT_RETRIEVABLE = ("appearances", "keywords", "judgment")
+SECTION_MINIMUM = 40
+BENCH = r"(?m)^\s*\[[^\]\n]*J{1,2}\.?\]\s*$"
+OLD_BLOCKS = {"case_law_cited": r"(?m)^\s*Case Law Reference\s*:?\s*$", "case_arising_from": r"(?m)^\s*(?:CIVIL|CRIMINAL)\s+(?:APPELLATE|ORIGINAL)\s+JURISDICTION.*$", "judgment": r"(?m)^\s*(?:The Judgment of the Court was delivered by|J\s*U\s*D\s*G\s*M\s*E\s*N\s*T|ORDER)\b.*$"}
+
+
+def old_layout(text: Column) -> Column:
+    """Sections of the older print layout, by position: caption to the bench line, then headnote (with its holding), then the reporter's blocks in the order found."""
+    bench = F.regexp_extract(text, rf"(?s)^(.*?{BENCH})", 1)
+    rest = F.substring(text, F.length(bench) + 1, F.length(text))
+    marker = "|".join(f"(?:{p})" for p in OLD_BLOCKS.values())
+    parts = F.split(rest, rf"(?m)(?={marker})")
+    named = lambda p: [F.when(p.rlike(r"\A\s*" + rx.replace("(?m)^\\s*", "(?m)")), F.struct(F.lit(k).alias("k"), _bare(F.regexp_replace(p, r"\A\s*Case Law Reference\s*:?", "")).alias("v"))) for k, rx in OLD_BLOCKS.items()]
+    blocks = F.filter(F.transform(F.slice(parts, 2, 1000), lambda p: F.coalesce(*named(p), F.struct(F.lit("body").alias("k"), _bare(p).alias("v")))), lambda b: b["v"] != "")
+    head = _bare(F.get(parts, F.lit(0)))
+    held = _bare(F.regexp_extract(head, r"(?s)(\bHELD\s*:.*)", 1))
+    fixed = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("caption", _bare(bench)), ("headnote", F.when(F.length(head) >= SECTION_MINIMUM, head).otherwise("")), ("held", F.when(F.length(head) >= SECTION_MINIMUM, held).otherwise("")))]), lambda x: x["v"] != "")
+    every = F.concat(fixed, blocks)
+    keys = F.array_distinct(F.transform(every, lambda x: x["k"]))
+    found = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(every, lambda x: x["k"] == k), F.lit(0))["v"]))
+    plain = F.create_map(F.lit("body"), _bare(text))
+    return F.when(F.size(keys) == 0, plain).otherwise(found)
+
+
+def legal_chunks(judgments: DataFrame, budget: int = 2000) -> DataFrame:
+    """doc_id, section, first_part, text: headnote-family sections whole, then paragraphs packed to the budget; never across sections.
+
+    judgments: doc_id, sections map, paragraphs array of (number, text).
+    """
+    from plumbline.operators.chunking import packed
+
+    whole = judgments.select("doc_id", F.explode("sections").alias("section", "text")).where(~F.lower("section").isin(*NOT_RETRIEVABLE) & (F.length("text") >= SECTION_MINIMUM))
+    body = judgments.select("doc_id", F.posexplode("paragraphs").alias("o", "p")).select("doc_id", "o", "p.*")
+    groups = packed(body, ["doc_id"], "o", "text", budget)
+    first = groups.join(body.select("doc_id", F.col("o").cast("long").alias("first_part"), "number"), ["doc_id", "first_part"]).select("doc_id", F.lit("judgment").alias("section"), F.col("number").alias("first_number"), "text")
+    return whole.select("doc_id", "section", F.lit(None).cast("int").alias("first_number"), "text").unionByName(first)
