@@ -29,6 +29,7 @@ LEAST_Z = 6.0
 MAX_RATE = 4.0
 STEPS = 12
 TOLERANCE = 1e-4
+RIDGE = 3e-4
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -140,45 +141,52 @@ def fit_rates(members: DataFrame, targets: dict[str, float], spare: float | None
 
     `targets` are shares of all tokens. With `spare` the first domain is to have
     `spare` times its own tokens, and each other domain its share beside that,
-    but no more than it has, so that what is scarce is not repeated. Gradients are taken in the
-    metric of token counts and residuals in the inverse of the Gram matrix, so
-    that a step without projection solves the problem and with it contracts.
+    but no more than it has, so that what is scarce is not repeated. Gradients
+    are taken in the metric of token counts, and residuals in the inverse of the
+    Gram matrix of the documents that are free to move both ways, so that a
+    full step solves the problem as far as no bound is met. Each step takes one
+    sum over the documents; of all steps those up to the least residual are kept.
     """
     k = len(DOMAINS)
     p = [F.get("p", F.lit(d)) for d in range(k)]
     t = F.col("tokens").cast("double")
-    got = members.agg(*[F.sum(t * p[d]).alias(f"a{d}") for d in range(k)], *[F.sum(t * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i + 1)]).first()
-    now = [got[f"a{d}"] or 0.0 for d in range(k)]
-    total = sum(now)
-    if total <= 0:
-        return []
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
     weight = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    goal = [w * total for w in weight]
-    if spare is not None:
-        goal = [spare * now[0], *[min(now[d], weight[d] * spare * now[0] / weight[0]) for d in range(1, k)]]
-    gram = [[(got[f"g{max(i, j)}{min(i, j)}"] or 0.0) + (i == j) * 1e-6 * total for j in range(k)] for i in range(k)]
-    metric = _inverse(gram)
     steps: list[list[float]] = []
-    for _ in range(STEPS):
+    best, kept, goal, total = float("inf"), 0, [], 0.0
+    for _ in range(STEPS + 1):
+        r = _rate(p, steps, max_rate)
+        free = F.when((r > 0) & (r < max_rate), t).otherwise(0.0)
+        got = members.agg(*[F.sum(t * p[d] * r) for d in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        now = [x or 0.0 for x in got[:k]]
+        if not steps:
+            total = sum(now)
+            if total <= 0:
+                return []
+            goal = [w * total for w in weight]
+            if spare is not None:
+                goal = [spare * now[0], *[min(now[d], weight[d] * spare * now[0] / weight[0]) for d in range(1, k)]]
         rest = [a - b for a, b in zip(now, goal)]
-        if max(abs(x) for x in rest) <= TOLERANCE * total:
+        size = max(abs(x) for x in rest)
+        if size < best:
+            best, kept = size, len(steps)
+        if size <= TOLERANCE * total or len(steps) == STEPS:
             break
+        gram = [[0.0] * k for _ in range(k)]
+        for (i, j), x in zip(pairs, got[k:]):
+            gram[i][j] = gram[j][i] = (x or 0.0) + (i == j) * RIDGE * total
+        metric = _inverse(gram)
         steps.append([sum(metric[i][j] * rest[j] for j in range(k)) for i in range(k)])
-        r = _rate(p, steps, max_rate)
-        now = [x or 0.0 for x in members.agg(*[F.sum(t * p[d] * r) for d in range(k)]).first()]
-    return steps
+    return steps[:kept]
 
 
-def _rated(docs: DataFrame, model: Classifier, targets: dict[str, float], spare: float | None, keep: list[str]) -> DataFrame:
-    """`keep`, tokens, posteriors p and rate of every document.
+def _members(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
+    """`keep`, tokens and posteriors p of every document."""
+    return described(docs, keep).select(*keep, "tokens", model.posteriors(F.col("feats")).alias("p"))
 
-    Only token counts and posteriors are written for the fit; the documents
-    are read again for the result, and their posteriors with them.
-    """
-    rows = lambda cols: described(docs, cols).select(*cols, "tokens", model.posteriors(F.col("feats")).alias("p"))
-    steps = fit_rates(written(rows([]), "memberships"), targets, spare)
-    p = [F.get("p", F.lit(d)) for d in range(len(DOMAINS))]
-    return rows(keep).withColumn("rate", _rate(p, steps, MAX_RATE))
+
+def _fitted(steps: list[list[float]]) -> Column:
+    return _rate([F.get("p", F.lit(d)) for d in range(len(DOMAINS))], steps, MAX_RATE)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, spare: float | None = None) -> DataFrame:
@@ -188,7 +196,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     on average. Documents without words have the rate of their posterior and
     add nothing to the sums.
     """
-    rated = _rated(docs, fit(docs, labels), targets or TARGETS, spare, ["doc_id"])
+    members = written(_members(docs, fit(docs, labels), ["doc_id"]), "memberships")
+    rated = members.withColumn("rate", _fitted(fit_rates(members, targets or TARGETS, spare)))
     return rated.select("doc_id", "tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
 
 
@@ -196,11 +205,15 @@ def mixed_documents(docs: DataFrame, model: Classifier, targets: dict[str, float
     """The documents, each as often as its rate says: whole times, and once more with the chance of the rest.
 
     The chance is a hash of the document, so that a second run mixes the same.
+    Only token counts and posteriors are written for the fit; the documents are
+    read again for the result, and their posteriors with them.
     """
-    rated = _rated(docs, model, targets, spare, docs.columns)
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    steps = fit_rates(written(_members(docs, model, []), "memberships"), targets, spare)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")  # names of other columns can't clash
+    rated = _members(rows, model, ["_doc"]).withColumn("rate", _fitted(steps))
+    chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("rate") + chance).cast("int")
-    return rated.withColumn("_times", times).where("_times >= 1").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select(*docs.columns)
+    return rated.withColumn("_times", times).where("_times >= 1").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select("_doc.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
