@@ -13,6 +13,15 @@ RRF_K = 60
 MODES = ("vector", "bm25", "hybrid")
 
 
+#: Up to this many rows of a short key are broadcast, after counting them.
+_BROADCAST_ROWS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Keys (one short column) marked for broadcasting if a count shows that they are few; else as they are, for a shuffled join."""
+    return F.broadcast(keys) if keys.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else keys
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
     """row_number() from 1 within each group; `order` must end with a unique key."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
@@ -33,16 +42,17 @@ def bm25_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for documents that share a term; a repeated query term counts each time.
 
-    docs: doc_id, text. questions: query_id, question. Only postings of query
-    terms are kept before anything is shuffled; lengths travel with them.
+    docs: doc_id, text. questions: query_id, question. Words that no question
+    has are dropped where they are read, so that only postings of query terms
+    are shuffled; document lengths travel with them.
     """
     asked = questions.select("query_id", F.explode(lexical_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    terms = asked.select("term").distinct().join(bm25_terms(docs), "term")
     tokens = docs.select("doc_id", lexical_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     mean = tokens.agg(F.avg("dl").alias("avgdl"))
-    postings = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy("doc_id", "dl", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    words = tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = postings.crossJoin(F.broadcast(mean)).select("doc_id", "term", weight.alias("w"))  # one row
+    weighed = tf.join(bm25_terms(docs), "term").crossJoin(F.broadcast(mean)).select("doc_id", "term", weight.alias("w"))  # one row
     return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qn") * F.col("w")).alias("score"))
 
 
