@@ -81,10 +81,10 @@ def answer_correctness(f: Column, similarity: Column) -> Column:
     return F.round(0.75 * f + 0.25 * similarity, 4)
 
 
-def mean_by(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+def mean_by(df: DataFrame, keys: list[str], metrics: list[str], digits: int = 4) -> DataFrame:
     """Means without nulls and NaN, rounded, with group sizes."""
     clean = lambda m: F.when(F.isnan(m), None).otherwise(F.col(m))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(clean(m)), 4).alias(m) for m in metrics])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(clean(m)), digits).alias(m) for m in metrics])
 
 
 def deltas_from(df: DataFrame, arm: str, baseline: str, keys: list[str], metric: str) -> DataFrame:
