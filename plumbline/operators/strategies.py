@@ -18,15 +18,23 @@ from plumbline.operators.retrieval import FINAL
 ITERATIONS, FOLLOW_UP = 4, 3
 AGENT_STEPS, AGENT_RETRIEVALS = 6, 5
 GRAPH_SEEDS, GRAPH_CHUNKS, CONTRADICTION_CHUNKS, BASE = 6, 6, 4, 10
-ACTIONS = ("search", "follow_citations", "expand_section", "find_contradictions", "rewrite", "stop")
-ADVERSE = ("OVERRULES", "DISTINGUISHES", "DISAPPROVES", "CRITICIZES")
-CONTRADICTION_TERMS = "overruled distinguished contrary dissent however not good law"
+ACTIONS = ("semantic_search", "lexical_search", "graph_expand", "find_citing_cases", "contradiction_search", "stop")
+RETRIEVING = ("semantic_search", "lexical_search", "contradiction_search")
+ADVERSE = ("CASE_OVERRULES_CASE", "CASE_DISTINGUISHES_CASE", "CASE_DOUBTS_CASE", "CASE_DOES_NOT_FOLLOW_CASE")
+CONTRADICTION_TERMS = "overruled distinguished not applicable does not apply contrary view per incuriam"
+_LEGAL = {"chunking": "legal", "mode": "hybrid", "rerank": True, "strategy": "plain"}
 ARMS = {
-    "A_vector": {"mode": "vector", "rerank": False}, "B_bm25": {"mode": "bm25", "rerank": False}, "C_hybrid": {"mode": "hybrid", "rerank": False},
-    "D_rerank": {"mode": "hybrid", "rerank": True}, "E_graph": {"mode": "hybrid", "rerank": True, "graph": True}, "F_ircot": {"mode": "hybrid", "rerank": True, "loop": "ircot"},
-    "G_agentic": {"mode": "hybrid", "rerank": True, "loop": "agentic"}, "H_contradiction": {"mode": "hybrid", "rerank": True, "contradiction": True},
-    "I_full": {"mode": "hybrid", "rerank": True, "graph": True, "contradiction": True, "loop": "ircot"},
-    "J_vector_rerank": {"mode": "vector", "rerank": True}, "K_bm25_rerank": {"mode": "bm25", "rerank": True},
+    "A_vector": _LEGAL | {"mode": "vector", "rerank": False},
+    "A_bm25": _LEGAL | {"mode": "bm25", "rerank": False},
+    "B_hybrid": _LEGAL | {"rerank": False},
+    "C_hybrid_rerank": _LEGAL,
+    "C_fixed_chunking": _LEGAL | {"chunking": "fixed"},
+    "D_ircot": _LEGAL | {"strategy": "ircot"},
+    "E_agentic": _LEGAL | {"strategy": "agentic", "graph": False},
+    "F_graphrag": _LEGAL | {"graph_expand": True},
+    "G_ircot_graph": _LEGAL | {"strategy": "ircot", "graph_expand": True},
+    "H_agentic_graph": _LEGAL | {"strategy": "agentic", "graph": True},
+    "I_full": _LEGAL | {"strategy": "ircot", "graph_expand": True, "contradiction": True},
 }
 Retrieve = Callable[[DataFrame], DataFrame]
 Plan = Callable[[DataFrame, int], DataFrame]
@@ -74,15 +82,17 @@ def ircot(questions: DataFrame, retrieve: Retrieve, plan: Plan, keep: Keep, iter
 def agentic(questions: DataFrame, tools: dict[str, Retrieve], plan: Plan, keep: Keep, max_steps: int = AGENT_STEPS, max_retrievals: int = AGENT_RETRIEVALS) -> tuple[DataFrame, DataFrame]:
     """Planner-controlled retrieval: a first search always runs; then each step takes the planned action (query_id, action, argument).
 
-    An unknown action or a planner's null ends a query, as do `stop` and the bounds on steps and retrievals.
+    An unknown action or a planner's null ends a query, as do `stop` and the bounds
+    on steps and retrievals. tools has a function for each action allowed; an
+    arm without the graph leaves its tools out.
     """
-    evidence = keep(tools["search"](questions).select("query_id", "doc_id", "score", F.lit(0).alias("step")), "agent-evidence-0")
+    evidence = keep(tools["semantic_search"](questions).select("query_id", "doc_id", "score", F.lit(0).alias("step")), "agent-evidence-0")
     live = keep(questions.select("query_id", F.lit(1).alias("used")), "agent-live-0")
     steps = None
     for i in range(1, max_steps + 1):
         planned = plan(evidence, i).join(live, "query_id").withColumn(
-            "termination", F.when(F.col("action").isNull(), "planner_error").when(~F.col("action").isin(*ACTIONS), "invalid_action").when(F.col("action") == "stop", "stop")
-            .when(F.col("used") >= max_retrievals, "max_retrievals").when(F.lit(i == max_steps), "max_steps"))
+            "termination", F.when(F.col("action").isNull(), "planner_error").when(~F.col("action").isin("stop", *tools), "invalid_action").when(F.col("action") == "stop", "stop")
+            .when((F.col("used") >= max_retrievals) & F.col("action").isin(*RETRIEVING), "max_retrievals").when(F.lit(i == max_steps), "max_steps"))
         planned = keep(planned.select("query_id", "action", "argument", "used", "termination"), f"agent-plan-{i}")
         parts = [tool(planned.where((F.col("action") == name) & F.col("termination").isNull()).select("query_id", F.col("argument").alias("question"))).select("query_id", "doc_id", "score") for name, tool in tools.items()]
         found = parts[0]
@@ -93,7 +103,8 @@ def agentic(questions: DataFrame, tools: dict[str, Retrieve], plan: Plan, keep:
         step = keep(planned.join(gained, "query_id", "left").select("query_id", F.lit(i).alias("step"), "action", F.coalesce("n_new", F.lit(0)).alias("n_new"), "termination", "used"), f"agent-step-{i}")
         steps = step if steps is None else steps.unionByName(step)
         evidence = keep(evidence.unionByName(found), f"agent-evidence-{i}")
-        live = step.where("termination is null").select("query_id", (F.col("used") + 1).alias("used"))
+        more = F.when(F.col("action").isin(*RETRIEVING), 1).otherwise(0)
+        live = step.where("termination is null").select("query_id", (F.col("used") + more).alias("used"))
         if live.isEmpty():
             break
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
@@ -110,11 +121,17 @@ def appended(base: DataFrame, extra: DataFrame, limit: int) -> DataFrame:
     return base.select("query_id", "doc_id", "rank").unionByName(placed)
 
 
+def ranking_name(arm: dict) -> str:
+    """Which ranking an arm starts from: its loop, or its mode with or without reranking; of its own chunks where these aren't the usual ones."""
+    name = arm["strategy"] + ("_graph" if arm.get("graph") else "") if arm["strategy"] != "plain" else ("rerank_" if arm["rerank"] else "") + arm["mode"]
+    return name if arm["chunking"] == "legal" else f"{arm['chunking']}_{name}"
+
+
 def run_arm(name: str, rankings: dict[str, DataFrame], edges: DataFrame | None = None, chunks: DataFrame | None = None, contradictions: DataFrame | None = None) -> DataFrame:
     """An arm's final chunks: the ranking of its mode (or loop), then graph expansion of its first chunks, then contradicting ones."""
     arm = ARMS[name]
-    out = rankings[arm.get("loop") or ("rerank_" if arm["rerank"] else "") + arm["mode"]].where(F.col("rank") <= BASE).select("query_id", "doc_id", "rank")
-    if arm.get("graph"):
+    out = rankings[ranking_name(arm)].where(F.col("rank") <= BASE).select("query_id", "doc_id", "rank")
+    if arm.get("graph_expand"):
         first = out.where(F.col("rank") <= GRAPH_SEEDS)
         near = expand(edges, first.select(F.col("doc_id").alias("seed")).distinct(), chunks, limit=GRAPH_CHUNKS)
         extra = first.join(near.select(F.col("seed").alias("doc_id"), F.col("id").alias("to"), F.col("hop")), "doc_id").groupBy("query_id", "to").agg(F.min(F.col("hop") * 100 + F.col("rank")).alias("rank"))
@@ -135,3 +152,15 @@ def planner_context(evidence: DataFrame, snippet: int = 400, budget: int = 2600)
 
 
 DEFAULT_FINAL = FINAL
+
+
+def contradictions(questions: DataFrame, retrieve: Retrieve, evidence: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = CONTRADICTION_CHUNKS) -> DataFrame:
+    """(query_id, doc_id, rank): a lexical probe with fixed terms of doubt, then cases with adverse edges from the first five pieces of evidence."""
+    probe = questions.select("query_id", F.concat("question", F.lit(" " + CONTRADICTION_TERMS)).alias("question"))
+    found = retrieve(probe).where(F.col("rank") <= FOLLOW_UP).select("query_id", "doc_id", "rank")
+    first = evidence.where(F.col("rank") <= 5).select("query_id", F.col("doc_id").alias("seed"), "rank")
+    near = expand(edges, first.select("seed").distinct(), chunks, limit=limit, relations=list(ADVERSE))
+    linked = first.join(near.select("seed", F.col("id").alias("doc_id"), F.col("hop")), "seed").groupBy("query_id", "doc_id").agg(F.min(100 + F.col("hop") * 10 + F.col("rank")).alias("rank"))
+    both = found.unionByName(linked).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

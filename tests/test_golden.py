@@ -199,7 +199,7 @@ def test_ircot_reasons(spark, tmp_path):
 def test_agentic_reasons(spark, tmp_path):
     q = spark.createDataFrame([(1, "x"), (2, "x")], "query_id int, question string")
     search = lambda qs: qs.select("query_id", F.concat(F.lit("d_"), "question").alias("doc_id"), F.lit(1.0).alias("score"))
-    script = spark.createDataFrame([(1, 1, "search", "y"), (1, 2, "stop", None), (2, 1, "dance", None)], "query_id int, i int, action string, argument string")
-    evidence, steps = St.agentic(q, {"search": search}, lambda ev, i: script.where(F.col("i") == i).drop("i"), _store(spark, tmp_path))
+    script = spark.createDataFrame([(1, 1, "lexical_search", "y"), (1, 2, "stop", None), (2, 1, "dance", None)], "query_id int, i int, action string, argument string")
+    evidence, steps = St.agentic(q, {"semantic_search": search, "lexical_search": search}, lambda ev, i: script.where(F.col("i") == i).drop("i"), _store(spark, tmp_path))
     ends = {r.query_id: r.termination for r in steps.where("termination is not null").collect()}
     assert ends == {1: "stop", 2: "invalid_action"} and evidence.where("query_id = 1").count() == 2

@@ -122,9 +122,14 @@ def test_run_arm(spark):
     r = lambda ids: spark.createDataFrame([(1, x, i + 1) for i, x in enumerate(ids)], "query_id int, doc_id string, rank int")
     edges = spark.createDataFrame([("a", "z", "CITES")], "src string, dst string, relation string")
     chunks = spark.createDataFrame([("z", "z0")], "id string, chunk_id string")
-    got = St.run_arm("E_graph", {"rerank_hybrid": r("ab")}, edges, chunks).orderBy("rank").collect()
+    got = St.run_arm("F_graphrag", {"rerank_hybrid": r("ab")}, edges, chunks).orderBy("rank").collect()
     assert [(x.doc_id, x.rank) for x in got] == [("a", 1), ("b", 2), ("z", 3)]
-    got = St.run_arm("H_contradiction", {"rerank_hybrid": r("ab")}, contradictions=r("bcd")).orderBy("rank").collect()
-    assert [x.doc_id for x in got] == ["a", "b", "c", "d"]
+    got = St.run_arm("I_full", {"ircot": r("ab")}, edges, chunks, r("bcd")).orderBy("rank").collect()
+    assert [x.doc_id for x in got] == ["a", "b", "z", "c", "d"]
+    assert St.ranking_name(St.ARMS["C_fixed_chunking"]) == "fixed_rerank_hybrid" and len(St.ARMS) == 11
+    bm25 = lambda qs: qs.select("query_id", F.lit("c").alias("doc_id"), F.lit(1).alias("rank"))
+    adverse = edges.withColumn("relation", F.lit("CASE_DOUBTS_CASE"))
+    found = St.contradictions(spark.createDataFrame([(1, "q")], "query_id int, question string"), bm25, r("ab"), adverse, chunks).orderBy("rank").collect()
+    assert [x.doc_id for x in found] == ["c", "z"]
     ctx = St.planner_context(spark.createDataFrame([(1, i + 1, "x" * 1000) for i in range(9)], "query_id int, rank int, text string")).first()
     assert len(ctx.context) == 6 * 400 + 5 and ctx.n_left_out == 3
