@@ -179,7 +179,9 @@ def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
     classes = written(near_duplicates(docs.select("doc_id", "text"), bits).select("doc_id", "component_id"), "near-duplicates")
     extra = classes.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     # texts are dealt out by doc_id at every size: the ids to drop grow with the documents
-    kept = docs.join(extra.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    # (documents without an id take no part, and so don't meet in one task)
+    named = docs.where("doc_id is not null").join(extra.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    kept = named.unionByName(docs.where("doc_id is null"))
     repeated = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
