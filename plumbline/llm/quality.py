@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 FIT_ROWS = 8_000
 #: Documents are kept if the probability of the top grade is at least this.
 KEEP_TAIL = 0.6
-_REMEMBER = 1_000_000
+_REMEMBER = 400_000
 _SHAPES = ("plain", "symbols", "capitals", "digits", "bare mark")
 _MARKS = frozenset("#*$%&|<>!?=~^")
 
@@ -90,13 +90,14 @@ class CumulativeLink:
 
     @staticmethod
     def fit(grades: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], n_grades: int = 3,
-            rounds: int = 600, ridge: float = 2e-5, least_z: float = 6.0) -> CumulativeLink:
+            rounds: int = 600, ridge: float = 2e-5, least_z: float = 5.0, least_effect: float = 0.2) -> CumulativeLink:
         """Penalised maximum likelihood by Adam, over features that pass a score test.
 
-        A feature enters if its sum over the texts of some grade is `least_z`
-        standard deviations from what chance would give (about 5 would hold the
-        family-wise error of all buckets at 5 %); the others keep weight zero, so that
-        rare words don't explain noise in the ratings. Without rows, all
+        A feature enters if its correlation with some grade is `least_effect`,
+        and its sum over that grade's texts `least_z` standard deviations from
+        what chance would give (about 5 holds the family-wise error of all
+        buckets at 5 %); the others keep weight zero, so that rare words and
+        words of often-copied texts don't explain noise. Without rows, all
         weights are zero and every text is put in the top grade.
         """
         weights = np.zeros(BUCKETS, np.float32)
@@ -112,7 +113,7 @@ class CumulativeLink:
             mine = (grades == k) - np.mean(grades == k)
             z = np.maximum(z, np.abs(np.bincount(col, weights=val * mine[row], minlength=BUCKETS)) / (spread * max(1e-9, float(np.std(mine)))))
         z[np.bincount(col, minlength=BUCKETS) < 3] = 0
-        used = np.flatnonzero(z >= least_z)
+        used = np.flatnonzero(z >= max(least_z, least_effect * np.sqrt(len(grades))))
         place = np.full(BUCKETS, -1)
         place[used] = np.arange(len(used))
         inside = place[col] >= 0
@@ -149,8 +150,12 @@ class CumulativeLink:
 
 
 def grade(quality, toxic):
-    """The graded rating of a label: 0 low quality, 1 sound but toxic, 2 sound; null without a quality."""
-    return F.when(quality.isNull(), None).when(quality <= 0, 0).when(F.coalesce(toxic, F.lit(0)) > 0, 1).otherwise(2)
+    """The graded rating of a label: 0 toxic, 1 low quality, 2 sound; null without a quality.
+
+    Toxic is the lowest grade, of whatever quality: one sum serves all grades,
+    and many toxic words must be able to lower it without end.
+    """
+    return F.when(quality.isNull(), None).when(F.coalesce(toxic, F.lit(0)) > 0, 0).when(quality <= 0, 1).otherwise(2)
 
 
 def fit_grades(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CumulativeLink:
@@ -173,7 +178,21 @@ def fit_grades(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Cumu
     lists = lambda c: np.split(got.column(c).combine_chunks().flatten().to_numpy(), np.cumsum(got.column(c).combine_chunks().value_lengths().to_numpy())[:-1])
     if not got.num_rows:
         return CumulativeLink.fit(np.zeros(0, int), [], [])
-    return CumulativeLink.fit(got.column("grade").to_numpy().astype(np.int64), lists("cols"), lists("vals"))
+    grades, cols, vals = got.column("grade").to_numpy().astype(np.int64), lists("cols"), lists("vals")
+    once = list({(g, c.tobytes(), v.tobytes()): i for i, (g, c, v) in enumerate(zip(grades.tolist(), cols, vals))}.values())  # copies count once
+    return CumulativeLink.fit(grades[once], [cols[i] for i in once], [vals[i] for i in once])
+
+
+def _weigher(weights: np.ndarray):
+    """Maps a word to (shape, weight, plain form); the many words without weight share one value for each shape."""
+    empty = [(i, 0.0, "") for i in range(len(_SHAPES))]
+
+    def find(word: str):
+        plain = _plain(word)
+        x = float(weights[_bucket(plain)])
+        return (_shape(word), x, plain) if x else empty[_shape(word)]
+
+    return find
 
 
 def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float = KEEP_TAIL, least_grade: int = 2) -> DataFrame:
@@ -181,7 +200,7 @@ def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float =
     weights, top = model.weights, least_grade
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(lambda w: (_shape(w), float(weights[_bucket(p := _plain(w))]), p))
+        known = _Words(_weigher(weights))
         shared = weights[_SHARE_BUCKETS].astype(np.float64)
         for batch in batches:
             scores = []
@@ -205,7 +224,7 @@ def kept_documents(docs: DataFrame, model: CumulativeLink, keep_tail: float = KE
     weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(lambda w: (_shape(w), float(weights[_bucket(p := _plain(w))]), p))
+        known = _Words(_weigher(weights))
         shared = weights[_SHARE_BUCKETS].astype(np.float64)
         for batch in batches:
             scores = []
