@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.session import ship
 
 SLOT_BITS = 19
 HASHES = 3
@@ -151,6 +152,7 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     About `rows` rows of each language are used, chosen by a hash of the text,
     so that the fit costs the same at any size. At most 64 languages.
     """
+    ship(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(_MAX_LANGUAGES + 1).collect()}
     if len(sizes) > _MAX_LANGUAGES:
@@ -188,6 +190,7 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
 
 def predicted_languages(docs: DataFrame, filters: Filters) -> DataFrame:
     """(doc_id, lang_pred, score); `und` and 0 for a text that is null or has no letter."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

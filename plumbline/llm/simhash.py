@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, table, written
+from plumbline.session import ship
 
 #: A bucket with more distinct fingerprints than this is linked through midpoints.
 HOT_BUCKET = 24
@@ -53,6 +54,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row for each document."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.session import ship
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -141,6 +142,7 @@ def vocabulary_path(name: str) -> str:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, path: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; null counts as empty."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(path or vocabulary_path(vocabulary))
