@@ -149,11 +149,12 @@ class Filters:
 def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     """Learn filters from `text` and `lang` of the rows of docs; rows without either are passed over.
 
-    About `rows` rows of each language are used, chosen by a hash of the text,
-    so that the fit costs the same at any size. At most 64 languages.
+    About `rows` rows of each language are used, chosen by a hash of the row, so
+    that the fit costs the same at any size, also where many texts are copies.
+    At most 64 languages.
     """
     ship(docs.sparkSession)
-    known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(_MAX_LANGUAGES + 1).collect()}
     if len(sizes) > _MAX_LANGUAGES:
         raise ValueError(f"more than {_MAX_LANGUAGES} languages")
@@ -162,7 +163,7 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     if not languages:
         return Filters([], slots)
     cut = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(1.0, rows / sizes[name]) * 2**31))])
-    sample = known.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2**31)) <= cut[F.col("lang")])
+    sample = known.where(F.pmod("h", F.lit(2**31)) <= cut[F.col("lang")]).select("text", "lang")
     used = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     place = {name: i for i, name in enumerate(languages)}
 
