@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.session import ship
 
 UNIT = 64
 #: Places of the zigzag sequence in an 8 x 8 block: diagonals, walked up and down in turn.
@@ -279,6 +281,10 @@ def _luma_places(wide: int, high: int) -> np.ndarray:
 # --- Reading ----------------------------------------------------------------------------------------------------
 
 
+#: A marker other than a stuffed zero, a restart or a fill byte.
+_NEXT_MARKER = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+
+
 @dataclass
 class Scan:
     components: tuple[int, ...]
@@ -372,17 +378,8 @@ def parse(data: bytes) -> Image:
             comps = tuple(image.ids.index(body[1 + 2 * i]) for i in range(n))
             names = [body[2 + 2 * i] for i in range(n)]
             ss, se, bits = body[1 + 2 * n : 4 + 2 * n]
-            end = at
-            while True:  # the next marker that doesn't belong to the scan
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    end = len(data)
-                    break
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    # whole intervals are skipped at once
-                    end += 2
-                    continue
-                break
+            found = _NEXT_MARKER.search(data, at)  # one that doesn't belong to the scan
+            end = found.start() if found else len(data)
             tables = tuple((huffman.get(x >> 4, b""), huffman.get(16 | x & 15, b"")) for x in names)
             image.scans.append(Scan(comps, (ss, se), (bits >> 4, bits & 15), tables, restart, at, end))
             at = end
@@ -670,6 +667,7 @@ _TOGETHER = 1 << 20
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's payload as a progressive JPEG."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -695,6 +693,7 @@ def _cuts(sizes: list[int]) -> list[tuple[int, int]]:
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What the stored bytes of media_column() give when read back."""
+    ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
