@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     if not best:
         return Classifier(priors, {})
     found = written(held.select("_dom", F.array_intersect("feats", F.array(*[F.lit(w) for w in best])).alias("hits")).coalesce(8), "labelled-hits")
-    present = F.array(*[F.array_contains("hits", w).cast("double") for w in best])
+    present = F.transform(F.array(*[F.lit(w) for w in best]), lambda w: F.array_contains("hits", w).cast("double"))
     rows_in = found.select(F.col("_dom").cast("double").alias("label"), array_to_vector(present).alias("features"))
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=2e-3, elasticNetParam=0.5, standardization=False).fit(rows_in)
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
