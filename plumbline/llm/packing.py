@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.tokens import vocabulary_path
+from plumbline.session import ship
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
@@ -28,7 +29,7 @@ END_ID = 1
 #: Documents in a group, on average; a group is packed in runs of so many pieces at most.
 GROUP_DOCS = 2048
 _RUN_PIECES = 16_384
-_REMEMBER = 1_600_000
+_REMEMBER = 1_100_000
 _TOGETHER = 3_000_000
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -130,6 +131,7 @@ def _word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and the closing id, cut at every `length` ids; null texts are empty and have the closing id only."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _word_ids(vocabulary_path(vocabulary))
@@ -158,6 +160,7 @@ def pack(cut: DataFrame, n_docs: int, length: int = LENGTH, group_docs: int = GR
     (long documents, or rows that repeat) is packed in runs of a fixed length,
     so a task's memory is bounded.
     """
+    ship(cut.sparkSession)
     groups = max(1, -(-n_docs // group_docs))
     keyed = cut.withColumn("h", F.xxhash64("doc_id", "start", "ids_crc32", F.lit(5)))
     keyed = keyed.withColumn("g", F.pmod("h", F.lit(groups))).repartition("g")
