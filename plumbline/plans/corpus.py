@@ -53,7 +53,8 @@ def chunk_pack(s, d):
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "first_part", "n_parts", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", """WITH v AS (SELECT label AS doc_id, vec_id AS number, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT doc_id, number, 1 - list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc_id ORDER BY number)) AS gap FROM v),
+c AS (SELECT doc_id, quantile_cont(gap, 0.95) AS cut FROM g GROUP BY 1) SELECT doc_id, number, round(gap, 6) AS gap, (sum(coalesce((gap > cut)::INT, 0)) OVER (PARTITION BY doc_id ORDER BY number))::BIGINT AS "group" FROM g JOIN c USING (doc_id)""")
 def chunk_semantic(s, d):
     """Vectors in id order stand for a document's sentences (a document for each label)."""
     v = I.vectors(s, d).select(F.col("label").alias("doc_id"), F.col("doc_id").alias("number"), "v")

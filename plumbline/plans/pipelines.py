@@ -147,14 +147,15 @@ def stream_resume(s, d):
     return s.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_windows")
+@query("stream_windows", """WITH w AS (SELECT event_type, (epoch_us(ts) // 300000000) * 300000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, start_us, n FROM w WHERE start_us + 300000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""")
 def stream_windows(s, d):
     """Counts in five-minute windows, of windows that the watermark has closed."""
     I.table(s, d, "events")
     at = _folder(s, "windows")
     rows = Z.source(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     Z.to_table(Z.window_counts(rows, "ts", keys=("event_type",)), f"{at}/out", f"{at}/state")
-    return s.read.schema("event_type string, start timestamp, n long").parquet(f"{at}/out")
+    closed = s.read.schema("event_type string, start timestamp, n long").parquet(f"{at}/out")
+    return closed.select("event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query("stream_ring", "SELECT user_id, count(*) AS seen, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) FILTER (age <= 10) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) GROUP BY 1")
