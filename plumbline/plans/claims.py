@@ -96,9 +96,9 @@ _STATUS = "CASE WHEN ent IS NULL THEN 'UNSUPPORTED' WHEN contra >= 0.7 THEN 'CON
 
 
 def evidence(s, d):
-    """Sentences of a trace's document against its first two claims."""
+    """Sentences of a trace's document against each of its claims."""
     docs = I.documents(s, d).select("doc_id", F.posexplode(T.simple_sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    rows = claim_rows(s, d).where("claim_no < 2").join(docs, F.col("conv_id") == F.col("doc_id"))
+    rows = claim_rows(s, d).join(docs, F.col("conv_id") == F.col("doc_id"))
     scored = rows.select("trace_id", "claim_no", F.lit(1).alias("chunk_rank"), F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", V.lexical_scores(F.col("claim"), F.col("sentence")).alias("x"))
     return scored.select("trace_id", "claim_no", "chunk_rank", "sentence_no", "sentence", "x.*")
 
@@ -114,7 +114,7 @@ def evidence_top3(s, d):
 @query("claim_status", f"WITH {_EVIDENCE}, t AS (SELECT c.trace_id, c.claim_no, ent, contra, neutral FROM claims c LEFT JOIN top3 e ON e.trace_id = c.trace_id AND e.claim_no = c.claim_no AND evidence_rank = 1 WHERE c.claim_no < 2) SELECT trace_id, claim_no, {_STATUS} AS status, round(coalesce(greatest(ent, contra), 0), 6) AS confidence FROM t")
 def claim_status(s, d):
     best = V.pooled(V.top_evidence(evidence(s, d), _KEY), _KEY)
-    rows = claim_rows(s, d).where("claim_no < 2").select(*_KEY).join(best, _KEY, "left")
+    rows = claim_rows(s, d).select(*_KEY).join(best, _KEY, "left")
     return rows.select(*_KEY, V.status(F.col("ent"), F.col("contra"), F.col("neutral")).alias("status"), F.round(V.confidence(F.col("ent"), F.col("contra")), 6).alias("confidence"))
 
 
