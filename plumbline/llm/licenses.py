@@ -7,6 +7,8 @@ licence rules, each an ordered sequence of identifiers.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,6 @@ CATEGORIES = ["reserved", "noncommercial", "copyleft", "permissive"]
 
 def plain(sentence: str) -> str:
     """The normal form: lower case, everything but letters and digits as single blanks."""
-    import re
-
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
@@ -70,14 +70,35 @@ def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
 
 
+def pieces(sentence: str) -> list[str]:
+    """The normal forms of the parts that a reading cuts a sentence into."""
+    return [plain(x) for x in re.sub(r"([.!?:])[ \t\n\r]+", r"\1\n", sentence).split("\n")]
+
+
 def _identified(text: Column) -> Column:
-    """Identifiers of the known sentences in order: |a|b| for each of two readings, a line end as an end of sentence or as a blank."""
-    known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for s in forms for x in (plain(s), name)])
+    """Identifiers of the known sentences in order: |a|b| for each of two readings, a line end as an end of sentence or as a blank.
+
+    A known sentence that the readings cut is found by its first piece with the
+    anchor, if its other pieces stand around that one.
+    """
+    forms = [(name, pieces(s), [bool(re.search(ANCHOR, x)) for x in pieces(s)].index(True)) for name, ss in SENTENCES.items() for s in ss]
+    known = F.create_map(*[F.lit(x) for name, parts, _ in forms if len(parts) == 1 for x in (parts[0], name)])
 
     def reading(t: Column) -> Column:
         cut = F.split(F.regexp_replace(t, r"([.!?:])[ \t\n\r]+", "$1\n"), "\n")
-        ids = F.transform(F.filter(cut, lambda s: s.rlike(ANCHOR)), lambda s: F.element_at(known, _normal(s)))
-        return F.filter(ids, lambda i: i.isNotNull())
+
+        def identifier(s: Column, i: Column) -> Column:
+            ids = [F.element_at(known, _normal(s))]
+            for name, parts, at in forms:
+                if len(parts) > 1:
+                    hit = _normal(s) == parts[at]
+                    for k, part in enumerate(parts):
+                        if k != at:
+                            hit = hit & (_normal(F.get(cut, i + (k - at))) == part)
+                    ids.append(F.when(hit, F.lit(name)))
+            return F.when(s.rlike(ANCHOR), F.coalesce(*ids))
+
+        return F.filter(F.transform(cut, identifier), lambda i: i.isNotNull())
 
     return F.array(reading(text), reading(F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r]*\n", ".\n "), r"[\r\n]+(?! )", " ")))
 
