@@ -76,7 +76,7 @@ def pieces(sentence: str) -> list[str]:
 
 
 def _identified(text: Column) -> Column:
-    """Identifiers of the known sentences in order: |a|b| for each of two readings, a line end as an end of sentence or as a blank.
+    """Identifiers of the known sentences in order, for each of three readings: a line end as an end of sentence, as a blank, or as a blank unless the next line is indented.
 
     A known sentence that the readings cut is found by its first piece with the
     anchor, if its other pieces stand around that one.
@@ -100,7 +100,12 @@ def _identified(text: Column) -> Column:
 
         return F.filter(F.transform(cut, identifier), lambda i: i.isNotNull())
 
-    return F.array(reading(text), reading(F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r]*\n", ".\n "), r"[\r\n]+(?! )", " ")))
+    def joined(t: Column, paragraph: str, line_end: str) -> Column:
+        marked = F.regexp_replace(t, paragraph, ".\u0001 ")
+        return F.translate(F.regexp_replace(marked, line_end, " "), "\u0001", "\n")
+
+    # a line without letters and digits (blank, or a comment mark alone) ends a paragraph; in the third reading an indented line opens one
+    return F.array(reading(text), reading(joined(text, r"\n[^\p{L}\p{N}\n]*\n", r"[\r\n]+")), reading(joined(text, r"\n[ \t\r]*\n", r"[\r\n]+(?! )")))
 
 
 def _rule_pattern(ids: list[str]) -> str:
@@ -116,10 +121,12 @@ def licensed(docs: DataFrame) -> DataFrame:
     give category `unknown`.
     """
     text = whole()
-    none = F.array(*[F.array().cast("array<string>")] * 2)
+    none = F.array(*[F.array().cast("array<string>")] * 3)
     rows = docs.select("doc_id", F.when(text.rlike(ANCHOR), _identified(text)).otherwise(none).alias("r"))
-    # the reading that knows more sentences; the first on ties
-    rows = rows.select("doc_id", F.when(F.size(F.get("r", F.lit(1))) > F.size(F.get("r", F.lit(0))), F.get("r", F.lit(1))).otherwise(F.get("r", F.lit(0))).alias("ids"))
+    # the reading that knows the most sentences; the first of them on ties
+    n, r = [F.size(F.get("r", F.lit(i))) for i in range(3)], [F.get("r", F.lit(i)) for i in range(3)]
+    best = F.when((n[2] > n[1]) & (n[2] > n[0]), r[2]).when(n[1] > n[0], r[1]).otherwise(r[0])
+    rows = rows.select("doc_id", best.alias("ids"))
     rows = rows.select("doc_id", "ids", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")).alias("s"))
     hits, families = [], {}
     for family, name, kind, ids in RULES:
