@@ -55,12 +55,22 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
 
 
 def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-a of two rankings of the same items within each key (short lists: pairs are formed inside a list)."""
-    lists = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))).alias("l"))
-    sign = lambda a, b: F.signum((a["x"] - b["x"]) * (a["y"] - b["y"]))
-    total = F.aggregate("l", F.lit(0.0), lambda s, a: s + F.aggregate(F.filter("l", lambda b: b["i"] > a["i"]), F.lit(0.0), lambda t, b: t + sign(a, b)))
-    n = F.size("l")
-    return lists.select(*keys, n.cast("long").alias("n_items"), F.round(total / F.nullif(n * (n - 1) / 2.0, F.lit(0.0)), 6).alias("tau"))
+    """Kendall's tau-a of two rankings of the same items within each key; x holds whole numbers from 0, ties count as neither.
+
+    Two items with different x part at one binary digit of x, below a common
+    prefix. For each digit the items of a prefix are gone through by y, and each
+    meets the sums of those before it: rows are items times digits, not pairs.
+    """
+    items = df.select(*keys, F.col(x).cast("long").alias("_x"), F.col(y).alias("_y")).withColumn("_top", F.max("_x").over(Window.partitionBy(*keys)))
+    items = items.select(*keys, "_x", "_y", F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("_k"))
+    bit = F.expr("shiftright(_x, _k) & 1L")
+    met = items.groupBy(*keys, "_k", F.expr("shiftright(_x, _k + 1)").alias("_p"), "_y").agg(F.sum(bit).alias("_o"), F.sum(1 - bit).alias("_z"))
+    before = Window.partitionBy(*keys, "_k", "_p").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    part = met.select(*keys, F.when(F.col("_k") == 0, F.col("_o") + F.col("_z")).otherwise(0).alias("_n"), (F.col("_o") * so_far("_z") - F.col("_z") * so_far("_o")).alias("_s"))
+    sums = part.groupBy(*keys).agg(F.sum("_n").alias("n_items"), F.sum("_s").alias("_s"))
+    n = F.col("n_items")
+    return sums.select(*keys, "n_items", F.round(F.col("_s") / F.nullif(n * (n - 1) / 2.0, F.lit(0.0)), 6).alias("tau"))
 
 
 def kappa(df: DataFrame, a: str, b: str, name: str = "kappa") -> DataFrame:

@@ -70,7 +70,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM r) a LEFT JOIN r
 def kendall_tau(s, d):
     from plumbline.operators.retrieval import ranked
 
-    rows = I.table(s, d, "part").where("p_partkey % 5 = 0")
+    rows = I.table(s, d, "part")
     rows = ranked(rows, ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")], name="x")
     return S.kendall(ranked(rows, ["p_brand"], [F.col("p_size"), F.col("p_partkey")], name="y"), ["p_brand"], "p_partkey", "x", "y")
 

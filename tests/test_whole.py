@@ -1,5 +1,8 @@
 """Queries whose registered SQL reads a part of the rows, against the same SQL over all of them."""
 
+import itertools
+import random
+
 import pytest
 
 from plumbline.plans import catalogue
@@ -33,3 +36,23 @@ def test_context_recall_counts_a_third_claim(spark, data, monkeypatch):
     monkeypatch.setattr(claims.I, "answers", lambda s, d: answers)
     monkeypatch.setattr(claims.I, "documents", lambda s, d, *more: docs)
     assert [tuple(r) for r in claims.context_recall(spark, data).collect()] == [(1, pytest.approx(2 / 3, abs=1e-4))]
+
+
+@pytest.mark.parametrize("name, cut", [("kendall_tau", " WHERE p_partkey % 5 = 0"), ("graph_reverse", " WHERE n_nationkey < 3")])
+def test_every_row_is_read(name, cut, spark, data, duck):
+    same(catalogue.QUERIES[name](spark, data), duck.sql(whole(catalogue.ORACLE[name], (cut, ""))))
+
+
+def test_kendall_equals_pairs_with_ties(spark):
+    from plumbline.functions import statistics as S
+
+    rng = random.Random(3)
+    rows = [(k, i, rng.randrange(span), rng.randrange(span)) for k, n, span in (("a", 90, 40), ("b", 70, 1000), ("c", 1, 5), (None, 8, 3), ("d", 6, 1)) for i in range(n)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        sign = lambda a: (a > 0) - (a < 0)
+        total = sum(sign((a[2] - b[2]) * (a[3] - b[3])) for a, b in itertools.combinations(own, 2))
+        want[k] = (len(own), round(total / (len(own) * (len(own) - 1) / 2), 6) if len(own) > 1 else None)
+    got = S.kendall(spark.createDataFrame(rows, "k string, i int, x int, y int"), ["k"], "i", "x", "y").collect()
+    assert {r.k: (r.n_items, r.tau) for r in got} == want
