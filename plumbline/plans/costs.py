@@ -91,5 +91,5 @@ SELECT turn_id, phase, place, event, data FROM (SELECT turn_id, unnest([{'phase'
 def turn_events(s, d):
     t = I.table(s, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.col("turn").alias("n_memories"), F.lit(6).alias("n_chunks"), "text")
     t = t.withColumn("error", F.when(F.col("turn_id") % 10 == 3, "lost"))
-    k = t.select("turn_id", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0)), 1, 5)).alias("place", "token"))
+    k = t.select("turn_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("place", "token"))
     return K.turn_events(t, k)

@@ -45,7 +45,7 @@ def claim_statistics(s, d):
 @query("prompt_context", f"WITH {PR._BM25} SELECT query_id, md5(string_agg(substr(text, 1, 400), chr(10) || chr(10) ORDER BY rank DESC)) AS digest FROM sparse JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1")
 def prompt_context(s, d):
     """Chunks in the order of a prompt: the best one last."""
-    top = PR._bm25(s, d, 6).join(I.documents(s, d), "doc_id").select("query_id", "rank", F.substring("text", 1, 400).alias("text"))
+    top = PR._bm25(s, d, 6).join(I.documents(s, d), "doc_id").select("query_id", "rank", "text")
     return R.prompt_order(top).select("query_id", F.md5("context").alias("digest"))
 
 
@@ -118,5 +118,5 @@ def evaluator_export(s, d):
     n = docs.count()
     refs = I.refs(s, d).select("trace_id", "rank", ((F.col("trace_id") * 6 + F.col("rank")) % n).alias("chunk_id"))
     traces = I.traces(s, d).select("trace_id", F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("g").alias("gold"))
-    rows = evaluator_rows(traces, refs, docs.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 50).alias("text")), True)
+    rows = evaluator_rows(traces, refs, docs.select(F.col("doc_id").alias("chunk_id"), "text"), True)
     return rows.select("trace_id", F.size("contexts").cast("long").alias("n_contexts"), F.md5(F.array_join("contexts", "|")).alias("digest"))

@@ -56,3 +56,8 @@ def test_kendall_equals_pairs_with_ties(spark):
         want[k] = (len(own), round(total / (len(own) * (len(own) - 1) / 2), 6) if len(own) > 1 else None)
     got = S.kendall(spark.createDataFrame(rows, "k string, i int, x int, y int"), ["k"], "i", "x", "y").collect()
     assert {r.k: (r.n_items, r.tau) for r in got} == want
+
+
+@pytest.mark.parametrize("name, cut, instead", [("prompt_context", "substr(text, 1, 400)", "text"), ("evaluator_export", "substr(text, 1, 50) AS text", "text"), ("turn_events", "[1:5]", "")])
+def test_texts_are_whole(name, cut, instead, spark, data, duck):
+    same(catalogue.QUERIES[name](spark, data), duck.sql(whole(catalogue.ORACLE[name], (cut, instead))))
