@@ -2,8 +2,10 @@
 
 Every whole text is searched for candidates of four kinds. The hashes of their
 values are counted by distinct repositories and owners over the corpus: a value
-found with many owners is a widely copied example, one that few owners have is
-owner-specific and, if it looks random, taken for a live credential.
+found with many owners or in many repositories is a widely copied example; any
+other is owner-specific and, if it looks like a secret, taken for a live
+credential. Unassigned values look so if they are long, with letters and digits;
+assigned ones at any counted length, if they have both or stand in quotes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ PATTERNS = {
 LEAST_ASSIGNED = 6
 #: A value found with more owners than this is a copied example.
 MAX_OWNERS = 2
+#: So is one found in more repositories than this, whoever owns them.
+MAX_REPOS = 10
+#: For unassigned values; what is assigned to a name such as `password` may be shorter.
 LEAST_LIVE_LENGTH = 16
+#: An assigned value in quotes, which is a literal and no name or expression.
+_QUOTED = r"""[:=]\x20*["'][A-Za-z0-9+/_.=-]+$"""
 MASK = "[redacted]"
 
 
@@ -50,13 +57,14 @@ def scanned(docs: DataFrame, repo_col: str, owner_col: str, whole_rows: bool = F
 
 
 def candidates(scan: DataFrame) -> DataFrame:
-    """One row for each candidate that counts: row, kind, start, end (code points), hash of the value, whether it looks random."""
+    """One row for each candidate that counts: row, kind, start, end (code points), hash of the value, whether it looks like a secret."""
     each = scan.where("_kinds is not null").select("_row", "_repo", "_owner", F.explode("_kinds").alias("k"))
     each = each.select("_row", "_repo", "_owner", F.col("k.kind").alias("kind"), F.posexplode("k.found").alias("at", "m"))
     order = Window.partitionBy("_row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size, value = F.length("m.hit"), F.col("m.value")
     placed = each.withColumn("end", F.sum(F.col("m.gap") + size).over(order)).withColumn("start", F.col("end") - size)
-    random = (F.length(value) >= LEAST_LIVE_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    random = F.when(F.col("kind") == 0, mixed | F.col("m.hit").rlike(_QUOTED)).otherwise(mixed & (F.length(value) >= LEAST_LIVE_LENGTH))
     return placed.where((F.col("kind") != 0) | (F.length(value) >= LEAST_ASSIGNED)).select(
         "_row", "_repo", "_owner", "kind", "start", "end", F.sha2(value, 256).alias("hash"), random.alias("random"))
 
@@ -68,14 +76,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def judged(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Candidates with n_repos, n_owners and live; `found` must be a written table, so that a very common value can be split."""
     counts = written(ownership(found), "ownership")
-    return found.join(counts, "hash").withColumn("live", F.col("random") & (F.col("n_owners") <= max_owners))
+    return found.join(counts, "hash").withColumn("live", F.col("random") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
 
-def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, base counts and spans of every document, with all spans and how many are live or copied.
+def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """doc_id, base counts and spans of every document, with all spans, in how many repositories the value of each is (span_repos), and how many are live or copied.
 
     Spans of the base kinds stay whatever their ownership; credentials of the
     kind `token` are added where they are owner-specific and touch no base span.
@@ -83,9 +91,9 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     """
     scan = scanned(docs, repo_col, owner_col)
     found = written(candidates(scan), "candidates")
-    spans = judged(found, max_owners).groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
+    spans = judged(found, max_owners, max_repos).groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_repos"))).alias("s"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,n_repos:bigint>>")
     rows = scan.where("_kinds is not null").select("_row", "_doc.doc_id").join(spans, "_row", "left")
     rows = rows.select("doc_id", F.coalesce("s", none).alias("s")).unionByName(scan.where("_kinds is null").select("_doc.doc_id", none.alias("s")))
     base = F.filter("s", lambda x: x["kind"] < 3)
@@ -98,14 +106,15 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(text("base"), 256).alias("base_sha256"), text("every").alias("spans"),
+        F.array_join(F.transform("every", lambda x: x["n_repos"].cast("string")), ",").alias("span_repos"),
         F.size(F.filter("every", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("every", lambda x: ~x["live"])).cast("long").alias("n_copied"))
 
 
-def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """The documents with every live credential masked in the text (and n_chars, if there, set anew); widely copied examples stay."""
     scan = scanned(docs, repo_col, owner_col, whole_rows=True)
-    live = judged(written(candidates(scan), "candidates"), max_owners).where("live")
+    live = judged(written(candidates(scan), "candidates"), max_owners, max_repos).where("live")
     before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     opened = live.select("_row", "start", "end", F.coalesce(F.max("end").over(before), F.lit(-1)).alias("reach"))
     run = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
