@@ -89,7 +89,7 @@ def groundedness(s, d):
 _NEG = r"\\b(?:not|no|never|none|cannot)\\b".replace("\\\\", "\\")
 _EVIDENCE = f"""{_CLAIMS}, sents AS (SELECT doc_id, i AS sentence_no, ss[i + 1] AS sentence FROM (SELECT doc_id, {_SIMPLE.format(t='text')} AS ss FROM documents WHERE doc_id IN (SELECT conv_id FROM claims)), unnest(range(len(ss)::BIGINT)) t(i)),
 sw AS (SELECT *, {_CONTENT.format(t='sentence')} AS w FROM sents),
-ev0 AS (SELECT trace_id, claim_no, sentence_no, sentence, {_SUPPORT.format(c='claim', w='w')} AS sup, regexp_matches(lower(claim), '{_NEG}') <> regexp_matches(lower(sentence), '{_NEG}') AS differs FROM claims JOIN sw ON doc_id = conv_id WHERE claim_no < 2),
+ev0 AS (SELECT trace_id, claim_no, sentence_no, sentence, {_SUPPORT.format(c='claim', w='w')} AS sup, regexp_matches(lower(claim), '{_NEG}') <> regexp_matches(lower(sentence), '{_NEG}') AS differs FROM claims JOIN sw ON doc_id = conv_id),
 ev AS (SELECT *, CASE WHEN differs THEN 0.0::DOUBLE ELSE sup END AS ent, CASE WHEN differs THEN sup ELSE 0.0::DOUBLE END AS contra, greatest(0.0::DOUBLE, 1 - sup) AS neutral FROM ev0),
 top3 AS (SELECT *, row_number() OVER (PARTITION BY trace_id, claim_no ORDER BY round(ent, 6) DESC, sentence_no) AS evidence_rank FROM ev QUALIFY evidence_rank <= 3)"""
 _STATUS = "CASE WHEN ent IS NULL THEN 'UNSUPPORTED' WHEN contra >= 0.7 THEN 'CONTRADICTED' WHEN ent >= 0.7 THEN 'SUPPORTED' WHEN ent >= 0.4 THEN 'PARTIALLY_SUPPORTED' WHEN neutral >= 0.8 THEN 'UNSUPPORTED' ELSE 'NOT_VERIFIABLE' END"
@@ -111,7 +111,7 @@ def evidence_top3(s, d):
     return V.top_evidence(evidence(s, d), _KEY).select("trace_id", "claim_no", F.col("evidence_rank").cast("long").alias("evidence_rank"), "sentence_no", F.round("ent", 6).alias("ent"), F.round("contra", 6).alias("contra"))
 
 
-@query("claim_status", f"WITH {_EVIDENCE}, t AS (SELECT c.trace_id, c.claim_no, ent, contra, neutral FROM claims c LEFT JOIN top3 e ON e.trace_id = c.trace_id AND e.claim_no = c.claim_no AND evidence_rank = 1 WHERE c.claim_no < 2) SELECT trace_id, claim_no, {_STATUS} AS status, round(coalesce(greatest(ent, contra), 0), 6) AS confidence FROM t")
+@query("claim_status", f"WITH {_EVIDENCE}, t AS (SELECT c.trace_id, c.claim_no, ent, contra, neutral FROM claims c LEFT JOIN top3 e ON e.trace_id = c.trace_id AND e.claim_no = c.claim_no AND evidence_rank = 1) SELECT trace_id, claim_no, {_STATUS} AS status, round(coalesce(greatest(ent, contra), 0), 6) AS confidence FROM t")
 def claim_status(s, d):
     best = V.pooled(V.top_evidence(evidence(s, d), _KEY), _KEY)
     rows = claim_rows(s, d).select(*_KEY).join(best, _KEY, "left")

@@ -85,7 +85,7 @@ def source_urls(s, d):
     return I.table(s, d, "pages").select("page_id", K.source_url(F.lit("https://x.example"), path).alias("url"))
 
 
-@query("turn_events", """WITH t AS (SELECT conv_id * 100 + turn AS turn_id, turn, text FROM conversations WHERE role = 'assistant'), k AS (SELECT turn_id, i AS place, w[i + 1] AS token FROM (SELECT turn_id, regexp_extract_all(text, '[\\p{L}]+')[1:5] AS w FROM t), unnest(range(len(w)::BIGINT)) x(i))
+@query("turn_events", """WITH t AS (SELECT conv_id * 100 + turn AS turn_id, turn, text FROM conversations WHERE role = 'assistant'), k AS (SELECT turn_id, i AS place, w[i + 1] AS token FROM (SELECT turn_id, regexp_extract_all(text, '[\\p{L}]+') AS w FROM t), unnest(range(len(w)::BIGINT)) x(i))
 SELECT turn_id, phase, place, event, data FROM (SELECT turn_id, unnest([{'phase': 0, 'event': 'stage', 'data': 'memory'}, {'phase': 1, 'event': 'memory', 'data': turn::VARCHAR}, {'phase': 2, 'event': 'stage', 'data': 'retrieval'}, {'phase': 3, 'event': 'meta', 'data': '{}'}, {'phase': 4, 'event': 'chunks', 'data': '6'}, {'phase': 5, 'event': 'stage', 'data': 'generation'}, {'phase': 7, 'event': 'evaluation', 'data': '{}'},
   CASE WHEN turn_id % 10 = 3 THEN {'phase': 8, 'event': 'error', 'data': 'lost'} ELSE {'phase': 8, 'event': 'done', 'data': ''} END], recursive := true), 0::INTEGER AS place FROM t) UNION ALL SELECT turn_id, 6, place::INTEGER, 'token', token FROM k""")
 def turn_events(s, d):

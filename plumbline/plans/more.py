@@ -42,7 +42,7 @@ def claim_statistics(s, d):
     return K.claim_statistics(K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d)))
 
 
-@query("prompt_context", f"WITH {PR._BM25} SELECT query_id, md5(string_agg(substr(text, 1, 400), chr(10) || chr(10) ORDER BY rank DESC)) AS digest FROM sparse JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1")
+@query("prompt_context", f"WITH {PR._BM25} SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank DESC)) AS digest FROM sparse JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1")
 def prompt_context(s, d):
     """Chunks in the order of a prompt: the best one last."""
     top = PR._bm25(s, d, 6).join(I.documents(s, d), "doc_id").select("query_id", "rank", "text")
@@ -110,7 +110,7 @@ def knowledge_edges(s, d):
     return edges.where("relation = 'CASE_CITES_CASE'").select("src", "dst")
 
 
-@query("evaluator_export", f"""WITH {I.TRACES_SQL}, p AS (SELECT r.trace_id, r.rank, substr(text, 1, 50) AS text FROM refs r JOIN documents d ON d.doc_id = (r.trace_id * 6 + r.rank) % (SELECT count(*) FROM documents)) SELECT trace_id, len(list(text))::BIGINT AS n_contexts, md5(string_agg(text, '|' ORDER BY rank)) AS digest FROM p GROUP BY 1""")
+@query("evaluator_export", f"""WITH {I.TRACES_SQL}, p AS (SELECT r.trace_id, r.rank, text FROM refs r JOIN documents d ON d.doc_id = (r.trace_id * 6 + r.rank) % (SELECT count(*) FROM documents)) SELECT trace_id, len(list(text))::BIGINT AS n_contexts, md5(string_agg(text, '|' ORDER BY rank)) AS digest FROM p GROUP BY 1""")
 def evaluator_export(s, d):
     from plumbline.sources.tables import evaluator_rows
 

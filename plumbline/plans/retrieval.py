@@ -66,7 +66,13 @@ def token_stats(s, d):
     return I.documents(s, d).select("doc_id", lexical_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
-@query("bm25_idf", f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+#: Each document gives a term once; the mean is taken beside the rows, so that the words are read once.
+_IDF = f"""WITH w AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), c AS (SELECT term, count(*) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM c, n), m AS (SELECT term, df, raw, avg(raw) OVER () AS mean FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM m"""
+
+
+@query("bm25_idf", _IDF)
 def bm25_idf(s, d):
     return R.bm25_terms(I.documents(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 

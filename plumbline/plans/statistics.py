@@ -64,7 +64,7 @@ def spearman_rho(s, d):
     return S.spearman(rows, "n_chars", "n_words")
 
 
-@query("kendall_tau", """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS y FROM part WHERE p_partkey % 5 = 0)
+@query("kendall_tau", """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS y FROM part)
 SELECT a.p_brand, max(n) AS n_items, round(coalesce(sum(sign((a.x - b.x) * (a.y - b.y))), 0) / nullif(max(n) * (max(n) - 1) / 2.0::DOUBLE, 0), 6) AS tau
 FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM r) a LEFT JOIN r b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey GROUP BY 1""")
 def kendall_tau(s, d):
