@@ -14,6 +14,7 @@ from plumbline.plans import claims as PC
 from plumbline.plans import graphs as PG
 from plumbline.plans import inputs as I
 from plumbline.plans import retrieval as PR
+from plumbline.session import shared_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -58,10 +59,10 @@ def planner_context(s, d):
 
 def _keep(s):
     """Tables of a loop's rounds in the cluster's shared checkpoint folder."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{s.sparkContext.applicationId}"
+    base = shared_folder(s)
 
     def keep(df, name):
-        path = f"{base.rstrip('/')}/rounds/{name}-{uuid.uuid4().hex[:10]}"
+        path = f"{base}/rounds/{name}-{uuid.uuid4().hex[:10]}"
         df.write.parquet(path)
         return s.read.schema(df.schema).parquet(path)
 

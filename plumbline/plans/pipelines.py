@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.plans import inputs as I
+from plumbline.session import shared_folder
 from plumbline.sources import tables as S
 from plumbline.streaming import traces as Z
 
@@ -132,8 +133,7 @@ def session_windows(s, d):
 
 def _folder(s, name: str) -> str:
     """A folder of this run in the cluster's shared checkpoint folder (of our own in tests)."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{s.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:10]}"
+    return f"{shared_folder(s)}/streams/{name}-{uuid.uuid4().hex[:10]}"
 
 
 @query("stream_resume", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

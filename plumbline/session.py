@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,6 +27,23 @@ def session(app: str = "plumbline", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the cluster's shared checkpoint folder (`spark.checkpoint.dir`).
+
+    Where that is unset, a folder under /tmp serves a local session; any other
+    session raises, since its executors could not read each other's files.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file:///tmp/checkpoints/{sc.applicationId}"
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tables-{sc.applicationId}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each context; Spark's own file server carries it."""
     sc = spark.sparkContext
