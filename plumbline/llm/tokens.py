@@ -5,10 +5,15 @@ every round each pre-token finds its pair of lowest rank and all of its
 occurrences are merged at once, in all pre-tokens together; pre-tokens with no
 pair left drop out. A pair that holds a merged symbol always ranks after the
 merge that made the symbol, so this equals merging one pair at a time.
+
+A long pre-token has thousands of rounds, each of which would pass over all its
+symbols; it is merged by itself, with the places of each rank kept in lists, so
+that a round touches only the places that it merges and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +37,8 @@ _PATTERN = (
 )
 #: Distinct pre-tokens whose counts a worker remembers at most.
 _REMEMBER = 800_000
+#: Pre-tokens with more bytes than this are merged by themselves.
+_LONG = 512
 #: Characters of texts whose pre-tokens are held at a time, beyond a single text.
 _TOGETHER = 3_000_000
 
@@ -68,6 +75,54 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], self.none)
 
+    def merged_length(self, word: bytes) -> int:
+        """The number of symbols that survive in one word, in time that grows with its merges."""
+        n = len(word)
+        symbols = self.start[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, self.none)  # of the pair that begins at each place
+        rank[:-1] = self._ranks(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < self.none]
+            places = places[np.argsort(rank[places], kind="stable")]
+            edges = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, edges) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        left = n
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # places whose pair is still that one
+            if not len(at):
+                continue
+            # in a run of overlapping occurrences every second one is taken, from the left
+            order = np.arange(len(at))
+            runs = np.maximum.accumulate(np.where(np.r_[True, after[at[:-1]] != at[1:]], order, 0))
+            at = at[(order - runs) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.made[r]
+            rank[gone] = self.none
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            fresh = np.unique(np.r_[at, before[at][before[at] >= 0]])
+            ends = after[fresh]
+            has = ends < n
+            rank[fresh] = self.none
+            rank[fresh[has]] = self._ranks(symbols[fresh[has]], symbols[ends[has]])
+            wait(fresh[has])
+        return left
+
     def merged_lengths(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols that survive in each word."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -105,7 +160,9 @@ class RankMerger:
         listed = list(new)
         for at in range(0, len(listed), 1 << 16):
             some = listed[at : at + (1 << 16)]
-            self.known.update(zip(some, self.merged_lengths([w.encode("utf-8", "surrogatepass") for w in some]).tolist()))
+            raw = [w.encode("utf-8", "surrogatepass") for w in some]
+            self.known.update(zip(some, self.merged_lengths([b if len(b) <= _LONG else b"" for b in raw]).tolist()))
+            self.known.update((w, self.merged_length(b)) for w, b in zip(some, raw) if len(b) > _LONG)
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text, taking about _TOGETHER characters of texts at a time."""
@@ -141,7 +198,11 @@ def vocabulary_path(name: str) -> str:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, path: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; null counts as empty."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text, one row for each row of docs.
+
+    A null text counts as empty, a null doc_id stays null, rows that repeat are
+    counted each, other columns play no part, and an empty table gives no row.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +220,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; edge cases as in token_counts."""
     return token_counts(table(spark, sf_dir, "documents"))
