@@ -1,6 +1,6 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree.
 
-Each document is cut into pieces no longer than a sequence. The pieces are
+Each document is cut into pieces no longer than a sequence. Documents are
 dealt to groups by a hash; every group is packed by itself, longest piece
 first, into the first sequence with room for it, which a tree of the
 sequences' largest remaining room finds in logarithmic time.
@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +27,14 @@ from plumbline.session import ship
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
-#: Documents in a group, on average; a group is packed in runs of so many pieces at most.
+#: Documents in a group, on average.
 GROUP_DOCS = 2048
-_RUN_PIECES = 16_384
-_REMEMBER = 1_100_000
+#: Distinct words whose ids a worker remembers at most.
+_REMEMBER = 400_000
 _TOGETHER = 3_000_000
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def first_fit_decreasing(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
@@ -81,6 +83,7 @@ class WordIds:
         if self.mark_id is None:
             raise ValueError(f"the vocabulary has no {self.mark}")
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -113,9 +116,12 @@ class WordIds:
                 at += 1
             wanted = set().union(*held)
             new = wanted.difference(self.known)
+            self.again |= wanted.difference(new)
             if new and len(self.known) + len(new) > _REMEMBER:
-                self.known.clear()
-                new = wanted
+                # words met in a second lot of texts stay, unless they alone are too many
+                stay = self.again if 2 * len(self.again) <= _REMEMBER else wanted.difference(new)
+                self.known = {w: self.known[w] for w in stay}
+                self.again = set()
             listed = list(new)
             for k in range(0, len(listed), 1 << 14):
                 self._learn(listed[k : k + (1 << 14)])
@@ -130,7 +136,11 @@ def _word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids and the closing id, cut at every `length` ids; null texts are empty and have the closing id only."""
+    """Each document's ids and the closing id, cut at every `length` ids, with doc_hash, a hash of all its ids.
+
+    Null and empty texts have the closing id only. A very long text is one row
+    of ids in memory while it is cut. Rows that repeat give equal pieces.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,45 +148,48 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for doc, found in zip(batch.column(0).to_pylist(), ids.encoded(texts)):
                 found += end
-                total = len(found) // 4
+                total, own = len(found) // 4, xxhash.xxh64_intdigest(found) - (1 << 63)
                 for start in range(0, total, length):
                     part = found[4 * start : 4 * (start + length)]
-                    for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), total)):
+                    for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), total, own)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*_COLUMNS, "doc_hash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _CUT)
+    return rows.mapInArrow(run, f"{_CUT}, doc_hash long")
 
 
 def pack(cut: DataFrame, n_docs: int, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Adds sequence_id and offset to pieces.
 
-    Groups follow from the rows and the number of documents alone, so a task
-    that runs again makes the same sequences. A group with very many pieces
-    (long documents, or rows that repeat) is packed in runs of a fixed length,
-    so a task's memory is bounded.
+    A document's group follows from its id, its ids' hash and, where the same
+    document is there many times, the number of the lot of `group_docs` copies;
+    so groups stay near their mean size whatever repeats, and neither the
+    number of partitions nor the size of batches moves a piece. Equal pieces
+    are counted first and told apart by their number alone. Equal lengths are
+    taken in the order of the hash, doc_id, copy and start.
     """
     ship(cut.sparkSession)
     groups = max(1, -(-n_docs // group_docs))
-    keyed = cut.withColumn("h", F.xxhash64("doc_id", "start", "ids_crc32", F.lit(5)))
+    counted = cut.groupBy(*_COLUMNS, "doc_hash").agg(F.count(F.lit(1)).alias("n"))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / group_docs))))
+    keyed = lots.withColumn("h", F.xxhash64("doc_id", "doc_hash", "lot", F.lit(5)))
     keyed = keyed.withColumn("g", F.pmod("h", F.lit(groups))).repartition("g")
+    last = F.least(F.col("n"), (F.col("lot") + 1) * group_docs) - 1
+    each = keyed.withColumn("copy", F.explode(F.sequence(F.col("lot") * group_docs, last)))
+    ordered = each.sortWithinPartitions("g", "h", "doc_id", "copy", "start").select(*_COLUMNS, "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first_free, held = None, 0, []
+        group, held = None, []
 
         def packed() -> pa.RecordBatch:
-            nonlocal first_free, held
             rows = pa.Table.from_batches(held)
             bins, offsets = first_fit_decreasing(rows.column("length").to_pylist(), length)
-            ids = [group * (1 << 32) + first_free + b for b in bins]
-            first_free += max(bins) + 1
-            held = []
-            out = rows.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out = out.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+            ids = [group * (1 << 32) + b for b in bins]
+            out = rows.select(_COLUMNS).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
             return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -187,22 +200,25 @@ def pack(cut: DataFrame, n_docs: int, length: int = LENGTH, group_docs: int = GR
                     continue
                 if held and g[lo] != group:
                     yield packed()
-                if g[lo] != group:
-                    group, first_free = int(g[lo]), 0
+                    held = []
+                group = int(g[lo])
                 held.append(batch.slice(lo, hi - lo))
-                if sum(x.num_rows for x in held) >= _RUN_PIECES:
-                    yield packed()
         if held:
             yield packed()
 
-    ordered = keyed.sortWithinPartitions("g", "h", "doc_id", "start").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "g")
     return ordered.mapInArrow(run, f"{_CUT}, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, length: int = LENGTH, n_docs: int | None = None) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most `length` ids."""
+    """Pieces of all documents with their places in sequences of at most `length` ids: one row for each piece, none for an empty table.
+
+    Null and empty texts are pieces of the closing id; a null doc_id stays null
+    and its rows are packed like any other; rows that repeat are packed as
+    often as they are there. Other columns of `docs` play no part.
+    """
     return pack(pieces(docs, length), docs.count() if n_docs is None else n_docs, length)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids; edge cases as in packed_documents."""
     return packed_documents(table(spark, sf_dir, "documents"))
