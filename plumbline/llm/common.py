@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{sc.applicationId}"
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tables-{sc.applicationId}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -53,14 +42,10 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def bounded_sample(df: DataFrame, key, rows: int, count: int | None = None) -> DataFrame:
-    """About `rows` rows of df at most, chosen by a hash of the key: the same ones on every run.
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """`rows` different rows of df at most, chosen by a hash of the whole row: the same ones on every run.
 
-    The share is set from the count, so that the number gathered stays bounded
-    however large df is.
+    Rows that repeat count once, and the bound is hard: every task keeps its
+    `rows` smallest hashes, and those of all tasks are cut again.
     """
-    total = df.count() if count is None else count
-    if total <= rows:
-        return df
-    cut = int(rows / total * 2**32)
-    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(2**32)) < cut)
+    return df.distinct().orderBy(F.xxhash64(*df.columns, F.lit(17)), *df.columns).limit(rows)

@@ -22,7 +22,7 @@ from plumbline.llm.common import bounded_sample, table
 from plumbline.session import ship
 
 BUCKETS = 1 << 18
-#: Labelled rows that the fit uses at most.
+#: Labelled documents that the fit uses at most.
 FIT_ROWS = 8_000
 #: Documents are kept if the probability of the top grade is at least this.
 KEEP_TAIL = 0.6
@@ -160,11 +160,16 @@ def grade(quality, toxic):
 
 
 def fit_grades(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CumulativeLink:
-    """Fit on a sample of at most about `rows` labelled documents, whose features are found on the executors."""
+    """Fit on a sample of `rows` labelled documents at most, whose features are found on the executors.
+
+    A doc_id with several grades counts once for each; of rows that share a
+    doc_id one is read, and texts with the same features count once. Labels
+    without a quality or a doc_id are passed over.
+    """
     ship(docs.sparkSession)
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where(
         "grade is not null and doc_id is not null")
-    chosen = bounded_sample(graded, F.col("doc_id"), rows)
+    chosen = bounded_sample(graded, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(lambda w: (_shape(w), _bucket(_plain(w))))
@@ -175,8 +180,9 @@ def fit_grades(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Cumu
                 ["grade", "cols", "vals"])
 
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(chosen), "doc_id")  # at most about `rows` rows of two numbers
-    got = rated.select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").toArrow()
+        F.broadcast(chosen), "doc_id")  # `rows` rows of two numbers at most
+    once = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = once.orderBy("doc_id", "grade").select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").toArrow()
     lists = lambda c: np.split(got.column(c).combine_chunks().flatten().to_numpy(), np.cumsum(got.column(c).combine_chunks().value_lengths().to_numpy())[:-1])
     if not got.num_rows:
         return CumulativeLink.fit(np.zeros(0, int), [], [])
@@ -198,7 +204,13 @@ def _weigher(weights: np.ndarray):
 
 
 def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float = KEEP_TAIL, least_grade: int = 2) -> DataFrame:
-    """The documents with expected_grade, tail_prob and keep; null texts are judged as empty ones."""
+    """doc_id, expected_grade, tail_prob and keep, one row for each row of docs.
+
+    Null texts are judged as empty ones, a null doc_id stays null, rows that
+    repeat and texts of the same words are judged alike, very long texts are one
+    list of words in memory, other columns play no part, and an empty table
+    gives no row. A tail probability equal to keep_tail is kept.
+    """
     ship(docs.sparkSession)
     weights, top = model.weights, least_grade
 
@@ -242,5 +254,6 @@ def kept_documents(docs: DataFrame, model: CumulativeLink, keep_tail: float = KE
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grades and verdicts of all documents; edge cases as in predicted_grades."""
     docs = table(spark, sf_dir, "documents")
     return predicted_grades(docs, fit_grades(docs, table(spark, sf_dir, "labels")))
