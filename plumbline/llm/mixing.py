@@ -4,8 +4,7 @@ A logistic classifier learned from the labelled table gives every document a
 posterior over domains. Document rates r >= 0 are then fitted so that the
 expected tokens of each domain, the sum of tokens * posterior * rate, match
 the targets in the least-squares sense: projected gradient steps, whose sums
-over all documents are computed by the cluster, in a metric that makes full
-steps safe.
+over all documents are computed by the cluster.
 """
 
 from __future__ import annotations
@@ -17,19 +16,24 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_sample, table, whole, written
+from plumbline.llm.common import bounded_sample, discard, table, whole, written
 
 #: Domains, as the labels (quality, toxic) name them, with the target share of the tokens.
 DOMAINS = ("sound", "toxic", "poor", "poor_toxic")
 TARGETS = {"sound": 0.94, "toxic": 0.02, "poor": 0.035, "poor_toxic": 0.005}
-#: Labelled rows for the classifier at most, about; and features that it keeps.
+#: Labelled rows for the classifier at most; and features that it keeps.
 FIT_ROWS = 20_000
 FEATURES = 192
 LEAST_Z = 6.0
 MAX_RATE = 4.0
-STEPS = 12
+#: Steps at most, those between two written tables of rates, and what ends the fit: a residual (share of all tokens), and a gain in the square of it.
+STEPS = 24
+ROUND = 4
 TOLERANCE = 1e-4
-RIDGE = 3e-4
+GAIN = 0.001
+#: Dampings of the metric and lengths of a step that are tried.
+DAMPINGS = (1e-6, 1e-4, 1e-2)
+LENGTHS = (1.0, 0.3, 0.1, 0.03)
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -79,16 +83,18 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
-    """Fit on a sample of at most about `rows` labelled documents; without labels all documents are in the first domain.
+    """Fit on a sample of `rows` labelled documents at most; without labels all documents are in the first domain.
 
     The cluster counts features by domain, keeps those that tell domains apart
     best (FEATURES at most), and fits a multinomial logistic regression to them.
     """
     rated = labels.select(F.col("doc_id").alias("_id"), domain(F.col("quality"), F.col("toxic")).alias("_dom")).where("_dom is not null and _id is not null")
-    chosen = bounded_sample(rated, F.col("_id"), rows)
+    chosen = bounded_sample(rated, rows)
     k = len(DOMAINS)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # about `rows` rows of two numbers
-    held = written(described(joined, ["_dom"]), "labelled-features")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # `rows` rows of two numbers at most
+    # of rows that share a doc_id one stays, so that the sample is bounded in texts too
+    once = joined.groupBy("doc_id", "_dom").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    held = written(described(once, ["_dom"]), "labelled-features")
     sizes = {r["_dom"]: r["count"] for r in held.groupBy("_dom").count().collect()}
     n = sum(sizes.values())
     if not n:
@@ -114,13 +120,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     return Classifier(base, {w: g for w, g in gain.items() if any(g)})
 
 
-def _rate(p: list[Column], steps: list[list[float]], most: float) -> Column:
-    """The rate after these gradient steps: each moves it along the posterior and projects it to [0, most]."""
-    r: Column = F.lit(1.0)
-    for v in steps:
-        move = sum((p[d] * v[d] for d in range(1, len(p))), p[0] * v[0])
-        r = F.least(F.greatest(r - move, F.lit(0.0)), F.lit(most))
-    return r
+def _array(v: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in v])
+
+
+def _along(v: Column) -> Column:
+    """The sum of p * v over the domains. Values stay in an array, so that the code compiled for one step serves all."""
+    return F.aggregate(F.zip_with("p", v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _moved(rate: Column, gradient: Column, move: Column, max_rate: float) -> Column:
+    """A rate after a step, projected to [0, max_rate]; one at a bound that the gradient presses against it stays."""
+    return F.when(_pressed(rate, gradient, max_rate), rate).otherwise(F.least(F.greatest(rate - _along(move), F.lit(0.0)), F.lit(max_rate)))
+
+
+def _pressed(rate: Column, gradient: Column, max_rate: float) -> Column:
+    slope = _along(gradient)
+    return ((rate <= 0) & (slope >= 0)) | ((rate >= max_rate) & (slope <= 0))
+
+
+def with_rates(members: DataFrame, steps: list[tuple[list[float], list[float]]], max_rate: float = MAX_RATE) -> DataFrame:
+    """`members` (p, rate) with the rate after these steps (gradient, move)."""
+    if not steps:
+        return members
+    each = F.array(*[F.struct(_array(g).alias("g"), _array(m).alias("m")) for g, m in steps])
+    return members.withColumn("rate", F.aggregate(each, F.col("rate"), lambda r, s: _moved(r, s["g"], s["m"], max_rate)))
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
@@ -136,85 +160,102 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], spare: float | None = None, max_rate: float = MAX_RATE) -> list[list[float]]:
-    """The gradient steps that fit rates of `members` (tokens, p) to the targets; a written table is best.
+def fit_rates(members: DataFrame, targets: dict[str, float], spare: float | None = None, max_rate: float = MAX_RATE) -> list[tuple[list[float], list[float]]]:
+    """The steps that fit rates of `members` (tokens, p) to the targets, from a rate of one; a written table is best.
 
     `targets` are shares of all tokens. With `spare` the first domain is to have
     `spare` times its own tokens, and each other domain its share beside that,
-    but no more than it has, so that what is scarce is not repeated. Gradients
-    are taken in the metric of token counts, and residuals in the inverse of the
-    Gram matrix of the documents that are free to move both ways, so that a
-    full step solves the problem as far as no bound is met. Each step takes one
-    sum over the documents; of all steps those up to the least residual are kept.
+    but no more than it has, so that what is scarce is not repeated.
+
+    Every step is a projected gradient step for half the squared residual of
+    the domains' tokens, in two metrics: rates that the gradient presses against
+    a bound stay, the others move along the gradient times the inverse Gram
+    matrix of their own posteriors. A few lengths and dampings are tried in one
+    sum over the documents and the best is taken, so the residual falls with
+    every step. It ends at the tolerance, where nothing improves by GAIN, or
+    after STEPS; each step takes two sums over the documents.
     """
     k = len(DOMAINS)
     p = [F.get("p", F.lit(d)) for d in range(k)]
     t = F.col("tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    now = [x or 0.0 for x in members.agg(*[F.sum(t * x) for x in p]).first()]
+    total = sum(now)
+    if total <= 0:
+        return []
     weight = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    steps: list[list[float]] = []
-    best, kept, goal, total = float("inf"), 0, [], 0.0
-    for _ in range(STEPS + 1):
-        r = _rate(p, steps, max_rate)
-        free = F.when((r > 0) & (r < max_rate), t).otherwise(0.0)
-        got = members.agg(*[F.sum(t * p[d] * r) for d in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
-        now = [x or 0.0 for x in got[:k]]
-        if not steps:
-            total = sum(now)
-            if total <= 0:
-                return []
-            goal = [w * total for w in weight]
-            if spare is not None:
-                goal = [spare * now[0], *[min(now[d], weight[d] * spare * now[0] / weight[0]) for d in range(1, k)]]
-        rest = [a - b for a, b in zip(now, goal)]
-        size = max(abs(x) for x in rest)
-        if size < best:
-            best, kept = size, len(steps)
-        if size <= TOLERANCE * total or len(steps) == STEPS:
-            break
+    goal = [w * total for w in weight]
+    if spare is not None:
+        goal = [spare * now[0], *[min(now[d], weight[d] * spare * now[0] / weight[0]) for d in range(1, k)]]
+    rest = [(a - b) / total for a, b in zip(now, goal)]
+    steps: list[tuple[list[float], list[float]]] = []
+    rated, since = members.select("tokens", "p", F.lit(1.0).alias("rate")), 0
+    tables: list[DataFrame] = []
+    while max(map(abs, rest)) > TOLERANCE and len(steps) < STEPS:
+        here, gradient = with_rates(rated, steps[since:], max_rate), _array(rest)
+        free = here.where(~_pressed(F.col("rate"), gradient, max_rate))
         gram = [[0.0] * k for _ in range(k)]
-        for (i, j), x in zip(pairs, got[k:]):
-            gram[i][j] = gram[j][i] = (x or 0.0) + (i == j) * RIDGE * total
-        metric = _inverse(gram)
-        steps.append([sum(metric[i][j] * rest[j] for j in range(k)) for i in range(k)])
-    return steps[:kept]
+        for (i, j), x in zip(pairs, free.agg(*[F.sum(t * p[i] * p[j]) for i, j in pairs]).first()):
+            gram[i][j] = gram[j][i] = (x or 0.0) / total
+        moves = []
+        for damping in DAMPINGS:
+            metric = _inverse([[x + (i == j) * damping for j, x in enumerate(row)] for i, row in enumerate(gram)])
+            direction = [sum(metric[i][j] * rest[j] for j in range(k)) for i in range(k)]
+            moves += [[size * x for x in direction] for size in LENGTHS]
+        tried = F.transform(F.array(*map(_array, moves)), lambda m: _moved(F.col("rate"), gradient, m, max_rate))
+        sums = here.select("tokens", "p", F.posexplode(tried).alias("i", "r")).groupBy("i").agg(*[F.sum(t * x * F.col("r")).alias(f"s{d}") for d, x in enumerate(p)]).collect()
+        after = {row["i"]: [(row[f"s{d}"] - goal[d]) / total for d in range(k)] for row in sums}
+        squares = {i: sum(x * x for x in e) for i, e in after.items()}
+        best = min(sorted(squares), key=squares.__getitem__)
+        if squares[best] >= (1 - GAIN) * sum(x * x for x in rest):
+            break
+        steps.append((rest, moves[best]))
+        rest = after[best]
+        if len(steps) - since == ROUND:
+            rated, since = written(with_rates(rated, steps[since:], max_rate), "rates"), len(steps)
+            tables.append(rated)
+    for done in tables:
+        discard(done)
+    return steps
 
 
 def _members(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
-    """`keep`, tokens and posteriors p of every document."""
-    return described(docs, keep).select(*keep, "tokens", model.posteriors(F.col("feats")).alias("p"))
-
-
-def _fitted(steps: list[list[float]]) -> Column:
-    return _rate([F.get("p", F.lit(d)) for d in range(len(DOMAINS))], steps, MAX_RATE)
+    """`keep`, tokens, posteriors p and a rate of one for every document."""
+    return described(docs, keep).select(*keep, "tokens", model.posteriors(F.col("feats")).alias("p"), F.lit(1.0).alias("rate"))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, spare: float | None = None) -> DataFrame:
-    """doc_id, tokens, the posterior of each domain and rate: one row for each document.
+    """doc_id, tokens, the posterior of each domain and rate: one row for each row of docs.
 
     A rate says how often a document is to be read in a pass over the mixture,
-    on average. Documents without words have the rate of their posterior and
-    add nothing to the sums.
+    on average. Documents without words (null or empty texts) have the rate of
+    their posterior and add nothing to the sums. A null doc_id stays null and has
+    no label; rows that repeat have the same rate; of a doc_id with several
+    labels each kind counts once; very long texts are one array of distinct words
+    in memory; other columns play no part. Without documents there are no rows,
+    without labels all documents are in the first domain.
     """
     members = written(_members(docs, fit(docs, labels), ["doc_id"]), "memberships")
-    rated = members.withColumn("rate", _fitted(fit_rates(members, targets or TARGETS, spare)))
+    rated = with_rates(members, fit_rates(members, targets or TARGETS, spare))
     return rated.select("doc_id", "tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
 
 
 def mixed_documents(docs: DataFrame, model: Classifier, targets: dict[str, float], spare: float) -> DataFrame:
     """The documents, each as often as its rate says: whole times, and once more with the chance of the rest.
 
-    The chance is a hash of the document, so that a second run mixes the same.
-    Only token counts and posteriors are written for the fit; the documents are
-    read again for the result, and their posteriors with them.
+    The chance is a hash of the document, so that a second run mixes the same;
+    rows that repeat as a whole share it. The documents are written with their
+    token counts and posteriors, so that texts are scored once; the fit reads
+    the two columns only.
     """
-    steps = fit_rates(written(_members(docs, model, []), "memberships"), targets, spare)
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")  # names of other columns can't clash
-    rated = _members(rows, model, ["_doc"]).withColumn("rate", _fitted(steps))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")  # names of other columns can't clash
+    members = written(_members(rows, model, ["_doc"]), "memberships")
+    rated = with_rates(members, fit_rates(members, targets, spare))
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("rate") + chance).cast("int")
     return rated.withColumn("_times", times).where("_times >= 1").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select("_doc.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for TARGETS; edge cases as in mixing_rates."""
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
