@@ -119,36 +119,44 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b), by repeated contraction.
-
-    Each round hooks a node to its smallest neighbour, jumps once, and rewrites
-    the edges between the hooks; a round's tables lie in the shared folder. Only
-    sums by key and joins with a table that has one row for each key are used,
-    so that a node with very many links is spread over tasks.
+    """(node, root) for every node of edges (a, b), root being the smallest node reachable.
+
+    Alternating large and small stars: a node's larger neighbours are tied to
+    its smallest one, then its smaller neighbours are, until only stars are
+    left. Chains halve in every round, so the rounds grow with the logarithm of
+    the longest one. A round's tables lie in the shared folder. Only sums by
+    key and joins with a written table of one row for each key are used, so
+    that a node with very many links can be spread over tasks.
     """
-    edges = written(edges.select("a", "b"), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        hook = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).withColumnRenamed("a", "node"), "hooks")
-        up = hook.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        jump = written(hook.join(up, "p").select("node", F.col("pp").alias("root")), "jumps")
-        if labels is None:
-            new_labels = jump
+    def starred(links: DataFrame, both_ways: bool) -> DataFrame:
+        """Ends above the node (both_ways), or the node and its smaller ends, tied to the smallest."""
+        ends = links.union(links.select("b", "a")) if both_ways else links
+        least = written(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+        tied = ends.where("b > a" if both_ways else "true").join(least, "a")
+        if both_ways:
+            new = tied.select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            new_labels = written(
-                labels.join(jump.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-                .select("node", F.coalesce("to", "root").alias("root")), "labels")
-        new_edges = written(
-            edges.join(jump.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-            .join(jump.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-            .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        for old in (edges, hook, *([jump, labels] if labels is not None else [])):
-            discard(old)
-        edges, labels = new_edges, new_labels
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+            new = tied.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b")
+        out = written(new.distinct(), "stars")
+        discard(least)
+        return out
+
+    def state(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
+
+    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = state(links)
+    while before[0]:
+        large = starred(links, True)
+        small = starred(large, False)
+        discard(links)
+        discard(large)
+        links, after = small, state(small)
+        if after == before:
+            break
+        before = after
+    stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,6 +176,9 @@ def near_duplicates(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text
     classes = written(
         linked.join(least, "root").select("fp", "component_id")
         .unionByName(tied.where("root is null and n > 1").select("fp", F.col("first").alias("component_id"))), "classes")
+    discard(linked)
+    discard(least)
+    discard(groups)
     return hashed.join(classes, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
