@@ -20,7 +20,7 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: Share of good documents that one rule may reject in a stratum, and the chance that any rule exceeds its share.
+#: Share of good documents that one rule may reject in a stratum (all five together: five times that), and the chance that any rule exceeds its share.
 RISK = 0.01
 LEVEL = 0.05
 #: Cutoffs of each rule from the loosest to the strictest; a document fails above the cutoff.
@@ -47,35 +47,44 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """How many words lie in windows of eight that the text has twice or more.
 
-    Windows are compared by a 64-bit hash. Almost all texts end at the test
-    whether any window repeats; for the others, repeated windows are found next
-    to each other in sorted order, and each adds the words that the one before
-    it doesn't cover.
+    Almost all texts end at the test whether any hash of a window repeats. For
+    the others, windows with equal hashes are found next to each other in sorted
+    order; their words, sorted alike, tell which are really equal, and each of
+    these adds the words that the one before it doesn't cover.
     """
-    def count(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-
+    def repeated(keyed: Column) -> Column:
+        """Places, in order, whose key another place has; keyed: array of (key, place)."""
         def places(s: Column) -> Column:
-            same = lambda e, k: F.coalesce(F.get(s, k)["h"] == e["h"], F.lit(False))
+            same = lambda e, k: F.coalesce(F.get(s, k)["key"] == e["key"], F.lit(False))
             return F.array_sort(F.filter(F.transform(s, lambda e, k: F.when(same(e, k - 1) | same(e, k + 1), e["i"])), lambda i: i.isNotNull()))
 
-        covered = F.aggregate(
-            let(pairs, places), F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
+        return let(F.array_sort(keyed), places)
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            at, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
             lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered)
+
+    def count(v: Column, h: Column) -> Column:
+        alike = repeated(F.transform(h, lambda x, i: F.struct(x.alias("key"), i.alias("i"))))
+        equal = repeated(F.transform(alike, lambda i: F.struct(F.slice(v, i + 1, WINDOW).alias("key"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(equal))
 
     hashes = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(v, i, WINDOW)))
-    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(w, lambda v: let(hashes(v), count))).cast("long")
+    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(w, lambda v: let(hashes(v), lambda h: count(v, h)))).cast("long")
 
 
 def statistics(docs: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, counts and rates): one row for each document; null texts have no words, null strata are `und`."""
+    """(doc_id, stratum, text_id, counts): one row for each document; null texts have no words, null strata are `und`.
+
+    `text_id` is a hash of the text, by which copies are known.
+    """
     text = whole()
     w, lines = F.col("_w"), F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")).alias("stratum"), text.alias("_t"))
     rows = rows.select("doc_id", "stratum", "_t", words(F.col("_t")).alias("_w"), let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_l"))
     return rows.select(
-        "doc_id", "stratum", F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        "doc_id", "stratum", F.xxhash64("_t").alias("text_id"), F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(F.col("_t"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.col("_l.n") - F.col("_l.d")).cast("long").alias("n_dup_lines"), F.col("_l.n").cast("long").alias("n_lines"),
         repeated_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
@@ -110,10 +119,13 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(stratum, one column for each rule): the chosen cutoffs; null where no cutoff is shown to be safe.
 
-    A document counts as good if all its labels say quality 1.
+    A document counts as good if all its labels say quality 1. Documents with
+    the same text are one trial of a stratum, since the binomial bound holds for
+    independent ones. `risk` bounds each rule: documents rejected by any of the
+    rules are len(CUTOFFS) * risk of the good ones at most.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = stats.join(good, "doc_id", "left_semi")
+    held = stats.join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "text_id"])
     # for each rule: how many of its cutoffs the document stays at or under
     passed = [F.struct(F.lit(r).alias("rule"), sum((F.when(x <= c, 1).otherwise(0) for c in CUTOFFS[r]), F.lit(0)).alias("passes")) for r, x in _rates().items()]
     counted = held.select("stratum", F.explode(F.array(*passed)).alias("p")).groupBy("stratum", "p.rule", "p.passes").count()
@@ -135,6 +147,10 @@ def judged_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, lev
     """Statistics, base_failed and kept of every document.
 
     Where labels show no cutoff to be safe (few labels, or none), only the base rules reject.
+    One row for each row of docs: null and empty texts have no words and fail the
+    base rules, a null doc_id stays null and has no label, rows that repeat are
+    judged alike, a very long text is one array of words in memory, and other
+    columns play no part. An empty table gives no row.
     """
     stats = written(statistics(docs, stratum_col), "rule-statistics")
     names = {r: f"cutoff_{r}" for r in CUTOFFS}
@@ -151,4 +167,5 @@ def judged_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, lev
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; edge cases as in judged_documents."""
     return judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
