@@ -28,7 +28,6 @@ ORDERS = (2, 3, 4)
 FIT_ROWS_A_LANGUAGE = 2_500
 #: An n-gram belongs to a language if it is in this share of its training texts, and in two of them at least.
 LEAST_SHARE = 0.01
-_MAX_LANGUAGES = 64
 _TOGETHER = 400_000
 UNKNOWN = "und"
 #: Odd multipliers (any will do).
@@ -74,14 +73,14 @@ def _slots(grams: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """languages in order; slots[i] has bit L set if bit i of language L's filter is."""
+    """languages in order; slots[i, L // 64] has bit L % 64 set if bit i of language L's filter is."""
 
     languages: list[str]
     slots: np.ndarray
 
     def false_rates(self) -> np.ndarray:
         """How often each filter says yes to an n-gram that it doesn't hold."""
-        fill = [float(((self.slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(self.languages))]
+        fill = [float(((self.slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(self.languages))]
         return np.array(fill) ** HASHES
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -142,7 +141,7 @@ class Filters:
                 masks[~real] = 0
                 np.add.at(total, of, np.add.reduceat(real.astype(np.int32), starts))
                 for i in range(len(self.languages)):
-                    np.add.at(hits[:, i], of, np.add.reduceat(((masks >> np.uint64(i)) & np.uint64(1)).astype(np.int32), starts))
+                    np.add.at(hits[:, i], of, np.add.reduceat(((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int32), starts))
         return lettered, hits, total
 
 
@@ -150,16 +149,15 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     """Learn filters from `text` and `lang` of the rows of docs; rows without either are passed over.
 
     About `rows` rows of each language are used, chosen by a hash of the row, so
-    that the fit costs the same at any size, also where many texts are copies.
-    At most 64 languages.
+    that the fit costs the same at any size, also where many texts are copies;
+    rows that repeat as a whole are used together or not at all. A slot has one
+    64-bit word for every 64 languages: 4 MB for so many.
     """
     ship(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(_MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > _MAX_LANGUAGES:
-        raise ValueError(f"more than {_MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
     languages = sorted(sizes)
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
+    slots = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), np.uint64)
     if not languages:
         return Filters([], slots)
     cut = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(1.0, rows / sizes[name]) * 2**31))])
@@ -183,14 +181,21 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     least = F.create_map(*[F.lit(x) for name in languages for x in (place[name], float(max(2, LEAST_SHARE * used.get(name, 0))))])
     # at most (n-grams of a text) / LEAST_SHARE rows of each language pass
     common = counted.where(F.col("n") >= least[F.col("l")]).select("l", "gram").toArrow()
-    grams, bits = common.column("gram").to_numpy().view(np.uint64), np.uint64(1) << common.column("l").to_numpy().astype(np.uint64)
+    grams, which = common.column("gram").to_numpy().view(np.uint64), common.column("l").to_numpy()
     for k in range(HASHES):
-        np.bitwise_or.at(slots, _slots(grams, k), bits)
+        np.bitwise_or.at(slots, (_slots(grams, k), which // 64), np.uint64(1) << (which % 64).astype(np.uint64))
     return Filters(languages, slots)
 
 
 def predicted_languages(docs: DataFrame, filters: Filters) -> DataFrame:
-    """(doc_id, lang_pred, score); `und` and 0 for a text that is null or has no letter."""
+    """(doc_id, lang_pred, score), one row for each row of docs; `und` and 0 for a text that is null or has no letter.
+
+    Of languages with equal counts the first by name is taken, with score 0.5
+    where two tie; a text none of whose n-grams is known gets the first language
+    and one over the number of languages. A null doc_id stays null, rows that
+    repeat are judged alike, very long texts are read in pieces, other columns
+    play no part. Filters without languages say `und`.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +213,7 @@ def held_out(doc_id):
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside the held-out fold; edge cases as in predicted_languages."""
     docs = table(spark, sf_dir, "documents")
     filters = fit_filters(docs.where(~held_out(F.col("doc_id"))))
     return predicted_languages(docs, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
