@@ -383,6 +383,8 @@ def parse(data: bytes) -> Image:
             tables = tuple((huffman.get(x >> 4, b""), huffman.get(16 | x & 15, b"")) for x in names)
             image.scans.append(Scan(comps, (ss, se), (bits >> 4, bits & 15), tables, restart, at, end))
             at = end
+    else:
+        raise ValueError("the file is cut off")
     image.quant = [quant[q] for q in chosen]
     return image
 
@@ -621,50 +623,84 @@ def decode_rgb(data: bytes) -> np.ndarray:
     return to_rgb(*planes) if len(planes) == 3 else np.repeat(planes[0][..., None], 3, 2)
 
 
-def read_payloads(files: list[bytes]) -> list[tuple[bytes, str]]:
-    """Payloads of files by encode_payloads(), from their coefficients, and a feature of their RGB tensors.
-
-    The feature is width x height, the sums of the channels, and a checksum of
-    the full-resolution tensor, an MCU at a time.
-    """
-    images = [parse(f) for f in files]
-    if len({_key(i) for i in images}) != 1:
-        raise ValueError("files differ in their scans")
+def _decoded_alike(images: list[Image]) -> list[tuple[bytes | None, np.ndarray]]:
+    """(payload, RGB tensor) of files by encode_payloads() that share their scans; all MCUs are turned into pixels together."""
     y, cb, cr = coefficients(images)
     q = images[0].quant
-    planes = [samples(c, quant) for c, quant in zip((y, cb, cr), q)]
-    out, y_at, c_at = [], 0, 0
-    for image in images:
-        (wide, high), (cw, ch) = image.stored(0), image.stored(1)
-        n = cw * ch
-        order = _luma_places(cw, ch)
-        blocks = np.empty((n, 6, UNIT), np.int16)
-        blocks[:, :4] = y[y_at + order].reshape(n, 4, UNIT)
-        blocks[:, 4], blocks[:, 5] = cb[c_at : c_at + n], cr[c_at : c_at + n]
+    shapes = [(i.stored(0), i.stored(1)) for i in images]
+    counts = np.array([w * h for _, (w, h) in shapes])
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    order = np.concatenate([_luma_places(*small) + 4 * s for (_, small), s in zip(shapes, starts)])
+    n = int(ends[-1])
+    blocks = np.empty((n, 6, UNIT), np.int16)
+    blocks[:, :4] = y[order].reshape(n, 4, UNIT)
+    blocks[:, 4], blocks[:, 5] = cb, cr
+    pixels = np.empty((n, 16, 16, 3), np.uint8)
+    for lo in range(0, n, 1024):
+        part = blocks[lo : lo + 1024]
+        luma = samples(part[:, :4].reshape(-1, UNIT), q[0]).reshape(-1, 2, 2, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 16, 16)
+        pixels[lo : lo + 1024] = to_rgb(luma, *[samples(part[:, 3 + c], q[c]).repeat(2, 1).repeat(2, 2) for c in (1, 2)])
+    out = []
+    for image, (_, (cw, ch)), lo, hi in zip(images, shapes, starts, ends):
         size = int(image.comment.split(b"=")[1])
-        payload = (blocks.reshape(-1)[:size] + 128).astype(np.uint8).tobytes()
-        crc, sums = 0, np.zeros(3, np.int64)
-        for lo in range(0, n, 2048):
-            hi = min(n, lo + 2048)
-            luma = planes[0][y_at + order[4 * lo : 4 * hi]].reshape(-1, 2, 2, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 16, 16)
-            rgb = to_rgb(luma, *[p[c_at + lo : c_at + hi].repeat(2, 1).repeat(2, 2) for p in planes[1:]])
-            crc = zlib.crc32(rgb, crc)
-            sums += rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-        out.append((payload, f"{image.width}x{image.height}:{sums[0]}:{sums[1]}:{sums[2]}:{crc:08x}"))
-        y_at, c_at = y_at + wide * high, c_at + n
+        payload = (blocks[lo:hi].reshape(-1)[:size] + 128).astype(np.uint8).tobytes()
+        out.append((payload, pixels[lo:hi].reshape(ch, cw, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(16 * ch, 16 * cw, 3)[: image.height, : image.width]))
     return out
 
 
+def decoded(files: list[bytes | None]) -> list[tuple[bytes | None, np.ndarray | None, str | None]]:
+    """(payload, RGB tensor, error) of each file; a payload only of files by encode_payloads(), an error where there is no tensor."""
+    out: list = [(None, None, "no file")] * len(files)
+    alike: dict[tuple, list[tuple[int, Image]]] = {}
+    for i, f in enumerate(files):
+        if f is None:
+            continue
+        try:
+            image = parse(f)
+            if image.comment.startswith(b"bytes="):
+                alike.setdefault(_key(image), []).append((i, image))
+            else:
+                out[i] = (None, decode_rgb(f), None)
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            out[i] = (None, None, f"{type(e).__name__}: {e}")
+    for group in alike.values():
+        try:
+            for (i, _), (payload, rgb) in zip(group, _decoded_alike([image for _, image in group]), strict=True):
+                out[i] = (payload, rgb, None)
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            if len(group) == 1:
+                out[group[0][0]] = (None, None, f"{type(e).__name__}: {e}")
+            else:  # one of them is broken: each by itself
+                for i, _ in group:
+                    out[i] = decoded([files[i]])[0]
+    return out
+
+
+def tensor_feature(rgb: np.ndarray) -> str:
+    """Width x height, the sums of the channels, and a checksum of the tensor."""
+    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+    return f"{rgb.shape[1]}x{rgb.shape[0]}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(np.ascontiguousarray(rgb)):08x}"
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """A text's bytes (null: none) with zeros up to a positive multiple of 64; and their number without these."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     return len(raw), raw + bytes(-len(raw) % UNIT if raw else UNIT)
 
 
-_FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+_TENSORS = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, error string"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 _TOGETHER = 1 << 20
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _ARROW[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's payload as a progressive JPEG."""
     ship(docs.sparkSession)
@@ -691,23 +727,49 @@ def _cuts(sizes: list[int]) -> list[tuple[int, int]]:
     return [*out, (lo, len(sizes))] if sizes else out
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes of media_column() give when read back."""
+def rgb_tensors(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) with payload, height, width and rgb: the tensor of each file, (height, width, 3) bytes in rows.
+
+    The payload is null for files by others. A null file, one that isn't a
+    progressive JPEG of Huffman codes, and a broken one have nulls and an error.
+    """
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, files = (batch.column(i).to_pylist() for i in range(3))
+            for lo, hi in _cuts([len(f or b"") for f in files]):
+                rows = []
+                for i, n, f, (payload, rgb, error) in zip(ids[lo:hi], sizes[lo:hi], files[lo:hi], decoded(files[lo:hi])):
+                    high, wide = (None, None) if rgb is None else rgb.shape[:2]
+                    rows.append((i, n, f, payload, high, wide, None if rgb is None else rgb.tobytes(), error))
+                yield _batch(rows, _TENSORS)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _TENSORS)
+
+
+def media_digests(tensors: DataFrame) -> DataFrame:
+    """Digests of the payloads, files and tensors of rgb_tensors(): one row for each; nulls where there is no payload or tensor."""
+    ship(tensors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for lo, hi in _cuts([len(f) for f in files]):
-                for i, f, n, (payload, feature) in zip(ids[lo:hi], files[lo:hi], sizes[lo:hi], read_payloads(files[lo:hi])):
-                    rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature))
-            names = [x.split()[0] for x in _FIELDS.split(", ")]
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _FIELDS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+            for k in range(batch.num_rows):
+                i, n, f, payload, high, wide, rgb, error = (batch.column(c)[k].as_py() for c in range(8))
+                own = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                file = (None, None) if f is None else (len(f), hashlib.sha256(f).hexdigest())
+                rows.append((i, n, *own, *file, None if rgb is None else tensor_feature(np.frombuffer(rgb, np.uint8).reshape(high, wide, 3)), error))
+            yield _batch(rows, _FIELDS)
 
-    return media.mapInArrow(run, _FIELDS)
+    return tensors.mapInArrow(run, _FIELDS)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(media_column(table(spark, sf_dir, "documents")))
+    """Each document's text as a progressive JPEG, decoded to a tensor column, and the digests of all three.
+
+    Null and empty texts are 64 zero bytes; a null doc_id stays null; rows that
+    repeat give equal rows; a very long text is one image of many rows of MCUs;
+    other columns play no part; an empty table gives no row.
+    """
+    return media_digests(rgb_tensors(media_column(table(spark, sf_dir, "documents"))))
