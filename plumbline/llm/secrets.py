@@ -6,6 +6,7 @@ found with many owners or in many repositories is a widely copied example; any
 other is owner-specific and, if it looks like a secret, taken for a live
 credential. Unassigned values look so if they are long, with letters and digits;
 assigned ones at any counted length, if they have both or stand in quotes.
+Placeholders and values of very few different characters never do.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ MAX_OWNERS = 2
 MAX_REPOS = 10
 #: For unassigned values; what is assigned to a name such as `password` may be shorter.
 LEAST_LIVE_LENGTH = 16
+#: Values that say themselves that they stand for something else, or of fewer different characters than this, are never live.
+PLACEHOLDER = r"(?i)example|placeholder|change_?me|your[_-]|redacted"
+LEAST_DISTINCT = 5
 #: An assigned value in quotes, which is a literal and no name or expression.
 _QUOTED = r"""[:=]\x20*["'][A-Za-z0-9+/_.=-]+$"""
 MASK = "[redacted]"
@@ -64,9 +68,10 @@ def candidates(scan: DataFrame) -> DataFrame:
     size, value = F.length("m.hit"), F.col("m.value")
     placed = each.withColumn("end", F.sum(F.col("m.gap") + size).over(order)).withColumn("start", F.col("end") - size)
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    filled = value.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(value, ""))) < LEAST_DISTINCT)
     random = F.when(F.col("kind") == 0, mixed | F.col("m.hit").rlike(_QUOTED)).otherwise(mixed & (F.length(value) >= LEAST_LIVE_LENGTH))
     return placed.where((F.col("kind") != 0) | (F.length(value) >= LEAST_ASSIGNED)).select(
-        "_row", "_repo", "_owner", "kind", "start", "end", F.sha2(value, 256).alias("hash"), random.alias("random"))
+        "_row", "_repo", "_owner", "kind", "start", "end", F.sha2(value, 256).alias("hash"), (random & ~filled).alias("random"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -87,7 +92,11 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
 
     Spans of the base kinds stay whatever their ownership; credentials of the
     kind `token` are added where they are owner-specific and touch no base span.
-    A null text has none; a null owner counts as one owner.
+    One row for each row of docs: a null text has none; a null owner counts as
+    one owner, a null repository as none; a null doc_id stays null; rows that
+    repeat are scanned each and count their repository once; spans with the same
+    start are in the order of their kinds; very long texts are scanned whole;
+    other columns play no part. An empty table gives no row.
     """
     scan = scanned(docs, repo_col, owner_col)
     found = written(candidates(scan), "candidates")
@@ -135,4 +144,5 @@ def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: s
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents; edge cases as in secret_spans."""
     return secret_spans(table(spark, sf_dir, "documents"))
