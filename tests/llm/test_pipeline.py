@@ -64,12 +64,18 @@ def test_packed_sequences(stages):
 
 def test_odd_documents_pass_through(spark, data):
     docs = odd_documents(spark)
-    for name, stage in P.STAGES[1:4]:
+    for name, stage in P.STAGES[:4]:
         assert stage(spark, docs, data).columns == docs.columns
     assert P.STAGES[4][1](spark, docs, data).count() >= docs.count()
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_run_on_empty_tables(spark, data, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, data):
     assert P.run(spark, data).count() > 0
     assert P.ORACLE_SQL is None
