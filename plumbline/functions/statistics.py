@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import written
+
 Z = 1.96
 CALIBRATION_EDGES = (0.0, 0.5, 0.7, 0.85, 0.95, 1.01)
 
@@ -41,7 +43,7 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     partitions of the values, so that no task sees the whole table.
     """
     values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    parts = values.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    parts = written(values.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranges")  # both readers see the same ranges
     sizes = parts.groupBy("_p").agg(F.sum("_c").alias("_s"))
     before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
     inner = F.sum("_c").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))

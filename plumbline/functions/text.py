@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 # Stop lists, patterns and limits that results depend on.
 RETRIEVAL_STOP = (
@@ -181,12 +182,15 @@ def answer_parts(reply: Column) -> Column:
 
 
 def recovered_json(reply: Column, schema: str) -> Column:
-    """An array parsed from a model's reply: as it is, without code fences, from the first [ to the last ], or cut after the last }."""
+    """An array parsed from a model's reply: as it is, without code fences, from the first [ to the last ], with open brackets closed, or cut after the last }."""
     bare = F.regexp_replace(reply, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     widest = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
     cut = F.concat(F.regexp_extract(bare, r"(?s)(\[.*\})", 1), F.lit("]"))
+    inner = F.coalesce(F.nullif(widest, F.lit("")), bare)
+    lacking = lambda o, c: F.greatest(F.lit(0), F.regexp_count(inner, F.lit(o)) - F.regexp_count(inner, F.lit(c)))
+    balanced = F.concat(inner, F.repeat(F.lit("}"), lacking(r"\{", r"\}")), F.repeat(F.lit("]"), lacking(r"\[", r"\]")))
     tries = []
-    for text in (reply, bare, widest, cut):
+    for text in (reply, bare, widest, balanced, cut):
         parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
         tries.append(F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$") & (F.size(F.filter(parsed, lambda x: x.isNotNull())) > 0), parsed))
     return F.coalesce(*tries)
@@ -198,6 +202,25 @@ def page_number(source: Column, label: Column, number: Column) -> Column:
                     F.when(source.isNotNull(), "source").when(label.isNotNull(), "page_label").when(number.isNotNull(), "page_number").otherwise("unknown").alias("key"))
 
 
+def template_values(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Columns as a template's values: fractions with three places, the number of an array's items under <name>_count, all else as text."""
+    out = {}
+    for name in columns:
+        kind, c = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, (DoubleType, FloatType)):
+            out[name] = F.when(c.isNotNull(), F.format_string("%.3f", c.cast("double")))
+        elif isinstance(kind, ArrayType):
+            out[f"{name}_count"] = F.when(c.isNotNull(), F.size(c).cast("string"))
+        else:
+            out[name] = c.cast("string")
+    return out
+
+
+def first_present(*columns: Column) -> Column:
+    """The first value that isn't null."""
+    return F.coalesce(*columns)
+
+
 def interpolated(template: Column, values: dict[str, Column]) -> Column:
     """{name} placeholders filled in; N/A where a value is null."""
     out = template

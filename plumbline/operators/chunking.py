@@ -30,32 +30,61 @@ def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keep: tup
     return cut.select(*keep, "chunk_index", "start", F.size(F.slice("_w", F.col("start") + 1, size)).alias("n_words"), F.array_join(F.slice("_w", F.col("start") + 1, size), " ").alias("text"))
 
 
-def sentence_windows(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Whole sentences packed up to `size` words; a longer sentence stands alone."""
+def sentence_windows(docs: DataFrame, size: int = SIZE, overlap: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Whole sentences up to `size` words: keep, chunk_index, first_part, n_parts, text; a longer sentence stands alone.
+
+    A chunk begins with the last sentences of the one before that have `overlap`
+    words at most and leave room for the next sentence.
+    """
     from plumbline.functions.text import simple_sentences
 
-    parts = docs.select(*keep, F.posexplode(simple_sentences(F.col("text"))).alias("number", "text"))
-    return packed(parts, list(keep), "number", "text", size, F.size(words(F.col("text"))), " ")
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be below size")
+    lists = docs.select(*keep, F.transform(simple_sentences(F.col("text")), lambda t, i: F.struct(i.cast("bigint").alias("o"), F.size(words(t)).alias("s"), t.alias("t"))).alias("l"))
+    sized = lists.select(*keep, "l", F.transform("l", lambda x: x["s"]).alias("s"))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("used"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        s, i = x["s"], x["i"]
+        # of the chunk's sentences, from its last backwards: how many fit the overlap, and how many words they have
+        tail = F.aggregate(
+            F.reverse(F.slice("s", F.greatest(a["first"], i - overlap) + 1, i - F.greatest(a["first"], i - overlap))),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"), F.lit(True).alias("open")),
+            lambda c, w: F.when(c["open"] & (c["w"] + w <= F.least(F.lit(overlap), size - s)) & (a["first"] + c["n"] + 1 < i), F.struct((c["n"] + 1).alias("n"), (c["w"] + w).alias("w"), F.lit(True).alias("open")))
+            .otherwise(F.struct(c["n"].alias("n"), c["w"].alias("w"), F.lit(False).alias("open"))))
+        closed = F.get(F.transform(F.array(tail), lambda t: F.struct((i - t["n"]).alias("first"), (t["w"] + s).alias("used"), F.concat(a["out"], F.array(F.struct(a["first"].alias("a"), i.alias("b")))).alias("out"))), F.lit(0))
+        return F.when((a["used"] > 0) & (a["used"] + s > size), closed).otherwise(F.struct(a["first"].alias("first"), (a["used"] + s).alias("used"), a["out"].alias("out")))
+
+    each = F.transform("s", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    spans = F.aggregate(each, start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["first"].alias("a"), F.size("s").alias("b")))))
+    rows = sized.where(F.size("s") > 0).select(*keep, "l", spans.alias("spans"))
+    return _cut(rows, list(keep), F.transform("spans", lambda x: F.struct(x["a"].alias("a"), (x["b"] - x["a"]).alias("n"))), " ")
+
+
+def _cut(rows: DataFrame, keys: list[str], spans: Column, joint: str) -> DataFrame:
+    """keys, chunk_index, first_part, n_parts, text of spans (a, n) of the list l of parts (o, t)."""
+    chunk = lambda x: F.struct(F.get("l", x["a"])["o"].alias("first_part"), x["n"].cast("bigint").alias("n_parts"), F.array_join(F.transform(F.slice("l", x["a"] + 1, x["n"]), lambda p: p["t"]), joint).alias("text"))
+    return rows.select(*keys, F.posexplode(F.transform(spans, chunk)).alias("chunk_index", "x")).select(*keys, "chunk_index", "x.*")
 
 
 def packed(parts: DataFrame, keys: list[str], order: str, text: str, budget: int, size: Column | None = None, joint: str = "\n\n") -> DataFrame:
     """Greedy packing in order: a group ends where the next part would exceed the budget; parts are never split.
 
     The fold runs inside each key's list of parts (a document's), with
-    higher-order functions; parts of one document are held together.
+    higher-order functions, and notes where groups begin; parts of one document
+    are held together.
     """
     size = F.length(text) if size is None else size
-    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("int").alias("s"), F.col(text).alias("t")))).alias("l"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("used"), F.array().cast("array<struct<g:int,o:bigint,t:string>>").alias("out"))
+    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), size.cast("int").alias("s"), F.col(text).alias("t")))).alias("l"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        new = (a["g"] < 0) | ((a["used"] > 0) & (a["used"] + x["s"] > budget))
-        g = F.when(new, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(new, x["s"]).otherwise(a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(F.struct(g.alias("g"), x["o"].cast("bigint").alias("o"), x["t"].alias("t")))).alias("out"))
+        new = (F.size(a["out"]) == 0) | ((a["used"] > 0) & (a["used"] + x["s"] > budget))
+        return F.when(new, F.struct(x["s"].alias("used"), F.concat(a["out"], F.array(x["i"])).alias("out"))).otherwise(F.struct((a["used"] + x["s"]).alias("used"), a["out"].alias("out")))
 
-    rows = lists.select(*keys, F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("x")).select(*keys, "x.*")
-    return rows.groupBy(*keys, F.col("g").alias("chunk_index")).agg(
-        F.min("o").alias("first_part"), F.count(F.lit(1)).alias("n_parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda y: y["t"]), joint).alias("text"))
+    each = F.transform("l", lambda x, i: F.struct(x["s"].alias("s"), i.alias("i")))
+    rows = lists.select(*keys, "l", F.aggregate(each, start, step, lambda a: a["out"]).alias("begins"))
+    return _cut(rows, keys, F.transform("begins", lambda b, i: F.struct(b.alias("a"), (F.coalesce(F.get("begins", i + 1), F.size("l")) - b).alias("n"))), joint)
 
 
 def hierarchical(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -66,8 +95,17 @@ def hierarchical(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return windows(out, sizes[2], 0, ("doc_id", "level1", "level2")).select("doc_id", "level1", "level2", F.col("chunk_index").alias("level3"), "n_words", "text")
 
 
+def buffered(sentences: DataFrame, buffer: int = 1) -> DataFrame:
+    """doc_id, number, text with each sentence's neighbours within `buffer` beside it: what is to be embedded for semantic()."""
+    w = Window.partitionBy("doc_id").orderBy("number").rowsBetween(-buffer, buffer)
+    return sentences.withColumn("text", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text")).over(w)), lambda x: x["text"]), " "))
+
+
 def semantic(sentences: DataFrame, percentile: float = 0.95) -> DataFrame:
-    """Groups of a document's sentences that break at its largest embedding distances: doc_id, number, v -> group."""
+    """Groups of a document's sentences that break at its largest embedding distances: doc_id, number, v -> group.
+
+    v is the embedding of a sentence with its neighbours (see buffered).
+    """
     from plumbline.operators.retrieval import cosine
 
     w = Window.partitionBy("doc_id").orderBy("number")
@@ -82,7 +120,7 @@ def chunks(docs: DataFrame, strategy: str = "sentence") -> DataFrame:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown chunking strategy {strategy!r}; one of {STRATEGIES}")
     if strategy == "sentence":
-        return sentence_windows(docs)
+        return sentence_windows(docs, SIZE, OVERLAP)
     if strategy == "hierarchical":
         return hierarchical(docs)
     if strategy == "semantic":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,19 +23,24 @@ def claim_id(trace_id: Column, number: Column) -> Column:
 def best_span(answer: str, claim: str) -> tuple[int, float]:
     """Start and similarity of the stretch of the answer, as long as the claim, that is most like it; the first on ties.
 
-    Only stretches about the longest common block are compared.
+    Stretches are compared (by matching blocks) if they hold nine tenths as many
+    of the claim's trigrams as the stretch that holds most, or all of them where
+    none holds any. A stretch with fewer shared trigrams isn't seen, even if its
+    blocks would match better.
     """
     n = len(claim)
     if not n or not answer:
         return -1, 0.0
-    block = difflib.SequenceMatcher(None, answer, claim, autojunk=False).find_longest_match()
-    reach = max(n, 30)
+    own = {claim[i : i + 3] for i in range(max(1, n - 2))}
+    shared = np.cumsum([0, *(answer[i : i + 3] in own for i in range(len(answer)))])
+    starts = np.arange(max(1, len(answer) - n + 1))
+    held = shared[np.minimum(starts + max(1, n - 2), len(answer))] - shared[starts]
     likeness = difflib.SequenceMatcher(None, "", claim, autojunk=False)
     best, found = 0.0, -1
-    for at in range(max(0, block.a - reach), min(len(answer), block.a + reach + n) - n + 1):
+    for at in starts[held >= 0.9 * held.max()].tolist():
         likeness.set_seq1(answer[at : at + n])
-        if likeness.real_quick_ratio() > best and likeness.quick_ratio() > best and (r := likeness.ratio()) > best:
-            best, found = r, at
+        if likeness.quick_ratio() > best and (ratio := likeness.ratio()) > best:
+            best, found = ratio, at
     return found, best
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.records import numbered
+
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges by relation, and how many end in a node that is held or dangle."""
@@ -92,12 +94,72 @@ def view(nodes: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
     d = degrees(edges)
     rows = nodes.join(d, "id", "left").withColumn("degree", F.coalesce(F.col("out_degree") + F.col("in_degree"), F.lit(0)))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("degree") > 0).alias("linked"))
-    w = Window.partitionBy(F.col("degree") > 0).orderBy("id")
     step = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("linked")) / F.greatest(F.lit(1), F.lit(cap) - F.col("linked"))))
-    kept = rows.crossJoin(F.broadcast(total)).withColumn("_n", F.row_number().over(w)).where((F.col("degree") > 0) | (F.col("_n") % step == 0))  # one row
+    rest = numbered(rows.where("degree = 0"), ["id"], "_n").crossJoin(F.broadcast(total)).where((F.col("_n") + 1) % step == 0)  # one row
+    kept = rows.where("degree > 0").crossJoin(F.broadcast(total)).unionByName(rest.drop("_n"))  # one row
     return kept.select(*nodes.columns, "degree", (F.col("n") > cap).alias("truncated"))
 
 
+def saved(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables under `path`."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def loaded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as saved; edges whose ends aren't nodes raise when they are read."""
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    if not ends.isEmpty():
+        raise ValueError("edges end in nodes that aren't there")
+    return nodes, edges
+
+
+#: The ten types of questions that a case graph gives, with their hops (fixed values).
+QUESTION_TYPES = {
+    "exact_citation": 1, "lexical_mismatch": 1, "single_hop": 1, "case_to_case": 2, "case_to_statute": 1, "statute_to_cases": 2,
+    "citation_chain": 3, "contradictory": 2, "temporal": 2, "entity_resolution": 1,
+}
+
+
+def benchmark(cases: DataFrame, sections: DataFrame, edges: DataFrame, per_type: int = 6, seed: str = "0") -> DataFrame:
+    """(type, hops, subject, gold): up to `per_type` questions of each of ten types, in the order of a hash.
+
+    cases: id, citation, neutral_citation, year. sections: id, section, text.
+    edges: src, dst, relation between cases and statutes. `subject` is what a
+    question asks about (a case, or a statute), `gold` the cases that answer it.
+    Only cases with sections can be gold.
+    """
+    held = cases.join(sections.select("id").distinct(), "id", "left_semi")
+    row = lambda kind, df, subject, *gold: df.select(F.lit(kind).alias("type"), subject.alias("subject"), F.array(*gold).alias("gold"))
+    c = F.col
+    both = edges.where("src <> dst").join(held.select(c("id").alias("src"), c("year").alias("src_year")), "src").join(held.select(c("id").alias("dst"), c("year").alias("dst_year")), "dst")
+    citing = both.where(c("relation").isin("CASE_CITES_CASE", "CASE_FOLLOWS_CASE", "CASE_APPROVES_CASE")).select("src", "dst").distinct()
+    onward = both.where(c("relation").isin("CASE_CITES_CASE", "CASE_FOLLOWS_CASE")).select(c("src").alias("dst"), c("dst").alias("third")).distinct()
+    chains = citing.join(onward, "dst").where("third <> src").groupBy("src", "dst").agg(F.min("third").alias("third"))
+    statutes = edges.where(c("relation").isin("CASE_INTERPRETS_SECTION", "CASE_CITES_STATUTE")).join(held.select(c("id").alias("src")), "src")
+    construed = statutes.where("relation = 'CASE_INTERPRETS_SECTION'").groupBy("src").agg(F.min("dst").alias("dst"))
+    shared = statutes.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("cases")).where(F.size("cases") >= 3)
+    adverse = edges.where(c("relation").isin(*ADVERSE)).join(held.select(c("id").alias("src"), F.lit(True).alias("s")), "src", "left").join(held.select(c("id").alias("dst"), F.lit(True).alias("d")), "dst", "left").where("s or d")
+    named = lambda s: sections.where(c("section") == s).groupBy("id").agg(F.max(F.length("text")).alias("n")).join(held.select("id"), "id", "left_semi")
+    parts = [
+        row("exact_citation", held.where("citation is not null"), c("id"), c("id")), row("lexical_mismatch", named("issue").where("n > 80"), c("id"), c("id")),
+        row("single_hop", named("headnote"), c("id"), c("id")), row("case_to_case", citing, c("dst"), c("src"), c("dst")), row("case_to_statute", construed, c("dst"), c("src")),
+        shared.select(F.lit("statute_to_cases").alias("type"), c("dst").alias("subject"), F.slice("cases", 1, 4).alias("gold")),
+        row("citation_chain", chains, c("src"), c("src"), c("dst"), c("third")),
+        adverse.select(F.lit("contradictory").alias("type"), c("dst").alias("subject"), F.filter(F.array(F.when(c("s"), c("src")), F.when(c("d"), c("dst"))), lambda x: x.isNotNull()).alias("gold")),
+        row("temporal", both.where(c("relation").startswith("CASE_") & (c("src_year") > c("dst_year"))).select("src", "dst").distinct(), c("dst"), c("dst"), c("src")),
+        row("entity_resolution", held.where("citation is not null and neutral_citation is not null"), c("id"), c("id")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    order = F.sha2(F.concat_ws(":", F.lit(seed), "type", "subject", F.array_join("gold", ",")), 256)
+    w = Window.partitionBy("type").orderBy(order, "subject", "gold")
+    hops = F.create_map(*[F.lit(x) for pair in QUESTION_TYPES.items() for x in pair])
+    return every.withColumn("_n", F.row_number().over(w)).where(c("_n") <= per_type).select("type", hops[c("type")].alias("hops"), "subject", "gold")
+
+
 # Words of treatment in order of strength, and sections in which a statute is construed.
 TREATMENTS = [
     ("CASE_OVERRULES_CASE", r"\boverrul(?:ed|ing)\b"), ("CASE_OVERRULES_CASE", r"\bnot\s+good\s+law\b"), ("CASE_DISTINGUISHES_CASE", r"\bdistinguish(?:ed|ing)\b"), ("CASE_DOUBTS_CASE", r"\bdoubted\b"),
@@ -105,6 +167,7 @@ TREATMENTS = [
     ("CASE_CITES_CASE", r"\breferred\s+to\b"), ("CASE_CITES_CASE", r"\bcited\b"),
 ]
 INTERPRETIVE = ("headnote", "held", "issue")
+ADVERSE = ("CASE_OVERRULES_CASE", "CASE_DISTINGUISHES_CASE", "CASE_DOUBTS_CASE", "CASE_DOES_NOT_FOLLOW_CASE")
 
 
 def treatments(lines: DataFrame) -> DataFrame:

@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Citation patterns and the sections that give interpretive edges.
-CITATIONS = [
-    ("SCR", r"\[(\d{4})\]\s*(\d+)\s*S\.?C\.?R\.?\s*(\d+)", "{1}:{2}:{3}"),
-    ("INSC", r"(\d{4})\s*INSC\s*(\d+)", "{1}:{2}"),
-    ("SCC", r"\((\d{4})\)\s*(\d+)\s*SCC\s*(\d+)", "{1}:{2}:{3}"),
-    ("AIR", r"AIR\s*(\d{4})\s*SC\s*(\d+)", "{1}:{2}"),
-]
-STATUTE = r"(?i)\bSections?\s+(\d+[A-Z]?)"
-ARTICLE = r"(?i)\bArticles?\s+(\d+[A-Z]?)"
-SECTION_HEADINGS = ["Headnote", "Held", "Issue for Consideration", "Case Law Cited", "List of Acts", "List of Keywords", "Appearances for Parties", "Judgment"]
+# Citation patterns, headings of the printed reports, and the marks of the older layout.
+CITATIONS = {
+    "SCR": r"(?i)\[(\d{4})\]\s*(\d+)\s*S\.?\s?C\.?\s?R\.?\s*(\d+)",
+    "INSC": r"\b(\d{4})\s+INSC\s+(\d+)\b",
+    "SCC": r"\((\d{4})\)\s*(\d+)\s*SCC\s*(\d+)",
+    "AIR": r"\bAIR\s+(\d{4})\s+SC\s+(\d+)\b",
+}
+STATUTE = r"\b(?:[Ss]ections?|[Ss]s?\.)\s*(\d+[A-Z]?)(?:\s*\(\d+\))?(?:\s*(?:of|,)\s*(?:the\s+)?([A-Z][A-Za-z'()\. ]{4,70}?Act,?\s*\d{4}))?"
+ARTICLE = r"\bArticles?\s*(\d+[A-Z]?)\b"
+SECTION_HEADINGS = {
+    "Issue for Consideration": "issue",
+    "Headnotes": "headnote",
+    "Case Law Cited": "case_law_cited",
+    "Case Law Citied": "case_law_cited",
+    "List of Acts": "acts_cited",
+    "List of Keywords": "keywords",
+    "Case Arising From": "case_arising_from",
+    "Appearances for Parties": "appearances",
+    "Judgment / Order of the Supreme Court": "judgment",
+    "Judgment/Order of the Supreme Court": "judgment",
+}
 PARAGRAPH = r"(?m)(?=^[ \t]*\d{1,3}\s*[.)]\s)"
+BENCH = r"\[[^\]\n]{5,160}?JJ?\.\s*\]"
+OLD_BLOCKS = {
+    "judgment": r"(?m)(?:The Judgment of the Court was delivered|^\s*J\s?U\s?D\s?G\s?M\s?E\s?N\s?T\s*$|^\s*O\s?R\s?D\s?E\s?R\s*$)",
+    "case_law_cited": r"(?m)^\s*Case Law Reference\s*:?\s*$",
+    "case_arising_from": r"(?m)^\s*(?:CIVIL|CRIMINAL)\s+(?:APPELLATE|ORIGINAL)\s+JURISDICTION.*$",
+}
+#: Sections that are no chunks of their own (the judgment's paragraphs are), and the least length of a section's chunk.
+NOT_RETRIEVABLE = ("appearances", "keywords", "judgment")
+SECTION_MINIMUM = 40
 
 
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _keyed(text: Column, kind: str, pattern: str, groups: int) -> Column:
-    """(kind, key, raw) of a pattern's matches; the key joins its groups."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(groups + 1)]
+def _found(text: Column, pattern: str, groups: int) -> Column:
+    """The matches of a pattern with their groups g0, g1, ...; an absent group is empty."""
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(groups + 1)])
 
-    def row(z: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), *[z[f"g{i}"] for i in range(1, groups + 1)]).alias("key"), z["g0"].alias("raw"))
 
-    return F.transform(F.arrays_zip(*parts), row)
+def citations(text: Column) -> Column:
+    """(kind, key, raw) of cases, statutes and articles, each key once: patterns in their order, and each in the order of the text.
 
+    A case's key joins its reporter and numbers. A section with a named act has
+    the key ACT:<act in capitals>:S<number> and the kind ACT, one without
+    SECTION:<number>.
+    """
+    row = lambda kind, key, raw: F.struct(kind.alias("kind"), key.alias("key"), _bare(raw).alias("raw"))
 
-def citations(text: Column) -> Column:
-    """Distinct (kind, key, raw), in the order of the patterns and then of the text."""
-    found = []
-    for kind, pattern, form in CITATIONS:
-        found.append(_keyed(text, kind, pattern, form.count("{")))
-    for kind, pattern in (("SECTION", STATUTE), ("ARTICLE", ARTICLE)):
-        found.append(_keyed(text, kind, pattern, 1))
-    every = F.concat(*[F.coalesce(f, F.array().cast("array<struct<kind:string,key:string,raw:string>>")) for f in found])
-    keys = F.array_distinct(F.transform(every, lambda x: x["key"]))
-    return F.transform(keys, lambda k: F.get(F.filter(every, lambda x: x["key"] == k), F.lit(0)))
+    def case(kind: str) -> Column:
+        n = re.compile(CITATIONS[kind]).groups
+        return F.transform(_found(text, CITATIONS[kind], n), lambda z: row(F.lit(kind), F.concat_ws(":", F.lit(kind), *[z[f"g{i}"] for i in range(1, n + 1)]), z["g0"]))
+
+    parts = [case(kind) for kind in CITATIONS]
+    act = lambda z: F.upper(_bare(F.regexp_replace(z["g2"], r"\s+", " ")))
+    parts.append(F.transform(_found(text, STATUTE, 2), lambda z: row(
+        F.when(z["g2"] == "", "SECTION").otherwise("ACT"), F.when(z["g2"] == "", F.concat(F.lit("SECTION:"), z["g1"])).otherwise(F.concat(F.lit("ACT:"), act(z), F.lit(":S"), z["g1"])), z["g0"])))
+    parts.append(F.transform(_found(text, ARTICLE, 1), lambda z: row(F.lit("ARTICLE"), F.concat(F.lit("ARTICLE:"), z["g1"]), z["g0"])))
+    none = F.array().cast("array<struct<kind:string,key:string,raw:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in parts])
+    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["key"]), x["key"]) == i + 1)
 
 
 def paragraphs(text: Column, preamble: int = 200) -> Column:
@@ -53,17 +81,57 @@ def paragraphs(text: Column, preamble: int = 200) -> Column:
     return F.when(numbered, F.filter(rows, lambda r: (r["number"] > 0) | (F.length(r["text"]) > preamble))).otherwise(rows)
 
 
-def sections(text: Column, headings: list[str] | None = None) -> Column:
-    """A map from heading to text; parts under the same heading are joined, and the text before the first is the caption."""
-    names = headings or SECTION_HEADINGS
-    any_ = "|".join(names)
-    parts = F.split(text, rf"(?m)(?=^[ \t]*(?:{any_})[ \t]*:?[ \t]*$)")
-    head = lambda p: F.regexp_extract(p, rf"^[ \t]*({any_})[ \t]*:?[ \t]*(?:\r?\n|\z)", 1)
-    rows = F.transform(parts, lambda p: F.struct(F.coalesce(F.nullif(head(p), F.lit("")), F.lit("caption")).alias("h"), _bare(F.regexp_replace(p, rf"^[ \t]*(?:{any_})[ \t]*:?[ \t]*(?:\r?\n|\z)", "")).alias("t")))
+def sections(text: Column) -> Column:
+    """A map from section to text: by headings on lines of their own, else by the older layout's marks.
+
+    Parts under the same section are joined, empty ones left out; what stands
+    before the first heading is the caption.
+    """
+    any_ = "|".join(h.replace("/", "[/]") for h in SECTION_HEADINGS)
+    head = rf"^[ \t]*({any_})[ \t]*(?:\r?\n|\z)"
+    keys_of = F.create_map(*[F.lit(x) for pair in SECTION_HEADINGS.items() for x in pair])
+    parts = F.split(text, rf"(?m)(?=^[ \t]*(?:{any_})[ \t]*\r?$)")
+    rows = F.transform(parts, lambda p: F.struct(F.coalesce(F.element_at(keys_of, F.nullif(F.regexp_extract(p, head, 1), F.lit(""))), F.lit("caption")).alias("h"), _bare(F.regexp_replace(p, head, "")).alias("t")))
     rows = F.filter(rows, lambda r: r["t"] != "")
     keys = F.array_distinct(F.transform(rows, lambda r: r["h"]))
     joined = F.transform(keys, lambda k: F.array_join(F.transform(F.filter(rows, lambda r: r["h"] == k), lambda r: r["t"]), "\n"))
-    return F.map_from_arrays(keys, joined)
+    return F.when(text.rlike(rf"(?m)^[ \t]*(?:{any_})[ \t]*\r?$"), F.map_from_arrays(keys, joined)).otherwise(old_layout(text))
+
+
+def old_layout(text: Column) -> Column:
+    """Sections of the older print layout, by place.
+
+    The caption ends with the bench line. The headnote runs from there to the
+    first block of the reporter, if it is long enough; its holding is a section
+    too. The case law reference ends where a later block begins, the
+    jurisdiction line's block with the judgment, and the judgment with the text.
+    A text with neither headnote nor judgment is kept whole as the body.
+    """
+    bench = F.regexp_extract(text, rf"(?s)^(.*?{BENCH})", 1)
+    # a mark that is no blank keeps the rest of the bench's line from looking like a line of its own
+    rest = F.concat(F.when(bench == "", "").otherwise("\u0001"), F.substring(text, F.length(bench) + 1, F.length(text)))
+    span = F.struct(rest.alias("t"), F.length(rest).alias("n"), *[F.regexp_instr(rest, F.lit(rx)).alias(k) for k, rx in OLD_BLOCKS.items()],
+                    F.length(F.regexp_extract(rest, OLD_BLOCKS["case_law_cited"], 0)).alias("mark"))
+
+    def found(x: Column) -> Column:
+        at = {k: F.nullif(x[k], F.lit(0)) for k in OLD_BLOCKS}
+        cut = lambda a, b: _bare(F.replace(F.substring(x["t"], a, b - a), F.lit("\u0001")))
+        end = x["n"] + 1
+        law = at["case_law_cited"] + x["mark"]
+        later = lambda k, a: F.when(at[k] > a, at[k])
+        head = cut(F.lit(1), F.coalesce(F.array_min(F.array(*at.values())), end))
+        head = F.when(F.length(head) >= SECTION_MINIMUM, head)
+        return F.array(
+            F.struct(F.lit("caption").alias("k"), F.nullif(_bare(bench), F.lit("")).alias("v")), F.struct(F.lit("headnote").alias("k"), head.alias("v")),
+            F.struct(F.lit("held").alias("k"), F.nullif(F.regexp_extract(head, r"(?s)(\bHELD\s*:.*)", 1), F.lit("")).alias("v")),
+            F.struct(F.lit("case_law_cited").alias("k"), F.nullif(cut(law, F.coalesce(F.least(later("case_arising_from", law), later("judgment", law)), end)), F.lit("")).alias("v")),
+            F.struct(F.lit("case_arising_from").alias("k"), cut(at["case_arising_from"], F.coalesce(later("judgment", at["case_arising_from"]), end)).alias("v")),
+            F.struct(F.lit("judgment").alias("k"), cut(at["judgment"], end).alias("v")))
+
+    rows = F.filter(F.get(F.transform(F.array(span), found), F.lit(0)), lambda r: r["v"].isNotNull())
+    whole = F.array(F.struct(F.lit("body").alias("k"), _bare(text).alias("v")))
+    rows = F.when(F.exists(rows, lambda r: r["k"].isin("headnote", "judgment")), rows).otherwise(F.concat(rows, whole))
+    return F.map_from_entries(rows)
 
 
 def research_value(n_cases: Column, n_statutes: Column, n_sections: Column, n_paragraphs: Column) -> Column:
@@ -76,31 +144,6 @@ def parsed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", sections(F.col("text")).alias("sections"), paragraphs(F.col("text")).alias("paragraphs"), citations(F.col("text")).alias("citations"))
 
 
-#: Sections without retrievable content, and the least length of a section's chunk (fixed values).
-NOT_RETRIEVABLE = ("appearances", "keywords", "judgment")
-SECTION_MINIMUM = 40
-BENCH = r"(?m)^\s*\[[^\]\n]*J{1,2}\.?\]\s*$"
-OLD_BLOCKS = {"case_law_cited": r"(?m)^\s*Case Law Reference\s*:?\s*$", "case_arising_from": r"(?m)^\s*(?:CIVIL|CRIMINAL)\s+(?:APPELLATE|ORIGINAL)\s+JURISDICTION.*$", "judgment": r"(?m)^\s*(?:The Judgment of the Court was delivered by|J\s*U\s*D\s*G\s*M\s*E\s*N\s*T|ORDER)\b.*$"}
-
-
-def old_layout(text: Column) -> Column:
-    """Sections of the older print layout, by position: caption to the bench line, then headnote (with its holding), then the reporter's blocks in the order found."""
-    bench = F.regexp_extract(text, rf"(?s)^(.*?{BENCH})", 1)
-    rest = F.substring(text, F.length(bench) + 1, F.length(text))
-    marker = "|".join(f"(?:{p})" for p in OLD_BLOCKS.values())
-    parts = F.split(rest, rf"(?m)(?={marker})")
-    named = lambda p: [F.when(p.rlike(r"\A\s*" + rx.replace("(?m)^\\s*", "(?m)")), F.struct(F.lit(k).alias("k"), _bare(F.regexp_replace(p, r"\A\s*Case Law Reference\s*:?", "")).alias("v"))) for k, rx in OLD_BLOCKS.items()]
-    blocks = F.filter(F.transform(F.slice(parts, 2, 1000), lambda p: F.coalesce(*named(p), F.struct(F.lit("body").alias("k"), _bare(p).alias("v")))), lambda b: b["v"] != "")
-    head = _bare(F.get(parts, F.lit(0)))
-    held = _bare(F.regexp_extract(head, r"(?s)(\bHELD\s*:.*)", 1))
-    fixed = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("caption", _bare(bench)), ("headnote", F.when(F.length(head) >= SECTION_MINIMUM, head).otherwise("")), ("held", F.when(F.length(head) >= SECTION_MINIMUM, held).otherwise("")))]), lambda x: x["v"] != "")
-    every = F.concat(fixed, blocks)
-    keys = F.array_distinct(F.transform(every, lambda x: x["k"]))
-    found = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(every, lambda x: x["k"] == k), F.lit(0))["v"]))
-    plain = F.create_map(F.lit("body"), _bare(text))
-    return F.when(F.size(keys) == 0, plain).otherwise(found)
-
-
 def legal_chunks(judgments: DataFrame, budget: int = 2000) -> DataFrame:
     """doc_id, section, first_part, text: headnote-family sections whole, then paragraphs packed to the budget; never across sections.
 

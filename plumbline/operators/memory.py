@@ -99,6 +99,25 @@ def decoded(document: Column) -> Column:
     return F.struct(F.regexp_replace(F.get(parts, F.lit(0)), "^Q: ", "").alias("question"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("answer"))
 
 
+def context(found: DataFrame, session: Column) -> DataFrame:
+    """(query_id, context): ranked memories as a prompt's text, those of the current session named so.
+
+    found: query_id, rank, session_id, question, answer, score. A query without memories has no row.
+    """
+    kind = F.when(F.col("session_id") == session, "Current Session Interaction").otherwise("Previous conversation")
+    text = F.concat(F.lit("--- "), kind, F.lit(" "), F.col("rank").cast("string"), F.lit(" (Relevance: "), F.format_string("%.2f", "score"), F.lit(") ---\nQ: "), "question", F.lit("\nA: "), "answer", F.lit("\n"))
+    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))).alias("l"))
+    return rows.select("query_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("context"))
+
+
+def cascaded(memories: DataFrame, dependents: dict[str, DataFrame], sessions: DataFrame) -> dict[str, DataFrame]:
+    """Memories and the tables that hang on them (by memory_id, or by session_id where they have no memory_id) without some sessions (session_id)."""
+    gone = memories.join(sessions.select("session_id").distinct(), "session_id", "left_semi").select("memory_id")
+    keys = {name: "memory_id" if "memory_id" in df.columns else "session_id" for name, df in dependents.items()}
+    kept = {name: without(df, gone if keys[name] == "memory_id" else sessions, keys[name]) for name, df in dependents.items()}
+    return {"memories": without(memories, sessions, "session_id")} | kept
+
+
 def without(table: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """A table after a cascading delete."""
     return table.join(removed.select(key).distinct(), key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import written
+
 #: Statuses that count as right for each external label (fixed values).
 ACCEPTED = {"SUPPORTS": ["SUPPORTED"], "REFUTES": ["CONTRADICTED"], "NOT ENOUGH INFO": ["PARTIALLY_SUPPORTED", "UNSUPPORTED", "NOT_VERIFIABLE"]}
 #: Sections that state what a case decided, in order (fixed values).
@@ -18,7 +20,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "chunk_index") -> Data
     Rows are dealt to ranges; each range counts its own, and starts at the
     sum of the ranges before it. `order` must be unique.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")  # both readers see the same ranges
     own = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_s"))
     before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each range

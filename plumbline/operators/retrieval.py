@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_tokens
+from plumbline.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RERANK_WINDOW, FINAL, TOP_K = 40, 20, 6, 5
@@ -28,31 +33,51 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], limit: int | No
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
-def bm25_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, df, idf) over the whole collection; idf that would be negative is EPSILON times the mean one."""
-    tokens = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(lexical_tokens(F.col(text_col)))).alias("term"))
-    df = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, dl, tokens) as a written table: texts are split into words once for all that reads them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
+    return written(rows.select("doc_id", F.size("tokens").alias("dl"), "tokens"), "tokens")
+
+
+def _term_weights(tokens: DataFrame) -> DataFrame:
+    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
 
 
+def bm25_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df, idf) over the whole collection; idf that would be negative is EPSILON times the mean one."""
+    return _term_weights(docs.select(F.col(id_col).alias("doc_id"), lexical_tokens(F.col(text_col)).alias("tokens")))
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, qn): how often each question has each of its terms."""
+    return questions.select("query_id", F.explode(lexical_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
+
+
+def postings(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) of the terms that some question has; other words are dropped where they are read."""
+    words = tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    return words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for documents that share a term; a repeated query term counts each time.
 
-    docs: doc_id, text. questions: query_id, question. Words that no question
-    has are dropped where they are read, so that only postings of query terms
-    are shuffled; document lengths travel with them.
+    docs: doc_id, text, or tokenized() ones. questions: query_id, question. Only
+    postings of query terms are shuffled; document lengths travel with them.
     """
-    asked = questions.select("query_id", F.explode(lexical_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    tokens = docs.select("doc_id", lexical_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tokens = docs if "tokens" in docs.columns else tokenized(docs)
+    asked = asked_terms(questions)
     mean = tokens.agg(F.avg("dl").alias("avgdl"))
-    words = tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = postings(tokens, asked)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(bm25_terms(docs), "term").crossJoin(F.broadcast(mean)).select("doc_id", "term", weight.alias("w"))  # one row
+    weights = _term_weights(tokens).join(small(asked.select("term").distinct()), "term", "left_semi")
+    weighed = tf.join(weights, "term").crossJoin(F.broadcast(mean)).select("doc_id", "term", weight.alias("w"))  # one row
     return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qn") * F.col("w")).alias("score"))
 
 
@@ -61,6 +86,15 @@ def bm25_ranking(docs: DataFrame, questions: DataFrame, limit: int = POOL) -> Da
     return ranked(scored, ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], limit)
 
 
+def overlap_ranking(docs: DataFrame, questions: DataFrame, limit: int = POOL) -> DataFrame:
+    """(query_id, doc_id, score, rank): the share of the question's distinct words that the document has, found through the terms."""
+    tokens = docs if "tokens" in docs.columns else tokenized(docs)
+    asked = asked_terms(questions)
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = postings(tokens, asked).join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(sizes, "query_id")
+    return ranked(hits.select("query_id", "doc_id", (F.col("c") / F.col("n")).alias("score")), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], limit)
+
+
 def cosine(x: Column, y: Column) -> Column:
     """Cosine similarity in double precision; 0 where a vector has no length."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -68,15 +102,48 @@ def cosine(x: Column, y: Column) -> Column:
     return F.coalesce(dot(x, y) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
 
 
+#: Rows of a block of vectors and of a block of questions.
+_BLOCK, _ASKED = 2048, 512
+
+
+def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, name: str) -> DataFrame:
+    """Blocks of about `rows` rows by a hash of the id: (name_block, name_ids, name_vectors)."""
+    n = max(1, -(-df.count() // rows))
+    keyed = df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(f"{name}_block"), F.struct(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
+    return keyed.groupBy(f"{name}_block").agg(F.collect_list("x").alias("l")).select(f"{name}_block", F.transform("l", lambda x: x["i"]).alias(f"{name}_ids"), F.transform("l", lambda x: x["v"]).alias(f"{name}_vectors"))
+
+
+def _nearest_in_block(limit: int):
+    def unit(rows) -> np.ndarray:
+        m = np.array([np.asarray(r, float) for r in rows])
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for b in frame.itertuples(index=False):
+                ids, asked = np.array(b.v_ids), np.array(b.q_ids)
+                far = 1 - unit(b.q_vectors) @ unit(b.v_vectors).T
+                far[asked[:, None] == ids[None, :]] = np.inf
+                k = min(limit, far.shape[1]) - 1
+                edge = np.partition(far, k, axis=1)[:, k : k + 1]
+                q, v = np.nonzero((far <= edge + 2e-6) & np.isfinite(far))  # with all that may tie at six places
+                yield pd.DataFrame({"query_id": asked[q], "doc_id": ids[v], "distance": far[q, v]})
+
+    return run
+
+
 def dense_ranking(vectors: DataFrame, questions: DataFrame, limit: int = POOL) -> DataFrame:
-    """(query_id, doc_id, distance, rank): nearest vectors by cosine distance, brute force.
+    """(query_id, doc_id, distance, rank): nearest vectors by cosine distance, exactly; a vector without length is at distance 1.
 
-    questions: query_id, q; a stated set of queries against all vectors. The
-    vectors are scanned once, and the top of each partition is cut before the shuffle.
+    questions: query_id, q; a stated set of queries against all vectors. Blocks
+    of questions meet blocks of vectors, of bounded size each; a pair of blocks
+    is one product of matrices, of which only each question's nearest go on.
     """
-    far = vectors.select("doc_id", "v").join(questions.select("query_id", "q"), F.col("query_id") != F.col("doc_id"))
-    scored = far.select("query_id", "doc_id", (1 - cosine(F.col("q"), F.col("v"))).alias("distance"))
-    return ranked(scored, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
+    kinds = {k: t for k, t in [*vectors.select(F.col("doc_id").alias("doc_id")).dtypes, *questions.select("query_id").dtypes]}
+    pairs = _blocks(vectors, "doc_id", "v", _BLOCK, "v").crossJoin(_blocks(questions, "query_id", "q", _ASKED, "q"))
+    near = pairs.repartition("v_block", "q_block").mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
+    return ranked(near, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
 
 
 def rrf(dense: DataFrame | None, sparse: DataFrame | None, limit: int = RERANK_WINDOW, k: int = RRF_K) -> DataFrame:
@@ -115,8 +182,12 @@ def pool_statistics(dense: DataFrame | None, sparse: DataFrame | None) -> DataFr
 
 def overlap_score(question: Column, text: Column) -> Column:
     """Share of the question's distinct words that the text has: the default reranker."""
-    q, t = F.array_distinct(lexical_tokens(question)), F.array_distinct(lexical_tokens(text))
-    return F.coalesce(F.size(F.array_intersect(q, t)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
+    return word_overlap(F.array_distinct(lexical_tokens(question)), lexical_tokens(text))
+
+
+def word_overlap(asked: Column, words: Column) -> Column:
+    """overlap_score() of a question's distinct words and a text's words."""
+    return F.coalesce(F.size(F.array_intersect(asked, words)) / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
 
 
 def reranked(pool: DataFrame, limit: int = FINAL) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import expand
+from plumbline.operators.graph import ADVERSE, expand
 from plumbline.operators.retrieval import FINAL
 
 # Bounds of the loops and the arms.
@@ -20,22 +20,22 @@ AGENT_STEPS, AGENT_RETRIEVALS = 6, 5
 GRAPH_SEEDS, GRAPH_CHUNKS, CONTRADICTION_CHUNKS, BASE = 6, 6, 4, 10
 ACTIONS = ("semantic_search", "lexical_search", "graph_expand", "find_citing_cases", "contradiction_search", "stop")
 RETRIEVING = ("semantic_search", "lexical_search", "contradiction_search")
-ADVERSE = ("CASE_OVERRULES_CASE", "CASE_DISTINGUISHES_CASE", "CASE_DOUBTS_CASE", "CASE_DOES_NOT_FOLLOW_CASE")
 CONTRADICTION_TERMS = "overruled distinguished not applicable does not apply contrary view per incuriam"
-_LEGAL = {"chunking": "legal", "mode": "hybrid", "rerank": True, "strategy": "plain"}
-ARMS = {
-    "A_vector": _LEGAL | {"mode": "vector", "rerank": False},
-    "A_bm25": _LEGAL | {"mode": "bm25", "rerank": False},
-    "B_hybrid": _LEGAL | {"rerank": False},
-    "C_hybrid_rerank": _LEGAL,
-    "C_fixed_chunking": _LEGAL | {"chunking": "fixed"},
-    "D_ircot": _LEGAL | {"strategy": "ircot"},
-    "E_agentic": _LEGAL | {"strategy": "agentic", "graph": False},
-    "F_graphrag": _LEGAL | {"graph_expand": True},
-    "G_ircot_graph": _LEGAL | {"strategy": "ircot", "graph_expand": True},
-    "H_agentic_graph": _LEGAL | {"strategy": "agentic", "graph": True},
-    "I_full": _LEGAL | {"strategy": "ircot", "graph_expand": True, "contradiction": True},
-}
+_FIELDS = ("chunking", "mode", "rerank", "strategy", "graph", "graph_expand", "contradiction")
+_ROWS = [
+    ("A_vector", "legal", "vector", False, "plain", None, False, False),
+    ("A_bm25", "legal", "bm25", False, "plain", None, False, False),
+    ("B_hybrid", "legal", "hybrid", False, "plain", None, False, False),
+    ("C_hybrid_rerank", "legal", "hybrid", True, "plain", None, False, False),
+    ("C_fixed_chunking", "fixed", "hybrid", True, "plain", None, False, False),
+    ("D_ircot", "legal", "hybrid", True, "ircot", None, False, False),
+    ("E_agentic", "legal", "hybrid", True, "agentic", False, False, False),
+    ("F_graphrag", "legal", "hybrid", True, "plain", None, True, False),
+    ("G_ircot_graph", "legal", "hybrid", True, "ircot", None, True, False),
+    ("H_agentic_graph", "legal", "hybrid", True, "agentic", True, False, False),
+    ("I_full", "legal", "hybrid", True, "ircot", None, True, True),
+]
+ARMS = {name: dict(zip(_FIELDS, row)) for name, *row in _ROWS}
 Retrieve = Callable[[DataFrame], DataFrame]
 Plan = Callable[[DataFrame, int], DataFrame]
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -70,7 +70,7 @@ def ircot(questions: DataFrame, retrieve: Retrieve, plan: Plan, keep: Keep, iter
             F.coalesce("stop", F.when(F.coalesce("n_new", F.lit(0)) < 1, "no_new_evidence"), F.when(F.lit(i == iterations), "max_iterations")).alias("termination"))
         step = keep(step, f"step-{i}")
         steps = step if steps is None else steps.unionByName(step)
-        evidence = keep(evidence.unionByName(found), f"evidence-{i}")
+        evidence = evidence.unionByName(found)  # the rounds' own tables; none is written twice
         asked = asked.unionByName(judged.where("stop is null").select("query_id", "q"))
         live = step.where("termination is null").select("query_id")
         if live.isEmpty():
@@ -102,7 +102,7 @@ def agentic(questions: DataFrame, tools: dict[str, Retrieve], plan: Plan, keep:
         gained = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_new"))
         step = keep(planned.join(gained, "query_id", "left").select("query_id", F.lit(i).alias("step"), "action", F.coalesce("n_new", F.lit(0)).alias("n_new"), "termination", "used"), f"agent-step-{i}")
         steps = step if steps is None else steps.unionByName(step)
-        evidence = keep(evidence.unionByName(found), f"agent-evidence-{i}")
+        evidence = evidence.unionByName(found)
         more = F.when(F.col("action").isin(*RETRIEVING), 1).otherwise(0)
         live = step.where("termination is null").select("query_id", (F.col("used") + more).alias("used"))
         if live.isEmpty():

@@ -29,6 +29,19 @@ def lexical_scores(claim: Column, sentence: Column) -> Column:
     return F.struct(ent.alias("ent"), contra.alias("contra"), F.greatest(F.lit(0.0), 1 - ent - contra).alias("neutral"))
 
 
+def described(text: Column) -> Column:
+    """(words, negated): what lexical scores take of a claim or a sentence, found once for each."""
+    return F.struct(F.array_distinct(content_words(text)).alias("words"), F.lower(text).rlike(NEGATION).alias("negated"))
+
+
+def described_scores(claim: Column, sentence: Column) -> Column:
+    """lexical_scores() of a claim and a sentence as described() gives them."""
+    support = F.coalesce(F.size(F.array_intersect(claim["words"], sentence["words"])) / F.nullif(F.size(claim["words"]), F.lit(0)), F.lit(0.0))
+    differs = claim["negated"] != sentence["negated"]
+    ent, contra = F.when(differs, 0.0).otherwise(support), F.when(differs, support).otherwise(0.0)
+    return F.struct(ent.alias("ent"), contra.alias("contra"), F.greatest(F.lit(0.0), 1 - ent - contra).alias("neutral"))
+
+
 def status(ent: Column, contra: Column, neutral: Column) -> Column:
     """The ordered status rule; a claim without evidence (null scores) is unsupported."""
     return (F.when(ent.isNull(), "UNSUPPORTED").when(contra >= CONTRA, "CONTRADICTED").when(ent >= ENTAIL, "SUPPORTED").when(ent >= PARTIAL, "PARTIALLY_SUPPORTED")

@@ -97,9 +97,11 @@ _STATUS = "CASE WHEN ent IS NULL THEN 'UNSUPPORTED' WHEN contra >= 0.7 THEN 'CON
 
 def evidence(s, d):
     """Sentences of a trace's document against each of its claims."""
-    docs = I.documents(s, d).select("doc_id", F.posexplode(T.simple_sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    rows = claim_rows(s, d).join(docs, F.col("conv_id") == F.col("doc_id"))
-    scored = rows.select("trace_id", "claim_no", F.lit(1).alias("chunk_rank"), F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", V.lexical_scores(F.col("claim"), F.col("sentence")).alias("x"))
+    claims = claim_rows(s, d).select("trace_id", "claim_no", F.col("conv_id").alias("doc_id"), V.described(F.col("claim")).alias("c"))
+    asked = I.documents(s, d).join(claims.select("doc_id"), "doc_id", "left_semi")
+    docs = asked.select("doc_id", F.posexplode(T.simple_sentences(F.col("text"))).alias("sentence_no", "sentence")).withColumn("s", V.described(F.col("sentence")))
+    rows = claims.join(docs, "doc_id")
+    scored = rows.select("trace_id", "claim_no", F.lit(1).alias("chunk_rank"), F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", V.described_scores(F.col("c"), F.col("s")).alias("x"))
     return scored.select("trace_id", "claim_no", "chunk_rank", "sentence_no", "sentence", "x.*")
 
 

@@ -53,6 +53,24 @@ def chunk_pack(s, d):
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "first_part", "n_parts", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("chunk_sentences", """WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '') AS ss FROM documents),
+n AS (SELECT doc_id, ss, list_transform(ss, lambda x: len(list_filter(string_split_regex(x, '[ \\t\\n\\r\\x0b\\f]+'), lambda w: w <> ''))) AS z FROM s WHERE len(ss) > 0),
+p AS (SELECT doc_id, ss, len(z) AS n, list_transform(range(0, len(z) + 1), lambda i: coalesce(list_sum(z[1:i]), 0)) AS c FROM n),
+r(doc_id, k, a, b) AS (SELECT doc_id, 0, 0::BIGINT, list_max(list_filter(range(1, n + 1), lambda e: e = 1 OR c[e + 1] - c[1] <= 512)) FROM p UNION ALL
+  SELECT doc_id, k + 1, a2, list_max(list_filter(range(b + 1, n + 1), lambda e: e = b + 1 OR c[e + 1] - c[a2 + 1] <= 512)) FROM (SELECT r.doc_id, k, b, n, c, list_min(list_filter(range(a + 1, b + 1), lambda j: j = b OR (c[b + 1] - c[j + 1] <= 100 AND c[b + 2] - c[j + 1] <= 512))) AS a2 FROM r JOIN p ON p.doc_id = r.doc_id WHERE b < n))
+SELECT r.doc_id, k AS chunk_index, a AS first_part, b - a AS n_parts, md5(array_to_string(ss[a + 1 : b], ' ')) AS digest FROM r JOIN p USING (doc_id)""")
+def chunk_sentences(s, d):
+    """Whole sentences up to 512 words, with those of 100 words at most from the chunk before."""
+    return C.sentence_windows(I.documents(s, d), C.SIZE, C.OVERLAP).select("doc_id", "chunk_index", "first_part", "n_parts", F.md5("text").alias("digest"))
+
+
+@query("chunk_buffered", "SELECT conv_id AS doc_id, turn AS number, md5(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS digest FROM conversations")
+def chunk_buffered(s, d):
+    """Turns stand for sentences."""
+    c = I.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("number"), "text")
+    return C.buffered(c).select("doc_id", "number", F.md5("text").alias("digest"))
+
+
 @query("chunk_semantic", """WITH v AS (SELECT label AS doc_id, vec_id AS number, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT doc_id, number, 1 - list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc_id ORDER BY number)) AS gap FROM v),
 c AS (SELECT doc_id, quantile_cont(gap, 0.95) AS cut FROM g GROUP BY 1) SELECT doc_id, number, round(gap, 6) AS gap, (sum(coalesce((gap > cut)::INT, 0)) OVER (PARTITION BY doc_id ORDER BY number))::BIGINT AS "group" FROM g JOIN c USING (doc_id)""")
 def chunk_semantic(s, d):

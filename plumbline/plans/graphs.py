@@ -123,12 +123,11 @@ fin AS (SELECT *, 0.5 * semantic + 0.2 * recency + 0.2 * frequency + 0.1 * cappe
 @query("memory_rank", f"WITH {_MEM} SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, memory_id) AS rank, round(score, 6) AS score FROM fin WHERE round(score, 6) >= 0.4 QUALIFY rank <= 5")
 def memory_rank(s, d):
     """Vectors are memories, times come from the events of the same number; queries are ids divisible by 50."""
-    from plumbline.operators.retrieval import cosine
+    from plumbline.operators.retrieval import dense_ranking
 
-    v = I.table(s, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     ev = I.table(s, d, "events").select(F.col("event_id").alias("memory_id"), "ts")
-    near = v.select(F.col("vec_id").alias("memory_id"), "embedding").join(q, F.col("query_id") != F.col("memory_id")).select("query_id", "memory_id", (1 - cosine(F.col("q"), F.col("embedding"))).alias("distance"))
+    held = I.vectors(s, d).join(ev.select(F.col("memory_id").alias("doc_id")), "doc_id", "left_semi")
+    near = dense_ranking(held, I.vector_questions(s, d), 2 * Y.TOP_K).select("query_id", F.col("doc_id").alias("memory_id"), "distance")
     found = near.join(ev, "memory_id").withColumn("access_count", (F.col("memory_id") * 7) % 23).withColumn("importance", ((F.col("memory_id") * 13) % 120) / 100.0)
     return Y.ranked_memories(found, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 

@@ -44,17 +44,17 @@ over0 AS (SELECT a.query_id, tf.doc_id, count(*) / max(s.n)::DOUBLE AS score FRO
 second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM over0 QUALIFY rank <= 40)"""
 
 
-def _bm25(s, d, limit=R.POOL):
-    return R.bm25_ranking(I.documents(s, d), I.questions(s, d), limit)
+def _tokens(s, d):
+    return R.tokenized(I.documents(s, d))
 
 
-def _second(s, d):
-    """The second arm: overlap of distinct words, found through the terms."""
-    asked = I.questions(s, d).select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("question")))).alias("term"))
-    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    terms = I.documents(s, d).select("doc_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
-    hits = terms.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(sizes, "query_id")
-    return R.ranked(hits.select("query_id", "doc_id", (F.col("c") / F.col("n")).alias("score")), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], R.POOL)
+def _bm25(s, d, limit=R.POOL, tokens=None):
+    return R.bm25_ranking(tokens or _tokens(s, d), I.questions(s, d), limit)
+
+
+def _second(s, d, tokens=None):
+    """The second arm: overlap of distinct words."""
+    return R.overlap_ranking(tokens or _tokens(s, d), I.questions(s, d))
 
 
 def _dense(s, d, limit=R.POOL):
@@ -101,7 +101,8 @@ SELECT query_id, doc_id, dense_rank, sparse_rank, round(s, 9) AS rrf_score, row_
 
 
 def _fused(s, d, mode):
-    out = R.candidates(mode, _second(s, d), _bm25(s, d))
+    tokens = _tokens(s, d)
+    out = R.candidates(mode, _second(s, d, tokens), _bm25(s, d, tokens=tokens))
     return out.select("query_id", "doc_id", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -111,7 +112,8 @@ for _m, _n in (("hybrid", "rrf_fusion"), ("vector", "retrieval_mode_vector"), ("
 
 @query("pool_statistics", f"WITH {_BM25}, {_OVER} SELECT query_id, count(DISTINCT doc_id) AS pool_size FROM (SELECT query_id, doc_id FROM sparse UNION ALL SELECT query_id, doc_id FROM second) GROUP BY 1")
 def pool_statistics(s, d):
-    return R.pool_statistics(_second(s, d).withColumn("distance", 1 - F.col("score")), _bm25(s, d)).select("query_id", "pool_size")
+    tokens = _tokens(s, d)
+    return R.pool_statistics(_second(s, d, tokens).withColumn("distance", 1 - F.col("score")), _bm25(s, d, tokens=tokens)).select("query_id", "pool_size")
 
 
 @query("two_corpus_merge", f"""WITH {_BM25}, half AS (SELECT s.query_id, s.doc_id, s.score, t.lang = 'en' AS en, row_number() OVER (PARTITION BY s.query_id, t.lang = 'en' ORDER BY round(s.score, 6) DESC, s.doc_id) AS r FROM scores s JOIN toks t ON t.doc_id = s.doc_id WHERE score > 0)
@@ -126,8 +128,10 @@ def two_corpus_merge(s, d):
 @query("rerank_lexical", f"""WITH {_BM25}, {_OVER}, pool AS (SELECT s.query_id, s.doc_id, s.rank, o.score FROM sparse s JOIN over0 o ON o.query_id = s.query_id AND o.doc_id = s.doc_id WHERE s.rank <= 20)
 SELECT query_id, doc_id, rank AS prior_rank, round(score, 6) AS reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS rank_now FROM pool QUALIFY rank_now <= 6""")
 def rerank_lexical(s, d):
-    pool = _bm25(s, d, R.RERANK_WINDOW).join(I.documents(s, d), "doc_id").join(I.questions(s, d), "query_id")
-    out = R.reranked(pool.withColumn("reranker_score", R.overlap_score(F.col("question"), F.col("text"))))
+    tokens = _tokens(s, d)
+    asked = I.questions(s, d).select("query_id", F.array_distinct(lexical_tokens(F.col("question"))).alias("q"))
+    pool = _bm25(s, d, R.RERANK_WINDOW, tokens).join(tokens.select("doc_id", "tokens"), "doc_id").join(asked, "query_id")
+    out = R.reranked(pool.withColumn("reranker_score", R.word_overlap(F.col("q"), F.col("tokens"))))
     return out.select("query_id", "doc_id", F.col("prior_rank").cast("long").alias("prior_rank"), F.round("reranker_score", 6).alias("reranker_score"), F.col("rank").cast("long").alias("rank_now"))
 
 
@@ -224,7 +228,8 @@ m AS (SELECT a.arm, g.query_id, round(count(gold.doc_id) FILTER (a.rank <= 10) /
 
 def _arms(s, d):
     gold = R.shingle_gold(I.documents(s, d), I.questions(s, d))
-    arms = _bm25(s, d).select(F.lit("bm25").alias("arm"), "query_id", "doc_id", "rank").unionByName(_second(s, d).select(F.lit("overlap").alias("arm"), "query_id", "doc_id", "rank"))
+    tokens = _tokens(s, d)
+    arms = _bm25(s, d, tokens=tokens).select(F.lit("bm25").alias("arm"), "query_id", "doc_id", "rank").unionByName(_second(s, d, tokens).select(F.lit("overlap").alias("arm"), "query_id", "doc_id", "rank"))
     sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     hits = arms.join(sizes, "query_id").join(gold.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     return hits.groupBy("arm", "query_id").agg(F.round(F.count_if((F.col("rank") <= 10) & (F.col("hit") == 1)) / F.max("n"), 4).alias("recall"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{sc.applicationId}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, read by each who needs it, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each context; Spark's own file server carries it."""
     sc = spark.sparkContext

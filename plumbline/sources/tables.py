@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,23 +85,88 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def publish(chunks: DataFrame, vectors: DataFrame, path: str, key: str = "chunk_id") -> str:
-    """Write chunks with their vectors as a new version under `path` and point `current` at it.
+    """Write chunks with their vectors as a new version under `path`, verify it, and make it the current one.
 
-    Nothing is published if there is nothing, or if the id sets differ; readers
-    of the old version keep it.
+    Nothing is published if there is nothing, if the id sets differ, or if the
+    version as stored lacks an id; readers of the old version keep it.
     """
     got = set_differences(chunks, vectors, key).first()
     if not got["common"] or got["only_left"] or got["only_right"]:
         raise ValueError(f"refused: {got['common']} common ids, {got['only_left']} and {got['only_right']} on one side only")
     spark = chunks.sparkSession
-    version = f"v{spark.range(1).select(F.date_format(F.current_timestamp(), 'yyyyMMddHHmmssSSS')).first()[0]}"
-    chunks.join(vectors, key).write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    version = f"v{_now(spark)}-{uuid.uuid4().hex[:8]}"
+    chunks.join(vectors, key).write.parquet(f"{path}/versions/{version}")
+    stored = set_differences(chunks, spark.read.parquet(f"{path}/versions/{version}"), key).first()
+    if stored["only_left"] or stored["only_right"]:
+        raise ValueError(f"the new version is incomplete ({stored['only_left']} ids are missing); the old one stays")
+    _point(spark, path, version)
     return version
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.json(f'{path}/current').first()['version']}")
+def _now(spark: SparkSession) -> str:
+    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")).first()[0]
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """A pointer is a new file of its own, never overwritten: readers take the newest, so none ever finds a half-written one."""
+    at = (spark.read.schema("at long, version string").json(f"{path}/pointers/*").agg(F.max("at")).first()[0] or 0) if _exists(spark, f"{path}/pointers") else 0
+    spark.createDataFrame([(at + 1, version)], "at long, version string").coalesce(1).write.json(f"{path}/pointers/{at + 1:012d}-{uuid.uuid4().hex[:8]}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Published versions, the current one last; a version that was restored counts anew."""
+    rows = spark.read.schema("at long, version string").json(f"{path}/pointers/*").where("version is not null").orderBy("at", "version").collect()  # one row for each publication
+    return [r["version"] for r in rows]
+
+
+def published(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    return spark.read.parquet(f"{path}/versions/{version or versions(spark, path)[-1]}")
+
+
+def restored(spark: SparkSession, path: str, version: str) -> None:
+    """Make an earlier version current again."""
+    if version not in versions(spark, path):
+        raise ValueError(f"no version {version!r}")
+    _point(spark, path, version)
+
+
+def obsolete_ids(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Ids of the old version that the new one no longer has."""
+    return old.select(key).distinct().join(new.select(key), key, "left_anti")
+
+
+def pruned(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete the files of all but the last `keep` versions, obsolete ids with them; the names of those deleted."""
+    order = list(dict.fromkeys(reversed(versions(spark, path))))
+    gone = [v for v in order[max(1, keep):] if _exists(spark, f"{path}/versions/{v}")]
+    for v in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{v}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
+
+
+def registry_index(records: DataFrame) -> DataFrame:
+    """(parent_document_id, chunk_ids): the index by document of a chunk registry, rebuilt from its records; ids in the order of chunk_index."""
+    rows = records.groupBy("parent_document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("l"))
+    return rows.select("parent_document_id", F.transform("l", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+def checkpoint_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of append-only JSON lines files, without a torn last line; a broken line before a file's last raises.
+
+    A file is held as one text by the task that reads it: an appended file is one batch of records.
+    """
+    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("_path"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("_lines"))
+    lines = files.select("_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_i", "_line")).where(F.trim("_line") != "")
+    parsed = lines.withColumn("_r", F.from_json("_line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}))
+    broken = F.col("_r._corrupt_record").isNotNull()
+    inside = F.raise_error(F.concat(F.lit("corrupt record inside "), F.col("_path"), F.lit(", line "), (F.col("_i") + 1).cast("string"))).cast("boolean")
+    return parsed.where(F.when(broken & (F.col("_i") + 1 < F.col("_n")), inside).otherwise(~broken)).select("_r.*").drop("_corrupt_record")
 
 
 def bad_vectors(vectors: DataFrame, v: str = "embedding") -> DataFrame:
