@@ -186,7 +186,7 @@ def recovered_json(reply: Column, schema: str) -> Column:
     bare = F.regexp_replace(reply, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     widest = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
     cut = F.concat(F.regexp_extract(bare, r"(?s)(\[.*\})", 1), F.lit("]"))
-    inner = F.coalesce(F.nullif(widest, F.lit("")), bare)
+    inner = F.coalesce(F.nullif(widest, F.lit("")), F.regexp_extract(bare, r"(?s)(\[.*)", 1))
     lacking = lambda o, c: F.greatest(F.lit(0), F.regexp_count(inner, F.lit(o)) - F.regexp_count(inner, F.lit(c)))
     balanced = F.concat(inner, F.repeat(F.lit("}"), lacking(r"\{", r"\}")), F.repeat(F.lit("]"), lacking(r"\[", r"\]")))
     tries = []

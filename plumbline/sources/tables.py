@@ -41,7 +41,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Saved traces under date=... folders: those with an answer, and the unreadable ones."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
     rows = files.withColumn("t", parsed).drop("value")
     good = rows.where("t._corrupt_record is null and t.generated_answer is not null")
@@ -161,11 +161,12 @@ def checkpoint_records(spark: SparkSession, path: str, schema: str) -> DataFrame
 
     A file is held as one text by the task that reads it: an appended file is one batch of records.
     """
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("_path"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("_lines"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_path"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("_lines"))
     lines = files.select("_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_i", "_line")).where(F.trim("_line") != "")
     parsed = lines.withColumn("_r", F.from_json("_line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}))
     broken = F.col("_r._corrupt_record").isNotNull()
-    inside = F.raise_error(F.concat(F.lit("corrupt record inside "), F.col("_path"), F.lit(", line "), (F.col("_i") + 1).cast("string"))).cast("boolean")
+    # hashed, since the planner takes an error that is cast for a null
+    inside = F.xxhash64(F.raise_error(F.concat(F.lit("corrupt record inside "), F.col("_path"), F.lit(", line "), (F.col("_i") + 1).cast("string")))) == 0
     return parsed.where(F.when(broken & (F.col("_i") + 1 < F.col("_n")), inside).otherwise(~broken)).select("_r.*").drop("_corrupt_record")
 
 

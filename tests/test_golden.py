@@ -146,10 +146,10 @@ def test_chunks(spark):
 
 def test_citations_and_paragraphs(spark):
     text = "As in (2013) 5 SCC 762 and [2020] 3 S.C.R. 15, also 2021 INSC 44, AIR 1973 SC 1461, (2013) 5 SCC 762 and Article 32."
-    r = one(spark, c=F.transform(L.citations(F.lit(text)), lambda x: x["key"]), p=L.paragraphs(F.lit("1. One here\nmore\n2. Two")), s=L.sections(F.lit("Title\nHeadnote\nabc\nHeld\nxyz\nHeadnote\ndef")))
+    r = one(spark, c=F.transform(L.citations(F.lit(text)), lambda x: x["key"]), p=L.paragraphs(F.lit("1. One here\nmore\n2. Two")), s=L.sections(F.lit("Title\nHeadnotes\nabc\nCase Law Citied\nxyz\nHeadnotes\ndef")))
     assert r.c == ["SCR:2020:3:15", "INSC:2021:44", "SCC:2013:5:762", "AIR:1973:1461", "ARTICLE:32"]
     assert [(p.number, p.text) for p in r.p] == [(1, "1. One here\nmore"), (2, "2. Two")]
-    assert r.s == {"caption": "Title", "Headnote": "abc\ndef", "Held": "xyz"}
+    assert r.s == {"caption": "Title", "headnote": "abc\ndef", "case_law_cited": "xyz"}
 
 
 def test_graph(spark):

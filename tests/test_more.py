@@ -25,7 +25,7 @@ def test_located_claims(spark):
     assert (stats.total_claims, stats.total_sentences, stats.claims_per_sentence) == (3, 2, 1.5)
 
 
-@pytest.mark.parametrize("text,n", [('[{"k": 1}, {"k": 2}]', 2), ('```json\n[{"k": 1}]\n```', 1), ('So: [{"k": 1}] there', 1), ('[{"k": 1}, {"k"', 1)])
+@pytest.mark.parametrize("text,n", [('[{"k": 1}, {"k": 2}]', 2), ('```json\n[{"k": 1}]\n```', 1), ('So: [{"k": 1}] there', 1), ('[{"k": 1}, {"k"', 1), ('so [{"k": 1}, {"k": 2', 2), ('```\n[{"k": 1}, {"k": 2}', 2)])
 def test_recovered_json(spark, text, n):
     assert spark.range(1).select(F.size(recovered_json(F.lit(text), "array<struct<k:int>>")).alias("n")).first().n == n
 

@@ -50,6 +50,30 @@ def test_publish(spark, tmp_path):
     assert S.published(spark, str(tmp_path / "s")).count() == 2
 
 
+def test_versions_are_restored_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "s")
+    make = lambda ids: (spark.createDataFrame([(i, i) for i in ids], "chunk_id string, text string"), spark.createDataFrame([(i, [1.0]) for i in ids], "chunk_id string, v array<double>"))
+    one, two = S.publish(*make("ab"), path), S.publish(*make("bc"), path)
+    assert S.versions(spark, path) == [one, two] and {r.chunk_id for r in S.published(spark, path).collect()} == {"b", "c"}
+    assert [r.chunk_id for r in S.obsolete_ids(S.published(spark, path, one), S.published(spark, path)).collect()] == ["a"]
+    S.restored(spark, path, one)
+    assert {r.chunk_id for r in S.published(spark, path).collect()} == {"a", "b"}
+    three = S.publish(*make("d"), path)
+    assert S.pruned(spark, path, 2) == [two] and [r.chunk_id for r in S.published(spark, path).collect()] == ["d"] and S.versions(spark, path)[-1] == three
+    with pytest.raises(ValueError):
+        S.restored(spark, path, "v0")
+
+
+def test_checkpoints_drop_a_torn_last_line_only(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"example_id": "1", "x": 1}\n\n{"example_id": "2", "x": 2}\n{"example_id": "3", "x"')
+    (tmp_path / "b.jsonl").write_text('{"example_id": "4", "x": 4}\n')
+    read = lambda: S.checkpoint_records(spark, str(tmp_path), "example_id string, x int")
+    assert sorted((r.example_id, r.x) for r in read().collect()) == [("1", 1), ("2", 2), ("4", 4)]
+    (tmp_path / "c.jsonl").write_text('{"example_id": "5"\n{"example_id": "6", "x": 6}\n')
+    with pytest.raises(Exception, match="corrupt record inside .*c.jsonl, line 1"):
+        read().collect()
+
+
 def test_upsert_and_vectors(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([("2", "c", 1.0)], "k string, v string, extra double")
