@@ -21,6 +21,17 @@ def uniform(purpose: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def normal(purpose: str, *parts: Column) -> Column:
+    """A standard normal number from two uniform ones."""
+    u, v = uniform(purpose + ":u", *parts), uniform(purpose + ":v", *parts)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def pareto(shape: float, purpose: str, *parts: Column) -> Column:
+    """A Pareto number of at least one."""
+    return F.pow(1 - uniform(purpose, *parts), F.lit(-1.0 / shape))
+
+
 def cases(spark: SparkSession, sizes: tuple[int, ...] = (0, 1, 2, 3, 4, 5), repeats: int = 5) -> DataFrame:
     """case_id, mask, n_faults, repeat, near_threshold: all subsets of the five faults of the sizes given."""
     masks = spark.range(1 << len(FAULTS)).select(F.col("id").cast("int").alias("mask")).withColumn("n_faults", F.bit_count("mask"))

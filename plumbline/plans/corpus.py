@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import lexical_tokens
 from plumbline.operators import chunking as C
 from plumbline.operators import retrieval as R
 from plumbline.plans import inputs as I
@@ -148,9 +149,9 @@ sw AS (SELECT top_n::BIGINT AS top_n, win::BIGINT AS win, count(*) AS pairs, cou
 
 
 def _sweep(s, d):
-    pool = Q._bm25(s, d).join(Q._second(s, d).drop("rank").withColumnRenamed("score", "over"), ["query_id", "doc_id"], "left")
-    # the second arm keeps forty; scores beyond are found again from the texts
-    pool = pool.join(I.documents(s, d), "doc_id").join(I.questions(s, d), "query_id").withColumn("over", R.overlap_score(F.col("question"), F.col("text")))
+    tokens = Q._tokens(s, d)
+    asked = I.questions(s, d).select("query_id", F.array_distinct(lexical_tokens(F.col("question"))).alias("q"))
+    pool = Q._bm25(s, d, tokens=tokens).join(tokens.select("doc_id", "tokens"), "doc_id").join(asked, "query_id").withColumn("over", R.word_overlap(F.col("q"), F.col("tokens")))
     gold = R.shingle_gold(I.documents(s, d), I.questions(s, d)).withColumn("gold", F.lit(True))
     pool = pool.join(gold, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "over", F.coalesce("gold", F.lit(False)).alias("gold"))
     grid = F.explode(F.array(*[F.struct(F.lit(n).alias("top_n"), F.lit(w).alias("win")) for n, w in _GRID])).alias("g")

@@ -135,6 +135,32 @@ def fault_uniforms(s, d):
     return I.table(s, d, "events").select("event_id", F.round(X.uniform("noise", F.col("event_id"), F.col("user_id")), 9).alias("u"))
 
 
+def _draw(p: str) -> str:
+    return f"(('0x' || substr(sha256('{X.SEED}:{p}:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query("simulated_draws", f"SELECT event_id, round(sqrt(-2 * ln(1 - {_draw('noise:u')})) * cos(2 * pi() * {_draw('noise:v')}), 6) AS noise, round(pow(1 - {_draw('depth')}, -1 / 1.5::DOUBLE), 6) AS depth FROM events")
+def simulated_draws(s, d):
+    """Gaussian noise and Pareto depths from hashes, the same in any engine."""
+    i = F.col("event_id")
+    return I.table(s, d, "events").select("event_id", F.round(X.normal("noise", i), 6).alias("noise"), F.round(X.pareto(1.5, "depth", i), 6).alias("depth"))
+
+
+@query("rate_limit_waits", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, event_id, i, l, wait, ok) AS (SELECT user_id, event_id, i, [us], 0::BIGINT, TRUE FROM e WHERE i = 1 UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN w <= 20 * 3600000000 THEN list_append(l, us + w)[-2:] ELSE l END, w, w <= 20 * 3600000000 FROM (SELECT e.*, l, greatest(0, CASE WHEN len(l) >= 2 THEN l[1] + 86400000000 - us ELSE 0 END)::BIGINT AS w FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, wait AS wait_us, CASE WHEN wait = 0 THEN 1 WHEN wait <= 2 * 3600000000 THEN 2 WHEN wait <= 6 * 3600000000 THEN 3 WHEN wait <= 12 * 3600000000 THEN 4 ELSE 5 END::INTEGER AS attempts, ok AS admitted FROM r""")
+def rate_limit_waits(s, d):
+    """Two calls a day for each user; retries two, four, six and eight hours after the one before."""
+    from plumbline.streaming import traces as Z
+
+    at = _folder(s, "waits")
+    I.table(s, d, "events")
+    rows = Z.source(s, f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    Z.to_table(Z.admissions(rows, "user_id", "ts", "event_id", 2, 86_400, 4, 7_200), f"{at}/out", f"{at}/state")
+    return s.read.parquet(f"{at}/out").select("user_id", "event_id", "wait_us", "attempts", "admitted")
+
+
 # --- claims: escalation, missing evidence, backfill ---
 
 
@@ -253,6 +279,34 @@ def checkpoint_repair(s, d):
     return S.checkpoint_records(s, path, "example_id long, user_id long").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("source_partitions", "SELECT doc_id, lang, doc_id % 3 AS year FROM documents WHERE doc_id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5")
+def source_partitions(s, d):
+    """The first five of each language from two of three years' folders."""
+    path = _folder(s, "years")
+    I.documents(s, d, "lang").select("doc_id", "lang", (F.col("doc_id") % 3).alias("year"), F.col("lang").alias("court")).repartition("year", "court").write.partitionBy("year", "court").parquet(path)
+    return S.read_partitions(s, path, "court", "doc_id", 5, "year <> 1").select("doc_id", "lang", F.col("year").cast("long").alias("year"))
+
+
+@query("vector_store", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 100 ELSE label END AS label, round(CASE WHEN vec_id % 10 = 4 THEN 0.5 ELSE embedding[1]::DOUBLE END, 6) AS first FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 2 = 0")
+def vector_store(s, d):
+    """Upserts, broken vectors embedded again, a deletion, and a look at the even ids."""
+    v = I.table(s, d, "embeddings").withColumn("label", F.col("label").cast("long"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    store = v.withColumn("embedding", F.when(F.col("vec_id") % 10 == 4, zero).otherwise(F.col("embedding")))
+    store = S.upserted(store, store.where("vec_id % 3 = 0").withColumn("label", F.lit(100).cast("long")), "vec_id")
+    store = S.repaired(store, v.select("vec_id", F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding")), "vec_id")
+    store = Y.without(store, v.where("vec_id % 7 = 0").select("vec_id"), "vec_id")
+    got = S.by_ids(store, v.where("vec_id % 2 = 0"), "vec_id")
+    kind = dict(I.table(s, d, "embeddings").dtypes)["label"]
+    return got.select("vec_id", F.col("label").cast(kind).alias("label"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("top_documents", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def top_documents(s, d):
+    """A report of the twenty longest."""
+    return S.top(I.documents(s, d, "n_chars"), F.desc("n_chars"), "doc_id", 20).select("doc_id", "n_chars")
+
+
 # --- memory upkeep ---
 
 

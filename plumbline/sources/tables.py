@@ -62,6 +62,17 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return df.where(F.col(group).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def read_partitions(spark: SparkSession, path: str, group: str, order: str, limit: int, where: str | None = None) -> DataFrame:
+    """Rows of a table in key=value folders: those under the partitions asked for (only they are listed), `limit` of each group, none without a group."""
+    rows = spark.read.parquet(path)
+    return first_per_group(rows.where(where) if where else rows, group, order, limit)
+
+
+def top(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The n best rows over all, by the key on ties."""
+    return df.orderBy(order, key).limit(n)
+
+
 def widened(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows appended under the union of both headers."""
     return old.unionByName(new, allowMissingColumns=True)
@@ -177,6 +188,17 @@ def bad_vectors(vectors: DataFrame, v: str = "embedding") -> DataFrame:
     return vectors.where(~F.coalesce(finite, F.lit(False)) | (norm == 0))
 
 
+def repaired(vectors: DataFrame, again: DataFrame, key: str, v: str = "embedding") -> DataFrame:
+    """`vectors` with those of bad_vectors() embedded anew (key, v); all other columns as they were, and a vector that isn't there again stays."""
+    bad = bad_vectors(vectors, v).select(key).join(again.select(key, F.col(v).alias("_v")), key)
+    return vectors.join(bad, key, "left").withColumn(v, F.coalesce("_v", v)).select(*vectors.columns)
+
+
+def by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of a store by id."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def cache_split(texts: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(hits with their vectors, misses) of a content-addressed embedding cache."""
     return texts.join(cache, key), texts.join(cache.select(key), key, "left_anti").dropDuplicates([key])

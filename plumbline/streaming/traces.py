@@ -60,6 +60,34 @@ def ring_states(stream: DataFrame, key: str, ts: str, item: str, size: int = 10)
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, items array<long>, seen long", "ts array<long>, items array<long>, seen long", "update", "NoTimeout")
 
 
+def admissions(stream: DataFrame, key: str, ts: str, item: str, calls: int = CALLS, period: int = PERIOD, retries: int = 4, backoff: int = 2) -> DataFrame:
+    """(key, item, wait_us, attempts, admitted): each key's calls under a limit of `calls` in any `period` seconds.
+
+    A call waits until the slot of the call `calls` before it is free. Attempts
+    come after backoff, 2 backoff, ... seconds more each time; a call whose slot
+    isn't free by the last retry is refused and takes none. State: the times of
+    the last `calls` admitted ones. Calls of a batch are taken in order of time.
+    """
+    kinds = dict(stream.dtypes)
+    waits = [sum(backoff * 1_000_000 * k for k in range(1, n + 1)) for n in range(retries + 1)]
+
+    def step(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values([ts, item])
+        out = []
+        for at, name in zip(rows[ts].astype("int64") // 1000, rows[item]):
+            free = held[0] + period * 1_000_000 if len(held) >= calls else at
+            wait = max(0, int(free - at))
+            attempt = next((n for n, w in enumerate(waits) if w >= wait), None)
+            if attempt is not None:
+                held = [*held, int(at) + wait][-calls:]
+            out.append((group[0], name, wait, retries + 1 if attempt is None else attempt + 1, attempt is not None))
+        state.update((held,))
+        yield pd.DataFrame(out, columns=[key, item, "wait_us", "attempts", "admitted"])
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {item} {kinds[item]}, wait_us long, attempts int, admitted boolean", "held array<long>", "append", "NoTimeout")
+
+
 def split_tags(stream: DataFrame, key: str, order: str, token: str) -> DataFrame:
     """Thinking and answer of each key's token stream so far (state: the text that came; tags may be cut anywhere)."""
     kind = dict(stream.dtypes)[key]

@@ -77,7 +77,13 @@ def test_reports(spark, data):
     with pytest.raises(ValueError):
         d.report("../x")
     with pytest.raises(ValueError):
-        report.rendered({}, "pdf")
+        report.rendered({}, "docx")
+    paper = d.report(t, "pdf")
+    assert paper.startswith(b"%PDF-1.4") and paper.endswith(b"%%EOF\n") and b"(SUMMARY) Tj" in paper
+    at = int(paper.split(b"startxref\n")[1].split(b"\n")[0])
+    assert paper[at : at + 4] == b"xref" and report.pdf("x\n" * 130).count(b"/Type /Page ") == 3
+    assert "| m | 2 | 0.5000 |" in report.of_comparison(spark.createDataFrame([("m", 2, 0.5)], "metric string, n long, mean double"))
+    assert "1 of 2 experiments" in report.of_suite([{"key": "a", "status": "complete", "summary": {"r": 1.0}}, {"key": "b", "status": "failed", "error": "no"}])
     assert set(d.artifacts(t)) == {"facts", "matrix", "causes", "actions", "chains"}
     assert PD.facts(spark, data).count() == d.facts.count()
 
