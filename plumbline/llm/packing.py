@@ -30,7 +30,7 @@ END_ID = 1
 #: Documents in a group, on average.
 GROUP_DOCS = 2048
 #: Distinct words whose ids a worker remembers at most.
-_REMEMBER = 400_000
+_REMEMBER = 700_000
 _TOGETHER = 3_000_000
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
