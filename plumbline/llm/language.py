@@ -150,8 +150,8 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
 
     About `rows` rows of each language are used, chosen by a hash of the row, so
     that the fit costs the same at any size, also where many texts are copies;
-    rows that repeat as a whole are used together or not at all. A slot has one
-    64-bit word for every 64 languages: 4 MB for so many.
+    rows that repeat as a whole count once. A slot has one 64-bit word for every
+    64 languages: 4 MB for so many.
     """
     ship(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
@@ -161,7 +161,7 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS_A_LANGUAGE) -> Filters:
     if not languages:
         return Filters([], slots)
     cut = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(1.0, rows / sizes[name]) * 2**31))])
-    sample = known.where(F.pmod("h", F.lit(2**31)) <= cut[F.col("lang")]).select("text", "lang")
+    sample = known.where(F.pmod("h", F.lit(2**31)) <= cut[F.col("lang")]).dropDuplicates(["lang", "h"]).select("text", "lang")
     used = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     place = {name: i for i, name in enumerate(languages)}
 
