@@ -49,3 +49,16 @@ def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     `rows` smallest hashes, and those of all tasks are cut again.
     """
     return df.distinct().orderBy(F.xxhash64(*df.columns, F.lit(17)), *df.columns).limit(rows)
+
+
+def integer_vectors(df: DataFrame, scale: int, size: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """df with `x`, each vector's components as integers floor(scale * component), components read as doubles.
+
+    Rows whose vector is null, holds a null, NaN or infinite component, or has
+    another number of components than `size` (where given) are left out.
+    """
+    v = F.col(vector_col)
+    sound = v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    if size is not None:
+        sound &= F.size(v) == size
+    return df.where(sound).withColumn("x", F.transform(v, lambda e: F.floor(e.cast("double") * scale).cast("long")))

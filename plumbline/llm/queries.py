@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.clusters import op11_clusters, op11_sql
 from plumbline.llm.language import op4_language
 from plumbline.llm.licenses import op9_licenses, op9_sql
 from plumbline.llm.media import op7_media
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
+    "op11_clusters": op11_clusters,
 }
 
-ORACLE = {"op9_licenses": op9_sql()}
+ORACLE = {"op9_licenses": op9_sql(), "op11_clusters": op11_sql()}
