@@ -7,6 +7,7 @@ from plumbline.llm.language import op4_language
 from plumbline.llm.licenses import op9_licenses, op9_sql
 from plumbline.llm.media import op7_media
 from plumbline.llm.mixing import op5_mixing
+from plumbline.llm.negatives import OP12_SQL, op12_hard_negatives
 from plumbline.llm.packing import op3_packing
 from plumbline.llm.quality import op1_quality
 from plumbline.llm.rules import op8_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
     "op11_clusters": op11_clusters,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLE = {"op9_licenses": op9_sql(), "op11_clusters": op11_sql()}
+ORACLE = {"op9_licenses": op9_sql(), "op11_clusters": op11_sql(), "op12_hard_negatives": OP12_SQL}
