@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.bpe import op13_bpe
 from plumbline.llm.clusters import op11_clusters, op11_sql
 from plumbline.llm.language import op4_language
 from plumbline.llm.licenses import op9_licenses, op9_sql
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_clusters": op11_clusters,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE = {"op9_licenses": op9_sql(), "op11_clusters": op11_sql(), "op12_hard_negatives": OP12_SQL}
