@@ -68,8 +68,11 @@ def citations(text: Column) -> Column:
         F.when(z["g2"] == "", "SECTION").otherwise("ACT"), F.when(z["g2"] == "", F.concat(F.lit("SECTION:"), z["g1"])).otherwise(F.concat(F.lit("ACT:"), act(z), F.lit(":S"), z["g1"])), z["g0"])))
     parts.append(F.transform(_found(text, ARTICLE, 1), lambda z: row(F.lit("ARTICLE"), F.concat(F.lit("ARTICLE:"), z["g1"]), z["g0"])))
     none = F.array().cast("array<struct<kind:string,key:string,raw:string>>")
-    every = F.concat(*[F.coalesce(x, none) for x in parts])
-    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["key"]), x["key"]) == i + 1)
+    every = F.transform(F.concat(*[F.coalesce(x, none) for x in parts]), lambda x, i: F.struct(x["key"].alias("key"), i.alias("place"), x["kind"].alias("kind"), x["raw"].alias("raw")))
+    # sorted by key, so that each first one stands beside what comes before it; every step is bound once and reads the array once
+    first = F.transform(F.array(F.array_sort(every)), lambda s: F.filter(s, lambda x, i: ~x["key"].eqNullSafe(F.get(s, i - 1)["key"])))
+    ordered = F.array_sort(F.transform(F.get(first, F.lit(0)), lambda x: F.struct(x["place"], x["kind"], x["key"], x["raw"])))
+    return F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"), x["raw"].alias("raw")))
 
 
 def paragraphs(text: Column, preamble: int = 200) -> Column:
@@ -138,10 +141,28 @@ def research_value(n_cases: Column, n_statutes: Column, n_sections: Column, n_pa
     return 2 * n_cases + n_statutes + 3 * n_sections + 0.25 * F.least(n_paragraphs, F.lit(40))
 
 
+SHORTEST = 500
+
+
 def parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, sections, paragraphs and citations; texts under 500 characters are left out."""
-    rows = docs.where(F.length("text") >= 500)
-    return rows.select("doc_id", sections(F.col("text")).alias("sections"), paragraphs(F.col("text")).alias("paragraphs"), citations(F.col("text")).alias("citations"))
+    """doc_id, sections, paragraphs, citations and failure: one row for each document.
+
+    A text of fewer than SHORTEST characters (or none) is no judgment: its row says so in
+    `failure` and has no parts.
+    """
+    short = F.coalesce(F.length("text"), F.lit(0)) < SHORTEST
+    part = lambda x: F.when(~short, x)
+    return docs.select("doc_id", part(sections(F.col("text"))).alias("sections"), part(paragraphs(F.col("text"))).alias("paragraphs"), part(citations(F.col("text"))).alias("citations"),
+                       F.when(short, F.concat(F.lit("text of "), F.coalesce(F.length("text"), F.lit(0)).cast("string"), F.lit(" characters"))).alias("failure"))
+
+
+def chunks(judgments: DataFrame, docs: DataFrame, budget: int = 2000, window: int = 2000, overlap: int = 200) -> DataFrame:
+    """legal_chunks() of the judgments; a document whose text gives none is cut into fixed windows (section `body`)."""
+    own = legal_chunks(judgments, budget)
+    rest = docs.join(own.select("doc_id").distinct(), "doc_id", "left_anti").where(F.length(_bare(F.col("text"))) > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - overlap), F.lit(window - overlap))
+    cut = rest.select("doc_id", F.explode(starts).alias("at"), "text").select("doc_id", F.lit("body").alias("section"), F.lit(None).cast("int").alias("first_number"), F.expr(f"substring(text, at, {window})").alias("text"))
+    return own.unionByName(cut.select("doc_id", "section", "first_number", "text"))
 
 
 def legal_chunks(judgments: DataFrame, budget: int = 2000) -> DataFrame:

@@ -139,6 +139,33 @@ def graph_treatments(s, d):
     return G.treatments(I.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), line.alias("text"))).select("doc_id", "key", "relation")
 
 
+_CASES = """li AS (SELECT l_suppkey AS doc_id, l_orderkey AS o, l_linenumber AS l, l_partkey % 10 AS w, l_orderkey % 4 = 0 AS air, 1950 + l_orderkey % 70 AS y, l_linenumber + 1 AS v, l_orderkey AS n FROM lineitem),
+ke AS (SELECT *, CASE WHEN air THEN 'AIR:' || y || ':' || n ELSE 'SCC:' || y || ':' || v || ':' || n END AS key FROM li)"""
+
+
+def case_tables(s, d):
+    """doc_id, text: a table of cases for each supplier, a line for each of its items: reporters and words of treatment vary from line to line, and keys repeat."""
+    o, y = F.col("l_orderkey"), 1950 + F.col("l_orderkey") % 70
+    case = F.when(o % 4 == 0, F.format_string("AIR %d SC %d", y, o)).otherwise(F.format_string("(%d) %d SCC %d", y, F.col("l_linenumber") + 1, o))
+    word = F.get(F.array(*[F.lit(w) for w in _WORDS]), (F.col("l_partkey") % 10).cast("int"))
+    rows = I.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.struct(o, "l_linenumber", F.concat_ws("  ", case, word).alias("line")).alias("x"))
+    # a supplier has about 600 items at every scale
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("case_table_citations", f"""WITH {_CASES}, f AS (SELECT doc_id, key, air, min((o, l)) AS first FROM ke GROUP BY 1, 2, 3)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY air, first) - 1 AS place, key FROM f""")
+def case_table_citations(s, d):
+    """Texts with hundreds of citations: each key once, by pattern and first place."""
+    rows = case_tables(s, d).select("doc_id", F.posexplode(L.citations(F.col("text"))).alias("place", "c"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "c.key")
+
+
+@query("case_table_treatments", f"""WITH {_CASES} SELECT doc_id, key, ['CASE_OVERRULES_CASE', 'CASE_OVERRULES_CASE', 'CASE_DISTINGUISHES_CASE', 'CASE_DOUBTS_CASE', 'CASE_DOES_NOT_FOLLOW_CASE', 'CASE_FOLLOWS_CASE', 'CASE_FOLLOWS_CASE', 'CASE_APPROVES_CASE', 'CASE_CITES_CASE', 'CASE_CITES_CASE'][w + 1] AS relation, count(*) AS n FROM ke GROUP BY 1, 2, 3""")
+def case_table_treatments(s, d):
+    return G.treatments(case_tables(s, d)).groupBy("doc_id", "key", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 _CITES = "ct AS (SELECT page_id AS src, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst, CASE WHEN k = 2 THEN 'SAME_COURT' ELSE 'CITES' END AS relation, page_id * 3 + k AS ordinal FROM pages, (SELECT unnest([0, 1, 1, 2]) AS k, unnest([0, 1, 2, 3]) AS j))"
 
 

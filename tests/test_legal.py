@@ -1,6 +1,7 @@
 """Judgments as they are printed: citations, sections and claim places by hand, and the dense search against numpy."""
 
 import difflib
+import time
 
 import numpy as np
 import pytest
@@ -33,6 +34,20 @@ def test_citations_of_nothing(spark):
     assert spark.range(1).select(L.citations(F.lit(None).cast("string")).alias("k")).first().k == []
 
 
+def test_thousands_of_citations_take_little_time(spark):
+    """3,000 citations, each twice: as many keys, in the order of the text."""
+    def timed(n):
+        text = "; ".join(f"(2013) {i % 12 + 1} SCC {i} and Article {i}" for i in [*range(n // 2)] * 2)
+        rows = spark.createDataFrame([(text,)], "text string").coalesce(1).select(F.transform(L.citations(F.col("text")), lambda x: x["key"]).alias("k"))
+        began = time.perf_counter()
+        return rows.first().k, time.perf_counter() - began
+
+    _, idle = timed(2)  # planning and the start of a job
+    keys, took = timed(3000)
+    assert keys == [f"SCC:2013:{i % 12 + 1}:{i}" for i in range(1500)] + [f"ARTICLE:{i}" for i in range(1500)]
+    assert took - idle < 1
+
+
 MODERN = """[2021] 4 S.C.R. 9
 Alpha v. Beta
 Issue for Consideration
@@ -138,3 +153,17 @@ def test_graph_save_and_memory_cascade(spark, tmp_path):
         G.loaded(spark, str(tmp_path / "h"))
     found = spark.createDataFrame([(1, 1, "s", "q1", "a1", 0.5), (1, 2, "t", "q2", "a2", 0.25)], "query_id int, rank int, session_id string, question string, answer string, score double")
     assert Y.context(found, F.lit("t")).first().context == "--- Previous conversation 1 (Relevance: 0.50) ---\nQ: q1\nA: a1\n\n--- Current Session Interaction 2 (Relevance: 0.25) ---\nQ: q2\nA: a2\n"
+
+
+def test_short_texts_have_a_failure_row(spark):
+    rows = spark.createDataFrame([(1, "Short."), (2, None), (3, MODERN * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.parsed(rows).collect()}
+    assert got[1].failure == "text of 6 characters" and got[2].failure == "text of 0 characters" and got[1].sections is None
+    assert got[3].failure is None and got[3].sections["judgment"]
+
+
+def test_texts_without_chunks_are_cut_by_length(spark):
+    docs = spark.createDataFrame([(1, "x" * 4500), (2, "Headnotes\n" + "y" * 60), (3, " ")], "doc_id long, text string")
+    judged = docs.select("doc_id", L.sections(F.col("text")).alias("sections"), F.array().cast("array<struct<number:int,text:string>>").alias("paragraphs")).where("doc_id <> 1")
+    got = sorted((r.doc_id, r.section, len(r.text)) for r in L.chunks(judged, docs).collect())
+    assert got == [(1, "body", 900), (1, "body", 2000), (1, "body", 2000), (2, "headnote", 60)]
