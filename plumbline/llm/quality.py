@@ -18,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_sample, table
+from plumbline.llm.common import bounded_sample, discard, table, written
 from plumbline.session import ship
 
 BUCKETS = 1 << 18
 #: Labelled documents that the fit uses at most.
 FIT_ROWS = 8_000
-#: Documents are kept if the probability of the top grade is at least this.
-KEEP_TAIL = 0.6
+#: Distinct features that the fit uses at most: those that tell the grades apart best.
+FIT_FEATURES = 4_096
+#: Of the sound labelled documents, the share that the fitted cutoff of the tail probability keeps.
+KEEP_SOUND = 0.99
+#: The cutoff where fewer sound labels than LEAST_SOUND speak for one, and the range of fitted ones.
+KEEP_TAIL, LEAST_SOUND, CUTOFFS = 0.6, 50, (0.5, 0.95)
+#: A feature tells grades apart if its sum over a grade lies this many standard deviations from chance, and at this correlation.
+LEAST_Z, LEAST_EFFECT = 4.5, 0.05
 _REMEMBER = 400_000
 _SHAPES = ("plain", "symbols", "capitals", "digits", "bare mark")
 _MARKS = frozenset("#*$%&|<>!?=~^")
@@ -78,28 +84,29 @@ def features(text: str | None, known: _Words) -> tuple[list[int], list[float]]:
     """Hashed features of a text: each distinct word once, and the shares."""
     words = (text or "").split()
     found = [known[w] for w in words]
-    buckets = list({b for _, b in found})
+    buckets = sorted({b for _, b in found})
     return buckets + _SHARE_BUCKETS, [1.0] * len(buckets) + _shares(words, [s for s, _ in found])
 
 
 @dataclass
 class CumulativeLink:
-    """weights by bucket; thresholds in increasing order, one fewer than the grades."""
+    """weights by bucket; thresholds in increasing order, one fewer than the grades; documents are kept at `cutoff`."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cutoff: float = KEEP_TAIL
 
     @staticmethod
     def fit(grades: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], n_grades: int = 3,
-            rounds: int = 600, ridge: float = 2e-5, least_z: float = 5.0, least_effect: float = 0.2) -> CumulativeLink:
+            rounds: int = 600, ridge: float = 2e-4, least_z: float = LEAST_Z, least_effect: float = LEAST_EFFECT) -> CumulativeLink:
         """Penalised maximum likelihood by Adam, over features that pass a score test.
 
-        A feature enters if its correlation with some grade is `least_effect`,
-        and its sum over that grade's texts `least_z` standard deviations from
-        what chance would give (about 5 holds the family-wise error of all
-        buckets at 5 %); the others keep weight zero, so that rare words and
-        words of often-copied texts don't explain noise. Without rows, all
-        weights are zero and every text is put in the top grade.
+        A feature enters if three texts have it, its correlation with some grade
+        is `least_effect`, and its sum over that grade's texts lies `least_z`
+        standard deviations from what chance would give; the others keep weight
+        zero. Words that only a few toxic texts have pass, since a grade's own
+        spread is what they are held against. Without rows, all weights are
+        zero and every text is put in the top grade.
         """
         weights = np.zeros(BUCKETS, np.float32)
         if not len(grades):
@@ -182,13 +189,54 @@ def fit_grades(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Cumu
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(chosen), "doc_id")  # `rows` rows of two numbers at most
     once = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = once.orderBy("doc_id", "grade").select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").toArrow()
+    found = written(once.select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").distinct(), "rated-features")  # copies count once
+    telling = np.array(sorted(r.col for r in telling_features(found).collect()), np.int32)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, vals, keep = [], [], np.isin
+            for c, v in zip(batch.column(1), batch.column(2)):
+                c, v = c.values.to_numpy(), v.values.to_numpy()
+                inside = keep(c, telling)
+                cols.append(c[inside])
+                vals.append(v[inside])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["grade", "cols", "vals"])
+
+    # FIT_ROWS rows of FIT_FEATURES features of 8 bytes at most; few texts have more than a hundred of them
+    got = found.orderBy(F.xxhash64("grade", "cols", "vals"), "grade", "cols").mapInArrow(narrowed, "grade int, cols array<int>, vals array<float>").toArrow()
+    discard(found)
     lists = lambda c: np.split(got.column(c).combine_chunks().flatten().to_numpy(), np.cumsum(got.column(c).combine_chunks().value_lengths().to_numpy())[:-1])
     if not got.num_rows:
         return CumulativeLink.fit(np.zeros(0, int), [], [])
-    grades, cols, vals = got.column("grade").to_numpy().astype(np.int64), lists("cols"), lists("vals")
-    once = list({(g, c.tobytes(), v.tobytes()): i for i, (g, c, v) in enumerate(zip(grades.tolist(), cols, vals))}.values())  # copies count once
-    return CumulativeLink.fit(grades[once], [cols[i] for i in once], [vals[i] for i in once])
+    return fit_with_cutoff(got.column("grade").to_numpy().astype(np.int64), lists("cols"), lists("vals"))
+
+
+def telling_features(found: DataFrame, n_grades: int = 3, features: int = FIT_FEATURES) -> DataFrame:
+    """(col, z): the features of rated texts (grade, cols, vals) that pass the score test of CumulativeLink.fit, `features` at most."""
+    sizes = {r.grade: r.n for r in found.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a grade
+    n = sum(sizes.values())
+    each = found.select("grade", F.explode(F.arrays_zip("cols", "vals")).alias("x")).select("grade", F.col("x.cols").alias("col"), F.col("x.vals").cast("double").alias("v"))
+    at = lambda k: F.when(F.col("grade") == k, F.col("v")).otherwise(0.0)
+    sums = each.groupBy("col").agg(F.count(F.lit(1)).alias("texts"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), *[F.sum(at(k)).alias(f"s{k}") for k in range(n_grades)])
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s") / max(n, 1), F.lit(1e-9)))
+    share = [sizes.get(k, 0) / max(n, 1) for k in range(n_grades)]
+    z = F.greatest(*[F.abs(F.col(f"s{k}") - p * F.col("s")) / (spread * max(1e-9, (p * (1 - p)) ** 0.5)) for k, p in enumerate(share)])
+    passed = sums.where("texts >= 3").select("col", z.alias("z")).where(F.col("z") >= max(LEAST_Z, LEAST_EFFECT * n**0.5) - 1e-6)
+    return passed.orderBy(F.desc("z"), "col").limit(features)
+
+
+def fit_with_cutoff(grades: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> CumulativeLink:
+    """A fit on all rows; its cutoff keeps KEEP_SOUND of the sound ones, as fits on either half judge the other."""
+    half, tails = np.arange(len(grades)) % 2, []
+    for h in (0, 1):
+        own, other = np.flatnonzero(half == h), np.flatnonzero((half != h) & (grades == grades.max()))
+        model = CumulativeLink.fit(grades[own], [columns[i] for i in own], [values[i] for i in own], rounds=300)
+        tails.append(model.predict(np.array([model.weights[columns[i]].astype(float) @ values[i] for i in other]), 2)[1])
+    model = CumulativeLink.fit(grades, columns, values)
+    sound = np.concatenate(tails)
+    if len(sound) >= LEAST_SOUND:
+        model.cutoff = float(np.clip(np.quantile(sound, 1 - KEEP_SOUND), *CUTOFFS))
+    return model
 
 
 def _weigher(weights: np.ndarray):
@@ -203,16 +251,18 @@ def _weigher(weights: np.ndarray):
     return find
 
 
-def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float = KEEP_TAIL, least_grade: int = 2) -> DataFrame:
+def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float | None = None, least_grade: int = 2) -> DataFrame:
     """doc_id, expected_grade, tail_prob and keep, one row for each row of docs.
 
     Null texts are judged as empty ones, a null doc_id stays null, rows that
     repeat and texts of the same words are judged alike, very long texts are one
     list of words in memory, other columns play no part, and an empty table
-    gives no row. A tail probability equal to keep_tail is kept.
+    gives no row. A tail probability equal to keep_tail (by default the model's
+    cutoff) is kept.
     """
     ship(docs.sparkSession)
     weights, top = model.weights, least_grade
+    keep_tail = model.cutoff if keep_tail is None else keep_tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(_weigher(weights))
@@ -234,10 +284,15 @@ def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float =
     return rows.mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_prob double, keep boolean")
 
 
-def kept_documents(docs: DataFrame, model: CumulativeLink, keep_tail: float = KEEP_TAIL, least_grade: int = 2) -> DataFrame:
-    """The documents that the model keeps, with all their columns as they were."""
+def kept_documents(docs: DataFrame, model: CumulativeLink, keep_tail: float | None = None, least_grade: int = 2) -> DataFrame:
+    """The documents that the model keeps, with all their columns as they were.
+
+    Nulls, repeated rows, very long texts and ties at the cutoff are judged as
+    by predicted_grades; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     weights = model.weights
+    keep_tail = model.cutoff if keep_tail is None else keep_tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(_weigher(weights))

@@ -427,11 +427,23 @@ def test_language_counts_equal_sets(spark):
 # --- quality ---
 
 
-def test_quality_separates(spark, data):
-    d = data.replace("0.001", "0.01")
-    got = QUERIES["op1_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
-    clean, bad = [r for r in got if r.quality == 1 and not r.toxic], [r for r in got if r.quality == 0]
-    assert sum(r.keep for r in clean) / len(clean) > 0.95 and sum(r.keep for r in bad) / len(bad) < 0.2
+@pytest.mark.parametrize("half", [0, 1])
+def test_quality_separates_held_out_rows(spark, data, half):
+    """Fitted on every second label, judged on the others, toxic ones of good quality included."""
+    docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_grades(docs, labels.where(f"doc_id % 2 = {half}"))
+    got = quality.predicted_grades(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels.where(f"doc_id % 2 <> {half}"), "doc_id").collect()
+    kept = lambda rows: sum(r.keep for r in rows) / len(rows)
+    assert kept([r for r in got if r.quality == 1 and not r.toxic]) >= 0.97
+    assert kept([r for r in got if r.toxic]) <= 0.05 and kept([r for r in got if r.toxic and r.quality == 1]) <= 0.05
+    assert kept([r for r in got if r.quality == 0 and not r.toxic]) <= 0.1
+
+
+def test_the_fit_reads_telling_features_only(spark, monkeypatch):
+    rows = [(2, [1, 7], [1.0, 1.0])] * 1 + [(g, [10 + i, g, 99], [1.0, 1.0, 1.0]) for i, g in enumerate([0, 1, 2] * 40)]
+    found = spark.createDataFrame(rows, "grade int, cols array<int>, vals array<float>")
+    assert {r.col for r in quality.telling_features(found).collect()} == {0, 1, 2}
+    assert quality.telling_features(found, features=2).count() == 2 and quality.telling_features(found.limit(0)).count() == 0
 
 
 def test_predicted_grades_equal_brute_force(spark, docs, labels):
@@ -445,7 +457,7 @@ def test_predicted_grades_equal_brute_force(spark, docs, labels):
         shares = [shapes[k] / n for k in range(1, 5)] + [sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n]
         score = sum(float(model.weights[quality._bucket(p)]) for p in distinct) + sum(float(model.weights[b]) * math.sqrt(s) for b, s in zip(quality._SHARE_BUCKETS, shares))
         above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
-        assert r.expected_grade == pytest.approx(sum(above), abs=1e-6) and r.tail_prob == pytest.approx(above[1], abs=1e-6) and r.keep == (r.tail_prob >= quality.KEEP_TAIL)
+        assert r.expected_grade == pytest.approx(sum(above), abs=1e-6) and r.tail_prob == pytest.approx(above[1], abs=1e-6) and r.keep == (r.tail_prob >= model.cutoff)
 
 
 def test_samples_are_bounded(spark):
