@@ -19,41 +19,47 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
-from plumbline.llm.tokens import VOCABULARY, RankMerger, vocabulary_path
+from plumbline.llm.tokens import VOCABULARY, RankMerger, _byte_symbols, vocabulary_path
 from plumbline.llm.transducer import Transducer, compiled
 from plumbline.session import shared_folder, ship
 
 #: Words of the lexicon, the most frequent ones; rarer ones are merged.
-LEXICON_WORDS = 30_000
+LEXICON_WORDS = 100_000
 #: Bytes of a lexicon's word at most.
 LEXICON_BYTES = 48
 #: Distinct pre-tokens that a task counts before it hands its counts on.
 _COUNTED = 200_000
 #: Distinct pre-tokens whose ids a worker remembers at most.
-_REMEMBER = 150_000
+_REMEMBER = 300_000
 #: Pre-tokens with more bytes than this are merged by themselves.
 _LONG = 512
 #: Characters of texts that are worked on together, beyond a single text.
 _TOGETHER = 1_000_000
 
 
-def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Spans of texts of about _TOGETHER characters."""
+def _together(sizes: np.ndarray, most: int = _TOGETHER) -> Iterator[tuple[int, int]]:
+    """Spans of rows that together have `most` units, or one row with more."""
+    ends = np.cumsum(sizes)
     at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= _TOGETHER):
-            size += len(texts[end])
-            end += 1
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, end
         at = end
 
 
+def _texts(column: pa.StringArray) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of a column in spans of bounded size; null texts are empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for at, end in _together(sizes):
+        yield at, end, [t or "" for t in column.slice(at, end - at).to_pylist()]
+
+
 class BytePairs:
     """Encodes texts to ids and decodes ids to texts, under a byte-level vocabulary file."""
 
@@ -63,11 +69,6 @@ class BytePairs:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
-        vocab = spec["model"]["vocab"] | self.special
-        of_char = dict(zip(_characters(vocab, self.merger.start), range(256)))
-        self.bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes[i] = token.encode() if token in self.special else bytes(of_char[c] for c in token)
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[list[str] | str]:
@@ -81,18 +82,16 @@ class BytePairs:
             at = m.end()
         return [*out, find(text[at:])]
 
-    def _merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of words of some bytes each, merging each word's pair of lowest rank in every round."""
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words of some bytes each, merging each word's pair of lowest rank in every round."""
         m = self.merger
-        sizes = np.array([len(w) for w in words], np.int64)
         symbols = m.start[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), sizes)
-        done: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        done, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(symbols):
             inside = owner[:-1] == owner[1:]
             ranks = np.append(np.where(inside, m._ranks(symbols[:-1], symbols[1:]), m.none), m.none)
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            first = np.flatnonzero(np.r_[True, ~inside])
             lowest = np.minimum.reduceat(ranks, first)
             best = np.repeat(lowest, np.diff(np.r_[first, len(symbols)]))
             over = best == m.none  # words without a pair left
@@ -106,11 +105,8 @@ class BytePairs:
             stays = ~over
             stays[chosen + 1] = False
             symbols, owner = symbols[stays], owner[stays]
-        if not done:
-            return [np.zeros(0, np.int32) for _ in words]
         who = np.concatenate(owners)
-        ids = np.concatenate(done)[np.argsort(who, kind="stable")].astype(np.int32)
-        return np.split(ids, np.cumsum(np.bincount(who, minlength=len(words)))[:-1])
+        return np.bincount(who, minlength=len(words)), np.concatenate(done)[np.argsort(who, kind="stable")]
 
     def _merged_long(self, word: bytes) -> np.ndarray:
         """The ids of one long word: pairs wait in a heap by rank and place, in time n log n."""
@@ -143,18 +139,21 @@ class BytePairs:
         """The ids of each word as 32-bit numbers, from the lexicon or else by merging."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         out: list[bytes] = [b""] * len(raw)
+
+        def put(places: list[int], sizes: np.ndarray, numbers: np.ndarray) -> None:
+            packed, ends = numbers.astype("<i4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+            for i, start, end in zip(places, [0, *ends], ends):
+                out[i] = packed[start:end]
+
         rest = range(len(raw))
         if self.lexicon is not None:
             found, sizes, numbers = self.lexicon.lookup([b if len(b) <= LEXICON_BYTES else b"" for b in raw])
-            packed, end = numbers.astype("<i4").tobytes(), np.cumsum(sizes) * 4
-            for i in np.flatnonzero(found).tolist():
-                out[i] = packed[end[i] - 4 * sizes[i] : end[i]]
+            put(np.flatnonzero(found).tolist(), sizes[found], numbers)
             rest = np.flatnonzero(~found).tolist()
         short = [i for i in rest if len(raw[i]) <= _LONG]
         for at in range(0, len(short), 1 << 14):
             some = short[at : at + (1 << 14)]
-            for i, ids in zip(some, self._merged([raw[i] for i in some])):
-                out[i] = ids.astype("<i4").tobytes()
+            put(some, *self._merged([raw[i] for i in some]))
         for i in rest:
             if len(raw[i]) > _LONG:
                 out[i] = self._merged_long(raw[i]).astype("<i4").tobytes()
@@ -170,30 +169,50 @@ class BytePairs:
 
     def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for at, end in _together(texts):
-            held = [self.pieces(t) for t in texts[at:end]]
-            self._learn({w for parts in held for part in parts if not isinstance(part, str) for w in part})
-            ids = self.known.__getitem__
-            for parts in held:
-                yield np.frombuffer(b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(ids, p)) for p in parts), "<i4")
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no character become U+FFFD, unknown ids nothing."""
-        known = self.bytes
-        return b"".join([known[i] for i in ids if 0 <= i < len(known)]).decode("utf-8", "replace")
-
+        held = [self.pieces(t) for t in texts]
+        self._learn(set().union(*(part for parts in held for part in parts if not isinstance(part, str))))
+        ids = self.known.__getitem__
+        for parts in held:
+            yield np.frombuffer(b"".join([self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(ids, p)) for p in parts]), "<i4")
 
-def _characters(vocab: dict[str, int], start: np.ndarray) -> list[str]:
-    """The character that stands for each byte."""
-    single = {i: t for t, i in vocab.items() if len(t) == 1}
-    return [single[int(i)] for i in start]
 
+class TokenBytes:
+    """What each id of a byte-level vocabulary file stands for, end to end in one array of bytes."""
 
-@lru_cache(maxsize=2)
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"] | special
+        of_char = {c: b for b, c in enumerate(_byte_symbols())}
+        known = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            known[i] = token.encode() if token in special else bytes([of_char[c] for c in token])
+        self.sizes = np.array([len(b) for b in known], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(known), np.uint8)
+
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids that lie end to end, `sizes` of them a text; bytes that are no character become U+FFFD, unknown ids nothing."""
+        inside = (ids >= 0) & (ids < len(self.sizes))
+        ids = np.where(inside, ids, 0)
+        lengths = np.where(inside, self.sizes[ids], 0)
+        before = np.cumsum(lengths) - lengths
+        raw = self.pool[np.repeat(self.first[ids] - before, lengths) + np.arange(lengths.sum())].tobytes()
+        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+
+@lru_cache(maxsize=1)
 def _codec(path: str, lexicon: str | None) -> BytePairs:
     return BytePairs(path, SparkFiles.get(lexicon) if lexicon else None)
 
 
+@lru_cache(maxsize=1)
+def _token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
 def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS, text_col: str = "text") -> DataFrame:
     """(word, n): the most frequent pre-tokens of all documents as bytes, with their counts; ties go by the bytes."""
     ship(docs.sparkSession)
@@ -208,10 +227,11 @@ def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = L
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in codec.pieces(text or ""):
-                    if not isinstance(part, str):
-                        seen.update(part)
+            for _, _, texts in _texts(batch.column(0)):
+                for text in texts:
+                    for part in codec.pieces(text):
+                        if not isinstance(part, str):
+                            seen.update(part)
                 if len(seen) > _COUNTED:
                     yield counts()
         yield counts()
@@ -253,9 +273,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, lexicon_name: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary_path(vocabulary), lexicon_name)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, end in _together(texts):
-                ids = list(codec.encoded(texts[at:end]))
+            for at, end, texts in _texts(batch.column(1)):
+                ids = list(codec.encoded(texts))
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), flat], ["doc_id", "ids"])
@@ -270,10 +289,14 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     rest = [f for f in ids.schema.fields if f.name not in ("ids", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary_path(vocabulary), None)
+        known = _token_bytes(vocabulary_path(vocabulary))
         for batch in batches:
-            texts = [codec.decode([i for i in x if i is not None] if x else []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array(texts, pa.string())], [*[f.name for f in rest], "text"])
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, end in _together(sizes):
+                ids = pc.fill_null(lists.slice(at, end - at).flatten(), -1).to_numpy(zero_copy_only=False)
+                texts = pa.array(known.decoded(ids, sizes[at:end]), pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(at, end - at) for f in rest], texts], [*[f.name for f in rest], "text"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "text string"])
     return ids.select(*[f.name for f in rest], "ids").mapInArrow(run, schema)
