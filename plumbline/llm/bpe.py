@@ -24,13 +24,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import discard, table, written
 from plumbline.llm.tokens import VOCABULARY, RankMerger, _byte_symbols, vocabulary_path
 from plumbline.llm.transducer import Transducer, compiled
 from plumbline.session import shared_folder, ship
 
 #: Words of the lexicon, the most frequent ones; rarer ones are merged.
 LEXICON_WORDS = 100_000
+#: Words that the documents have fewer times aren't worth a place there.
+LEAST_COUNT = 8
 #: Bytes of a lexicon's word at most.
 LEXICON_BYTES = 48
 #: Distinct pre-tokens that a task counts before it hands its counts on.
@@ -213,8 +215,12 @@ def _token_bytes(path: str) -> TokenBytes:
     return TokenBytes(path)
 
 
-def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, n): the most frequent pre-tokens of all documents as bytes, with their counts; ties go by the bytes."""
+def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS, text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
+    """(word, n): the most frequent pre-tokens of all documents as bytes, with their counts.
+
+    Words of about equal counts (in one of classes of 4 %) go together; with the
+    next class there would be more than `words`.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +243,16 @@ def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = L
         yield counts()
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n long")
-    short = found.where(F.length("word") <= LEXICON_BYTES)
-    return short.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    counted = found.where(F.length("word") <= LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = written(counted.withColumn("size", F.floor(16 * F.log2("n")).cast("int")), "word-counts")
+    # counts fall into classes of about 4 %, a thousand at most; as many of the greatest classes as fit are taken
+    room, lowest = words, None
+    for r in sorted(counted.groupBy("size").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.size):
+        room -= r.words
+        if room < 0:
+            break
+        lowest = r.size
+    return counted.where(F.col("size") >= (lowest if lowest is not None else 1 << 20)).select("word", "n")
 
 
 def lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS, text_col: str = "text") -> str:
@@ -248,7 +262,9 @@ def lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_
     driver; the file lies in the shared folder and executors fetch it once.
     """
     spark = docs.sparkSession
-    rows = sorted(bytes(r.word) for r in frequent_words(docs, vocabulary, words, text_col).collect())
+    frequent = frequent_words(docs, vocabulary, words, text_col)
+    rows = sorted(bytes(r.word) for r in frequent.collect())
+    discard(frequent)
     ids = BytePairs(vocabulary_path(vocabulary)).word_ids([w.decode() for w in rows])
     content = compiled((w, tuple(np.frombuffer(i, "<i4").tolist())) for w, i in zip(rows, ids))
     name = f"lexicon-{hashlib.sha256(content).hexdigest()[:16]}.bin"
