@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_tokens
-from plumbline.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RERANK_WINDOW, FINAL, TOP_K = 40, 20, 6, 5
@@ -34,9 +33,9 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], limit: int | No
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, dl, tokens) as a written table: texts are split into words once for all that reads them."""
+    """(doc_id, dl, tokens). Each reader splits the texts anew; a stored index (lexical_index) does it once."""
     rows = docs.select(F.col(id_col).alias("doc_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    return written(rows.select("doc_id", F.size("tokens").alias("dl"), "tokens"), "tokens")
+    return rows.select("doc_id", F.size("tokens").alias("dl"), "tokens")
 
 
 def _term_weights(tokens: DataFrame) -> DataFrame:

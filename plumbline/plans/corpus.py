@@ -149,9 +149,8 @@ sw AS (SELECT top_n::BIGINT AS top_n, win::BIGINT AS win, count(*) AS pairs, cou
 
 
 def _sweep(s, d):
-    tokens = Q._tokens(s, d)
     asked = I.questions(s, d).select("query_id", F.array_distinct(lexical_tokens(F.col("question"))).alias("q"))
-    pool = Q._bm25(s, d, tokens=tokens).join(tokens.select("doc_id", "tokens"), "doc_id").join(asked, "query_id").withColumn("over", R.word_overlap(F.col("q"), F.col("tokens")))
+    pool = Q._bm25(s, d).join(Q._index(s, d).documents().select("doc_id", "terms"), "doc_id").join(asked, "query_id").withColumn("over", R.word_overlap(F.col("q"), F.col("terms")))
     gold = R.shingle_gold(I.documents(s, d), I.questions(s, d)).withColumn("gold", F.lit(True))
     pool = pool.join(gold, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "over", F.coalesce("gold", F.lit(False)).alias("gold"))
     grid = F.explode(F.array(*[F.struct(F.lit(n).alias("top_n"), F.lit(w).alias("win")) for n, w in _GRID])).alias("g")

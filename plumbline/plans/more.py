@@ -74,11 +74,11 @@ def ircot_steps(s, d):
     """Interleaved retrieval; the default planner asks for the question's words that the evidence lacks."""
     from plumbline.functions.text import lexical_tokens
 
-    tokens, q = R.tokenized(I.documents(s, d)), I.questions(s, d)
-    retrieve = lambda qs: R.bm25_ranking(tokens, qs, R.FINAL)
+    index, q = PR._index(s, d), I.questions(s, d)
+    tokens, retrieve = index.documents(), lambda qs: index.search(qs, R.FINAL)
 
     def plan(evidence, i):
-        seen = evidence.select("query_id", "doc_id").join(tokens, "doc_id").join(q, "query_id").select("query_id", F.array_intersect(lexical_tokens(F.col("question")), "tokens").alias("w"))
+        seen = evidence.select("query_id", "doc_id").join(tokens, "doc_id").join(q, "query_id").select("query_id", F.array_intersect(lexical_tokens(F.col("question")), "terms").alias("w"))
         found = seen.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
         missing = F.array_except(F.array_distinct(lexical_tokens(F.col("question"))), "w")
         return q.join(found, "query_id").select("query_id", F.when(F.size(missing) > 0, F.array_join(missing, " ")).alias("follow_up"), (F.size(missing) == 0).alias("enough"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_tokens
+from plumbline.operators import lexical_index as X
 from plumbline.operators import metrics as M
 from plumbline.operators import retrieval as R
 from plumbline.plans import inputs as I
+from plumbline.session import remove, shared_folder, written
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,17 +48,18 @@ over0 AS (SELECT a.query_id, tf.doc_id, count(*) / max(s.n)::DOUBLE AS score FRO
 second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM over0 QUALIFY rank <= 40)"""
 
 
-def _tokens(s, d):
-    return R.tokenized(I.documents(s, d))
+def _index(s, d):
+    """The stored index of the documents, which all lexical queries of an application share."""
+    return X.stored(I.documents(s, d))
 
 
-def _bm25(s, d, limit=R.POOL, tokens=None):
-    return R.bm25_ranking(tokens or _tokens(s, d), I.questions(s, d), limit)
+def _bm25(s, d, limit=R.POOL):
+    return _index(s, d).search(I.questions(s, d), limit)
 
 
-def _second(s, d, tokens=None):
+def _second(s, d):
     """The second arm: overlap of distinct words."""
-    return R.overlap_ranking(tokens or _tokens(s, d), I.questions(s, d))
+    return _index(s, d).overlap(I.questions(s, d))
 
 
 def _dense(s, d, limit=R.POOL):
@@ -74,7 +79,7 @@ SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS id
 
 @query("bm25_idf", _IDF)
 def bm25_idf(s, d):
-    return R.bm25_terms(I.documents(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(s, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
@@ -83,6 +88,43 @@ def bm25_topk(s, d):
     return _bm25(s, d, 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("lexical_index_build", f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT (SELECT count(*) FROM t) AS n_docs, (SELECT round(avg(len(t)), 6) FROM t) AS mean_dl, (SELECT count(DISTINCT term) FROM w) AS n_terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM w)) AS n_postings")
+def lexical_index_build(s, d):
+    """An index of all documents from scratch, and what it holds; the folder goes again."""
+    index = X.LexicalIndex(s, f"{shared_folder(s)}/lexical-{uuid.uuid4().hex[:12]}")
+    index.add(I.documents(s, d))
+    held = index.terms().agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
+    out = written(index.counts().select("n_docs", F.round("mean_dl", 6).alias("mean_dl")).crossJoin(F.broadcast(held)), "lexical-build")  # one row
+    remove(s, index.path)
+    return out
+
+
+@query("lexical_index_audit", f"WITH {_BM25} SELECT (SELECT count(*) FROM (SELECT DISTINCT query_id FROM sparse)) AS n_questions, (SELECT count(*) FROM sparse WHERE rank <= 10) AS n_rows, TRUE AS same_rows, TRUE AS skips_blocks")
+def lexical_index_audit(s, d):
+    """The two-phase search against scoring all postings: as many rows, all the same, from fewer blocks."""
+    index, q = _index(s, d), I.questions(s, d)
+    found = index.search(q, 10).select("query_id", "doc_id", "rank")
+    whole = R.ranked(index.scores(q), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id", "rank")
+    met = found.withColumn("a", F.lit(1)).join(whole.withColumn("b", F.lit(1)), ["query_id", "doc_id", "rank"], "full")
+    rows = met.agg(F.countDistinct("query_id").alias("n_questions"), F.count("a").alias("n_rows"), F.coalesce(F.every(F.col("a").isNotNull() & F.col("b").isNotNull()), F.lit(True)).alias("same_rows"))
+    blocks = index.bounds(q).agg(F.sum("n_blocks").alias("every")).crossJoin(F.broadcast(index.reached(q, 10).agg(F.sum("n_blocks").alias("read"))))  # one row
+    return rows.crossJoin(F.broadcast(blocks.select((F.col("read") < F.col("every")).alias("skips_blocks"))))  # one row
+
+
+@query("lexical_index_segments", f"WITH {_BM25.replace('FROM documents)', 'FROM documents WHERE doc_id % 7 <> 3)')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 5")
+def lexical_index_segments(s, d):
+    """Three segments one after the other, from which documents are then deleted; some of those come back in a fourth and go again."""
+    docs, index = I.documents(s, d), X.LexicalIndex(s, f"{shared_folder(s)}/lexical-{uuid.uuid4().hex[:12]}")
+    for k in range(3):
+        index.add(docs.where(F.col("doc_id") % 3 == k))
+    index.delete(docs.where("doc_id % 7 = 3"))
+    index.add(docs.where("doc_id % 14 = 3"))
+    index.delete(docs.where("doc_id % 14 = 3"))
+    out = written(index.search(I.questions(s, d), 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")), "lexical-segments")
+    remove(s, index.path)
+    return out
+
+
 @query("dense_topk", f"WITH {_DENSE} SELECT query_id, doc_id, rank, round(distance, 6) AS distance FROM dense WHERE rank <= 10")
 def dense_topk(s, d):
     return _dense(s, d, 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
@@ -101,8 +143,7 @@ SELECT query_id, doc_id, dense_rank, sparse_rank, round(s, 9) AS rrf_score, row_
 
 
 def _fused(s, d, mode):
-    tokens = _tokens(s, d)
-    out = R.candidates(mode, _second(s, d, tokens), _bm25(s, d, tokens=tokens))
+    out = R.candidates(mode, _second(s, d), _bm25(s, d))
     return out.select("query_id", "doc_id", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -112,15 +153,14 @@ for _m, _n in (("hybrid", "rrf_fusion"), ("vector", "retrieval_mode_vector"), ("
 
 @query("pool_statistics", f"WITH {_BM25}, {_OVER} SELECT query_id, count(DISTINCT doc_id) AS pool_size FROM (SELECT query_id, doc_id FROM sparse UNION ALL SELECT query_id, doc_id FROM second) GROUP BY 1")
 def pool_statistics(s, d):
-    tokens = _tokens(s, d)
-    return R.pool_statistics(_second(s, d, tokens).withColumn("distance", 1 - F.col("score")), _bm25(s, d, tokens=tokens)).select("query_id", "pool_size")
+    return R.pool_statistics(_second(s, d).withColumn("distance", 1 - F.col("score")), _bm25(s, d)).select("query_id", "pool_size")
 
 
 @query("two_corpus_merge", f"""WITH {_BM25}, half AS (SELECT s.query_id, s.doc_id, s.score, t.lang = 'en' AS en, row_number() OVER (PARTITION BY s.query_id, t.lang = 'en' ORDER BY round(s.score, 6) DESC, s.doc_id) AS r FROM scores s JOIN toks t ON t.doc_id = s.doc_id WHERE score > 0)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM half WHERE r <= 20 QUALIFY rank <= 5""")
 def two_corpus_merge(s, d):
     """Results among English documents and among the others, merged (scored over the whole collection)."""
-    scored = R.bm25_scores(I.documents(s, d), I.questions(s, d)).where("score > 0").join(I.table(s, d, "documents").select("doc_id", (F.col("lang") == "en").alias("en")), "doc_id")
+    scored = _index(s, d).scores(I.questions(s, d)).join(I.table(s, d, "documents").select("doc_id", (F.col("lang") == "en").alias("en")), "doc_id")
     halves = [R.ranked(scored.where(w).drop("en"), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], 20) for w in ("en", "not en")]
     return R.merged_corpora(*halves).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -128,10 +168,9 @@ def two_corpus_merge(s, d):
 @query("rerank_lexical", f"""WITH {_BM25}, {_OVER}, pool AS (SELECT s.query_id, s.doc_id, s.rank, o.score FROM sparse s JOIN over0 o ON o.query_id = s.query_id AND o.doc_id = s.doc_id WHERE s.rank <= 20)
 SELECT query_id, doc_id, rank AS prior_rank, round(score, 6) AS reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS rank_now FROM pool QUALIFY rank_now <= 6""")
 def rerank_lexical(s, d):
-    tokens = _tokens(s, d)
     asked = I.questions(s, d).select("query_id", F.array_distinct(lexical_tokens(F.col("question"))).alias("q"))
-    pool = _bm25(s, d, R.RERANK_WINDOW, tokens).join(tokens.select("doc_id", "tokens"), "doc_id").join(asked, "query_id")
-    out = R.reranked(pool.withColumn("reranker_score", R.word_overlap(F.col("q"), F.col("tokens"))))
+    pool = _bm25(s, d, R.RERANK_WINDOW).join(_index(s, d).documents().select("doc_id", "terms"), "doc_id").join(asked, "query_id")
+    out = R.reranked(pool.withColumn("reranker_score", R.word_overlap(F.col("q"), F.col("terms"))))
     return out.select("query_id", "doc_id", F.col("prior_rank").cast("long").alias("prior_rank"), F.round("reranker_score", 6).alias("reranker_score"), F.col("rank").cast("long").alias("rank_now"))
 
 
@@ -228,8 +267,7 @@ m AS (SELECT a.arm, g.query_id, round(count(gold.doc_id) FILTER (a.rank <= 10) /
 
 def _arms(s, d):
     gold = R.shingle_gold(I.documents(s, d), I.questions(s, d))
-    tokens = _tokens(s, d)
-    arms = _bm25(s, d, tokens=tokens).select(F.lit("bm25").alias("arm"), "query_id", "doc_id", "rank").unionByName(_second(s, d, tokens).select(F.lit("overlap").alias("arm"), "query_id", "doc_id", "rank"))
+    arms = _bm25(s, d).select(F.lit("bm25").alias("arm"), "query_id", "doc_id", "rank").unionByName(_second(s, d).select(F.lit("overlap").alias("arm"), "query_id", "doc_id", "rank"))
     sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     hits = arms.join(sizes, "query_id").join(gold.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     return hits.groupBy("arm", "query_id").agg(F.round(F.count_if((F.col("rank") <= 10) & (F.col("hit") == 1)) / F.max("n"), 4).alias("recall"))

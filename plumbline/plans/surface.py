@@ -419,8 +419,7 @@ def arm_runs(s, d):
     """The three arms without a reranker or a loop, from one set of rankings."""
     from plumbline.operators.retrieval import rrf
 
-    tokens = PR._tokens(s, d)
-    sparse, second = PR._bm25(s, d, tokens=tokens), PR._second(s, d, tokens)
+    sparse, second = PR._bm25(s, d), PR._second(s, d)
     rankings = {"bm25": sparse, "vector": second, "hybrid": rrf(second, sparse)}
     out = [St.run_arm(a, rankings).select(F.lit(a).alias("arm"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for a in ("A_bm25", "A_vector", "B_hybrid")]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -429,8 +428,7 @@ def arm_runs(s, d):
 @query("appended_chunks", f"WITH {PR._BM25}, {PR._OVER}, b AS (SELECT query_id, doc_id, rank FROM sparse WHERE rank <= 4), z AS (SELECT query_id, max(rank) AS size FROM b GROUP BY 1), x AS (SELECT s.query_id, s.doc_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.rank, s.doc_id) AS n FROM second s ANTI JOIN b ON b.query_id = s.query_id AND b.doc_id = s.doc_id QUALIFY n <= 2) SELECT * FROM b UNION ALL SELECT x.query_id, x.doc_id, coalesce(size, 0) + n FROM x LEFT JOIN z USING (query_id)")
 def appended_chunks(s, d):
     """Four chunks of one arm, then two new ones of the other."""
-    tokens = PR._tokens(s, d)
-    out = St.appended(PR._bm25(s, d, 4, tokens), PR._second(s, d, tokens), 2)
+    out = St.appended(PR._bm25(s, d, 4), PR._second(s, d), 2)
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 

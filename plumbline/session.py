@@ -42,7 +42,35 @@ def shared_folder(spark: SparkSession) -> str:
         base = f"file:///tmp/checkpoints/{sc.applicationId}"
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tables-{sc.applicationId}"
+    path = f"{base.rstrip('/')}/tables-{sc.applicationId}"
+    if getattr(sc, "_plumbline_folder", None) != path:  # what an application wrote for itself goes when it ends
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        sc._plumbline_folder = path
+    return path
+
+
+def subfolders(spark: SparkSession, path: str, name: str | None = None) -> list[str]:
+    """Names in a folder of any store that Spark reads, or those equal to `name`; none where it isn't there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return [n for n in found if name in (None, n)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by written(), once nothing reads it."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tables-" in name:
+            remove(df.sparkSession, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

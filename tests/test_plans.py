@@ -13,7 +13,8 @@ def plan(df):
 
 def test_topk_is_cut_before_the_shuffle(spark, data):
     text = plan(catalogue.QUERIES["bm25_topk"](spark, data))
-    assert text.count("WindowGroupLimit") == 2 and "CartesianProduct" not in text
+    assert text.count("WindowGroupLimit") == 4 and "CartesianProduct" not in text  # of the ranges that set the threshold, and of the result
+    assert "BroadcastNestedLoopJoin BuildRight, Cross" in text and "BroadcastNestedLoopJoin BuildRight, Inner" not in text  # one row of counts
 
 
 def test_scans_read_the_columns_used(spark, data):
