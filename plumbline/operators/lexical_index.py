@@ -14,7 +14,6 @@ scored then. The result is exact.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_tokens
 from plumbline.operators.retrieval import EPSILON, K1, POOL, B, asked_terms, ranked, small
-from plumbline.session import remove, shared_folder, subfolders
+from plumbline.session import file_key, remove, shared_folder, subfolders
 
 #: Documents of a range, and so postings of a block, on average at most.
 RANGE_DOCS = 256
@@ -199,19 +198,9 @@ class LexicalIndex:
 
 
 def stored(docs: DataFrame) -> LexicalIndex:
-    """The index of a stored table's documents, built at its first use in this application and found again later.
-
-    It is known by the names, sizes and times of the table's files, so a table that changes has another one.
-    """
+    """The index of a stored table's documents, built at its first use in this application and found again later."""
     spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    seen = []
-    for name in sorted(docs.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        state = path.getFileSystem(conf).getFileStatus(path)
-        seen.append(f"{name}:{state.getLen()}:{state.getModificationTime()}")
-    key = uuid.uuid5(uuid.NAMESPACE_URL, re.sub(r"\s+", " ", "\n".join([*seen, *docs.columns]))).hex[:16]
-    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{key}")
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{file_key(docs)}")
     if not index.segments():
         remove(spark, index.path)  # of a build that broke off
         index.add(docs)

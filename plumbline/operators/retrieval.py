@@ -105,9 +105,8 @@ def cosine(x: Column, y: Column) -> Column:
 _BLOCK, _ASKED = 2048, 512
 
 
-def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, name: str) -> DataFrame:
-    """Blocks of about `rows` rows by a hash of the id: (name_block, name_ids, name_vectors)."""
-    n = max(1, -(-df.count() // rows))
+def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataFrame:
+    """n blocks by a hash of the id: (name_block, name_ids, name_vectors)."""
     keyed = df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(f"{name}_block"), F.struct(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
     return keyed.groupBy(f"{name}_block").agg(F.collect_list("x").alias("l")).select(f"{name}_block", F.transform("l", lambda x: x["i"]).alias(f"{name}_ids"), F.transform("l", lambda x: x["v"]).alias(f"{name}_vectors"))
 
@@ -136,12 +135,15 @@ def dense_ranking(vectors: DataFrame, questions: DataFrame, limit: int = POOL) -
     """(query_id, doc_id, distance, rank): nearest vectors by cosine distance, exactly; a vector without length is at distance 1.
 
     questions: query_id, q; a stated set of queries against all vectors. Blocks
-    of questions meet blocks of vectors, of bounded size each; a pair of blocks
-    is one product of matrices, of which only each question's nearest go on.
+    of questions are sent to each block of vectors, of bounded size each; a pair
+    of blocks is one product of matrices, of which only each question's nearest
+    go on. Vectors are shuffled once, into their blocks.
     """
     kinds = {k: t for k, t in [*vectors.select(F.col("doc_id").alias("doc_id")).dtypes, *questions.select("query_id").dtypes]}
-    pairs = _blocks(vectors, "doc_id", "v", _BLOCK, "v").crossJoin(_blocks(questions, "query_id", "q", _ASKED, "q"))
-    near = pairs.repartition("v_block", "q_block").mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
+    n = max(1, -(-vectors.count() // _BLOCK))
+    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q").withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    pairs = _blocks(vectors, "doc_id", "v", n, "v").join(asked, "v_block")
+    near = pairs.mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
     return ranked(near, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
 
 

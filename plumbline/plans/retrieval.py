@@ -10,6 +10,7 @@ from plumbline.functions.text import lexical_tokens
 from plumbline.operators import lexical_index as X
 from plumbline.operators import metrics as M
 from plumbline.operators import retrieval as R
+from plumbline.operators import vector_index as V
 from plumbline.plans import inputs as I
 from plumbline.session import remove, shared_folder, written
 
@@ -130,6 +131,50 @@ def dense_topk(s, d):
     return _dense(s, d, 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def _vectors(s, d):
+    return V.stored(I.vectors(s, d))
+
+
+def _near(s, d, limit=10):
+    return _vectors(s, d).search(I.vector_questions(s, d), limit)
+
+
+@query("ivf_topk")
+def ivf_topk(s, d):
+    """About the ten nearest vectors by the index; ivf_recall holds them against exact search."""
+    return _near(s, d).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+def _recalls(s, d):
+    exact, found = _dense(s, d, 10).select("query_id", "doc_id"), _near(s, d).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall_at_10"))
+
+
+@query("ivf_recall")
+def ivf_recall(s, d):
+    """The share of each question's ten nearest vectors that the index finds."""
+    return _recalls(s, d)
+
+
+@query("ivf_audit", "SELECT count(*) FILTER (vec_id % 50 = 0) AS n_questions, TRUE AS recall_reached, (SELECT count(*) FROM embeddings) AS n_indexed FROM embeddings")
+def ivf_audit(s, d):
+    """A mean recall of 0.9 is reached, and every vector is filed."""
+    return _recalls(s, d).agg(F.count(F.lit(1)).alias("n_questions"), (F.avg("recall_at_10") >= 0.9).alias("recall_reached")).crossJoin(F.broadcast(_vectors(s, d).vectors().agg(F.count(F.lit(1)).alias("n_indexed"))))  # one row
+
+
+@query("ivf_changes", """SELECT vec_id AS doc_id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 9 <> 4 AND vec_id % 40 <> 7
+UNION ALL SELECT vec_id, -1, round(-embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 40 = 7""")
+def ivf_changes(s, d):
+    """An index from which vectors are deleted and into which others are put in other vectors' place, and what it then holds."""
+    index, rows = V.VectorIndex(s, f"{shared_folder(s)}/vectors-{uuid.uuid4().hex[:12]}"), I.vectors(s, d)
+    index.build(rows)
+    index.delete(rows.where("doc_id % 9 = 4"))
+    index.upsert(rows.where("doc_id % 40 = 7").withColumn("v", F.transform("v", lambda x: -x)).withColumn("label", F.lit(-1)))
+    out = written(index.vectors().select("doc_id", "label", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first")), "vectors-held")
+    remove(s, index.path)
+    return out
+
+
 @query("dense_min_distance", f"WITH {_DENSE} SELECT query_id, count(*) AS pool_size, round(min(distance), 6) AS min_distance FROM dense GROUP BY 1")
 def dense_min_distance(s, d):
     return R.pool_statistics(_dense(s, d), None).select("query_id", "pool_size", F.round("min_distance", 6).alias("min_distance"))

@@ -66,6 +66,16 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def file_key(df: DataFrame) -> str:
+    """A name for what a stored table holds: of its columns and of its files' names, sizes and times."""
+    conf, seen = df.sparkSession.sparkContext._jsc.hadoopConfiguration(), list(df.columns)
+    for name in sorted(df.inputFiles()):
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        state = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{name}:{state.getLen()}:{state.getModificationTime()}")
+    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(seen)).hex[:16]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written(), once nothing reads it."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
