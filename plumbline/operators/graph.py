@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.records import numbered
+from plumbline.session import discard, written
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,16 +27,46 @@ def reverse(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return edges.join(targets.select("dst").distinct(), "dst", "left_semi")
 
 
+#: Seeds that share a long, a bit each.
+_BITS = 64
+
+
 def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, relations: list[str] | None = None) -> DataFrame:
-    """(seed, id, hop): nodes within `hops` edges of each seed, at their least distance; the seed itself at 0."""
+    """(seed, id, hop): nodes within `hops` edges of each seed, at their least distance; the seed itself at 0.
+
+    All seeds are searched at once: a node's row has a mask with a bit for each
+    of 64 seeds that reached it, so a hop joins the newly reached rows with
+    their edges and takes the union of masks by node. It shuffles a row for an
+    edge and a word of seeds at most, before the map-side union. Each hop is
+    written, and the search ends when a hop reaches nothing new. Seeds that
+    repeat count once, null ones not at all.
+    """
     used = edges if relations is None else edges.where(F.col("relation").isin(relations))
-    used = used.select("src", "dst").distinct()
-    seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"))
-    front = seen
-    for hop in range(1, hops + 1):
-        front = front.join(used, front["id"] == used["src"]).select("seed", F.col("dst").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen
+    used = used.select("src", "dst")
+    named = numbered(seeds.where("seed is not null").select("seed").distinct(), ["seed"], "_n").select("seed", F.floor(F.col("_n") / _BITS).alias("word"), (F.col("_n") % _BITS).cast("int").alias("bit"))
+    named = written(named, "seeds")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    front = written(named.groupBy(F.col("seed").alias("id"), "word").agg(F.bit_or(mask).alias("mask")), "reached")
+    levels, seen = [front], front
+    for _ in range(hops):
+        met = front.join(used, front["id"] == used["src"]).groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("mask").alias("mask"))
+        new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long"))))
+        fresh = met.where("id is not null").join(seen.withColumnRenamed("mask", "_old"), ["id", "word"], "left").select("id", "word", new.alias("mask")).where("mask <> 0")
+        front = written(fresh, "reached")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        if len(levels) <= hops:
+            newer = written(seen.unionByName(front).groupBy("id", "word").agg(F.bit_or("mask").alias("mask")), "seen")
+            if seen is not levels[0]:
+                discard(seen)
+            seen = newer
+    rows = None
+    for hop, level in enumerate(levels):
+        one = level.withColumn("hop", F.lit(hop))
+        rows = one if rows is None else rows.unionByName(one)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1).cast("long")) != 0)
+    return rows.select("id", "hop", "word", F.explode(bits).alias("bit")).join(named, ["word", "bit"]).select("seed", "id", "hop")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, chunks: DataFrame, hops: int = 2, limit: int = 3, relations: list[str] | None = None) -> DataFrame:
@@ -45,10 +76,26 @@ def expand(edges: DataFrame, seeds: DataFrame, chunks: DataFrame, hops: int = 2,
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _least(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(key, least): the n least different values of each key in order; each task cuts its own before the shuffle."""
+    order = Window.partitionBy(key).orderBy(value)
+    few = df.select(key, value).distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    return few.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("least"))
+
+
+def _onward(edges: DataFrame, ends: DataFrame, start: str, middle: str, name: str) -> DataFrame:
+    """edges with the least of their middle's ends that isn't their start: of the two least, one is another node. ends: middle, least."""
+    return edges.join(ends, middle).withColumn(name, F.get(F.filter("least", lambda x: x != F.col(start)), F.lit(0))).where(F.col(name).isNotNull()).drop("least")
+
+
 def chains(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with edges a-b and b-c of three different nodes, the first for each a."""
-    e1, e2 = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), edges.select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
-    paths = e1.join(e2, "b").where("a <> b and b <> c and a <> c")
+    """(a, b, c) with edges a-b and b-c of three different nodes, the first for each a.
+
+    A node's two least ends stand for all of them, so that a hub costs as many rows as it has edges.
+    """
+    e = edges.where("src <> dst").distinct()
+    ends = _least(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b", "c", 2)
+    paths = _onward(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ends, "a", "b", "c")
     return paths.groupBy("a").agg(F.min(F.struct("b", "c")).alias("p")).select("a", "p.b", "p.c")
 
 
@@ -135,17 +182,17 @@ def benchmark(cases: DataFrame, sections: DataFrame, edges: DataFrame, per_type:
     c = F.col
     both = edges.where("src <> dst").join(held.select(c("id").alias("src"), c("year").alias("src_year")), "src").join(held.select(c("id").alias("dst"), c("year").alias("dst_year")), "dst")
     citing = both.where(c("relation").isin("CASE_CITES_CASE", "CASE_FOLLOWS_CASE", "CASE_APPROVES_CASE")).select("src", "dst").distinct()
-    onward = both.where(c("relation").isin("CASE_CITES_CASE", "CASE_FOLLOWS_CASE")).select(c("src").alias("dst"), c("dst").alias("third")).distinct()
-    chains = citing.join(onward, "dst").where("third <> src").groupBy("src", "dst").agg(F.min("third").alias("third"))
+    onward = both.where(c("relation").isin("CASE_CITES_CASE", "CASE_FOLLOWS_CASE")).select(c("src").alias("dst"), c("dst").alias("third"))
+    chains = _onward(citing, _least(onward, "dst", "third", 2), "src", "dst", "third")
     statutes = edges.where(c("relation").isin("CASE_INTERPRETS_SECTION", "CASE_CITES_STATUTE")).join(held.select(c("id").alias("src")), "src")
     construed = statutes.where("relation = 'CASE_INTERPRETS_SECTION'").groupBy("src").agg(F.min("dst").alias("dst"))
-    shared = statutes.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("cases")).where(F.size("cases") >= 3)
+    shared = _least(statutes, "dst", "src", 4).withColumnRenamed("least", "cases").where(F.size("cases") >= 3)
     adverse = edges.where(c("relation").isin(*ADVERSE)).join(held.select(c("id").alias("src"), F.lit(True).alias("s")), "src", "left").join(held.select(c("id").alias("dst"), F.lit(True).alias("d")), "dst", "left").where("s or d")
     named = lambda s: sections.where(c("section") == s).groupBy("id").agg(F.max(F.length("text")).alias("n")).join(held.select("id"), "id", "left_semi")
     parts = [
         row("exact_citation", held.where("citation is not null"), c("id"), c("id")), row("lexical_mismatch", named("issue").where("n > 80"), c("id"), c("id")),
         row("single_hop", named("headnote"), c("id"), c("id")), row("case_to_case", citing, c("dst"), c("src"), c("dst")), row("case_to_statute", construed, c("dst"), c("src")),
-        shared.select(F.lit("statute_to_cases").alias("type"), c("dst").alias("subject"), F.slice("cases", 1, 4).alias("gold")),
+        shared.select(F.lit("statute_to_cases").alias("type"), c("dst").alias("subject"), c("cases").alias("gold")),
         row("citation_chain", chains, c("src"), c("src"), c("dst"), c("third")),
         adverse.select(F.lit("contradictory").alias("type"), c("dst").alias("subject"), F.filter(F.array(F.when(c("s"), c("src")), F.when(c("d"), c("dst"))), lambda x: x.isNotNull()).alias("gold")),
         row("temporal", both.where(c("relation").startswith("CASE_") & (c("src_year") > c("dst_year"))).select("src", "dst").distinct(), c("dst"), c("dst"), c("src")),

@@ -141,7 +141,7 @@ def dense_ranking(vectors: DataFrame, questions: DataFrame, limit: int = POOL) -
     """
     kinds = {k: t for k, t in [*vectors.select(F.col("doc_id").alias("doc_id")).dtypes, *questions.select("query_id").dtypes]}
     n = max(1, -(-vectors.count() // _BLOCK))
-    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q").withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q").withColumn("v_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     pairs = _blocks(vectors, "doc_id", "v", n, "v").join(asked, "v_block")
     near = pairs.mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
     return ranked(near, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
