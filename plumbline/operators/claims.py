@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import text_hash
-from plumbline.session import ship
 
 LEAST_RATIO = 0.6
 
@@ -20,49 +15,58 @@ def claim_id(trace_id: Column, number: Column) -> Column:
     return F.concat(trace_id.cast("string"), F.lit("_C"), F.lpad((number + 1).cast("string"), 3, "0"))
 
 
-def best_span(answer: str, claim: str) -> tuple[int, float]:
-    """Start and similarity of the stretch of the answer, as long as the claim, that is most like it; the first on ties.
+#: Letters of a gram; a band of starts has a quarter of the claim's length, BAND at least; bands that are searched.
+GRAM, BAND, BANDS = 3, 8, 3
+
+
+def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
+    """(key, claim_no, at, ratio): the stretch of the answer, as long as the claim, that is most like it. rows: key, claim_no, claim, answer.
 
-    Stretches are compared (by matching blocks) if they hold nine tenths as many
-    of the claim's trigrams as the stretch that holds most, or all of them where
-    none holds any. A stretch with fewer shared trigrams isn't seen, even if its
-    blocks would match better.
+    Grams of the answer vote for bands of starts: a gram at place a that the
+    claim has at place p speaks, once for each band, for the band of a - p
+    (moved to the first or last possible start). In the three bands with most
+    votes every start is tried; likeness is one less the edit distance over the
+    claim's length (or the answer's, if longer), ties go to the first. A claim
+    with fewer letters than a gram, or none of whose grams the answer has, has no row,
+    nor has one whose likeness is under LEAST_RATIO. Votes are rows of a join
+    on grams, at most five for a letter of the answer, whatever repeats in it.
     """
-    n = len(claim)
-    if not n or not answer:
-        return -1, 0.0
-    own = {claim[i : i + 3] for i in range(max(1, n - 2))}
-    shared = np.cumsum([0, *(answer[i : i + 3] in own for i in range(len(answer)))])
-    starts = np.arange(max(1, len(answer) - n + 1))
-    held = shared[np.minimum(starts + max(1, n - 2), len(answer))] - shared[starts]
-    likeness = difflib.SequenceMatcher(None, "", claim, autojunk=False)
-    best, found = 0.0, -1
-    for at in starts[held >= 0.9 * held.max()].tolist():
-        likeness.set_seq1(answer[at : at + n])
-        if likeness.quick_ratio() > best and (ratio := likeness.ratio()) > best:
-            best, found = ratio, at
-    return found, best
-
-
-def _nearest(answer: pd.Series, claim: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_span(a or "", c or "") for a, c in zip(answer, claim)], columns=["start", "ratio"])
+    n, m = F.length("claim"), F.length("answer")
+    known = rows.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 4), F.lit(BAND))}).where(n >= GRAM)
+    at = lambda text, place: F.substring(F.col(text), place + 1, F.lit(GRAM))
+    places = lambda text: F.explode(F.sequence(F.lit(0), F.length(text) - GRAM))
+    own = known.select(key, "claim_no", "last", "width", "claim", places("claim").alias("p")).select(key, "claim_no", "last", "width", "p", at("claim", F.col("p")).alias("gram"))
+    own = own.groupBy(key, "claim_no", "last", "width", "gram").agg(F.collect_list("p").alias("ps"))  # a claim's own places
+    said = known.where(m >= GRAM).dropDuplicates([key]).select(key, "answer", places("answer").alias("a")).select(key, "a", at("answer", F.col("a")).alias("gram"))
+    start = lambda p: F.least(F.greatest(F.col("a") - p, F.lit(0)), F.col("last"))
+    votes = said.join(own, [key, "gram"]).select(key, "claim_no", F.explode(F.array_distinct(F.transform("ps", lambda p: F.floor(start(p) / F.col("width"))))).alias("band"))
+    counted = votes.groupBy(key, "claim_no", "band").agg(F.count(F.lit(1)).alias("votes"))
+    w = Window.partitionBy(key, "claim_no").orderBy(F.desc("votes"), "band")
+    best = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BANDS).select(key, "claim_no", "band")
+    starts = F.sequence(F.col("band") * F.col("width"), F.least(F.col("band") * F.col("width") + F.col("width") - 1, F.col("last")))
+    tried = known.join(best, [key, "claim_no"]).select(key, "claim_no", "claim", "answer", F.explode(starts.cast("array<int>")).alias("at"))
+    stretch = F.substring(F.col("answer"), F.col("at") + 1, F.length("claim"))
+    longest = F.greatest(F.length("claim"), F.length(stretch))
+    distance = F.levenshtein(stretch, F.col("claim"))
+    likest = tried.select(key, "claim_no", F.struct((-(1 - distance / longest)).alias("r"), "at").alias("x")).groupBy(key, "claim_no").agg(F.min("x").alias("x"))
+    return likest.select(key, "claim_no", "x.at", (-F.col("x.r")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
 
 
 def located(claims: DataFrame, answers: DataFrame, key: str = "trace_id") -> DataFrame:
     """Claims (key, claim_no, claim) without empty and repeated ones, with ids, hashes and places in the answer.
 
     A claim that the answer holds has an exact place; the others, and only
-    they, are matched approximately; a claim without a place has -1.
+    they, are matched approximately (fuzzy_places); a claim without a place has -1.
     """
     text = F.trim("claim")
     first = Window.partitionBy(key, F.lower(text)).orderBy("claim_no")
-    ship(claims.sparkSession)
     own = claims.where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     rows = own.join(answers.select(key, "answer"), key).withColumn("at", F.instr(F.col("answer"), F.col("claim")) - 1)
     exact = rows.where("at >= 0").select(key, "claim_no", "claim", "at", F.lit("exact").alias("match_type"), F.lit(1.0).alias("match_confidence"))
-    rest = rows.where("at < 0").withColumn("m", F.pandas_udf(_nearest, "start int, ratio double")("answer", "claim"))
-    near = F.col("m.start").isNotNull() & (F.col("m.start") >= 0) & (F.col("m.ratio") >= LEAST_RATIO)
-    other = rest.select(key, "claim_no", "claim", F.when(near, F.col("m.start")).otherwise(-1).alias("at"), F.when(near, "fuzzy").otherwise("none").alias("match_type"), F.when(near, F.round("m.ratio", 3)).otherwise(0.0).alias("match_confidence"))
+    rest = rows.where("at < 0").drop("at")
+    near = F.col("ratio").isNotNull()
+    other = rest.join(fuzzy_places(rest, key), [key, "claim_no"], "left").select(
+        key, "claim_no", "claim", F.coalesce("at", F.lit(-1)).alias("at"), F.when(near, "fuzzy").otherwise("none").alias("match_type"), F.when(near, F.round("ratio", 3)).otherwise(0.0).alias("match_confidence"))
     out = exact.unionByName(other)
     return out.select(
         key, claim_id(F.col(key), F.col("claim_no")).alias("claim_id"), "claim_no", "claim", F.when(F.col("at") >= 0, F.concat(F.lit("S"), F.col("at").cast("string"))).otherwise(F.concat(F.lit("S_unresolved_"), F.col("claim_no").cast("string"))).alias("sentence_id"),

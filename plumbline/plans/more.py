@@ -38,11 +38,44 @@ def claim_places(s, d):
     return found.where("match_type = 'exact'").select("trace_id", "claim_id", "character_start", "character_end", "claim_hash")
 
 
-@query("claim_statistics")
+#: Letters of more than one byte in the texts, which the comparison's edit distance would count by bytes; each stands for a control character.
+_WIDE = "éèêçöäüßñóíáúÉÈÊÇÖÄÜÑÓÍÁÚ"
+_NARROW = " || ".join(f"chr({i})" for i in [*range(1, 9), 11, 12, *range(14, 28)][: len(_WIDE)])
+
+
+def _fuzzy_sql(rows: str) -> str:
+    """CTEs that end in fz (trace_id, claim_no, pos, ratio), from rows (trace_id, claim_no, claim, answer)."""
+    return f"""fr AS (SELECT *, length(claim) AS n, greatest(length(answer) - length(claim), 0) AS last, greatest(length(claim) // 4, {K.BAND}) AS width, translate(claim, '{_WIDE}', {_NARROW}) AS c1, translate(answer, '{_WIDE}', {_NARROW}) AS a1 FROM ({rows}) WHERE length(claim) >= {K.GRAM}),
+go AS (SELECT trace_id, claim_no, last, width, p, substr(claim, p + 1, {K.GRAM}) AS gram FROM fr, unnest(range(n - {K.GRAM - 1})) t(p)),
+ga AS (SELECT trace_id, a, substr(answer, a + 1, {K.GRAM}) AS gram FROM (SELECT DISTINCT trace_id, answer FROM fr), unnest(range(length(answer) - {K.GRAM - 1})) t(a)),
+vo AS (SELECT trace_id, claim_no, band, count(*) AS votes FROM (SELECT DISTINCT go.trace_id, claim_no, a, least(greatest(a - p, 0), last) // width AS band FROM ga JOIN go ON go.trace_id = ga.trace_id AND go.gram = ga.gram) GROUP BY 1, 2, 3),
+bb AS (SELECT trace_id, claim_no, band FROM vo QUALIFY row_number() OVER (PARTITION BY trace_id, claim_no ORDER BY votes DESC, band) <= {K.BANDS}),
+st AS (SELECT fr.*, band, unnest(range(band * width, least(band * width + width - 1, last) + 1)) AS pos FROM fr JOIN bb ON bb.trace_id = fr.trace_id AND bb.claim_no = fr.claim_no),
+di AS (SELECT trace_id, claim_no, pos, 1 - levenshtein(substr(a1, pos + 1, n), c1) / greatest(n, length(substr(a1, pos + 1, n)))::DOUBLE AS ratio FROM st),
+fz AS (SELECT * FROM di WHERE ratio >= {K.LEAST_RATIO} QUALIFY row_number() OVER (PARTITION BY trace_id, claim_no ORDER BY ratio DESC, pos) = 1)"""
+
+
+@query("claim_statistics", f"""{_LOCATED}, {_fuzzy_sql("SELECT pl.trace_id, pl.claim_no, pl.claim, answer FROM pl JOIN answers USING (trace_id) WHERE pos < 0")},
+al AS (SELECT trace_id, pos FROM pl WHERE pos >= 0 UNION ALL SELECT pl.trace_id, fz.pos FROM pl LEFT JOIN fz ON fz.trace_id = pl.trace_id AND fz.claim_no = pl.claim_no WHERE pl.pos < 0)
+SELECT trace_id, count(*) AS total_claims, count(DISTINCT pos) AS total_sentences, round(coalesce(count(*) / nullif(count(DISTINCT pos), 0)::DOUBLE, 0), 2) AS claims_per_sentence FROM al GROUP BY 1""")
 def claim_statistics(s, d):
     return K.claim_statistics(K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d)))
 
 
+#: Claims are reworded: every second one loses letters, the others have some exchanged and a word put in.
+_REWORDED = """SELECT trace_id, claim_no, CASE WHEN claim_no % 2 = 0 THEN replace(replace(claim, 'on', 'o'), 'er', 'e') ELSE replace(replace(claim, 'e ', 'a '), 't', 'th') || ' indeed' END AS claim, answer FROM pl JOIN answers USING (trace_id)"""
+
+
+@query("claim_fuzzy_places", f"{_LOCATED.replace('claim, strpos', 'o.claim, strpos')}, {_fuzzy_sql(_REWORDED.replace('SELECT trace_id, claim_no', 'SELECT pl.trace_id, pl.claim_no').replace('answer FROM', 'answers.answer FROM'))} SELECT trace_id, claim_no, pos::INTEGER AS character_start, round(ratio, 6) AS ratio FROM fz")
+def claim_fuzzy_places(s, d):
+    """Where reworded claims come from in their answers."""
+    first = K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d)).select("trace_id", "claim_no", "claim")
+    less = F.replace(F.replace("claim", F.lit("on"), F.lit("o")), F.lit("er"), F.lit("e"))
+    more = F.concat(F.replace(F.replace("claim", F.lit("e "), F.lit("a ")), F.lit("t"), F.lit("th")), F.lit(" indeed"))
+    reworded = first.select("trace_id", "claim_no", F.when(F.col("claim_no") % 2 == 0, less).otherwise(more).alias("claim")).join(I.answers(s, d).select("trace_id", "answer"), "trace_id")
+    return K.fuzzy_places(reworded).select("trace_id", "claim_no", F.col("at").alias("character_start"), F.round("ratio", 6).alias("ratio"))
+
+
 @query("prompt_context", f"WITH {PR._BM25} SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank DESC)) AS digest FROM sparse JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1")
 def prompt_context(s, d):
     """Chunks in the order of a prompt: the best one last."""
