@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import written
-
 Z = 1.96
 CALIBRATION_EDGES = (0.0, 0.5, 0.7, 0.85, 0.95, 1.01)
 
@@ -36,43 +34,84 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None, name:
     return sums.select(*keys, F.col("n").alias("n_pairs"), F.round(r, 6).alias(name))
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Fractional ranks over all rows, equal values sharing their mean rank; null values have none.
+#: Blocks into which values are dealt for running sums.
+BLOCKS = 64
+
+
+def _bounds(df: DataFrame, value: str) -> DataFrame:
+    """One row: about evenly spaced values between blocks, from a sketch."""
+    shares = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
+    return df.agg(F.coalesce(F.percentile_approx(F.col(value).cast("double"), shares, 1000), F.array().cast("array<double>")).alias("_bounds"))
+
+
+def _block(value: str) -> Column:
+    return F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double")))
+
 
-    Counts are summed by value first; running totals are then taken over range
-    partitions of the values, so that no task sees the whole table.
+def _ranks(values: DataFrame, value: str, name: str) -> DataFrame:
+    """(value, mean rank) of different values with counts _c: running sums in blocks of values, and the sums of the blocks before.
+
+    No table is written, and no task sees more than a block.
     """
+    dealt = values.crossJoin(F.broadcast(_bounds(values, value))).select(value, "_c", _block(value).alias("_b"))  # one row
+    sizes = dealt.groupBy("_b").agg(F.sum("_c").alias("_s"))
+    before = sizes.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each block
+    inner = F.sum("_c").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_i", inner).join(F.broadcast(before), "_b").select(value, (F.col("_before") + F.col("_i") - (F.col("_c") - 1) / 2).alias(name))
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Fractional ranks over all rows, equal values sharing their mean rank; null values have none."""
     values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    parts = written(values.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranges")  # both readers see the same ranges
-    sizes = parts.groupBy("_p").agg(F.sum("_c").alias("_s"))
-    before = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
-    inner = F.sum("_c").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = parts.withColumn("_i", inner).join(F.broadcast(before), "_p").select(value, (F.col("_b") + F.col("_i") - (F.col("_c") - 1) / 2).alias(name))
-    return df.join(ranks, value, "left")
+    return df.join(_ranks(values, value, name), value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
-    pairs = df.select(finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where("x is not null and y is not null")
-    return pearson(average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry"), "rx", "ry", name=name)
+    """Spearman's rho over pairs with two finite values; null under two pairs or where one side doesn't vary.
+
+    Pairs are counted once, and everything else is taken from the counts: a
+    value's rank from running sums, and the mean rank from the number of pairs.
+    """
+    pairs = df.select(finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("_c"))
+    side = lambda v, r: _ranks(pairs.groupBy(v).agg(F.sum("_c").alias("_c")), v, r)
+    ranked = pairs.join(side("x", "rx"), "x").join(side("y", "ry"), "y").crossJoin(F.broadcast(pairs.agg(F.sum("_c").alias("n"))))  # one row
+    mean = (F.col("n") + 1) / 2
+    dx, dy, c = F.col("rx") - mean, F.col("ry") - mean, F.col("_c")
+    sums = ranked.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.sum(c * dx * dy).alias("sxy"), F.sum(c * dx * dx).alias("sxx"), F.sum(c * dy * dy).alias("syy"))
+    r = F.when(F.col("n") >= 2, F.col("sxy") / F.nullif(F.sqrt("sxx") * F.sqrt("syy"), F.lit(0.0)))
+    return sums.select(F.col("n").alias("n_pairs"), F.round(r, 6).alias(name))
 
 
 def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-a of two rankings of the same items within each key; x holds whole numbers from 0, ties count as neither.
+    """Kendall's tau-a of two rankings of the same items within each key; x holds whole numbers from 0, y numbers, ties count as neither.
 
     Two items with different x part at one binary digit of x, below a common
-    prefix. For each digit the items of a prefix are gone through by y, and each
-    meets the sums of those before it: rows are items times digits, not pairs.
+    prefix. For each digit the items of a prefix meet the sums of those with a
+    smaller y: rows are items times digits, not pairs. A prefix's items are
+    dealt to blocks by y, of which each counts its own and is given the sums of
+    the blocks before, so a key of any size is spread over tasks.
     """
-    items = df.select(*keys, F.col(x).cast("long").alias("_x"), F.col(y).alias("_y")).withColumn("_top", F.max("_x").over(Window.partitionBy(*keys)))
-    items = items.select(*keys, "_x", "_y", F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("_k"))
+    items = df.select(*keys, F.col(x).cast("long").alias("_x"), F.col(y).alias("_y"))
+    tops = items.groupBy(*keys).agg(F.max("_x").alias("_top"), F.count(F.lit(1)).alias("n_items"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    named = tops.select(*[F.col(k).alias(f"_{k}") for k in keys], "_top")
+    dealt = items.crossJoin(F.broadcast(_bounds(items, "_y"))).withColumn("_b", _block("_y")).drop("_bounds")  # one row
+    digits = dealt.join(named, same).select(*keys, "_x", "_y", "_b", F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("_k"))
     bit = F.expr("shiftright(_x, _k) & 1L")
-    met = items.groupBy(*keys, "_k", F.expr("shiftright(_x, _k + 1)").alias("_p"), "_y").agg(F.sum(bit).alias("_o"), F.sum(1 - bit).alias("_z"))
-    before = Window.partitionBy(*keys, "_k", "_p").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    part = met.select(*keys, F.when(F.col("_k") == 0, F.col("_o") + F.col("_z")).otherwise(0).alias("_n"), (F.col("_o") * so_far("_z") - F.col("_z") * so_far("_o")).alias("_s"))
-    sums = part.groupBy(*keys).agg(F.sum("_n").alias("n_items"), F.sum("_s").alias("_s"))
+    met = digits.groupBy(*keys, "_k", F.expr("shiftright(_x, _k + 1)").alias("_p"), "_b", "_y").agg(F.sum(bit).alias("_o"), F.sum(1 - bit).alias("_z"))
+    group = [*keys, "_k", "_p"]
+    inside = Window.partitionBy(*group, "_b").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    part = met.select(*group, "_b", "_o", "_z", (F.col("_o") * so_far("_z", inside) - F.col("_z") * so_far("_o", inside)).alias("_s"))
+    blocks = part.groupBy(*group, "_b").agg(F.sum("_o").alias("_o"), F.sum("_z").alias("_z"), F.sum("_s").alias("_s"))  # a row for each prefix and block
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = blocks.select(*group, (F.col("_s") + F.col("_o") * so_far("_z", before) - F.col("_z") * so_far("_o", before)).alias("_s"))
+    sums = whole.groupBy(*keys).agg(F.sum("_s").alias("_s"))
     n = F.col("n_items")
-    return sums.select(*keys, "n_items", F.round(F.col("_s") / F.nullif(n * (n - 1) / 2.0, F.lit(0.0)), 6).alias("tau"))
+    out = sums.join(tops.select(*[F.col(k).alias(f"_{k}") for k in keys], "n_items"), same)
+    return out.select(*keys, "n_items", F.round(F.col("_s") / F.nullif(n * (n - 1) / 2.0, F.lit(0.0)), 6).alias("tau"))
 
 
 def kappa(df: DataFrame, a: str, b: str, name: str = "kappa") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.plans import catalogue
 
@@ -46,6 +48,47 @@ def test_kendall_equals_pairs_with_ties(spark):
     assert {r.k: (r.n_items, r.tau) for r in got} == want
 
 
+def test_one_key_of_all_rows_is_spread(spark):
+    """Kendall's tau of 60,000 items under one key: windows are by block, and the value is that of a count by merging."""
+    from plumbline.functions import statistics as S
+
+    rng = random.Random(9)
+    ys = [rng.randrange(20_000) for _ in range(60_000)]
+    df = spark.createDataFrame(list(enumerate(ys)), "x long, y int").withColumn("k", F.lit("all"))
+
+    def inversions(v):
+        if len(v) < 2:
+            return v, 0
+        (a, m), (b, n) = inversions(v[: len(v) // 2]), inversions(v[len(v) // 2 :])
+        out, i, total = [], 0, m + n
+        for y in b:
+            while i < len(a) and a[i] <= y:
+                out.append(a[i])
+                i += 1
+            total += len(a) - i
+            out.append(y)
+        return out + a[i:], total
+
+    counts = Counter(ys)
+    pairs, less = len(ys) * (len(ys) - 1) // 2, inversions(ys)[1]
+    ties = sum(c * (c - 1) // 2 for c in counts.values())
+    found = S.kendall(df, ["k"], "x", "x", "y")
+    assert found.first().tau == pytest.approx((pairs - ties - 2 * less) / pairs, abs=1e-6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("_b#" in line for line in plan.split("\n") if "Window [" in line and "_y#" in line)
+
+
+def test_ranks_share_ties_over_blocks(spark):
+    from plumbline.functions import statistics as S
+
+    rng = random.Random(11)
+    values = [rng.choice([None, 5.0, 5.0, *map(float, range(300))]) for _ in range(3000)]
+    got = sorted((r.v, r.rank) for r in S.average_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "rank").collect() if r.v is not None)
+    known = sorted(v for v in values if v is not None)
+    first, count = {v: i for i, v in reversed(list(enumerate(known)))}, Counter(known)
+    assert got == [(v, first[v] + (count[v] + 1) / 2) for v in known]
+
+
 def test_texts_are_whole(spark, data):
     words = spark.read.parquet(f"{data}/conversations.parquet").where("role = 'assistant'").selectExpr("sum(regexp_count(text, '[\\\\p{L}]+'))").first()[0]
     assert catalogue.QUERIES["turn_events"](spark, data).where("event = 'token'").count() == words
