@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and reads what the one before kept. All
 but the last return the columns of documents.
+
+In every stage a null text counts as an empty one, a null doc_id stays null,
+rows that repeat are documents each (but for the near duplicates, of which one
+stays), very long texts are read whole, other columns go along whatever their
+names are, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import mixing, packing, quality, secrets, simhash
-from plumbline.llm.common import table, written
+from plumbline.llm.common import discard, table, written
 
 #: Shares of the tokens to aim for beside the sound documents, which are read 1.05 times on average.
 TARGETS = {"sound": 0.93, "toxic": 0.03, "poor": 0.03, "poor_toxic": 0.01}
@@ -17,7 +22,7 @@ SPARE = 1.05
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, as they were."""
+    """Documents that the quality classifier accepts, as they were; one at the cutoff is kept, and without labels all are."""
     model = quality.fit_grades(docs, table(spark, sf_dir, "labels"))
     return quality.kept_documents(docs, model)
 
@@ -59,10 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over documents; each stage's rows are written and read again, and go when the next one's are there."""
+    docs, kept = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        done = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if kept is not None:
+            discard(kept)
+        docs = kept = done
+    return STAGES[-1][1](spark, docs, sf_dir)

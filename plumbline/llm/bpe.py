@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, table, written
+from plumbline.llm.common import alone, discard, remembers, table, written
 from plumbline.llm.tokens import VOCABULARY, RankMerger, _byte_symbols, vocabulary_path
 from plumbline.llm.transducer import Transducer, compiled
 from plumbline.session import shared_folder, ship
@@ -215,6 +215,9 @@ def _token_bytes(path: str) -> TokenBytes:
     return TokenBytes(path)
 
 
+remembers("bpe", _codec.cache_clear)
+
+
 def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS, text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
     """(word, n): the most frequent pre-tokens of all documents as bytes, with their counts.
 
@@ -224,6 +227,7 @@ def frequent_words(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = L
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe")
         codec = _codec(vocabulary_path(vocabulary), None)
         seen: Counter = Counter()
 
@@ -287,6 +291,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, lexicon_name: str | N
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe")
         codec = _codec(vocabulary_path(vocabulary), lexicon_name)
         for batch in batches:
             for at, end, texts in _texts(batch.column(1)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,27 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], object]) -> None:
+    """Say how a worker forgets what this operator keeps between tasks."""
+    _REMEMBERED[operator] = forget
+
+
+def alone(operator: str) -> None:
+    """Called where a task begins: the worker forgets what other operators left in its memory."""
+    for other, forget in _REMEMBERED.items():
+        if other != operator:
+            forget()
+
+
+def texts_of(batch, column: int, rows: int = 1024):
+    """Lists of a batch's texts, `rows` at a time; null ones are empty."""
+    for at in range(0, batch.num_rows, rows):
+        yield [t or "" for t in batch.column(column).slice(at, rows).to_pylist()]
+
+
 def whole(text: str = "text"):
     """The text, with null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

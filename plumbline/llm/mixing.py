@@ -246,7 +246,8 @@ def mixed_documents(docs: DataFrame, model: Classifier, targets: dict[str, float
     The chance is a hash of the document, so that a second run mixes the same;
     rows that repeat as a whole share it. The documents are written with their
     token counts and posteriors, so that texts are scored once; the fit reads
-    the two columns only.
+    the two columns only. A null text is scored as an empty one, very long texts
+    are scored whole, and an empty table stays empty.
     """
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")  # names of other columns can't clash
     members = written(_members(rows, model, ["_doc"]), "memberships")

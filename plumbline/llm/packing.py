@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import alone, remembers, table
 from plumbline.llm.tokens import vocabulary_path
 from plumbline.session import ship
 
@@ -134,6 +134,9 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembers("packing", _word_ids.cache_clear)
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and the closing id, cut at every `length` ids, with doc_hash, a hash of all its ids.
@@ -144,6 +147,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("packing")
         ids = _word_ids(vocabulary_path(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

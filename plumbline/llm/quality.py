@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_sample, discard, table, written
+from plumbline.llm.common import alone, bounded_sample, discard, table, texts_of, written
 from plumbline.session import ship
 
 BUCKETS = 1 << 18
@@ -32,7 +32,7 @@ KEEP_SOUND = 0.99
 KEEP_TAIL, LEAST_SOUND, CUTOFFS = 0.6, 50, (0.5, 0.95)
 #: A feature tells grades apart if its sum over a grade lies this many standard deviations from chance, and at this correlation.
 LEAST_Z, LEAST_EFFECT = 4.5, 0.05
-_REMEMBER = 400_000
+_REMEMBER = 200_000
 _SHAPES = ("plain", "symbols", "capitals", "digits", "bare mark")
 _MARKS = frozenset("#*$%&|<>!?=~^")
 
@@ -251,6 +251,13 @@ def _weigher(weights: np.ndarray):
     return find
 
 
+def _score(text: str, known: _Words, shared: np.ndarray) -> float:
+    """The sum of a text's weights: each plain form once, and the shares."""
+    words = text.split()
+    found = [known[w] for w in words]
+    return sum({p: x for _, x, p in found if x}.values()) + float(shared @ _shares(words, [s for s, _, _ in found]))
+
+
 def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float | None = None, least_grade: int = 2) -> DataFrame:
     """doc_id, expected_grade, tail_prob and keep, one row for each row of docs.
 
@@ -265,15 +272,11 @@ def predicted_grades(docs: DataFrame, model: CumulativeLink, keep_tail: float |
     keep_tail = model.cutoff if keep_tail is None else keep_tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality")
         known = _Words(_weigher(weights))
         shared = weights[_SHARE_BUCKETS].astype(np.float64)
         for batch in batches:
-            scores = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = (text or "").split()
-                found = [known[w] for w in words]
-                own = {p: x for _, x, p in found if x}
-                scores.append(sum(own.values()) + float(shared @ _shares(words, [s for s, _, _ in found])))
+            scores = [_score(text, known, shared) for texts in texts_of(batch, batch.num_columns - 1) for text in texts]
             expected, tail = model.predict(np.array(scores, np.float64), top)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(expected), pa.array(tail), pa.array(tail >= keep_tail)],
@@ -295,14 +298,11 @@ def kept_documents(docs: DataFrame, model: CumulativeLink, keep_tail: float | No
     keep_tail = model.cutoff if keep_tail is None else keep_tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality")
         known = _Words(_weigher(weights))
         shared = weights[_SHARE_BUCKETS].astype(np.float64)
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").split()
-                found = [known[w] for w in words]
-                scores.append(sum({p: x for _, x, p in found if x}.values()) + float(shared @ _shares(words, [s for s, _, _ in found])))
+            scores = [_score(text, known, shared) for texts in texts_of(batch, batch.schema.get_field_index("text")) for text in texts]
             yield batch.filter(pa.array(model.predict(np.array(scores, np.float64), least_grade)[1] >= keep_tail))
 
     return docs.mapInArrow(run, docs.schema)

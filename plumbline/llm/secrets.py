@@ -121,7 +121,12 @@ def secret_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
 
 
 def without_live_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """The documents with every live credential masked in the text (and n_chars, if there, set anew); widely copied examples stay."""
+    """The documents with every live credential masked in the text (and n_chars, if there, set anew); widely copied examples stay.
+
+    A null text stays null, rows that repeat are masked each, very long texts
+    are scanned whole, other columns stay whatever their names are, and an empty
+    table stays empty. Spans that overlap are masked as one.
+    """
     scan = scanned(docs, repo_col, owner_col, whole_rows=True)
     live = judged(written(candidates(scan), "candidates"), max_owners, max_repos).where("live")
     before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

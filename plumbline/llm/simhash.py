@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, table, written
+from plumbline.llm.common import alone, discard, table, texts_of, written
 from plumbline.session import ship
 
 #: A bucket with more distinct fingerprints than this is linked through midpoints.
@@ -57,8 +57,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("simhash")
         for batch in batches:
-            fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t) for texts in texts_of(batch, 1) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -165,7 +166,9 @@ def near_duplicates(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text
     Documents whose fingerprints differ in `bits` bits or fewer are linked, and
     a component's id is its smallest doc_id. Null and empty texts have
     fingerprint zero and are linked like any other. A null doc_id is never a
-    component's id unless the component has no other.
+    component's id unless the component has no other. Rows that repeat have a row
+    each; very long texts are hashed a bounded piece at a time; columns of other
+    names play no part; an empty table gives no row.
     """
     hashed = written(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
@@ -203,4 +206,5 @@ def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and classes of all documents; edge cases as in near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import alone, remembers, table
 from plumbline.session import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -189,6 +189,9 @@ def _merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
+remembers("tokens", _merger.cache_clear)
+
+
 def vocabulary_path(name: str) -> str:
     """Where the named public vocabulary file lies on this machine."""
     import public_tokenizers
@@ -206,6 +209,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("tokens")
         merger = _merger(path or vocabulary_path(vocabulary))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from plumbline.llm import packing, simhash
@@ -70,6 +71,31 @@ def test_odd_documents_pass_through(spark, data):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_run_on_odd_documents_among_others(spark, data, tmp_path):
+    """All five stages over odd rows among the usual ones: what the classifier keeps is packed, and extra columns do no harm."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = odd_documents(spark)
+    extra = [c for c in odd.columns if c not in docs.columns]
+    both = docs.withColumn("doc_id", F.col("doc_id") + 10_000).select(*docs.columns, *[F.lit(None).cast("int").alias(c) for c in extra]).unionByName(odd, allowMissingColumns=True)
+    both.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet").withColumn("doc_id", F.col("doc_id") + 10_000)
+    labels.unionByName(spark.createDataFrame([(100, 1, 0), (None, 1, 0), (3, None, None), (101, 1, 0), (101, 0, 1)], labels.schema)).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    kept = P.classify_quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    pieces = P.run(spark, d).collect()
+    assert {r.doc_id for r in pieces} <= {r.doc_id for r in kept.select("doc_id").collect()}
+    assert len({r.doc_id for r in pieces if (r.doc_id or 0) >= 10_000}) > 0.5 * docs.count()
+    by_seq = {}
+    for r in pieces:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_run_on_empty_tables(spark, data, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
