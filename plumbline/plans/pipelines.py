@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.plans import inputs as I
 from plumbline.session import shared_folder
+from plumbline.sources import datasources as D
 from plumbline.sources import tables as S
 from plumbline.streaming import traces as Z
 
@@ -169,3 +170,57 @@ def stream_ring(s, d):
     q.awaitTermination()
     last = s.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max_by(F.struct("items", "seen"), "batch").alias("x"))
     return last.select("user_id", "x.seen", F.array_join(F.transform("x.items", lambda i: i.cast("string")), ",").alias("items"))
+
+
+_SPLIT = "length(text) // 2"
+
+
+@query("stream_tags", f"SELECT conv_id * 1000 + turn AS reply, substr(text, 1, ({_SPLIT})) AS thinking, ltrim(substr(text, ({_SPLIT}) + 1), ' ' || chr(10)) AS answer FROM conversations WHERE role = 'assistant'")
+def stream_tags(s, d):
+    """All assistant turns as tagged replies, cut in pieces whose length varies from reply to reply, through the stateful splitter."""
+    t = I.table(s, d, "conversations").where("role = 'assistant'")
+    half = F.floor(F.length("text") / 2).cast("int")
+    reply = F.concat(F.lit("<thinking>"), F.substring(F.col("text"), F.lit(1), half), F.lit("</thinking>\n<answer>"), F.substring(F.col("text"), half + 1, F.length("text")), F.lit("</answer>"))
+    size = (3 + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(23))).cast("int")
+    cut = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply"), reply.alias("r"), size.alias("size"))
+    cut = cut.select("reply", "r", "size", F.posexplode(F.sequence(F.lit(1), F.length("r"), F.col("size"))).alias("place", "at")).select("reply", F.col("place").cast("long").alias("place"), F.expr("substring(r, at, size)").alias("token"))
+    at = _folder(s, "tags")
+    for k in range(4):  # four files, one for each batch, in order
+        cut.where(f"place >= {150 * k}" + (f" and place < {150 * (k + 1)}" if k < 3 else "")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    rows = s.readStream.schema("reply long, place long, token string").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    name, before = "spark.sql.streaming.stateStore.providerClass", s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.conf.set(name, Z.ROCKSDB)
+    try:
+        Z.to_table(Z.split_tags(rows, "reply", "place", "token"), f"{at}/out", f"{at}/state")
+    finally:
+        s.conf.set(name, before)
+    said = s.read.schema("reply long, n long, kind string, text string").parquet(f"{at}/out")
+    of = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "text")))), lambda x: x["text"]), "")
+    return said.groupBy("reply").agg(of("thinking").alias("thinking"), F.ltrim(of("answer"), F.lit(" \n")).alias("answer"))
+
+
+@query("memory_database", "SELECT event_id AS id, 's' || user_id AS session_id, event_type AS title, event_id * 10 AS epoch FROM events WHERE event_id >= 5 AND event_type <> 'click' AND event_id % 1000 < 700")
+def memory_database(s, d):
+    """Observations written to a database file, and read by ranges of row ids under pushed filters."""
+    D.register(s)
+    at = _folder(s, "memory")
+    e = I.table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("title"), (F.col("event_id") * 10).alias("epoch"))
+    s.range(1).write.parquet(f"{at}/made")  # the folder
+    path = f"{at}/memory.db"
+    D.write_database(e, path)
+    read = s.read.format("memory_database").option("path", path).option("rows", "2000").load()
+    return read.where("id >= 5 and title <> 'click' and id % 1000 < 700")
+
+
+@query("stream_log", "SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def stream_log(s, d):
+    """Logs of all events, one for each hundred users, read by bytes in two runs under one checkpoint; the last lines are torn."""
+    D.register(s)
+    at = _folder(s, "log")
+    e = I.table(s, d, "events").select((F.col("user_id") % 100).alias("u"), F.to_json(F.struct("user_id", "event_id")).alias("value"))
+    e.repartition("u").write.partitionBy("u").text(f"{at}/in")
+    s.createDataFrame([(100, '{"user_id": 1, "ev')], "u int, value string").coalesce(1).write.mode("append").option("lineSep", " ").partitionBy("u").text(f"{at}/in")
+    for _ in range(2):
+        Z.to_table(s.readStream.format("appended_lines").option("path", f"{at}/in").option("bytes", str(1 << 20)).load(), f"{at}/out", f"{at}/state")
+    rows = s.read.schema("path string, at long, line string").parquet(f"{at}/out").select(F.from_json("line", "user_id long, event_id long").alias("r")).select("r.*")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -119,9 +119,25 @@ def _now(spark: SparkSession) -> str:
 
 
 def _point(spark: SparkSession, path: str, version: str) -> None:
-    """A pointer is a new file of its own, never overwritten: readers take the newest, so none ever finds a half-written one."""
-    at = (spark.read.schema("at long, version string").json(f"{path}/pointers/*").agg(F.max("at")).first()[0] or 0) if _exists(spark, f"{path}/pointers") else 0
-    spark.createDataFrame([(at + 1, version)], "at long, version string").coalesce(1).write.json(f"{path}/pointers/{at + 1:012d}-{uuid.uuid4().hex[:8]}")
+    """A pointer is a folder with the next number, which only one of several publishers can create; readers take the newest whole one.
+
+    Whoever comes second raises: what that publication was compared with isn't current any more.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{path}/pointers")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    number = f"{max([0, *_numbers(files, place)]) + 1:012d}"
+    # a file that must not be there yet: creating it fails for the second
+    try:
+        files.create(hadoop.Path(f"{path}/pointers/{number}-claim"), False).close()
+    except Exception as e:
+        raise RuntimeError(f"another version was published meanwhile (number {int(number)}); publish again") from e
+    spark.createDataFrame([(int(number), version)], "at long, version string").coalesce(1).write.json(f"{path}/pointers/{number}-version")
+
+
+def _numbers(files, place) -> list[int]:
+    return [int(s.getPath().getName().split("-")[0]) for s in files.listStatus(place)]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -131,7 +147,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Published versions, the current one last; a version that was restored counts anew."""
-    rows = spark.read.schema("at long, version string").json(f"{path}/pointers/*").where("version is not null").orderBy("at", "version").collect()  # one row for each publication
+    rows = spark.read.schema("at long, version string").json(f"{path}/pointers/*-version").where("version is not null").orderBy("at", "version").collect()  # one row for each publication
     return [r["version"] for r in rows]
 
 
@@ -170,15 +186,20 @@ def registry_index(records: DataFrame) -> DataFrame:
 def checkpoint_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of append-only JSON lines files, without a torn last line; a broken line before a file's last raises.
 
-    A file is held as one text by the task that reads it: an appended file is one batch of records.
+    A large file is read by many tasks, each from the first line that begins in
+    its bytes. Which line is a file's last is found from the places of the
+    files' bytes and of the lines in them, a row a file. A last line that is no
+    record was torn while it was written.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_path"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("_lines"))
-    lines = files.select("_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_i", "_line")).where(F.trim("_line") != "")
-    parsed = lines.withColumn("_r", F.from_json("_line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("_at"),
+        F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("_r"), F.substring("value", 1, 80).alias("_begins"))
+    last = lines.groupBy("_path").agg(F.max("_at").alias("_last"))
     broken = F.col("_r._corrupt_record").isNotNull()
     # hashed, since the planner takes an error that is cast for a null
-    inside = F.xxhash64(F.raise_error(F.concat(F.lit("corrupt record inside "), F.col("_path"), F.lit(", line "), (F.col("_i") + 1).cast("string")))) == 0
-    return parsed.where(F.when(broken & (F.col("_i") + 1 < F.col("_n")), inside).otherwise(~broken)).select("_r.*").drop("_corrupt_record")
+    inside = F.xxhash64(F.raise_error(F.concat(F.lit("corrupt record inside "), F.col("_path"), F.lit(", in the bytes from "), F.col("_at.block").cast("string"), F.lit(": "), F.col("_begins")))) == 0
+    rows = lines.join(last, "_path")
+    return rows.where(F.when(broken & (F.col("_at") != F.col("_last")), inside).otherwise(~broken)).select("_r.*").drop("_corrupt_record")
 
 
 def bad_vectors(vectors: DataFrame, v: str = "embedding") -> DataFrame:
@@ -205,11 +226,16 @@ def cache_split(texts: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame
 
 
 def failure_counts(log: DataFrame, line: str = "line", first: int = 10) -> DataFrame:
-    """(baseline, n, eval_ids): counts of a failure log's lines and the first ids of each, in log order."""
+    """(baseline, n, eval_ids): counts of a failure log's lines and the first ids of each, in log order.
+
+    Counts are sums, and each task cuts its own first lines before they are shuffled, so a baseline with most of the log is no task's alone.
+    """
     rows = log.select("line_no", F.regexp_extract(line, r"eval_id=(\S+)", 1).alias("eval_id"), F.regexp_extract(line, r"baseline=([^:\s]+)", 1).alias("baseline")).where("baseline <> ''")
+    counts = rows.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("baseline").orderBy("line_no")
-    rows = rows.withColumn("_n", F.row_number().over(w))
-    return rows.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.struct("_n", "eval_id")))), lambda x: x["eval_id"]).alias("eval_ids"))
+    few = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    named = few.groupBy("baseline").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "eval_id"))), lambda x: x["eval_id"]).alias("eval_ids"))
+    return counts.join(named, "baseline")
 
 
 def evaluator_rows(traces: DataFrame, refs: DataFrame, chunks: DataFrame, need_gold: bool = False) -> DataFrame:

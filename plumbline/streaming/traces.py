@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 CALLS, PERIOD = 32, 60
 
@@ -88,37 +89,82 @@ def admissions(stream: DataFrame, key: str, ts: str, item: str, calls: int = CAL
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {item} {kinds[item]}, wait_us long, attempts int, admitted boolean", "held array<long>", "append", "NoTimeout")
 
 
-def split_tags(stream: DataFrame, key: str, order: str, token: str) -> DataFrame:
-    """Thinking and answer of each key's token stream so far (state: the text that came; tags may be cut anywhere)."""
-    kind = dict(stream.dtypes)[key]
+TAGS = {"<thinking>": "thinking", "</thinking>": "answer", "<answer>": "answer", "</answer>": "answer"}
+_LONGEST = max(map(len, TAGS))
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
-        for frame in frames:
-            text += "".join(frame.sort_values(order)[token])
-        state.update((text,))
-        think, answer = split_text(text)
-        yield pd.DataFrame({key: [group[0]], "thinking": [think], "answer": [answer]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, thinking string, answer string", "text string", "update", "NoTimeout")
+def split_step(mode: str, held: str, text: str) -> tuple[str, str, list[tuple[str, str]]]:
+    """(mode, held, [(kind, text)]): what more text says, and what of its end is held back since it may begin a tag.
 
+    Text inside thinking tags is thinking, other text the answer. What is held
+    back has fewer letters than the longest tag.
+    """
+    text, out, at = held + text, [], 0
+
+    def say(part: str) -> None:
+        if part and out and out[-1][0] == mode:
+            out[-1][1].append(part)
+        elif part:
+            out.append((mode, [part]))
 
-def split_text(text: str) -> tuple[str, str]:
-    """What is inside thinking tags, and what is inside answer tags (or outside of any); an end that may begin a tag is held back."""
-    parts, out, at = {"thinking": [], "answer": []}, "answer", 0
-    tags = {"<thinking>": "thinking", "</thinking>": "answer", "<answer>": "answer", "</answer>": "answer"}
     while at < len(text):
         nxt = text.find("<", at)
         if nxt < 0:
-            parts[out].append(text[at:])
+            say(text[at:])
+            at = len(text)
             break
-        parts[out].append(text[at:nxt])
-        tag = next((t for t in tags if text.startswith(t, nxt)), None)
+        say(text[at:nxt])
+        at = nxt
+        tag = next((t for t in TAGS if text.startswith(t, at)), None)
         if tag:
-            out, at = tags[tag], nxt + len(tag)
-        elif any(t.startswith(text[nxt:]) for t in tags):
+            mode, at = TAGS[tag], at + len(tag)
+        elif len(text) - at < _LONGEST and any(t.startswith(text[at:]) for t in TAGS):
             break
         else:
-            parts[out].append("<")
-            at = nxt + 1
+            say("<")
+            at += 1
+    return mode, text[at:], [(kind, "".join(parts)) for kind, parts in out]
+
+
+class TagSplitter(StatefulProcessor):
+    """A key's tokens in, its thinking and answer out as they become certain.
+
+    State: which of both is being said, the end that is held back, and how many
+    pieces came; it doesn't grow with the text, and goes `idle` milliseconds after the last token (0: never).
+    """
+
+    def __init__(self, key: str, order: str, token: str, idle: int = 0):
+        self.key, self.order, self.token, self.idle = key, order, token, idle
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("split", "mode string, held string, n long", self.idle or None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mode, held, n = self.state.get() if self.state.exists() else ("answer", "", 0)
+        frame = pd.concat(list(rows)).sort_values(self.order)
+        mode, held, found = split_step(mode, held, "".join(t for t in frame[self.token] if t is not None))
+        self.state.update((mode, held, int(n) + len(found)))
+        yield pd.DataFrame({self.key: [key[0]] * len(found), "n": range(int(n), int(n) + len(found)), "kind": pd.Series([k for k, _ in found], dtype=object), "text": pd.Series([t for _, t in found], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def split_tags(stream: DataFrame, key: str, order: str, token: str, idle: int = 0) -> DataFrame:
+    """(key, n, kind, text): thinking and answer of each key's token stream, in pieces numbered from 0; tags may be cut anywhere.
+
+    Tokens of a batch are taken in order, and batches as they come. Runs on the
+    RocksDB store (set `spark.sql.streaming.stateStore.providerClass` to ROCKSDB).
+    """
+    kind = dict(stream.dtypes)[key]
+    mode = "ProcessingTime" if idle else "None"
+    return stream.groupBy(key).transformWithStateInPandas(TagSplitter(key, order, token, idle), f"{key} {kind}, n long, kind string, text string", "Append", mode)
+
+
+def split_text(text: str) -> tuple[str, str]:
+    """What is inside thinking tags, and what is outside of them; an end that may begin a tag is held back."""
+    parts = {"thinking": [], "answer": []}
+    for kind, part in split_step("answer", "", text)[2]:
+        parts[kind].append(part)
     return "".join(parts["thinking"]).strip(), "".join(parts["answer"]).strip()

@@ -70,10 +70,102 @@ def test_checkpoints_drop_a_torn_last_line_only(spark, tmp_path):
     read = lambda: S.checkpoint_records(spark, str(tmp_path), "example_id string, x int")
     assert sorted((r.example_id, r.x) for r in read().collect()) == [("1", 1), ("2", 2), ("4", 4)]
     (tmp_path / "c.jsonl").write_text('{"example_id": "5"\n{"example_id": "6", "x": 6}\n')
-    with pytest.raises(Exception, match="corrupt record inside .*c.jsonl, line 1"):
+    with pytest.raises(Exception, match="corrupt record inside .*c.jsonl, in the bytes from 0: .*5"):
         read().collect()
 
 
+def test_a_large_log_is_read_by_many_tasks(spark, tmp_path):
+    name = tmp_path / "big" / "log.jsonl"
+    name.parent.mkdir()
+    name.write_text("".join(f'{{"example_id":{i}, "text": "{"x" * 40}"}}\n' for i in range(200_000)) + '{"example_id": 7, "te')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = S.checkpoint_records(spark, str(tmp_path / "big"), "example_id long, text string")
+        assert spark.read.text(str(tmp_path / "big")).rdd.getNumPartitions() > 8 and rows.agg(F.sum("example_id"), F.count("*")).first() == (199_999 * 100_000, 200_000)
+        whole = name.read_bytes()
+        at = whole.index(b'"example_id":150000')
+        name.write_bytes(whole[: at - 1] + b"#" + whole[at:])
+        with pytest.raises(Exception, match="corrupt record inside .*in the bytes from [1-9]"):
+            S.checkpoint_records(spark, str(tmp_path / "big"), "example_id long, text string").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_only_one_of_two_publishers_takes_a_number(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([("a",)], "chunk_id string")
+    path = str(tmp_path / "s")
+    first = S.publish(one, one.withColumn("v", F.lit(1)), path)
+    (tmp_path / "s" / "pointers" / "000000000002-claim").write_text("")  # a publisher that broke off: its number is passed over
+    second = S.publish(one, one.withColumn("v", F.lit(2)), path)
+    assert S.versions(spark, path) == [first, second]
+    monkeypatch.setattr(S, "_numbers", lambda files, place: [1, 2])  # both looked before either wrote
+    with pytest.raises(RuntimeError, match="published meanwhile"):
+        S.publish(one, one.withColumn("v", F.lit(3)), path)
+    assert S.versions(spark, path) == [first, second]
+
+
+def test_database_reads_ranges_under_filters(spark, tmp_path):
+    from plumbline.sources import datasources as D
+
+    D.register(spark)
+    rows = spark.range(1000).selectExpr("id", "id % 7 as kind", "if(id % 3 = 0, null, concat('t', id)) as title", "id / 2 as score")
+    path = str(tmp_path / "memory.db")
+    D.write_database(rows, path)
+    read = spark.read.format("memory_database").option("path", path).option("rows", "120").load()
+    assert read.dtypes == [("id", "bigint"), ("kind", "bigint"), ("title", "string"), ("score", "double")]
+    assert read.rdd.getNumPartitions() == 9 and sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+    some = read.where("kind = 3 and title is not null and id >= 100 and kind in (3, 4) and title like 't1%'")
+    want = rows.where("kind = 3 and title is not null and id >= 100 and title like 't1%'").count()
+    assert some.count() == want
+    reader = D.DatabaseReader(path, "observations", 120, {"id": "long", "kind": "long", "title": "string", "score": "double"})
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull
+
+    left = list(reader.pushFilters([EqualTo(("kind",), 3), IsNotNull(("title",)), GreaterThanOrEqual(("id",), 100), EqualTo(("other",), 1)]))
+    assert left == [EqualTo(("other",), 1)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == rows.where("kind = 3 and title is not null and id >= 100").count()  # rows that leave the database
+    with pytest.raises(Exception, match="no table"):
+        spark.read.format("memory_database").option("path", path).option("table", "none").load()
+
+
+def test_appended_lines_are_read_once(spark, tmp_path):
+    from plumbline.sources import datasources as D
+
+    D.register(spark)
+    log, out = tmp_path / "logs", str(tmp_path / "out")
+    log.mkdir()
+
+    def run():
+        rows = spark.readStream.format("appended_lines").option("path", str(log)).option("bytes", "64").load()
+        Z.to_table(rows, out, str(tmp_path / "state"))
+        return sorted((r.path.rsplit("/", 1)[-1], r["at"], r.line) for r in spark.read.schema("path string, at long, line string").parquet(out).collect())
+
+    lines = [f"line {i} " + "é" * (i % 9) for i in range(40)]
+    (log / "a.log").write_text("\n".join(lines[:30]) + "\ntorn li")
+    first = run()
+    assert [x[2] for x in first] == lines[:30]
+    (log / "a.log").write_text("\n".join(lines[:30]) + "\ntorn line\n" + "\n".join(lines[30:]) + "\n")
+    (log / "b.log").write_text("one\r\n\ntwo\nthree")
+    second = run()
+    assert [x[2] for x in second if x[0] == "a.log"] == [*lines[:30], "torn line", *lines[30:]]
+    assert [(x[1], x[2]) for x in second if x[0] == "b.log"] == [(0, "one"), (5, ""), (6, "two")]
+    assert run() == second
+
+
+def test_tags_cut_anywhere_give_the_same_parts():
+    text = "so <b <thinking>a < b <answer</thinking>\n<answer>x</answer>tail <"
+    want = Z.split_text(text)
+    for n in (1, 2, 3, 5, 7, 11, 100):
+        mode, held, parts = "answer", "", {"thinking": "", "answer": ""}
+        for at in range(0, len(text), n):
+            mode, held, found = Z.split_step(mode, held, text[at : at + n])
+            assert len(held) < 12
+            for kind, part in found:
+                parts[kind] += part
+        assert (parts["thinking"].strip(), parts["answer"].strip()) == want
+    assert want == ("a < b <answer", "so <b \nxtail")
+
+
 def test_upsert_and_vectors(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([("2", "c", 1.0)], "k string, v string, extra double")
