@@ -219,3 +219,31 @@ def shingle_gold(docs: DataFrame, questions: DataFrame, n: int = 8) -> DataFrame
     q = questions.select("query_id", runs(F.col("question")).alias("s"))
     d = docs.select("doc_id", runs(F.col("text")).alias("s"))
     return d.join(q, "s").select("query_id", "doc_id").distinct()
+
+
+def _word_grams(words: Column) -> Column:
+    """Different words of an array, and different pairs of neighbours."""
+    each = F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))))
+    return F.get(each, F.lit(0))
+
+
+def contained_phrases(docs: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, doc_id): documents that hold a phrase as a run of whole words, in any case. docs: doc_id, text; phrases: keys, phrase.
+
+    A phrase is filed under that of its words and pairs of neighbouring words
+    which the fewest documents have, so that it meets those documents only; then
+    the runs are compared. Phrases without a word are held by none, and repeated
+    ones are one. No pair of a phrase and a document is made but through a gram.
+    """
+    split = lambda text: F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = phrases.select(*keys, split(F.col("phrase")).alias("w")).where(F.size("w") > 0).distinct()
+    grams = asked.select(*keys, "w", F.explode(_word_grams(F.col("w"))).alias("gram"))
+    known = small(grams.select("gram").distinct())
+    words = docs.select("doc_id", split(F.col("text")).alias("dw")).where(F.size("dw") > 0)
+    seen = words.select("doc_id", F.explode(_word_grams(F.col("dw"))).alias("gram")).join(known, "gram", "left_semi")
+    counts = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no document has leaves its phrase without any
+    rarest = grams.join(counts, "gram", "left").groupBy(*keys, "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select(*keys, "w", "r.gram")
+    met = words.join(seen.join(rarest, "gram").select("doc_id", *keys, "w"), "doc_id")
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return met.where(F.contains(line("dw"), line("w"))).select(*keys, "doc_id").distinct()

@@ -238,6 +238,20 @@ def gold_theta_join(s, d):
     return docs.join(dim, F.contains("source", F.col("region").cast("string"))).select("doc_id", "region")
 
 
+_PHRASE = 5
+_W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+
+
+@query("phrase_containment", f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark), p AS (SELECT item_id, i AS place, ' ' || array_to_string(w[i * {_PHRASE} + 1 : i * {_PHRASE} + {_PHRASE}], ' ') || ' ' AS phrase FROM b, unnest(range(((len(w) + {_PHRASE - 1}) // {_PHRASE})::BIGINT)) t(i) WHERE i * {_PHRASE} < len(w)),
+d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS line FROM documents) SELECT item_id, place, doc_id FROM p JOIN d ON contains(line, phrase)""")
+def phrase_containment(s, d):
+    """Every phrase of five words of the benchmark's texts against all documents."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    b = I.table(s, d, "benchmark").select("item_id", w.alias("w")).where(F.size("w") > 0)
+    p = b.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _PHRASE))).alias("place")).select("item_id", F.col("place").cast("long").alias("place"), F.array_join(F.slice("w", (F.col("place") * _PHRASE + 1).cast("int"), F.lit(_PHRASE)), " ").alias("phrase"))
+    return R.contained_phrases(I.documents(s, d), p, ["item_id", "place"])
+
+
 _PANEL = """g AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
 h AS (SELECT query_id, list(rank ORDER BY rank) AS ranks FROM ranking JOIN gold USING (query_id, doc_id) GROUP BY 1),
 p AS (SELECT q.query_id, coalesce(n_gold, 0) AS n_gold, coalesce(ranks, []) AS ranks FROM queries q LEFT JOIN g USING (query_id) LEFT JOIN h USING (query_id)),

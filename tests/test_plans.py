@@ -36,7 +36,7 @@ def test_small_keys_are_counted_before_broadcasting(spark, monkeypatch):
     assert "hints" not in R.small(keys)._jdf.queryExecution().logical().toString()
 
 
-@pytest.mark.parametrize("name", ["dense_topk", "stage_matrix", "root_cause", "boundary_adjacency", "graph_two_hop", "claim_status", "topic_terms"])
+@pytest.mark.parametrize("name", ["phrase_containment", "dense_topk", "stage_matrix", "root_cause", "boundary_adjacency", "graph_two_hop", "claim_status", "topic_terms"])
 def test_no_pairing_of_all_rows(name, spark, data):
     text = plan(catalogue.QUERIES[name](spark, data))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
