@@ -181,16 +181,35 @@ def answer_parts(reply: Column) -> Column:
     return F.struct(F.trim(think).alias("thinking"), F.trim(F.when(reply.contains("<answer>"), tagged).otherwise(rest)).alias("answer"))
 
 
+def open_brackets(text: Column) -> Column:
+    """(closers, upto, then) of JSON text that may break off: what closes its open brackets, innermost first; and how
+    many characters reach to its last whole object, and what closes the text there.
+
+    One pass over the characters with a stack of closers; brackets inside strings, and quotes escaped there, don't count.
+    """
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("stack"), F.lit(0).alias("n"), F.lit(0).alias("upto"), F.lit("").alias("then"))
+
+    def step(s: Column, c: Column) -> Column:
+        inside = s["quoted"]
+        closes = ~inside & c.isin("}", "]") & (F.substring(s["stack"], 1, 1) == c)
+        stack = F.when(~inside & (c == "{"), F.concat(F.lit("}"), s["stack"])).when(~inside & (c == "["), F.concat(F.lit("]"), s["stack"])).when(closes, F.substring(s["stack"], F.lit(2), F.length(s["stack"]))).otherwise(s["stack"])
+        quote = (c == '"') & ~s["escaped"]
+        object_ = closes & (c == "}")
+        n = s["n"] + 1
+        return F.struct((inside != quote).alias("quoted"), (inside & (c == "\\") & ~s["escaped"]).alias("escaped"), stack.alias("stack"), n.alias("n"), F.when(object_, n).otherwise(s["upto"]).alias("upto"), F.when(object_, stack).otherwise(s["then"]).alias("then"))
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: F.struct(s["stack"].alias("closers"), s["upto"].alias("upto"), s["then"].alias("then")))
+
+
 def recovered_json(reply: Column, schema: str) -> Column:
-    """An array parsed from a model's reply: as it is, without code fences, from the first [ to the last ], with open brackets closed, or cut after the last }."""
+    """An array parsed from a model's reply: as it is, without code fences, from the first [ to the last ], with its open brackets closed, or cut after the last whole object."""
     bare = F.regexp_replace(reply, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     widest = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    cut = F.concat(F.regexp_extract(bare, r"(?s)(\[.*\})", 1), F.lit("]"))
-    inner = F.coalesce(F.nullif(widest, F.lit("")), F.regexp_extract(bare, r"(?s)(\[.*)", 1))
-    lacking = lambda o, c: F.greatest(F.lit(0), F.regexp_count(inner, F.lit(o)) - F.regexp_count(inner, F.lit(c)))
-    balanced = F.concat(inner, F.repeat(F.lit("}"), lacking(r"\{", r"\}")), F.repeat(F.lit("]"), lacking(r"\[", r"\]")))
+    inner = F.regexp_extract(bare, r"(?s)(\[.*)", 1)
+    ends = lambda x: F.array(F.concat(x["t"], x["e"]["closers"]), F.when(x["e"]["upto"] > 0, F.concat(F.substring(x["t"], F.lit(1), x["e"]["upto"]), x["e"]["then"])).otherwise(""))
+    both = F.get(F.transform(F.array(F.struct(inner.alias("t"), open_brackets(inner).alias("e"))), ends), F.lit(0))
     tries = []
-    for text in (reply, bare, widest, balanced, cut):
+    for text in (reply, bare, widest, F.get(both, F.lit(0)), F.get(both, F.lit(1))):
         parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
         tries.append(F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$") & (F.size(F.filter(parsed, lambda x: x.isNotNull())) > 0), parsed))
     return F.coalesce(*tries)

@@ -82,6 +82,16 @@ def json_recovery(s, d):
     return e.select("event_id", F.transform(T.recovered_json(reply, "array<struct<k:int>>"), lambda x: x["k"]).alias("ks")).select("event_id", F.size("ks").cast("long").alias("n"), F.get("ks", F.lit(0)).alias("k"))
 
 
+@query("json_nested_recovery", "SELECT event_id, 'ends } ' || event_id || ' [' AS first, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 2 END AS n FROM events")
+def json_nested_recovery(s, d):
+    """Replies that break off inside nested arrays and objects, with brackets and quotes in their strings."""
+    i = F.col("event_id").cast("string")
+    first = F.concat(F.lit('[{"k": "ends } '), i, F.lit(' [", "l": ["\\"]", {"m": 1}]}, '))
+    lost = F.when(F.col("event_id") % 3 == 0, '{"k": "b", "l": [[1, {"m": "}]"').when(F.col("event_id") % 3 == 1, '{"k": "b}"}, {"k": "c').otherwise('{"k')
+    got = T.recovered_json(F.concat(first, lost), "array<struct<k:string>>")
+    return I.table(s, d, "events").select("event_id", got.alias("g")).select("event_id", F.get("g", F.lit(0))["k"].alias("first"), F.size("g").alias("n"))
+
+
 ORACLE["json_recovery"] = "SELECT event_id, 2::BIGINT AS n, (props->>'k')::INTEGER AS k FROM events"
 
 

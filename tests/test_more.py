@@ -30,6 +30,15 @@ def test_recovered_json(spark, text, n):
     assert spark.range(1).select(F.size(recovered_json(F.lit(text), "array<struct<k:int>>")).alias("n")).first().n == n
 
 
+@pytest.mark.parametrize("text,want", [
+    ('[{"a": [1, {"b": "}"', [("[1,{\"b\":\"}\"}]",)]), ('x [{"a": ["[{", "]"], "c": {"d": [2', [('["[{","]"]',)]), ('[{"a": "q\\"}]"}, {"a": "z}", "b": [', [('q"}]',), ("z}",)]), ('[{"a": "one"}, {"a": "two}"}, {"a": "thr', [("one",), ("two}",)]),
+    ('[\n  {"a": "First.", "s": "S1"},\n  {"a": "Second.", "s": "S2"},\n  {"a": "Third, inc', [("First.",), ("Second.",)]), ("This is not JSON.", None), ("", None), ("[", None), ('[{"a": "x"}]]', [("x",)]),
+])
+def test_json_is_closed_by_nesting(spark, text, want):
+    got = spark.range(1).select(recovered_json(F.lit(text), "array<struct<a:string>>").alias("j")).first().j
+    assert (None if got is None else [tuple(x) for x in got]) == want
+
+
 def test_treatments_and_knowledge_graph(spark):
     lines = spark.createDataFrame([("A", "(2013) 5 SCC 762  relied on  para 12\nshort\n(2014) 1 SCC 9 not followed\nno citation here")], "doc_id string, text string")
     assert {(r.key, r.relation) for r in G.treatments(lines).collect()} == {("SCC:2013:5:762", "CASE_FOLLOWS_CASE"), ("SCC:2014:1:9", "CASE_DOES_NOT_FOLLOW_CASE")}
