@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import embedding_cache as E
 from plumbline.plans import inputs as I
 from plumbline.session import shared_folder
 from plumbline.sources import datasources as D
@@ -234,3 +235,13 @@ def stream_log(s, d):
         Z.to_table(s.readStream.format("appended_lines").option("path", f"{at}/in").option("bytes", str(1 << 20)).load(), f"{at}/out", f"{at}/state")
     rows = s.read.schema("path string, at long, line string").parquet(f"{at}/out").select(F.from_json("line", "user_id long, event_id long").alias("r")).select("r.*")
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("cached_embeddings", "SELECT doc_id, FALSE AS first_hit, TRUE AS second_hit, TRUE AS equal, FALSE AS changed_hit FROM documents")
+def cached_embeddings(s, d):
+    """All documents embedded twice, then with every text changed: the second run computes nothing, the third everything."""
+    cache, docs = E.VectorCache(_folder(s, "vectors"), E.HashedWords()), I.documents(s, d)
+    first = cache.vectors(docs).select("doc_id", F.col("vector").alias("v1"), F.col("hit").alias("first_hit"))
+    second = cache.vectors(docs).select("doc_id", F.col("vector").alias("v2"), F.col("hit").alias("second_hit"))
+    third = cache.vectors(docs.withColumn("text", F.concat("text", F.lit(" \u0001"), F.col("doc_id").cast("string")))).select("doc_id", F.col("hit").alias("changed_hit"))
+    return first.join(second, "doc_id").join(third, "doc_id").select("doc_id", "first_hit", "second_hit", (F.col("v1") == F.col("v2")).alias("equal"), "changed_hit")
