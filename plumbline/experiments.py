@@ -99,7 +99,7 @@ class FaultRecovery(Experiment):
     def plan(self, spark):
         from plumbline.operators import faults as X
 
-        return X.cases(spark, (0, 1, 2), 10).withColumn("example_id", F.concat(F.lit("case_"), F.col("case_id").cast("string")))
+        return X.cases(spark.range(160).withColumnRenamed("id", "case_id"), (0, 1, 2)).withColumn("example_id", F.concat(F.lit("case_"), F.col("case_id").cast("string")))
 
     def run_examples(self, pending):
         from plumbline.operators import diagnosis as D

@@ -5,7 +5,7 @@ Every draw is a SHA-256 of (seed, purpose, case, item), so that any engine makes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.diagnosis import CAUSES
@@ -32,11 +32,12 @@ def pareto(shape: float, purpose: str, *parts: Column) -> Column:
     return F.pow(1 - uniform(purpose, *parts), F.lit(-1.0 / shape))
 
 
-def cases(spark: SparkSession, sizes: tuple[int, ...] = (0, 1, 2, 3, 4, 5), repeats: int = 5) -> DataFrame:
-    """case_id, mask, n_faults, repeat, near_threshold: all subsets of the five faults of the sizes given."""
-    masks = spark.range(1 << len(FAULTS)).select(F.col("id").cast("int").alias("mask")).withColumn("n_faults", F.bit_count("mask"))
-    rows = masks.where(F.col("n_faults").isin(list(sizes))).select("mask", "n_faults", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    return rows.withColumn("case_id", F.col("mask") * 1000 + F.col("repeat")).withColumn("near_threshold", F.col("repeat") % 4 == 3)
+def cases(traces: DataFrame, sizes: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> DataFrame:
+    """case_id, mask, n_faults, repeat, near_threshold: each trace (case_id, whole numbers from 0) with one of the subsets of the five faults of the sizes given, in turn."""
+    masks = [m for m in range(1 << len(FAULTS)) if m.bit_count() in sizes]
+    case = F.col("case_id")
+    rows = traces.select("case_id", F.get(F.array(*map(F.lit, masks)), F.pmod(case, F.lit(len(masks))).cast("int")).alias("mask"), F.floor(case / len(masks)).alias("repeat"))
+    return rows.withColumn("n_faults", F.bit_count("mask")).withColumn("near_threshold", F.col("repeat") % 4 == 3)
 
 
 def has(fault: str) -> Column:

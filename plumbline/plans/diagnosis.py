@@ -144,10 +144,11 @@ def _u(p: str, *parts: str) -> str:
     return f"(('0x' || substr(sha256({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _faults_sql(sizes: str = "0, 1, 2, 3, 4, 5", repeats: int = 5) -> str:
+def _faults_sql(sizes: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> str:
+    masks = [m for m in range(32) if m.bit_count() in sizes]
     has = lambda i: f"(mask & {1 << i} <> 0)"
     edge = "(CASE WHEN near THEN 0.02::DOUBLE ELSE 0.2::DOUBLE END)"
-    return f"""plan AS (SELECT m::INT AS mask, bit_count(m::INT)::INT AS n_faults, r AS repeat, m * 1000 + r AS case_id, r % 4 = 3 AS near FROM (SELECT unnest(range(32)) AS m), (SELECT unnest(range({repeats})) AS r) WHERE bit_count(m::INT) IN ({sizes})),
+    return f"""plan AS (SELECT case_id, mask, bit_count(mask)::INT AS n_faults, (case_id // {len(masks)}) % 4 = 3 AS near FROM (SELECT case_id, {masks}[case_id % {len(masks)} + 1]::INT AS mask FROM (SELECT DISTINCT user_id AS case_id FROM events))),
 ftraces AS (SELECT case_id AS trace_id, mask, n_faults, CASE {' '.join(f"WHEN {has(i)} THEN '{c}'" for i, c in enumerate(D.CAUSES))} ELSE 'UNKNOWN' END AS expected_cause,
   round(CASE WHEN {has(0)} THEN 0.75 + {edge} * (0.1 + 0.9 * {_u('far', 'case_id')}) ELSE 0.2 + 0.3 * {_u('near', 'case_id')} END, 6) AS min_distance FROM plan),
 frefs AS (SELECT case_id AS trace_id, i, round(CASE WHEN {has(1)} THEN 0.5 - {edge} * (0.1 + 0.9 * {_u('low', 'case_id', 'i')}) ELSE 0.6 + 0.35 * {_u('high', 'case_id', 'i')} END, 6) AS similarity FROM plan, (SELECT unnest(range(6)) AS i)),
@@ -157,37 +158,42 @@ ffacts AS (SELECT t.*, s.*, r.max_score FROM ftraces t JOIN (SELECT trace_id AS
 fcause AS (SELECT trace_id, mask, n_faults, expected_cause, CASE WHEN min_distance > 0.75 THEN 'MISSING_CORPUS' WHEN ok = 0 AND uns = n AND max_score < 0.5 THEN 'RETRIEVAL_MISS' WHEN par > 0 THEN 'CHUNK_BOUNDARY' WHEN uns > 0 AND max_score >= 0.5 THEN 'UNSUPPORTED_GENERATION' WHEN con > 0 THEN 'GROUNDING_FAILURE' ELSE 'UNKNOWN' END AS primary_cause FROM ffacts)"""
 
 
-def _diagnosed(s, sizes, repeats=5):
-    traces, refs, verified = X.injected(X.cases(s, sizes, repeats))
+def _cases(s, d, sizes=(0, 1, 2, 3, 4, 5)):
+    """Every user's trace gets a set of faults."""
+    return X.cases(I.table(s, d, "events").select(F.col("user_id").alias("case_id")).distinct(), sizes)
+
+
+def _diagnosed(s, d, sizes):
+    traces, refs, verified = X.injected(_cases(s, d, sizes))
     causes = D.root_causes(D.stage_matrix(D.trace_facts(traces, refs, verified)))
     return traces.join(causes, "trace_id")
 
 
 @query("fault_cases", f"WITH {_faults_sql()} SELECT trace_id, n_faults, expected_cause, min_distance FROM ftraces")
 def fault_cases(s, d):
-    traces, _, _ = X.injected(X.cases(s))
-    return traces.select(F.col("trace_id").cast("long").alias("trace_id"), "n_faults", "expected_cause", "min_distance")
+    traces, _, _ = X.injected(_cases(s, d))
+    return traces.select("trace_id", "n_faults", "expected_cause", "min_distance")
 
 
-@query("fault_diagnosis", f"WITH {_faults_sql('0, 1', 17)} SELECT trace_id, expected_cause, primary_cause FROM fcause")
+@query("fault_diagnosis", f"WITH {_faults_sql((0, 1))} SELECT trace_id, expected_cause, primary_cause FROM fcause")
 def fault_diagnosis(s, d):
-    return _diagnosed(s, (0, 1), 17).select(F.col("trace_id").cast("long").alias("trace_id"), "expected_cause", "primary_cause")
+    return _diagnosed(s, d, (0, 1)).select("trace_id", "expected_cause", "primary_cause")
 
 
-@query("compound_faults", f"WITH {_faults_sql('2')} SELECT mask, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause GROUP BY 1")
+@query("compound_faults", f"WITH {_faults_sql((2,))} SELECT mask, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause GROUP BY 1")
 def compound_faults(s, d):
-    return _diagnosed(s, (2,)).groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("expected_cause") == F.col("primary_cause")).cast("int")), 4).alias("accuracy"))
+    return _diagnosed(s, d, (2,)).groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("expected_cause") == F.col("primary_cause")).cast("int")), 4).alias("accuracy"))
 
 
-@query("nway_faults", f"WITH {_faults_sql('2, 3, 4, 5')} SELECT n_faults, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause GROUP BY 1")
+@query("nway_faults", f"WITH {_faults_sql((2, 3, 4, 5))} SELECT n_faults, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause GROUP BY 1")
 def nway_faults(s, d):
-    return _diagnosed(s, (2, 3, 4, 5)).groupBy("n_faults").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("expected_cause") == F.col("primary_cause")).cast("int")), 4).alias("accuracy"))
+    return _diagnosed(s, d, (2, 3, 4, 5)).groupBy("n_faults").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("expected_cause") == F.col("primary_cause")).cast("int")), 4).alias("accuracy"))
 
 
-@query("depth_sweep", f"WITH {_faults_sql('1')}, dp AS (SELECT unnest([0, 1, 2, 3, 4, 5, 8, 12]) AS depth) SELECT depth, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause, dp GROUP BY 1")
+@query("depth_sweep", f"WITH {_faults_sql((1,))}, dp AS (SELECT unnest([0, 1, 2, 3, 4, 5, 8, 12]) AS depth) SELECT depth, count(*) AS n, round(avg((expected_cause = primary_cause)::INT), 4) AS accuracy FROM fcause, dp GROUP BY 1")
 def depth_sweep(s, d):
     """Neutral chunks far from the others change no verdict."""
-    traces, refs, verified = X.injected(X.cases(s, (1,)))
+    traces, refs, verified = X.injected(_cases(s, d, (1,)))
     r, v = X.depth_sweep(refs, verified)
     grid = r.select("trace_id", "depth").distinct()
     t = grid.join(traces.withColumnRenamed("trace_id", "case_id"), F.floor(F.col("trace_id") / 100) == F.col("case_id"))

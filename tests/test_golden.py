@@ -109,7 +109,7 @@ def test_actions_skip_what_is_deployed(spark):
 
 
 def test_single_faults_are_recovered_and_controls_are_clean(spark):
-    traces, refs, verified = X.injected(X.cases(spark, (0, 1), 17))
+    traces, refs, verified = X.injected(X.cases(spark.range(102).withColumnRenamed("id", "case_id"), (0, 1)))
     causes = D.root_causes(D.stage_matrix(D.trace_facts(traces, refs, verified))).join(traces, "trace_id")
     assert causes.where("primary_cause <> expected_cause").count() == 0
 
