@@ -102,7 +102,22 @@ def _keep(s):
     return keep
 
 
-@query("ircot_steps")
+def _ircot_sql() -> str:
+    """The loop's iterations one after the other; follow-ups have words of their questions only, so the questions' postings serve them all."""
+    parts = [f"""qw AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS words FROM (SELECT item_id AS query_id, {PR._TOK} AS t FROM benchmark)),
+a0 AS (SELECT item_id AS query_id, lower(trim(text)) AS q FROM benchmark), e0 AS (SELECT query_id, doc_id FROM sparse WHERE rank <= {R.FINAL}), l0 AS (SELECT query_id FROM qw)"""]
+    for i in range(1, St.ITERATIONS + 1):
+        last = "'max_iterations'" if i == St.ITERATIONS else "NULL"
+        parts.append(f"""m{i} AS (SELECT query_id, list_filter(any_value(words), lambda x: NOT list_contains(flatten(list(seen)), x)) AS missing FROM (SELECT e.query_id, words, list_filter(words, lambda x: list_contains(tokens, x)) AS seen FROM e{i - 1} e JOIN l{i - 1} USING (query_id) JOIN toks ON toks.doc_id = e.doc_id JOIN qw ON qw.query_id = e.query_id) GROUP BY 1),
+j{i} AS (SELECT query_id, missing, CASE WHEN len(missing) > 0 THEN array_to_string(missing, ' ') END AS follow_up, CASE WHEN len(missing) = 0 THEN 'enough' WHEN (query_id, array_to_string(missing, ' ')) IN (SELECT (query_id, q) FROM a{i - 1}) THEN 'repeated_query' END AS stop FROM m{i}),
+r{i} AS (SELECT query_id, tf.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens) / avgdl))), 6) DESC, tf.doc_id) AS rank FROM (SELECT query_id, unnest(missing) AS term FROM j{i} WHERE stop IS NULL) w JOIN tf USING (term) JOIN idf USING (term) JOIN toks ON toks.doc_id = tf.doc_id, n GROUP BY query_id, tf.doc_id, n.n HAVING sum(idf * tf) > 0),
+w{i} AS (SELECT query_id, doc_id FROM r{i} WHERE rank <= {St.FOLLOW_UP} EXCEPT SELECT query_id, doc_id FROM e{i - 1}),
+s{i} AS (SELECT query_id, {i} AS iteration, follow_up, coalesce(c, 0) AS n_new, CASE WHEN stop IS NOT NULL THEN stop WHEN coalesce(c, 0) < 1 THEN 'no_new_evidence' ELSE {last} END AS termination FROM j{i} LEFT JOIN (SELECT query_id, count(*) AS c FROM w{i} GROUP BY 1) USING (query_id)),
+e{i} AS (SELECT * FROM e{i - 1} UNION ALL SELECT * FROM w{i}), a{i} AS (SELECT * FROM a{i - 1} UNION ALL SELECT query_id, follow_up FROM j{i} WHERE stop IS NULL), l{i} AS (SELECT query_id FROM s{i} WHERE termination IS NULL)""")
+    return f"WITH {PR._BM25}, " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, St.ITERATIONS + 1))
+
+
+@query("ircot_steps", _ircot_sql())
 def ircot_steps(s, d):
     """Interleaved retrieval; the default planner asks for the question's words that the evidence lacks."""
     from plumbline.functions.text import lexical_tokens
