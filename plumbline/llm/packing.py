@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import alone, remembers, table
+from plumbline.llm.common import alone, remembers, table, texts_of
 from plumbline.llm.tokens import vocabulary_path
 from plumbline.session import ship
 
@@ -30,8 +30,8 @@ END_ID = 1
 #: Documents in a group, on average.
 GROUP_DOCS = 2048
 #: Distinct words whose ids a worker remembers at most.
-_REMEMBER = 700_000
-_TOGETHER = 3_000_000
+_REMEMBER = 450_000
+_TOGETHER = 1_000_000
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -151,9 +151,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
         ids = _word_ids(vocabulary_path(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, found in zip(batch.column(0).to_pylist(), ids.encoded(texts)):
+            found_ids = (found for texts in texts_of(batch, 1) for found in ids.encoded(texts))
+            for doc, found in zip(batch.column(0).to_pylist(), found_ids):
                 found += end
                 total, own = len(found) // 4, xxhash.xxh64_intdigest(found) - (1 << 63)
                 for start in range(0, total, length):
