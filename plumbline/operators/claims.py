@@ -15,7 +15,7 @@ def claim_id(trace_id: Column, number: Column) -> Column:
     return F.concat(trace_id.cast("string"), F.lit("_C"), F.lpad((number + 1).cast("string"), 3, "0"))
 
 
-#: Letters of a gram; a band of starts has a quarter of the claim's length, BAND at least; bands that are searched.
+#: Letters of a gram; a band of starts has an eighth of the claim's length, BAND at least; bands that are searched.
 GRAM, BAND, BANDS = 3, 8, 3
 
 
@@ -29,10 +29,10 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     claim's length (or the answer's, if longer), ties go to the first. A claim
     with fewer letters than a gram, or none of whose grams the answer has, has no row,
     nor has one whose likeness is under LEAST_RATIO. Votes are rows of a join
-    on grams, at most five for a letter of the answer, whatever repeats in it.
+    on grams, at most nine for a letter of the answer, whatever repeats in it.
     """
     n, m = F.length("claim"), F.length("answer")
-    known = rows.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 4), F.lit(BAND))}).where(n >= GRAM)
+    known = rows.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 8), F.lit(BAND))}).where(n >= GRAM)
     at = lambda text, place: F.substring(F.col(text), place + 1, F.lit(GRAM))
     places = lambda text: F.explode(F.sequence(F.lit(0), F.length(text) - GRAM))
     own = known.select(key, "claim_no", "last", "width", "claim", places("claim").alias("p")).select(key, "claim_no", "last", "width", "p", at("claim", F.col("p")).alias("gram"))
@@ -44,7 +44,9 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     w = Window.partitionBy(key, "claim_no").orderBy(F.desc("votes"), "band")
     best = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BANDS).select(key, "claim_no", "band")
     starts = F.sequence(F.col("band") * F.col("width"), F.least(F.col("band") * F.col("width") + F.col("width") - 1, F.col("last")))
-    tried = known.join(best, [key, "claim_no"]).select(key, "claim_no", "claim", "answer", F.explode(starts.cast("array<int>")).alias("at"))
+    # dealt by a number of partitions that is kept: few bytes, but much to compute for each
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tried = known.join(best, [key, "claim_no"]).repartition(parts, key, "claim_no", "band").select(key, "claim_no", "claim", "answer", F.explode(starts.cast("array<int>")).alias("at"))
     stretch = F.substring(F.col("answer"), F.col("at") + 1, F.length("claim"))
     longest = F.greatest(F.length("claim"), F.length(stretch))
     distance = F.levenshtein(stretch, F.col("claim"))
@@ -52,16 +54,20 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     return likest.select(key, "claim_no", "x.at", (-F.col("x.r")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
 
 
+def own_claims(claims: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Claims, trimmed, without empty ones; of those that repeat in any case the first."""
+    text = F.trim("claim")
+    first = Window.partitionBy(key, F.lower(text)).orderBy("claim_no")
+    return claims.where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def located(claims: DataFrame, answers: DataFrame, key: str = "trace_id") -> DataFrame:
     """Claims (key, claim_no, claim) without empty and repeated ones, with ids, hashes and places in the answer.
 
     A claim that the answer holds has an exact place; the others, and only
     they, are matched approximately (fuzzy_places); a claim without a place has -1.
     """
-    text = F.trim("claim")
-    first = Window.partitionBy(key, F.lower(text)).orderBy("claim_no")
-    own = claims.where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    rows = own.join(answers.select(key, "answer"), key).withColumn("at", F.instr(F.col("answer"), F.col("claim")) - 1)
+    rows = own_claims(claims, key).join(answers.select(key, "answer"), key).withColumn("at", F.instr(F.col("answer"), F.col("claim")) - 1)
     exact = rows.where("at >= 0").select(key, "claim_no", "claim", "at", F.lit("exact").alias("match_type"), F.lit(1.0).alias("match_confidence"))
     rest = rows.where("at < 0").drop("at")
     near = F.col("ratio").isNotNull()

@@ -45,7 +45,7 @@ _NARROW = " || ".join(f"chr({i})" for i in [*range(1, 9), 11, 12, *range(14, 28)
 
 def _fuzzy_sql(rows: str) -> str:
     """CTEs that end in fz (trace_id, claim_no, pos, ratio), from rows (trace_id, claim_no, claim, answer)."""
-    return f"""fr AS (SELECT *, length(claim) AS n, greatest(length(answer) - length(claim), 0) AS last, greatest(length(claim) // 4, {K.BAND}) AS width, translate(claim, '{_WIDE}', {_NARROW}) AS c1, translate(answer, '{_WIDE}', {_NARROW}) AS a1 FROM ({rows}) WHERE length(claim) >= {K.GRAM}),
+    return f"""fr AS (SELECT *, length(claim) AS n, greatest(length(answer) - length(claim), 0) AS last, greatest(length(claim) // 8, {K.BAND}) AS width, translate(claim, '{_WIDE}', {_NARROW}) AS c1, translate(answer, '{_WIDE}', {_NARROW}) AS a1 FROM ({rows}) WHERE length(claim) >= {K.GRAM}),
 go AS (SELECT trace_id, claim_no, last, width, p, substr(claim, p + 1, {K.GRAM}) AS gram FROM fr, unnest(range(n - {K.GRAM - 1})) t(p)),
 ga AS (SELECT trace_id, a, substr(answer, a + 1, {K.GRAM}) AS gram FROM (SELECT DISTINCT trace_id, answer FROM fr), unnest(range(length(answer) - {K.GRAM - 1})) t(a)),
 vo AS (SELECT trace_id, claim_no, band, count(*) AS votes FROM (SELECT DISTINCT go.trace_id, claim_no, a, least(greatest(a - p, 0), last) // width AS band FROM ga JOIN go ON go.trace_id = ga.trace_id AND go.gram = ga.gram) GROUP BY 1, 2, 3),
@@ -69,7 +69,7 @@ _REWORDED = """SELECT trace_id, claim_no, CASE WHEN claim_no % 2 = 0 THEN replac
 @query("claim_fuzzy_places", f"{_LOCATED.replace('claim, strpos', 'o.claim, strpos')}, {_fuzzy_sql(_REWORDED.replace('SELECT trace_id, claim_no', 'SELECT pl.trace_id, pl.claim_no').replace('answer FROM', 'answers.answer FROM'))} SELECT trace_id, claim_no, pos::INTEGER AS character_start, round(ratio, 6) AS ratio FROM fz")
 def claim_fuzzy_places(s, d):
     """Where reworded claims come from in their answers."""
-    first = K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d)).select("trace_id", "claim_no", "claim")
+    first = K.own_claims(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"))
     less = F.replace(F.replace("claim", F.lit("on"), F.lit("o")), F.lit("er"), F.lit("e"))
     more = F.concat(F.replace(F.replace("claim", F.lit("e "), F.lit("a ")), F.lit("t"), F.lit("th")), F.lit(" indeed"))
     reworded = first.select("trace_id", "claim_no", F.when(F.col("claim_no") % 2 == 0, less).otherwise(more).alias("claim")).join(I.answers(s, d).select("trace_id", "answer"), "trace_id")
