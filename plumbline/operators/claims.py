@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import text_hash
+from plumbline.session import written
 
 LEAST_RATIO = 0.6
 
@@ -25,33 +26,62 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     Grams of the answer vote for bands of starts: a gram at place a that the
     claim has at place p speaks, once for each band, for the band of a - p
     (moved to the first or last possible start). In the three bands with most
-    votes every start is tried; likeness is one less the edit distance over the
-    claim's length (or the answer's, if longer), ties go to the first. A claim
+    votes the likest start is taken; likeness is one less the edit distance over the
+    claim's length, ties go to the first. A claim
     with fewer letters than a gram, or none of whose grams the answer has, has no row,
     nor has one whose likeness is under LEAST_RATIO. Votes are rows of a join
     on grams, at most nine for a letter of the answer, whatever repeats in it.
     """
     n, m = F.length("claim"), F.length("answer")
-    known = rows.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 8), F.lit(BAND))}).where(n >= GRAM)
+    # dealt by a number of partitions that is kept: few bytes, but much to compute for each
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = written(rows.select(key, "claim_no", "claim", "answer").where(n >= GRAM).repartition(parts, key), "claims")
+    known = kept.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 8), F.lit(BAND))})
     at = lambda text, place: F.substring(F.col(text), place + 1, F.lit(GRAM))
     places = lambda text: F.explode(F.sequence(F.lit(0), F.length(text) - GRAM))
     own = known.select(key, "claim_no", "last", "width", "claim", places("claim").alias("p")).select(key, "claim_no", "last", "width", "p", at("claim", F.col("p")).alias("gram"))
-    own = own.groupBy(key, "claim_no", "last", "width", "gram").agg(F.collect_list("p").alias("ps"))  # a claim's own places
+    own = own.withColumn("before", F.lag("p").over(Window.partitionBy(key, "claim_no", "gram").orderBy("p")))  # the claim's place before with the same gram
     said = known.where(m >= GRAM).dropDuplicates([key]).select(key, "answer", places("answer").alias("a")).select(key, "a", at("answer", F.col("a")).alias("gram"))
-    start = lambda p: F.least(F.greatest(F.col("a") - p, F.lit(0)), F.col("last"))
-    votes = said.join(own, [key, "gram"]).select(key, "claim_no", F.explode(F.array_distinct(F.transform("ps", lambda p: F.floor(start(p) / F.col("width"))))).alias("band"))
+    band = lambda p: F.floor(F.least(F.greatest(F.col("a") - F.col(p), F.lit(0)), F.col("last")) / F.col("width"))
+    # later places have earlier bands, so a band that was spoken for is that of the place before
+    votes = said.join(own, [key, "gram"]).where(F.col("before").isNull() | (band("p") != band("before"))).select(key, "claim_no", band("p").alias("band"))
     counted = votes.groupBy(key, "claim_no", "band").agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy(key, "claim_no").orderBy(F.desc("votes"), "band")
-    best = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BANDS).select(key, "claim_no", "band")
-    starts = F.sequence(F.col("band") * F.col("width"), F.least(F.col("band") * F.col("width") + F.col("width") - 1, F.col("last")))
-    # dealt by a number of partitions that is kept: few bytes, but much to compute for each
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tried = known.join(best, [key, "claim_no"]).repartition(parts, key, "claim_no", "band").select(key, "claim_no", "claim", "answer", F.explode(starts.cast("array<int>")).alias("at"))
-    stretch = F.substring(F.col("answer"), F.col("at") + 1, F.length("claim"))
-    longest = F.greatest(F.length("claim"), F.length(stretch))
-    distance = F.levenshtein(stretch, F.col("claim"))
-    likest = tried.select(key, "claim_no", F.struct((-(1 - distance / longest)).alias("r"), "at").alias("x")).groupBy(key, "claim_no").agg(F.min("x").alias("x"))
-    return likest.select(key, "claim_no", "x.at", (-F.col("x.r")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    best = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BANDS).groupBy(key, "claim_no").agg(F.array_sort(F.collect_list(F.struct("_r", "band"))).alias("bands"))
+    tried = known.join(best, [key, "claim_no"]).repartition(parts, key, "claim_no").select(key, "claim_no", "n", F.inline(F.array(_likest())))  # a generator's row, so that the filter doesn't compute it again
+    return tried.where(F.col("at").isNotNull()).select(key, "claim_no", "at", (1 - F.col("d") / F.col("n")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+
+
+def _likest() -> Column:
+    """(d, at): the least distance of the claim and a stretch that starts in one of its bands, and the first such start; at is null where all are too far.
+
+    Moving a stretch by k letters changes its distance by 2k at most. So, band by
+    band, starts that are multiples of higher powers of two come first, and one
+    that is known to be too far leaves out its neighbours. A distance is computed
+    as far as it matters: up to what a start's neighbours need to be left out.
+    """
+    width = F.col("width").cast("int")
+    reach = lambda x: F.when(x == 0, width).otherwise(F.least(x.bitwiseAND(-x), width))
+    starts = lambda b: F.sequence(b["band"].cast("int") * width, F.least(b["band"].cast("int") * width + width - 1, F.col("last")))
+    ordered = F.array_sort(F.flatten(F.transform("bands", lambda b: F.transform(starts(b), lambda x: F.struct(b["_r"].alias("band"), (-reach(x)).alias("r"), x.alias("at"))))))
+    far = F.floor((1 - LEAST_RATIO) * F.col("n")).cast("int") + 1  # nothing that is farther counts
+    none = F.struct(far.alias("d"), F.lit(None).cast("int").alias("at"), F.array().cast("array<struct<at:int,d:int>>").alias("seen"))
+
+    def step(state: Column, x: Column) -> Column:
+        least = lambda d: (d < state["d"]) | ((d == state["d"]) & (state["at"].isNull() | (x["at"] < state["at"])))
+        open_ = ~F.exists(state["seen"], lambda s: ~least(s["d"] - 2 * F.abs(s["at"] - x["at"])))
+
+        def told(limit: Column) -> Column:
+            d = F.call_function("levenshtein", F.substring(F.col("answer"), x["at"] + 1, F.col("n")), F.col("claim"), limit)
+            return F.transform(F.array(d), lambda v: F.when(v < 0, limit + 1).otherwise(v))
+
+        def met(d: Column) -> Column:
+            near = least(d)
+            return F.struct(F.when(near, d).otherwise(state["d"]).alias("d"), F.when(near, x["at"]).otherwise(state["at"]).alias("at"), F.concat(state["seen"], F.array(F.struct(x["at"].alias("at"), d.alias("d")))).alias("seen"))
+
+        return F.when(open_, F.get(F.transform(told(state["d"] - 2 * x["r"]), met), F.lit(0))).otherwise(state)
+
+    return F.aggregate(ordered, none, step, lambda s: F.struct(s["d"].alias("d"), s["at"].alias("at")))
 
 
 def own_claims(claims: DataFrame, key: str = "trace_id") -> DataFrame:

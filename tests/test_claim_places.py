@@ -66,3 +66,40 @@ def test_long_repetitive_answers(spark):
     assert len(K.fuzzy_places(df).collect()) == 20
     assert time.perf_counter() - began < 12
     df.unpersist()
+
+
+def test_long_claims_try_few_starts(spark):
+    """Claims of 3,000 letters have bands of 375 starts, of which few need a distance."""
+    rng = random.Random(3)
+    answer = words(rng, 3600)[:20_000]
+    rows = [(1, i, "".join(c for j, c in enumerate(answer[at : at + 3100]) if j % 31), answer) for i, at in enumerate((0, 8_123, 16_800))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.perf_counter()
+    got = {r.claim_no: r for r in K.fuzzy_places(df).collect()}
+    assert time.perf_counter() - began < 30
+    for i, at in enumerate((0, 8_123, 16_800)):
+        assert abs(got[i]["at"] - at) <= 101 and got[i].ratio > 0.93
+
+
+def test_same_as_every_start_of_the_bands(spark):
+    """Repeats, ties and claims longer than their answers: the first of the least distances in the three bands."""
+    rng = random.Random(11)
+    rows = []
+    for t in range(60):
+        answer = "".join(rng.choice("abcd "[: rng.randint(2, 5)]) for _ in range(rng.randint(3, 160)))
+        at = rng.randrange(len(answer))
+        claim = "".join(c for c in answer[at : at + rng.randint(3, 120)] if rng.random() > 0.1) + rng.choice(["", "zz", "abab"])
+        rows.append((t, 0, claim, answer))
+    got = {r.trace_id: (r["at"], r.ratio) for r in K.fuzzy_places(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for t, _, claim, answer in rows:
+        n, last = len(claim), max(len(answer) - len(claim), 0)
+        width, votes = max(n // 8, K.BAND), {}
+        for a in range(len(answer) - 2):
+            for b in {min(max(a - p, 0), last) // width for p in range(n - 2) if claim[p : p + 3] == answer[a : a + 3]}:
+                votes[b] = votes.get(b, 0) + 1
+        bands = sorted(votes, key=lambda b: (-votes[b], b))[: K.BANDS]
+        tried = [(distance(answer[s : s + n], claim), s) for b in bands for s in range(b * width, min(b * width + width - 1, last) + 1)]
+        if n >= 3 and tried and 1 - min(tried)[0] / n >= K.LEAST_RATIO:
+            want[t] = (min(tried)[1], pytest.approx(1 - min(tried)[0] / n))
+    assert got == want and len(want) > 20
