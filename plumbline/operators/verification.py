@@ -11,7 +11,8 @@ from plumbline.functions.text import CLAIM_STOP, GROUNDED_STOP, content_words, l
 ENTAIL, CONTRA, PARTIAL, NEUTRAL = 0.7, 0.7, 0.4, 0.8
 LEXICAL_SUPPORT, GROUNDED, METRIC_ENTAIL = 0.55, 0.45, 0.5
 STATUSES = ("SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED", "NOT_VERIFIABLE")
-NEGATION = r"\b(?:not|no|never|none|cannot)\b"
+#: Whole words of Unicode letters; what \b takes for a letter differs between versions of Java and between engines.
+NEGATION = r"(?<![\p{L}\p{N}_])(?:not|no|never|none|cannot)(?![\p{L}\p{N}_])"
 STRATEGIES = ("top1", "max_pool_top3", "concat_top3")
 
 

@@ -86,7 +86,8 @@ def groundedness(s, d):
     return rows.select("trace_id", V.groundedness(F.col("answer"), F.col("text")).alias("groundedness"))
 
 
-_NEG = r"\\b(?:not|no|never|none|cannot)\\b".replace("\\\\", "\\")
+#: RE2's \\b knows ASCII letters only and would find the word no in noñ.
+_NEG = r"(?:^|[^\p{L}\p{N}_])(?:not|no|never|none|cannot)(?:[^\p{L}\p{N}_]|$)"
 _EVIDENCE = f"""{_CLAIMS}, sents AS (SELECT doc_id, i AS sentence_no, ss[i + 1] AS sentence FROM (SELECT doc_id, {_SIMPLE.format(t='text')} AS ss FROM documents WHERE doc_id IN (SELECT conv_id FROM claims)), unnest(range(len(ss)::BIGINT)) t(i)),
 sw AS (SELECT *, {_CONTENT.format(t='sentence')} AS w FROM sents),
 ev0 AS (SELECT trace_id, claim_no, sentence_no, sentence, {_SUPPORT.format(c='claim', w='w')} AS sup, regexp_matches(lower(claim), '{_NEG}') <> regexp_matches(lower(sentence), '{_NEG}') AS differs FROM claims JOIN sw ON doc_id = conv_id),
