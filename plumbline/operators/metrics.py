@@ -17,6 +17,18 @@ def gold_ranks(ranking: DataFrame, gold: DataFrame, queries: DataFrame) -> DataF
     return out.select("query_id", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
 
 
+def label_ranks(ranking: DataFrame, labels: DataFrame, queries: DataFrame) -> DataFrame:
+    """gold_ranks() where all rows of a query's label but its own are gold. labels: doc_id, label; queries: query_id, label, which are among the labelled rows.
+
+    No pair of a query and a gold row is made: a label's rows are counted, and only ranked rows are looked at.
+    """
+    known = labels.where(F.col("label").isNotNull()).select("doc_id", "label").distinct()
+    sizes = known.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_gold"))
+    hits = ranking.join(known, "doc_id").join(queries.select("query_id", "label"), ["query_id", "label"], "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    out = queries.select("query_id", "label").join(sizes, "label", "left").join(hits, "query_id", "left")
+    return out.select("query_id", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
+
+
 def within(k: int) -> Column:
     return F.filter("ranks", lambda r: r <= k)
 

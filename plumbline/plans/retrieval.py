@@ -269,9 +269,8 @@ def _doc_ranks(s, d):
 
 
 def _vec_ranks(s, d):
-    q = I.vector_questions(s, d)
-    gold = q.join(I.vectors(s, d).select("doc_id", F.col("label").alias("q_label")), "q_label").where("doc_id <> query_id").select("query_id", "doc_id")
-    return M.gold_ranks(_dense(s, d), gold, q)
+    asked = I.vector_questions(s, d).select("query_id", F.col("q_label").alias("label"))
+    return M.label_ranks(_dense(s, d), I.vectors(s, d), asked)
 
 
 def _wide(panel):
