@@ -27,9 +27,10 @@ REFUSAL = (
     r"|i (?:do not|don'?t) know"
 )
 GENERATION_ERROR = r"^\s*(?:error generating answer|error:|\{'message':)"
+#: Whole words of Unicode letters, in either case of A-Z; what \b takes for a letter differs between versions of Java and between engines.
 NON_ASSERTIVE = (
-    r"^\s*(?:i (?:do not|don'?t|cannot|can'?t)\b|(?:the )?(?:retrieved )?context (?:does not|doesn'?t)\b"
-    r"|(?:however|unfortunately|please|note that|in summary|let me know)\b|there (?:is|are) no\b)"
+    r"^\s*(?:i (?:do not|don'?t|cannot|can'?t)(?![\p{L}\p{N}_])|(?:the )?(?:retrieved )?context (?:does not|doesn'?t)(?![\p{L}\p{N}_])"
+    r"|(?:however|unfortunately|please|note that|in summary|let me know)(?![\p{L}\p{N}_])|there (?:is|are) no(?![\p{L}\p{N}_]))"
 )
 CONTEXT_BLOCK = r"(?s)--- Context chunk \d+ \[Chunk-ID: ([^\]]*)\] ---\n(.*?)(?=\n--- Context chunk |\n\nQuestion: |\z)"
 CHUNK_CITATION = r"(?i)\[(?:Chunk-ID:\s*|Chunk:\s*)([a-f0-9\-]+)\]"

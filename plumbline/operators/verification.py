@@ -11,8 +11,9 @@ from plumbline.functions.text import CLAIM_STOP, GROUNDED_STOP, content_words, l
 ENTAIL, CONTRA, PARTIAL, NEUTRAL = 0.7, 0.7, 0.4, 0.8
 LEXICAL_SUPPORT, GROUNDED, METRIC_ENTAIL = 0.55, 0.45, 0.5
 STATUSES = ("SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED", "CONTRADICTED", "NOT_VERIFIABLE")
-#: Whole words of Unicode letters; what \b takes for a letter differs between versions of Java and between engines.
-NEGATION = r"(?<![\p{L}\p{N}_])(?:not|no|never|none|cannot)(?![\p{L}\p{N}_])"
+#: Whole words of Unicode letters; what \b takes for a letter differs between versions of Java and between engines. A search may begin
+#: at the second half of a surrogate pair, and a lookbehind sees no more than that; it is no character of its own.
+NEGATION = r"(?:^|[^\p{L}\p{N}_\p{Cs}])(?:not|no|never|none|cannot)(?![\p{L}\p{N}_])"
 STRATEGIES = ("top1", "max_pool_top3", "concat_top3")
 
 
@@ -25,14 +26,14 @@ def lexical_support(claim: Column, context: Column) -> Column:
 def lexical_scores(claim: Column, sentence: Column) -> Column:
     """(ent, contra, neutral) by the default provider: support, which counts against the claim where only one side is negated."""
     support = lexical_support(claim, sentence)
-    differs = F.lower(claim).rlike(NEGATION) != F.lower(sentence).rlike(NEGATION)
+    differs = claim.rlike(f"(?i){NEGATION}") != sentence.rlike(f"(?i){NEGATION}")
     ent, contra = F.when(differs, 0.0).otherwise(support), F.when(differs, support).otherwise(0.0)
     return F.struct(ent.alias("ent"), contra.alias("contra"), F.greatest(F.lit(0.0), 1 - ent - contra).alias("neutral"))
 
 
 def described(text: Column) -> Column:
     """(words, negated): what lexical scores take of a claim or a sentence, found once for each."""
-    return F.struct(F.array_distinct(content_words(text)).alias("words"), F.lower(text).rlike(NEGATION).alias("negated"))
+    return F.struct(F.array_distinct(content_words(text)).alias("words"), text.rlike(f"(?i){NEGATION}").alias("negated"))
 
 
 def described_scores(claim: Column, sentence: Column) -> Column:

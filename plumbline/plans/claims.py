@@ -25,11 +25,20 @@ def _quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_SEP = "chr(1)"
-#: RE2 has no lookbehind, so a separator is put in and split on.
-_SIMPLE = f"list_filter(list_transform(string_split(regexp_replace(trim({{t}}, ' '), '([.!?])[ \\t\\n\\r]+', '\\1' || {_SEP}, 'g'), {_SEP}), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '')"
-_CAPITAL = f"list_filter(list_transform(string_split(regexp_replace({{t}}, '([.!?])[ \\t\\n\\r]+([A-Z])', '\\1' || {_SEP} || '\\2', 'g'), {_SEP}), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '')"
-_CONTENT = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z0-9'']+'), lambda tw: tw NOT IN ({_quoted(T.CLAIM_STOP)}))"
+#: White space as \s has it in Java.
+_WS, _BLANKS = "[ \\t\\n\\x0B\\f\\r]", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _split_sql(text: str, pattern: str, back: str) -> str:
+    """RE2 has no lookbehind, so a separator is put in and split on: chr(1) and s. A text's own chr(1) has an x after it meanwhile."""
+    marked = f"regexp_replace(replace({text}, chr(1), chr(1) || 'x'), '{pattern}', {back}, 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1) || 's'), lambda s: trim(replace(s, chr(1) || 'x', chr(1)), {_BLANKS})), lambda s: s <> '')"
+
+
+_SIMPLE = _split_sql("trim({t}, ' ')", f"([.!?]){_WS}+", "'\\1' || chr(1) || 's'")
+_CAPITAL = _split_sql("{t}", f"([.!?]){_WS}+([A-Z])", "'\\1' || chr(1) || 's' || '\\2'")
+#: lower() of İ is i and a combining dot.
+_CONTENT = f"list_filter(regexp_extract_all(lower(replace({{t}}, chr(304), 'i' || chr(775))), '[a-z0-9'']+'), lambda tw: tw NOT IN ({_quoted(T.CLAIM_STOP)}))"
 
 
 @query("sentence_split", f"SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_CAPITAL.format(t='text')} AS s FROM documents)")
@@ -42,8 +51,10 @@ def sentence_split_simple(s, d):
     return I.documents(s, d).select("doc_id", T.simple_sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-_CLEAN = "trim(regexp_replace(trim(regexp_replace(s, '[*_`#>]|^[ \\t\\n\\r]*[-•][ \\t\\n\\r]*|^[ \\t\\n\\r]*[0-9]+\\.[ \\t\\n\\r]*', ' ', 'g')), '\\[[^\\]]*\\]', ' ', 'g'))"
-_CLAIMS = f"""{I.ANSWERS_SQL}, cl0 AS (SELECT trace_id, conv_id, list_filter(list_transform({_SIMPLE.format(t='answer')}, lambda s: {_CLEAN}), lambda s: len({_CONTENT.format(t='s')}) >= 3 AND NOT regexp_matches(s, '(?i){T.NON_ASSERTIVE.replace("'", "''")}')) AS cs FROM answers),
+_CLEAN = f"trim(regexp_replace(trim(regexp_replace(s, '[*_`#>]|^{_WS}*[-•]{_WS}*|^{_WS}*[0-9]+\\.{_WS}*', ' ', 'g'), ' '), '\\[[^\\]]*\\]', ' ', 'g'), ' ')"
+#: RE2's (?i) also takes ſ for s and the Kelvin sign for k, its \s lacks \x0B, and it has no lookahead, which only ends the alternatives here.
+_NON_ASSERTIVE = T.NON_ASSERTIVE.replace("'", "''").replace(r"(?![\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)").replace(r"\s", _WS)
+_CLAIMS = f"""{I.ANSWERS_SQL}, cl0 AS (SELECT trace_id, conv_id, list_filter(list_transform({_SIMPLE.format(t='answer')}, lambda s: {_CLEAN}), lambda s: len({_CONTENT.format(t='s')}) >= 3 AND NOT regexp_matches(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NON_ASSERTIVE}')) AS cs FROM answers),
 claims AS (SELECT trace_id, conv_id, i AS claim_no, cs[i + 1] AS claim FROM cl0, unnest(range(len(cs)::BIGINT)) t(i))"""
 
 
