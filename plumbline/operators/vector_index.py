@@ -38,6 +38,10 @@ _ROUNDS = 12
 FILE_ROWS, PART_ROWS = 500_000, 32_768
 #: Questions that meet a part at a time, about.
 PACK = 256
+#: Numbers of one matrix in a worker, and rows that it gives at a time, about: what it needs doesn't grow with its batches.
+MATRIX, GIVEN = 1 << 20, 1 << 14
+#: Candidates that a task holds for its questions together; beyond that it gives them on and begins anew.
+HELD = 1 << 22
 
 
 def _means(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -98,6 +102,18 @@ class Quantiser:
         rest = np.split(question - self.centres[cell], len(self.books))
         return np.stack([((b - r) ** 2).sum(axis=1) for r, b in zip(rest, self.books)])
 
+    def nearest_cells(self, points: np.ndarray, probes: int) -> np.ndarray:
+        """points x probes, nearest first."""
+        far = (self.centres**2).sum(axis=1) - 2 * points @ self.centres.T
+        return np.argsort(far, axis=1, kind="stable")[:, :probes]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of this size at most; empty ones are dropped."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, max(1, rows)):
+            yield batch.slice(at, max(1, rows))
+
 
 def _unit(column: pa.ListArray, size: int) -> np.ndarray:
     m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -160,10 +176,10 @@ class VectorIndex:
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields] + ["cell int", "code binary"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, MATRIX // max(CODES, len(quantiser.centres))):
                 points = _unit(batch.column("v"), size)
-                cell = quantiser.cells(points) if len(points) else np.zeros(0, int)
-                code = quantiser.codes(points, cell) if len(points) else np.zeros((0, 1), np.uint8)
+                cell = quantiser.cells(points)
+                code = quantiser.codes(points, cell)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], [*batch.schema.names, "cell", "code"])
 
         return vectors.mapInArrow(run, schema)
@@ -222,8 +238,8 @@ class VectorIndex:
         """(query_id, doc_id, distance, rank): about the nearest vectors by cosine distance, ties at six places by id; never the question's own id.
 
         questions: query_id, q. `probes` is by default what the fit found. Questions go to their cells, and the vectors of a
-        cell stay where they are: of each pair of a question and a file's part
-        only the best candidates go on.
+        cell stay where they are: of a task's cells only each question's best
+        candidates go on.
         """
         ship(self.spark)
         quantiser, size = self._model()
@@ -231,10 +247,9 @@ class VectorIndex:
         keep = limit * oversample
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, GIVEN // probes):
                 points = _unit(batch.column("q"), size)
-                far = (quantiser.centres**2).sum(axis=1) - 2 * points @ quantiser.centres.T
-                near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                near = quantiser.nearest_cells(points, probes)
                 take = pa.array(np.repeat(np.arange(len(points)), probes))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(near.ravel().astype(np.int32))], ["query_id", "q", "cell"])
 
@@ -249,21 +264,32 @@ class VectorIndex:
         met = held.join(packs, "cell").select("cell", "held", "asked")
 
         def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-                for cell, held, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    rows = held.values
-                    ids = rows.field("doc_id").to_numpy()
-                    codes = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    for one in asked:
-                        tables = quantiser.tables(_unit(pa.array([one["q"]]), size)[0], cell)
-                        far = np.where(ids == one["query_id"], np.inf, tables[np.arange(len(tables)), codes].sum(axis=1))
-                        best = np.argpartition(far, keep)[:keep] if len(far) > keep else np.arange(len(far))
-                        best = best[np.isfinite(far[best])]
-                        out[0].append(np.full(len(best), one["query_id"]))
-                        out[1].append(ids[best])
-                        out[2].append(far[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "about"])
+            best, n = {}, 0  # of each question, over the task's cells
+            for batch in _slices(batches, 1):
+                cell, rows, asked = batch.column(0)[0].as_py(), batch.column(1).flatten(), batch.column(2).flatten()
+                ids, codes = rows.field("doc_id").to_numpy(), np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+                for name, point in zip(asked.field("query_id").to_numpy().tolist(), _unit(asked.field("q"), size)):
+                    tables = quantiser.tables(point, cell)
+                    far = np.where(ids == name, np.inf, tables[np.arange(len(tables)), codes].sum(axis=1))
+                    had = best.get(name)
+                    at = np.flatnonzero(far <= had[1][-1] if had is not None and len(had[0]) == keep else np.isfinite(far))
+                    some, near = (ids[at], far[at]) if had is None else (np.concatenate([had[0], ids[at]]), np.concatenate([had[1], far[at]]))
+                    if len(near) > keep:  # with all that tie with the last
+                        at = np.flatnonzero(near <= np.partition(near, keep - 1)[keep - 1])
+                        some, near = some[at], near[at]
+                    order = np.lexsort((some, near))[:keep]
+                    best[name] = some[order], near[order]
+                    n += len(order) - (0 if had is None else len(had[0]))
+                if n >= HELD:
+                    yield from given(best)
+                    best, n = {}, 0
+            yield from given(best)
+
+        def given(best: dict) -> Iterator[pa.RecordBatch]:
+            names, step = list(best), max(1, GIVEN // keep)
+            for at in range(0, len(names), step):
+                some = names[at : at + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, [len(best[q][0]) for q in some]).astype(np.int64)), pa.array(np.concatenate([best[q][0] for q in some])), pa.array(np.concatenate([best[q][1] for q in some]))], ["query_id", "doc_id", "about"])
 
         about = met.mapInArrow(looked_up, "query_id long, doc_id long, about double")
         w = Window.partitionBy("query_id").orderBy("about", "doc_id")

@@ -76,3 +76,20 @@ def test_rows_that_cannot_be_indexed(spark, built):
         built.upsert(odd)
     with pytest.raises(ValueError):
         X.VectorIndex(spark, built.path + "-none").build(odd.limit(0))
+
+
+def test_workers_hold_and_give_little(spark, built, rows, monkeypatch):
+    """Batches of a worker are bounded, and bounds that are met at once leave the result as it is."""
+    ids = [i for i, _ in rows][::25]
+    want = found(built, spark, rows, ids)
+    plain = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *a, **k: plain(self, lambda batches: sized(f, batches), schema, *a, **k))
+
+    def sized(f, batches):
+        for b in f(batches):
+            assert b.num_rows <= 256
+            yield b
+
+    for name, value in (("MATRIX", 256), ("GIVEN", 256), ("HELD", 300)):
+        monkeypatch.setattr(X, name, value)
+    assert found(built, spark, rows, ids) == want
