@@ -157,15 +157,24 @@ class LexicalIndex:
         rows = blocks.join(asked, "term").crossJoin(F.broadcast(self.counts()))  # one row
         return rows.groupBy("query_id", "segment", "range").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(most).alias("bound"))
 
+    def _by_document(self, blocks: DataFrame, more: list[str]) -> DataFrame:
+        """(term, segment, doc_id, more) of these blocks, dealt by document.
+
+        Questions that meet them then add up without another exchange, and a task cuts to
+        its own best of each question: what is shuffled are postings, not pairs of a question and a document.
+        """
+        each = blocks.select("term", "segment", F.explode("postings").alias("p")).select("term", "segment", "p.doc_id", *[f"p.{c}" for c in more])
+        return self._alive(each).repartition("doc_id")
+
     def _scored(self, questions: DataFrame, ranges: DataFrame | None) -> DataFrame:
         """(query_id, doc_id, score) of documents that share a term, in these (query_id, segment, range) or all."""
         asked = self._asked(questions)
         blocks = self._read("blocks").join(small(asked.select("term").distinct()), "term", "left_semi").select("segment", "term", "range", "postings")
         if ranges is None:
-            met = blocks.join(asked, "term")
+            each = self._by_document(blocks, ["tf", "dl"]).join(small(asked), "term")
         else:
             met = blocks.join(asked.join(ranges, "query_id"), ["term", "segment", "range"])
-        each = self._alive(met.select("query_id", "segment", "w", F.explode("postings").alias("p")).select("query_id", "segment", "w", "p.*"))
+            each = self._alive(met.select("query_id", "segment", "w", F.explode("postings").alias("p")).select("query_id", "segment", "w", "p.*"))
         rows = each.crossJoin(F.broadcast(self.counts()))  # one row
         return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), F.col("mean_dl"))).alias("score")).where("score > 0")
 
@@ -192,8 +201,8 @@ class LexicalIndex:
         asked = asked_terms(questions)
         sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         blocks = self._read("blocks").join(small(asked.select("term").distinct()), "term", "left_semi")
-        each = self._alive(blocks.join(asked, "term").select("query_id", "segment", F.explode("postings.doc_id").alias("doc_id")))
-        hits = each.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(sizes, "query_id")
+        each = self._by_document(blocks, []).join(small(asked.select("query_id", "term")), "term")
+        hits = each.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(small(sizes), "query_id")
         return ranked(hits.select("query_id", "doc_id", (F.col("c") / F.col("n")).alias("score")), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], limit)
 
 

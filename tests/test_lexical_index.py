@@ -85,3 +85,12 @@ def test_an_index_is_found_again(spark, data, docs):
     empty = fresh(spark)
     empty.add(docs.limit(0))
     assert empty.search(spark.createDataFrame([(1, "w1")], "query_id long, question string")).count() == 0
+
+
+def test_pairs_of_question_and_document_stay_where_they_are_made(spark, data):
+    """Postings are dealt by document; counts and scores of all pairs need no exchange of their own."""
+    import re
+
+    index, q = X.stored(I.documents(spark, data)), I.questions(spark, data)
+    for found in (index.overlap(q), index.scores(q)):
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", found._jdf.queryExecution().executedPlan().toString())
