@@ -15,16 +15,22 @@ scored then. The result is exact.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_tokens
 from plumbline.operators.retrieval import EPSILON, K1, POOL, B, asked_terms, ranked, small
-from plumbline.session import file_key, remove, shared_folder, subfolders
+from plumbline.session import file_key, remove, shared_folder, ship, subfolders
 
 #: Documents of a range, and so postings of a block, on average at most.
 RANGE_DOCS = 256
+#: Words of a range's documents, on average at most; it is held by a task while its blocks are made.
+RANGE_WORDS = 1 << 22
 #: Ranges that a question scores to get its threshold.
 PILOT_RANGES = 2
 #: Scores are compared at six places.
@@ -35,7 +41,7 @@ def term_counts(tokens: Column) -> Column:
     """[(term, tf)] of an array of words, sorted by term, in time n log n: equal words stand side by side once sorted."""
     starts = lambda s: F.filter(F.transform(s, lambda x, i: i), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
     pairs = lambda s: F.transform(F.array(starts(s)), lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))
-    return F.get(F.get(F.transform(F.array(F.array_sort(tokens)), pairs), F.lit(0)), F.lit(0))
+    return F.get(F.get(F.transform(F.array(F.sort_array(tokens)), pairs), F.lit(0)), F.lit(0))
 
 
 def weight(tf: Column, dl: Column, mean_dl: Column) -> Column:
@@ -43,6 +49,40 @@ def weight(tf: Column, dl: Column, mean_dl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_dl))
 
 
+def _range_blocks(documents: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The blocks of one range's documents: (term, range, n, max_tf, min_dl, postings)."""
+    rows = pa.Table.from_batches(documents).combine_chunks()
+    lists = rows.column("terms").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    entries = lists.flatten()
+    terms = entries.field("term").dictionary_encode()
+    code, n = terms.indices.to_numpy(), np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary))
+    order = np.argsort(code, kind="stable")
+    row = np.repeat(np.arange(len(sizes)), sizes)[order]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    tf, dl = entries.field("tf").to_numpy()[order], rows.column("dl").to_numpy()[row]
+    ids = rows.column("doc_id").combine_chunks().take(pa.array(row))
+    postings = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["doc_id", "tf", "dl"]))
+    most, least = (f.reduceat(x, starts[:-1]) if len(n) else x for f, x in ((np.maximum, tf), (np.minimum, dl)))
+    place = np.full(len(n), rows.column("range")[0].as_py(), np.int64)
+    return pa.RecordBatch.from_arrays([terms.dictionary, *map(pa.array, (place, n.astype(np.int64), most, least)), postings], ["term", "range", "n", "max_tf", "min_dl", "postings"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents that arrive range by range, each range whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        place = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1), len(place)] if len(place) else []
+        for start, end in zip(cuts, cuts[1:]):
+            if held and held[0].column("range")[0].as_py() != place[start]:
+                yield _range_blocks(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield _range_blocks(held)
+
+
 class LexicalIndex:
     """An index under a folder that all executors share. Documents have doc_id and text."""
 
@@ -66,16 +106,17 @@ class LexicalIndex:
         length = F.coalesce(F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"]), F.lit(0))
         rows.select("doc_id", length.alias("dl"), "terms").write.parquet(f"{at}/documents")
         kept = self.spark.read.parquet(f"{at}/documents")
-        # lengths fall into about a hundred classes at most; each has ranges for its number of documents
+        # lengths fall into about a hundred classes at most; each has ranges for its number of documents and words
         size = F.floor(4 * F.log2(F.col("dl") + 1.0)).cast("int")
-        classes = {r.c: -(-r.n // RANGE_DOCS) for r in kept.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = kept.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).collect()
+        classes = {r.c: max(-(-r.n // RANGE_DOCS), -(-r.words // RANGE_WORDS)) for r in held}
         spans = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair]) if classes else F.create_map().cast("map<int,int>")
         place = F.shiftleft(size.cast("long"), 32) + F.pmod(F.xxhash64("doc_id"), spans[size].cast("long"))
-        each = kept.select("doc_id", "dl", place.alias("range"), F.explode("terms").alias("t")).select("doc_id", "dl", "range", "t.*")
-        # dealt by range of terms, which serves the grouping too, and leaves each file its own terms
-        blocks = each.repartitionByRange("term", "range").groupBy("term", "range").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("postings"))
-        blocks.sortWithinPartitions("term", "range").write.parquet(f"{at}/blocks")
+        # documents are dealt, not postings: a range lies in one task, which turns it around
+        ship(self.spark)
+        dealt = kept.select("doc_id", "dl", place.alias("range"), "terms").repartition("range").sortWithinPartitions("range")
+        kind = dict(kept.dtypes)["doc_id"]
+        dealt.mapInArrow(_blocks, f"term string, range long, n long, max_tf int, min_dl int, postings array<struct<doc_id:{kind},tf:int,dl:int>>").write.parquet(f"{at}/blocks")
         self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
         kept.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_words")).write.parquet(f"{at}/counts")
         return number
@@ -83,7 +124,7 @@ class LexicalIndex:
     def delete(self, ids: DataFrame) -> None:
         """Documents with these ids (column doc_id) are found no more; segments stay as they are, and ids may be added again later."""
         segments = self.segments()
-        gone = self._documents(segments).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        gone = self._documents(segments).join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
         at = f"{self.path}/tombstones/{uuid.uuid4().hex[:12]}"
         gone.select("doc_id", F.col("segment").alias("dead_in"), "dl", "terms").write.parquet(f"{at}/documents")
         kept = self.spark.read.parquet(f"{at}/documents")

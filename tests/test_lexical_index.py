@@ -94,3 +94,19 @@ def test_pairs_of_question_and_document_stay_where_they_are_made(spark, data):
     index, q = X.stored(I.documents(spark, data)), I.questions(spark, data)
     for found in (index.overlap(q), index.scores(q)):
         assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_blocks_are_made_of_whole_ranges(spark, docs, monkeypatch):
+    """Documents are dealt by range, and a task turns a range around: each term has one block in it, over texts of bounded size."""
+    monkeypatch.setattr(X, "RANGE_WORDS", 1000)
+    index = fresh(spark)
+    index.add(docs)
+    blocks = index._read("blocks")
+    each = blocks.select("term", "range", F.explode("postings").alias("p")).select("term", "range", "p.*")
+    held = each.select("range", "doc_id", "dl").distinct().groupBy("range").agg(F.sum("dl").alias("words"), F.count(F.lit(1)).alias("n"))
+    assert max(r.words for r in held.where("n > 1").collect()) < 3000
+    want = index._read("documents").select("doc_id", "dl", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "dl")
+    assert sorted(map(tuple, each.select("term", "doc_id", "tf", "dl").collect())) == sorted(map(tuple, want.collect()))
+    sums = each.groupBy("term", "range").agg(F.count(F.lit(1)), F.max("tf"), F.min("dl")).collect()
+    assert sorted(map(tuple, blocks.select("term", "range", "n", "max_tf", "min_dl").collect())) == sorted(map(tuple, sums))
+    assert each.select("range", "doc_id").distinct().count() == each.select("doc_id").distinct().count()
