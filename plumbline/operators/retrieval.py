@@ -103,6 +103,8 @@ def cosine(x: Column, y: Column) -> Column:
 
 #: Rows of a block of vectors and of a block of questions.
 _BLOCK, _ASKED = 2048, 512
+#: Rows of questions' nearest that a task holds before it gives them out.
+_KEPT = 1 << 20
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataFrame:
@@ -111,6 +113,22 @@ def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataF
     return keyed.groupBy(f"{name}_block").agg(F.collect_list("x").alias("l")).select(f"{name}_block", F.transform("l", lambda x: x["i"]).alias(f"{name}_ids"), F.transform("l", lambda x: x["v"]).alias(f"{name}_vectors"))
 
 
+def _nearest(asked: np.ndarray, ids: np.ndarray, far: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without rows that `limit` others of their question come before, by distance at six places and then id; a row that may be rounded either way pushes none out."""
+    low, high = (np.floor(far * 1e6 + 0.5 + e).astype(np.int64) for e in (-1e-6, 1e-6))
+    order = np.lexsort((ids.astype(str) if ids.dtype == object else ids, low, asked.astype(str) if asked.dtype == object else asked))
+    asked, ids, far, sure = asked[order], ids[order], far[order], (low == high)[order]
+    first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])) if len(asked) else np.zeros(0, int)
+    before = np.cumsum(sure) - sure
+    before -= np.repeat(before[first], np.diff([*first, len(asked)]))
+    kept = before < limit
+    return asked[kept], ids[kept], far[kept]
+
+
+def _rows(near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("query_id", "doc_id", "distance"), near)))
+
+
 def _nearest_in_block(limit: int):
     def unit(rows) -> np.ndarray:
         m = np.array([np.asarray(r, float) for r in rows])
@@ -118,6 +136,7 @@ def _nearest_in_block(limit: int):
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for frame in frames:
             for b in frame.itertuples(index=False):
                 ids, asked = np.array(b.v_ids), np.array(b.q_ids)
@@ -126,7 +145,12 @@ def _nearest_in_block(limit: int):
                 k = min(limit, far.shape[1]) - 1
                 edge = np.partition(far, k, axis=1)[:, k : k + 1]
                 q, v = np.nonzero((far <= edge + 2e-6) & np.isfinite(far))  # with all that may tie at six places
-                yield pd.DataFrame({"query_id": asked[q], "doc_id": ids[v], "distance": far[q, v]})
+                new = (asked[q], ids[v], far[q, v])
+                best[b.q_block] = _nearest(*(map(np.concatenate, zip(best[b.q_block], new)) if b.q_block in best else new), limit)
+                if sum(len(x[0]) for x in best.values()) > _KEPT:
+                    yield from map(_rows, best.values())
+                    best = {}
+        yield from map(_rows, best.values())
 
     return run
 
@@ -134,15 +158,15 @@ def _nearest_in_block(limit: int):
 def dense_ranking(vectors: DataFrame, questions: DataFrame, limit: int = POOL) -> DataFrame:
     """(query_id, doc_id, distance, rank): nearest vectors by cosine distance, exactly; a vector without length is at distance 1.
 
-    questions: query_id, q; a stated set of queries against all vectors. Blocks
-    of questions are sent to each block of vectors, of bounded size each; a pair
-    of blocks is one product of matrices, of which only each question's nearest
-    go on. Vectors are shuffled once, into their blocks.
+    questions: query_id, q; a stated set of queries against all vectors. Each
+    block of questions meets each block of vectors, of bounded size both; a pair
+    of blocks is one product of matrices, and a task gives only each question's
+    nearest of all its pairs. Vectors are shuffled once, into their blocks.
     """
     kinds = {k: t for k, t in [*vectors.select(F.col("doc_id").alias("doc_id")).dtypes, *questions.select("query_id").dtypes]}
     n = max(1, -(-vectors.count() // _BLOCK))
-    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q").withColumn("v_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pairs = _blocks(vectors, "doc_id", "v", n, "v").join(asked, "v_block")
+    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q")
+    pairs = _blocks(vectors, "doc_id", "v", n, "v").crossJoin(asked)  # so no block is copied before it meets the other
     near = pairs.mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
     return ranked(near, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
 
