@@ -212,14 +212,13 @@ def stream_tags(s, d):
 
 @query("memory_database", "SELECT event_id AS id, 's' || user_id AS session_id, event_type AS title, event_id * 10 AS epoch FROM events WHERE event_id >= 5 AND event_type <> 'click' AND event_id % 1000 < 700")
 def memory_database(s, d):
-    """Observations written to a database file, and read by ranges of row ids under pushed filters."""
+    """Observations written to database files by the tasks that hold them, and read by ranges of row ids under pushed filters."""
     D.register(s)
     at = _folder(s, "memory")
     e = I.table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("title"), (F.col("event_id") * 10).alias("epoch"))
     s.range(1).write.parquet(f"{at}/made")  # the folder
-    path = f"{at}/memory.db"
-    D.write_database(e, path)
-    read = s.read.format("memory_database").option("path", path).option("rows", "2000").load()
+    D.write_databases(e, at)
+    read = s.read.format("memory_database").option("path", at).option("rows", "2000").load()
     return read.where("id >= 5 and title <> 'click' and id % 1000 < 700")
 
 

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith,
@@ -30,12 +34,23 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def _files(path: str) -> list[str]:
+    """The database files of a path: itself, or those of a folder."""
+    at = _local(path)
+    return sorted(os.path.join(at, f) for f in os.listdir(at) if f.endswith(".db")) if os.path.isdir(at) else [at]
+
+
+def _opened(file: str) -> closing:
+    return closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True))
+
+
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
 @dataclass
 class RowRange(InputPartition):
+    file: str
     first: int
     last: int
 
@@ -70,34 +85,36 @@ class DatabaseReader(DataSourceReader):
             else:
                 yield f
 
-    def _connect(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{_local(self.path)}?mode=ro", uri=True)
-
     def partitions(self) -> list[RowRange]:
-        with self._connect() as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        if low is None:
-            return [RowRange(0, -1)]
-        return [RowRange(at, min(at + self.rows - 1, high)) for at in range(low, high + 1, self.rows)]
+        out = []
+        for file in _files(self.path):
+            with _opened(file) as db:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            if low is not None:
+                out += [RowRange(file, at, min(at + self.rows - 1, high)) for at in range(low, high + 1, self.rows)]
+        return out or [RowRange(_files(self.path)[0], 0, -1)]
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         names = list(self.kinds)
         test = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
-        with self._connect() as db:
+        with _opened(part.file) as db:
             found = db.execute(f"SELECT {', '.join(map(_quoted, names))} FROM {_quoted(self.table)} WHERE {test}", [part.first, part.last, *self.values])
             while rows := found.fetchmany(4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(zip(*rows), self.kinds.values())], names)
 
 
 class DatabaseSource(DataSource):
-    """Options: path, table (observations), rows (row ids a task reads). The schema is the table's."""
+    """Options: path (a file, or a folder of files with the same table), table (observations), rows (row ids a task reads). The schema is the table's."""
 
     @classmethod
     def name(cls) -> str:
         return "memory_database"
 
     def _kinds(self) -> dict[str, str]:
-        with sqlite3.connect(f"file:{_local(self.options['path'])}?mode=ro", uri=True) as db:
+        files = _files(self.options["path"])
+        if not files:
+            raise ValueError(f"no database in {self.options['path']}")
+        with _opened(files[0]) as db:
             told = db.execute(f"PRAGMA table_info({_quoted(self.options.get('table', 'observations'))})").fetchall()
         if not told:
             raise ValueError(f"no table {self.options.get('table', 'observations')!r} in {self.options['path']}")
@@ -198,9 +215,38 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogSource)
 
 
+_SQL_KINDS = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "binary": "BLOB"}
+
+
+def _create(kinds: list[tuple[str, str]], table: str) -> str:
+    return f"CREATE TABLE {_quoted(table)} ({', '.join(f'{_quoted(n)} {_SQL_KINDS.get(k, _TEXT)}' for n, k in kinds)})"
+
+
 def write_database(rows, path: str, table: str = "observations") -> None:
     """A table as a database file, from rows that arrive at the driver a partition at a time; for small exports and tests."""
-    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "binary": "BLOB"}
-    with sqlite3.connect(_local(path)) as db:
-        db.execute(f"CREATE TABLE {_quoted(table)} ({', '.join(f'{_quoted(n)} {kinds.get(k, _TEXT)}' for n, k in rows.dtypes)})")
+    with closing(sqlite3.connect(_local(path))) as db, db:
+        db.execute(_create(rows.dtypes, table))
         db.executemany(f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(rows.columns))})", map(tuple, rows.toLocalIterator()))
+
+
+def write_databases(rows, path: str, table: str = "observations") -> int:
+    """A table as a folder of database files, one for each partition, which its task writes; the number of rows. No row goes through the driver.
+
+    The folder must be there already, where driver and executors reach it by one path. A file gets its name
+    once it is whole, so an attempt that fails leaves none.
+    """
+    create, at = _create(rows.dtypes, table), _local(path)
+    insert = f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(rows.columns))})"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = os.path.join(at, f"part-{TaskContext.get().partitionId():05d}.db")
+        made, n = f"{part}.{uuid.uuid4().hex[:8]}", 0
+        with closing(sqlite3.connect(made)) as db, db:
+            db.execute(create)
+            for batch in batches:
+                db.executemany(insert, zip(*(c.to_pylist() for c in batch.columns)))
+                n += batch.num_rows
+        os.replace(made, part)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return rows.mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0

@@ -128,6 +128,25 @@ def test_database_reads_ranges_under_filters(spark, tmp_path):
         spark.read.format("memory_database").option("path", path).option("table", "none").load()
 
 
+def test_databases_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """One file for each partition, empty ones too; no rows come to the driver."""
+    from pyspark.sql import DataFrame
+
+    from plumbline.sources import datasources as D
+
+    D.register(spark)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    rows = spark.range(0, 1000, 1, 5).selectExpr("id", "if(id % 3 = 0, null, concat('t', id)) as title", "id / 2 as score", "cast(id as int) as small").where("id >= 200")
+    assert D.write_databases(rows, str(tmp_path)) == 800 and len(list(tmp_path.iterdir())) == 5
+    read = spark.read.format("memory_database").option("path", str(tmp_path)).option("rows", "120").load()
+    assert read.rdd.getNumPartitions() == 8 and sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+    assert read.where("id >= 500 and title is null").count() == rows.where("id >= 500 and title is null").count()
+    (tmp_path / "none").mkdir()
+    D.write_databases(rows.where("id < 0"), str(tmp_path / "none"))
+    none = spark.read.format("memory_database").option("path", str(tmp_path / "none")).load()
+    assert none.columns == rows.columns and none.count() == 0
+
+
 def test_appended_lines_are_read_once(spark, tmp_path):
     from plumbline.sources import datasources as D
 
