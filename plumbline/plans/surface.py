@@ -272,10 +272,14 @@ def registry_index(s, d):
 
 @query("checkpoint_repair", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def checkpoint_repair(s, d):
-    """A file of records for each user, with a torn last line; all whole records come back."""
+    """Files of records, one for about each hundred users, each with a torn last line; all whole records come back."""
     path = _folder(s, "records")
-    e = I.table(s, d, "events").groupBy("user_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(F.col("event_id").alias("example_id"), "user_id")))), "\n"), F.lit('\n{"example_id": 1, "us')).alias("value"))
-    e.repartition("user_id").withColumn("u", F.col("user_id")).select("u", "value").write.partitionBy("u").text(path)
+    e = I.table(s, d, "events")
+    users = e.agg(F.approx_count_distinct("user_id")).first()[0]
+    u = F.pmod(F.xxhash64("user_id"), F.lit(max(1, -(-users // 100)))).alias("u")
+    lines = e.select(u, F.lit(0).alias("torn"), F.to_json(F.struct(F.col("event_id").alias("example_id"), "user_id")).alias("value"))
+    torn = e.select(u).distinct().select("u", F.lit(1).alias("torn"), F.lit('{"example_id": 1, "us').alias("value"))
+    lines.unionByName(torn).repartition("u").sortWithinPartitions("u", "torn").select("u", "value").write.partitionBy("u").text(path)
     return S.checkpoint_records(s, path, "example_id long, user_id long").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 

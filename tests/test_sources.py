@@ -92,6 +92,22 @@ def test_a_large_log_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_checkpoint_files_are_fewer_than_users(spark, tmp_path, monkeypatch):
+    """Files hold many users' records, every one with a torn line at its end (before: a file for each user)."""
+    from plumbline.plans import surface
+
+    rows = spark.range(3000).selectExpr("id as event_id", "if(id % 1000 = 7, null, id % 750 * 1000003) as user_id")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(surface, "_folder", lambda s, name: str(tmp_path / name))
+    got = {(r.user_id, r.n) for r in surface.checkpoint_repair(spark, str(tmp_path)).collect()}
+    assert got == {(r.user_id, r["count"]) for r in rows.groupBy("user_id").count().collect()}
+    files = list((tmp_path / "records").rglob("*.txt"))
+    assert 1 < len(files) < 12
+    for f in files:
+        lines = f.read_text().splitlines()
+        assert lines[-1] == '{"example_id": 1, "us' and all(x.endswith("}") for x in lines[:-1])
+
+
 def test_only_one_of_two_publishers_takes_a_number(spark, tmp_path, monkeypatch):
     one = spark.createDataFrame([("a",)], "chunk_id string")
     path = str(tmp_path / "s")
