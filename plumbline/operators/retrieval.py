@@ -103,6 +103,8 @@ def cosine(x: Column, y: Column) -> Column:
 
 #: Rows of a block of vectors and of a block of questions.
 _BLOCK, _ASKED = 2048, 512
+#: Up to this many questions are broadcast, after counting them.
+_BROADCAST_QUESTIONS = 50_000
 #: Rows of questions' nearest that a task holds before it gives them out.
 _KEPT = 1 << 20
 
@@ -165,8 +167,13 @@ def dense_ranking(vectors: DataFrame, questions: DataFrame, limit: int = POOL) -
     """
     kinds = {k: t for k, t in [*vectors.select(F.col("doc_id").alias("doc_id")).dtypes, *questions.select("query_id").dtypes]}
     n = max(1, -(-vectors.count() // _BLOCK))
-    asked = _blocks(questions, "query_id", "q", max(1, -(-questions.count() // _ASKED)), "q")
-    pairs = _blocks(vectors, "doc_id", "v", n, "v").crossJoin(asked)  # so no block is copied before it meets the other
+    n_asked = questions.count()
+    m = max(1, -(-n_asked // _ASKED))
+    asked = _blocks(questions, "query_id", "q", m, "q")
+    asked = F.broadcast(asked) if n_asked <= _BROADCAST_QUESTIONS else asked
+    # each block of vectors names the blocks of questions it meets, so that none of these is copied
+    met = _blocks(vectors, "doc_id", "v", n, "v").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    pairs = met.join(asked, "q_block")
     near = pairs.mapInPandas(_nearest_in_block(limit), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, distance double")
     return ranked(near, ["query_id"], [F.round("distance", 6), F.col("doc_id")], limit)
 
