@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import text_hash
-from plumbline.session import written
+from plumbline.session import ship
 
 LEAST_RATIO = 0.6
 
@@ -18,6 +22,8 @@ def claim_id(trace_id: Column, number: Column) -> Column:
 
 #: Letters of a gram; a band of starts has an eighth of the claim's length, BAND at least; bands that are searched.
 GRAM, BAND, BANDS = 3, 8, 3
+#: Claims of one answer that are dealt together; letters of a claim whose starts are all tried; pairs of places, and bits of stretches, that a worker holds at once.
+LOT, SHORT, PAIRS, BITS = 32, 256, 1 << 20, 1 << 20
 
 
 def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
@@ -29,59 +35,122 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     votes the likest start is taken; likeness is one less the edit distance over the
     claim's length, ties go to the first. A claim
     with fewer letters than a gram, or none of whose grams the answer has, has no row,
-    nor has one whose likeness is under LEAST_RATIO. Votes are rows of a join
-    on grams, at most nine for a letter of the answer, whatever repeats in it.
+    nor has one whose likeness is under LEAST_RATIO. A row is shuffled once, as it
+    is; its grams, votes and distances stay in its task.
     """
-    n, m = F.length("claim"), F.length("answer")
-    # dealt by a number of partitions that is kept: few bytes, but much to compute for each
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = written(rows.select(key, "claim_no", "claim", "answer").where(n >= GRAM).repartition(parts, key), "claims")
-    known = kept.withColumns({"n": n, "last": F.greatest(m - n, F.lit(0)), "width": F.greatest(F.floor(n / 8), F.lit(BAND))})
-    at = lambda text, place: F.substring(F.col(text), place + 1, F.lit(GRAM))
-    places = lambda text: F.explode(F.sequence(F.lit(0), F.length(text) - GRAM))
-    own = known.select(key, "claim_no", "last", "width", "claim", places("claim").alias("p")).select(key, "claim_no", "last", "width", "p", at("claim", F.col("p")).alias("gram"))
-    own = own.withColumn("before", F.lag("p").over(Window.partitionBy(key, "claim_no", "gram").orderBy("p")))  # the claim's place before with the same gram
-    said = known.where(m >= GRAM).dropDuplicates([key]).select(key, "answer", places("answer").alias("a")).select(key, "a", at("answer", F.col("a")).alias("gram"))
-    band = lambda p: F.floor(F.least(F.greatest(F.col("a") - F.col(p), F.lit(0)), F.col("last")) / F.col("width"))
-    # later places have earlier bands, so a band that was spoken for is that of the place before
-    votes = said.join(own, [key, "gram"]).where(F.col("before").isNull() | (band("p") != band("before"))).select(key, "claim_no", band("p").alias("band"))
-    counted = votes.groupBy(key, "claim_no", "band").agg(F.count(F.lit(1)).alias("votes"))
-    w = Window.partitionBy(key, "claim_no").orderBy(F.desc("votes"), "band")
-    best = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BANDS).groupBy(key, "claim_no").agg(F.array_sort(F.collect_list(F.struct("_r", "band"))).alias("bands"))
-    tried = known.join(best, [key, "claim_no"]).repartition(parts, key, "claim_no").select(key, "claim_no", "n", F.inline(F.array(_likest())))  # a generator's row, so that the filter doesn't compute it again
-    return tried.where(F.col("at").isNotNull()).select(key, "claim_no", "at", (1 - F.col("d") / F.col("n")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
-
-
-def _likest() -> Column:
-    """(d, at): the least distance of the claim and a stretch that starts in one of its bands, and the first such start; at is null where all are too far.
-
-    Moving a stretch by k letters changes its distance by 2k at most. So, band by
-    band, starts that are multiples of higher powers of two come first, and one
-    that is known to be too far leaves out its neighbours. A distance is computed
-    as far as it matters: up to what a start's neighbours need to be left out.
+    ship(rows.sparkSession)
+    asked = rows.select(key, "claim_no", "claim", "answer").dropna().where((F.length("claim") >= GRAM) & (F.length("answer") >= GRAM))
+    # dealt by a number of partitions that is kept: few bytes, but much to compute for each; an answer's claims lie side by side, but not all of a long one's
+    dealt = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key), F.floor(F.col("claim_no") / LOT))
+    kinds = dict(asked.dtypes)
+    found = dealt.mapInArrow(_placed, f"{key} {kinds[key]}, claim_no {kinds['claim_no']}, n int, at int, d int")
+    return found.select(key, "claim_no", "at", (1 - F.col("d") / F.col("n")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, number, length, place and distance of each claim (key, claim_no, claim, answer) that has a place."""
+    answer, grams, places = "", np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        found = []
+        for i, (claim, said) in enumerate(zip(batch.column(2), batch.column(3))):
+            claim, said = claim.as_py(), said.as_py()
+            if said != answer:  # claims of an answer mostly follow each other
+                answer, grams = said, _grams(said)
+                places = np.argsort(grams, kind="stable")
+                grams = grams[places]
+            best = _likest(claim, answer, _bands(claim, len(answer), grams, places))
+            if best:
+                found.append((i, len(claim), *best))
+        i, *rest = (pa.array([x[k] for x in found], pa.int32()) for k in range(4))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), *rest], [*batch.schema.names[:2], "n", "at", "d"])
+
+
+def _grams(text: str) -> np.ndarray:
+    """The grams of a text by place, each as one number."""
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return sum(letters[i : len(letters) - GRAM + 1 + i] << 21 * i for i in range(GRAM))
+
+
+def _extent(n: int, m: int) -> tuple[int, int]:
+    """The last start of n letters in m, and the starts of a band."""
+    return max(m - n, 0), max(n // 8, BAND)
+
+
+def _bands(claim: str, m: int, grams: np.ndarray, places: np.ndarray) -> list[int]:
+    """The bands with most votes, of equals the first, in an answer of m letters whose sorted grams have these places."""
+    own, (last, width) = _grams(claim), _extent(len(claim), m)
+    order = np.argsort(own, kind="stable")
+    again = own[order[1:]] == own[order[:-1]]
+    before = np.full(len(own), -1)  # the claim's place before with the same gram
+    before[order[1:][again]] = order[:-1][again]
+    low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+    ends, votes, start = np.cumsum(high - low), np.zeros(last // width + 1, np.int64), 0
+    band = lambda a, p: np.clip(a - p, 0, last) // width
+    while start < len(own):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        n = high[start:stop] - low[start:stop]
+        p = np.repeat(np.arange(start, stop), n)
+        a = places[np.arange(len(p)) + np.repeat(low[start:stop] - np.cumsum(n) + n, n)]
+        # later places have earlier bands, so a band that was spoken for is that of the place before
+        spoken = band(a, p)
+        votes += np.bincount(spoken[(before[p] < 0) | (spoken != band(a, before[p]))], minlength=len(votes))
+        start = stop
+    return [b for b in np.argsort(-votes, kind="stable")[:BANDS].tolist() if votes[b]]
+
+
+def _likest(claim: str, answer: str, bands: list[int]) -> tuple[int, int] | None:
+    """(at, d): the first start in these bands with the least distance of its stretch and the claim; None where all are too far.
+
+    Moving a stretch by k letters changes its distance by 2k at most. So, for a
+    long claim, starts that are multiples of higher powers of two come first,
+    and one that is known to be too far leaves out its neighbours.
     """
-    width = F.col("width").cast("int")
-    reach = lambda x: F.when(x == 0, width).otherwise(F.least(x.bitwiseAND(-x), width))
-    starts = lambda b: F.sequence(b["band"].cast("int") * width, F.least(b["band"].cast("int") * width + width - 1, F.col("last")))
-    ordered = F.array_sort(F.flatten(F.transform("bands", lambda b: F.transform(starts(b), lambda x: F.struct(b["_r"].alias("band"), (-reach(x)).alias("r"), x.alias("at"))))))
-    far = F.floor((1 - LEAST_RATIO) * F.col("n")).cast("int") + 1  # nothing that is farther counts
-    none = F.struct(far.alias("d"), F.lit(None).cast("int").alias("at"), F.array().cast("array<struct<at:int,d:int>>").alias("seen"))
-
-    def step(state: Column, x: Column) -> Column:
-        least = lambda d: (d < state["d"]) | ((d == state["d"]) & (state["at"].isNull() | (x["at"] < state["at"])))
-        open_ = ~F.exists(state["seen"], lambda s: ~least(s["d"] - 2 * F.abs(s["at"] - x["at"])))
-
-        def told(limit: Column) -> Column:
-            d = F.call_function("levenshtein", F.substring(F.col("answer"), x["at"] + 1, F.col("n")), F.col("claim"), limit)
-            return F.transform(F.array(d), lambda v: F.when(v < 0, limit + 1).otherwise(v))
-
-        def met(d: Column) -> Column:
-            near = least(d)
-            return F.struct(F.when(near, d).otherwise(state["d"]).alias("d"), F.when(near, x["at"]).otherwise(state["at"]).alias("at"), F.concat(state["seen"], F.array(F.struct(x["at"].alias("at"), d.alias("d")))).alias("seen"))
-
-        return F.when(open_, F.get(F.transform(told(state["d"] - 2 * x["r"]), met), F.lit(0))).otherwise(state)
-
-    return F.aggregate(ordered, none, step, lambda s: F.struct(s["d"].alias("d"), s["at"].alias("at")))
+    n, (last, width) = len(claim), _extent(len(claim), len(answer))
+    starts = np.concatenate([np.arange(b * width, min((b + 1) * width, last + 1)) for b in sorted(bands)] or [np.empty(0, np.int64)])
+    least = np.zeros(len(starts), np.int64)  # that a start's distance can be
+    d, at = int((1 - LEAST_RATIO) * n) + 1, -1  # nothing that is farther counts
+    step = 1 if n <= SHORT else 1 << (width.bit_length() - 1)
+    while step:
+        open_ = starts[(starts % step == 0) & ((least < d) | ((least == d) & (starts < at)))].tolist()
+        for i in range(0, len(open_), lot := max(1, BITS // n)):
+            some = open_[i : i + lot]
+            for x, found in zip(some, _distances(claim, answer, some)):
+                d, at = min((d, at), (found, x))
+                if step > 1:
+                    least = np.maximum(least, found - 2 * np.abs(starts - x))
+        step //= 2
+    return (at, d) if at >= 0 else None
+
+
+def _distances(claim: str, answer: str, starts: list[int]) -> list[int]:
+    """Edit distances of the claim and the answer's stretches from these places, ascending.
+
+    Myers' bit vectors: a stretch has a lane of n bits and one for the carry in a long
+    number, so all move on by a letter in the same few operations. Stretches
+    whose starts follow each other hand down their letters, and only the last one's is looked up.
+    """
+    n, lane = len(claim), len(claim) + 1
+    letters: dict[str, int] = {}
+    for i, c in enumerate(claim):
+        letters[c] = letters.get(c, 0) | 1 << i
+    handed = [k for k in range(len(starts) - 1) if starts[k + 1] == starts[k] + 1]
+    looked = sorted({*range(len(starts))} - {*handed})
+    ones = lambda lanes: sum(1 << lane * k for k in lanes)
+    low = ones(range(len(starts)))
+    full, keep = (low << n) - low, ((down := ones(handed)) << n) - down
+    same = sum(letters.get(answer[starts[k]], 0) << lane * (k + 1) for k in handed)
+    more, less = full, 0
+    for column in zip(*(answer[starts[k] : starts[k] + n] for k in looked)):
+        same = same >> lane & keep
+        for k, c in zip(looked, column):
+            if c in letters:
+                same |= letters[c] << lane * k
+        across = (((same & more) + more) ^ more) | same
+        up = (less | ((across | more) ^ full) & full) << 1 | low
+        either = same | less
+        more, less = ((more & across) << 1 | (either | up) ^ full) & full, either & up
+    lanes = lambda x, k: (x >> lane * k & (1 << n) - 1).bit_count()
+    return [min(n, len(answer)) + lanes(more, k) - lanes(less, k) for k in range(len(starts))]
 
 
 def own_claims(claims: DataFrame, key: str = "trace_id") -> DataFrame:
