@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ def claim_id(trace_id: Column, number: Column) -> Column:
 
 #: Letters of a gram; a band of starts has an eighth of the claim's length, BAND at least; bands that are searched.
 GRAM, BAND, BANDS = 3, 8, 3
-#: Claims of one answer that are dealt together; letters of a claim whose starts are all tried; pairs of places, and bits of stretches, that a worker holds at once.
-LOT, SHORT, PAIRS, BITS = 32, 256, 1 << 20, 1 << 20
+#: Claims of one answer that are dealt together; letters of a claim up to which it is compared side by side with others.
+LOT, SHORT = 32, 512
+#: What a worker holds at once: letters of answers and claims; pairs of places; letters of stretches side by side; bits of a long claim's stretches.
+HELD, PAIRS, CELLS, BITS = 1 << 22, 1 << 20, 1 << 21, 1 << 20
 
 
 def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
@@ -49,81 +52,167 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, number, length, place and distance of each claim (key, claim_no, claim, answer) that has a place."""
-    answer, grams, places = "", np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        found = []
-        for i, (claim, said) in enumerate(zip(batch.column(2), batch.column(3))):
-            claim, said = claim.as_py(), said.as_py()
-            if said != answer:  # claims of an answer mostly follow each other
-                answer, grams = said, _grams(said)
-                places = np.argsort(grams, kind="stable")
-                grams = grams[places]
-            best = _likest(claim, answer, _bands(claim, len(answer), grams, places))
-            if best:
-                found.append((i, len(claim), *best))
+        found, held, size = [], [], 0
+        answers = batch.column(3).dictionary_encode()
+        of = answers.indices.to_numpy()
+        for number, rows in groupby(np.argsort(of, kind="stable").tolist(), of.__getitem__):
+            rows, answer = list(rows), answers.dictionary[int(number)].as_py()
+            letters = _letters(answer)
+            known, said = np.unique(letters, return_inverse=True)
+            said, size = said.astype(np.int32), size + len(letters)
+            for k in range(0, len(rows), LOT):
+                claims = [batch.column(2)[i].as_py() for i in rows[k : k + LOT]]
+                codes = [_letters(c) for c in claims]
+                held += [_Search(i, claim, code, answer, known, said, starts) for i, claim, code, starts in zip(rows[k:], claims, codes, _starts(codes, letters))]
+                size += sum(len(x.code) + len(x.starts) for x in held[-len(claims) :])
+                if size >= HELD:
+                    found += _searched(held)
+                    held, size = [], 0
+        found += _searched(held)
         i, *rest = (pa.array([x[k] for x in found], pa.int32()) for k in range(4))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), *rest], [*batch.schema.names[:2], "n", "at", "d"])
 
 
-def _grams(text: str) -> np.ndarray:
-    """The grams of a text by place, each as one number."""
-    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return sum(letters[i : len(letters) - GRAM + 1 + i] << 21 * i for i in range(GRAM))
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
-def _extent(n: int, m: int) -> tuple[int, int]:
-    """The last start of n letters in m, and the starts of a band."""
-    return max(m - n, 0), max(n // 8, BAND)
+def _grams(letters: np.ndarray) -> np.ndarray:
+    """The grams by place, each as one number."""
+    return sum(letters[i : len(letters) - GRAM + 1 + i] << 21 * i for i in range(GRAM))
 
 
-def _bands(claim: str, m: int, grams: np.ndarray, places: np.ndarray) -> list[int]:
-    """The bands with most votes, of equals the first, in an answer of m letters whose sorted grams have these places."""
-    own, (last, width) = _grams(claim), _extent(len(claim), m)
-    order = np.argsort(own, kind="stable")
-    again = own[order[1:]] == own[order[:-1]]
+def _starts(claims: list[np.ndarray], answer: np.ndarray) -> list[np.ndarray]:
+    """The starts in the bands with most votes (of equals the first), ascending, for each claim of an answer."""
+    grams = _grams(answer)
+    places = np.argsort(grams, kind="stable")
+    grams = grams[places]
+    n = np.array([len(c) for c in claims])
+    last, width = np.maximum(len(answer) - n, 0), np.maximum(n // 8, BAND)
+    first = np.concatenate([[0], np.cumsum(last // width + 1)])  # of each claim's bands
+    of, p, own = np.repeat(np.arange(len(n)), n - GRAM + 1), np.concatenate([np.arange(x - GRAM + 1) for x in n]), np.concatenate([_grams(c) for c in claims])
+    order = np.lexsort((own, of))
+    again = (own[order[1:]] == own[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
     before = np.full(len(own), -1)  # the claim's place before with the same gram
-    before[order[1:][again]] = order[:-1][again]
+    before[order[1:][again]] = p[order[:-1][again]]
     low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
-    ends, votes, start = np.cumsum(high - low), np.zeros(last // width + 1, np.int64), 0
-    band = lambda a, p: np.clip(a - p, 0, last) // width
+    ends, votes, start = np.cumsum(high - low), np.zeros(first[-1], np.int64), 0
     while start < len(own):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-        n = high[start:stop] - low[start:stop]
-        p = np.repeat(np.arange(start, stop), n)
-        a = places[np.arange(len(p)) + np.repeat(low[start:stop] - np.cumsum(n) + n, n)]
+        each = high[start:stop] - low[start:stop]
+        k = np.repeat(np.arange(start, stop), each)
+        a = places[np.arange(len(k)) + np.repeat(low[start:stop] - np.cumsum(each) + each, each)]
+        most, wide = last[of][k], width[of][k]
         # later places have earlier bands, so a band that was spoken for is that of the place before
-        spoken = band(a, p)
-        votes += np.bincount(spoken[(before[p] < 0) | (spoken != band(a, before[p]))], minlength=len(votes))
+        spoken, had = (np.clip(a - x[k], 0, most) // wide for x in (p, before))
+        votes += np.bincount((first[of][k] + spoken)[(before[k] < 0) | (spoken != had)], minlength=len(votes))
         start = stop
-    return [b for b in np.argsort(-votes, kind="stable")[:BANDS].tolist() if votes[b]]
+    out = []
+    for i, wide in enumerate(width):
+        mine = votes[first[i] : first[i + 1]]
+        best = np.argsort(-mine, kind="stable")[:BANDS]
+        found = (np.sort(best[mine[best] > 0])[:, None] * wide + np.arange(wide)).ravel()
+        out.append(found[found <= last[i]])
+    return out
+
 
+class _Search:
+    """A claim's search for the first start with the least distance.
 
-def _likest(claim: str, answer: str, bands: list[int]) -> tuple[int, int] | None:
-    """(at, d): the first start in these bands with the least distance of its stretch and the claim; None where all are too far.
+    Moving a stretch by k letters changes its distance by 2k at most. So
+    starts that are multiples of higher powers of two are asked for first, and one
+    that is known to be too far leaves out its neighbours.
+    """
 
-    Moving a stretch by k letters changes its distance by 2k at most. So, for a
-    long claim, starts that are multiples of higher powers of two come first,
-    and one that is known to be too far leaves out its neighbours.
+    def __init__(self, row: int, claim: str, code: np.ndarray, answer: str, known: np.ndarray, said: np.ndarray, starts: np.ndarray):
+        """known: the answer's different letters, ascending; said: the answer as numbers of these."""
+        self.row, self.claim, self.code, self.answer, self.known, self.said, self.starts = row, claim, code, answer, known, said, starts
+        self.least = np.zeros(len(starts), np.int64)  # that a start's distance can be
+        self.d, self.at = int((1 - LEAST_RATIO) * len(claim)) + 1, -1  # nothing that is farther counts
+        self.step = 1 << (max(len(claim) // 8, BAND).bit_length() - 1)
+
+    def asked(self) -> np.ndarray:
+        """The next starts that can be the best; step is 0 after the last ones."""
+        some = self.starts[(self.starts % self.step == 0) & ((self.least < self.d) | ((self.least == self.d) & (self.starts < self.at)))]
+        self.step = self.step // 4 or int(self.step > 1)
+        return some
+
+    def told(self, starts: np.ndarray, d: np.ndarray) -> None:
+        i = int(d.argmin())
+        self.d, self.at = min((self.d, self.at), (int(d[i]), int(starts[i])))
+        if self.step:
+            self.least = np.maximum(self.least, (d[:, None] - 2 * np.abs(self.starts - starts[:, None])).max(0))
+
+
+def _searched(held: list[_Search]) -> list[tuple[int, int, int, int]]:
+    """(row, n, at, d) of those that found a start."""
+    alone = lambda x: len(x.claim) > min(SHORT, len(x.answer))
+    left = sorted(held, key=lambda x: -len(x.claim))
+    while left:
+        lot = []
+        for x in left:
+            some = x.asked()
+            if alone(x):
+                for part in np.split(some, range(at := max(1, BITS // len(x.claim)), len(some), at)):
+                    if len(part):
+                        x.told(part, np.array(_alone(x.claim, x.answer, part.tolist())))
+            elif len(some):
+                if lot and len(lot[0][0].claim) * (size + len(some)) > CELLS:
+                    _tell(lot)
+                    lot = []
+                size = len(some) + (size if lot else 0)
+                lot.append((x, some))
+        _tell(lot)
+        left = [x for x in left if x.step]
+    return [(x.row, len(x.claim), x.at, x.d) for x in held if x.at >= 0]
+
+
+def _tell(lot: list[tuple[_Search, np.ndarray]]) -> None:
+    """Tells searches, those of longer claims first, the distances of starts.
+
+    Myers' bit vectors, a word for 64 letters of a claim: the stretches of all claims lie side by side and move on by a letter in the same operations.
     """
-    n, (last, width) = len(claim), _extent(len(claim), len(answer))
-    starts = np.concatenate([np.arange(b * width, min((b + 1) * width, last + 1)) for b in sorted(bands)] or [np.empty(0, np.int64)])
-    least = np.zeros(len(starts), np.int64)  # that a start's distance can be
-    d, at = int((1 - LEAST_RATIO) * n) + 1, -1  # nothing that is farther counts
-    step = 1 if n <= SHORT else 1 << (width.bit_length() - 1)
-    while step:
-        open_ = starts[(starts % step == 0) & ((least < d) | ((least == d) & (starts < at)))].tolist()
-        for i in range(0, len(open_), lot := max(1, BITS // n)):
-            some = open_[i : i + lot]
-            for x, found in zip(some, _distances(claim, answer, some)):
-                d, at = min((d, at), (found, x))
-                if step > 1:
-                    least = np.maximum(least, found - 2 * np.abs(starts - x))
-        step //= 2
-    return (at, d) if at >= 0 else None
-
-
-def _distances(claim: str, answer: str, starts: list[int]) -> list[int]:
-    """Edit distances of the claim and the answer's stretches from these places, ascending.
+    if not lot:
+        return
+    one, top, none = np.uint64(1), np.uint64(63), np.uint64(0)
+    n, lots = np.array([len(x.code) for x, _ in lot]), np.array([len(s) for _, s in lot])
+    ends, cells = np.cumsum(lots), np.cumsum([0, *(len(x.known) for x, _ in lot)])
+    words = -(-int(n[0]) // 64)
+    table, asked = np.zeros((words, cells[-1]), np.uint64), np.zeros((n[0], ends[-1]), np.int32)
+    for (x, starts), cell, end in zip(lot, cells, ends):
+        place = np.minimum(np.searchsorted(x.known, x.code), len(x.known) - 1)
+        i = np.flatnonzero(x.known[place] == x.code)
+        np.bitwise_or.at(table, (i // 64, cell + place[i]), one << (i % 64).astype(np.uint64))
+        asked[: len(x.code), end - len(starts) : end] = x.said[np.arange(len(x.code))[:, None] + starts] + cell
+    more, less = np.full((words, ends[-1]), ~none), np.zeros((words, ends[-1]), np.uint64)
+    longer = lambda k: int(ends[m - 1]) if (m := int(np.searchsorted(-n, -k))) else 0  # noqa: E731  stretches of claims of more than k letters
+    within = [longer(64 * w) for w in range(words)]
+    for j in range(n[0]):
+        still, up_in, down_in = longer(j), one, none
+        for w in range(words):
+            if w and within[w] < still:
+                still = within[w]
+                up_in, down_in = up_in[:still], down_in[:still]
+            same, m, l = table[w].take(asked[j, :still]), more[w, :still], less[w, :still]
+            either = same | l
+            same |= down_in
+            across = (((same & m) + m) ^ m) | same
+            up, down = l | ~(across | m), m & across
+            up_out, down_out = up >> top, down >> top
+            up, down = up << one | up_in, down << one | down_in
+            more[w, :still], less[w, :still] = down | ~(either | up), up & either
+            up_in, down_in = up_out, down_out
+    d = np.repeat(n, lots)
+    for w, k in enumerate(within):
+        bits = np.repeat(~none >> np.maximum(64 * (w + 1) - n, 0).astype(np.uint64), lots)[:k]  # of the claim in this word
+        d[:k] += np.bitwise_count(more[w, :k] & bits).astype(np.int64) - np.bitwise_count(less[w, :k] & bits)
+    for (x, starts), end in zip(lot, ends):
+        x.told(starts, d[end - len(starts) : end])
+
+
+def _alone(claim: str, answer: str, starts: list[int]) -> list[int]:
+    """Edit distances of a claim, long or longer than its answer, and the answer's stretches from these places, ascending.
 
     Myers' bit vectors: a stretch has a lane of n bits and one for the carry in a long
     number, so all move on by a letter in the same few operations. Stretches
@@ -154,10 +243,13 @@ def _distances(claim: str, answer: str, starts: list[int]) -> list[int]:
 
 
 def own_claims(claims: DataFrame, key: str = "trace_id") -> DataFrame:
-    """Claims, trimmed, without empty ones; of those that repeat in any case the first."""
+    """Claims, trimmed, without empty ones; of those that repeat in any case the first.
+
+    A key's claims stay together, so that they meet their answer without another shuffle and lie side by side afterwards.
+    """
     text = F.trim("claim")
     first = Window.partitionBy(key, F.lower(text)).orderBy("claim_no")
-    return claims.where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return claims.repartition(key).where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def located(claims: DataFrame, answers: DataFrame, key: str = "trace_id") -> DataFrame:

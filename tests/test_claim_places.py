@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from plumbline.operators import claims as K
@@ -134,3 +135,45 @@ def test_only_the_rows_go_to_disk(spark):
     mb = written_mb(spark, "claims on disk", lambda: found.extend(K.fuzzy_places(df).collect()))
     df.unpersist()
     assert len(found) == len(rows) and mb < 2 * texts / 1e6, mb
+
+
+def by_every_start(claim, answer):
+    """(at, distance) by the rule's own words: votes, three bands, all their starts."""
+    n, last = len(claim), max(len(answer) - len(claim), 0)
+    width, votes = max(n // 8, K.BAND), {}
+    places = {}
+    for p in range(n - 2):
+        places.setdefault(claim[p : p + 3], []).append(p)
+    for a in range(len(answer) - 2):
+        for b in {min(max(a - p, 0), last) // width for p in places.get(answer[a : a + 3], ())}:
+            votes[b] = votes.get(b, 0) + 1
+    bands = sorted(votes, key=lambda b: (-votes[b], b))[: K.BANDS]
+    tried = [(distance(answer[s : s + n], claim), s) for b in bands for s in range(b * width, min(b * width + width - 1, last) + 1)]
+    return min(tried)[::-1] if tried and 1 - min(tried)[0] / n >= K.LEAST_RATIO else None
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    rng = random.Random(17)
+    rows = []
+    for t, n in enumerate([3, 4, 31, 62, 63, 64, 65, 90, 127, 128, 129, 150, 191, 192, 193]):  # about whole words of 64 letters
+        letters = ["ab", "abcde ", "abcdefghijklmnopqrstuvwxyz é", "aé漢\U0001f600\U0001f601 b"][t % 4]
+        answer = "".join(rng.choice(letters) for _ in range(n + rng.choice([0, 1, 40, 150])))
+        for k, at in enumerate((0, rng.randrange(len(answer)), max(len(answer) - n, 0))):
+            claim = "".join(c for c in answer[at : at + n] if rng.random() > 0.08)
+            rows.append((t, k, (claim + "".join(rng.choice(letters + "xyz") for _ in range(n)))[:n], answer))
+        rows.append((t, 3, "".join(rng.choice("0123456789") for _ in range(n)), answer))
+        rows.append((t, 4, answer + "xy", answer))
+    return rows, {(t, k): found for t, k, claim, answer in rows if (found := by_every_start(claim, answer))}
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 0}, {"SHORT": 100, "BITS": 400}, {"PAIRS": 5}, {"CELLS": 1}, {"HELD": 1, "LOT": 2}])
+def test_however_much_a_worker_holds(monkeypatch, odd_rows, limits):
+    """Claims side by side and alone, in lots of any size, whichever order an answer's claims come in: as by every start."""
+    rows, want = odd_rows
+    for name, value in limits.items():
+        monkeypatch.setattr(K, name, value)
+    rows = random.Random(2).sample(rows, len(rows))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("trace_id", "claim_no", "claim", "answer"), r)) for r in part]) for part in (rows[:50], rows[50:])]
+    got = {(r["trace_id"], r["claim_no"]): (r["at"], r["d"]) for b in K._placed(iter([*batches, batches[0].slice(0, 0)])) for r in b.to_pylist() if 1 - r["d"] / r["n"] >= K.LEAST_RATIO}
+    assert got == want and len(want) > 40
