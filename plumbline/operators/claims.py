@@ -29,7 +29,12 @@ LOT, SHORT = 32, 512
 HELD, PAIRS, CELLS, BITS = 1 << 22, 1 << 20, 1 << 21, 1 << 20
 
 
-def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
+def dealt(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """Rows dealt by a number of partitions that is kept: few bytes, but much to compute for each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def fuzzy_places(rows: DataFrame, key: str = "trace_id", stay: bool = False) -> DataFrame:
     """(key, claim_no, at, ratio): the stretch of the answer, as long as the claim, that is most like it. rows: key, claim_no, claim, answer.
 
     Grams of the answer vote for bands of starts: a gram at place a that the
@@ -39,14 +44,15 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     claim's length, ties go to the first. A claim
     with fewer letters than a gram, or none of whose grams the answer has, has no row,
     nor has one whose likeness is under LEAST_RATIO. A row is shuffled once, as it
-    is; its grams, votes and distances stay in its task.
+    is, or not at all where it may stay (rows that are dealt already); its grams,
+    votes and distances stay in its task.
     """
     ship(rows.sparkSession)
     asked = rows.select(key, "claim_no", "claim", "answer").dropna().where((F.length("claim") >= GRAM) & (F.length("answer") >= GRAM))
-    # dealt by a number of partitions that is kept: few bytes, but much to compute for each; an answer's claims lie side by side, but not all of a long one's
-    dealt = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key), F.floor(F.col("claim_no") / LOT))
+    if not stay:  # an answer's claims lie side by side, but not all of a long one's
+        asked = dealt(asked, key, F.floor(F.col("claim_no") / LOT))
     kinds = dict(asked.dtypes)
-    found = dealt.mapInArrow(_placed, f"{key} {kinds[key]}, claim_no {kinds['claim_no']}, n int, at int, d int")
+    found = asked.mapInArrow(_placed, f"{key} {kinds[key]}, claim_no {kinds['claim_no']}, n int, at int, d int")
     return found.select(key, "claim_no", "at", (1 - F.col("d") / F.col("n")).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
 
 
@@ -243,13 +249,10 @@ def _alone(claim: str, answer: str, starts: list[int]) -> list[int]:
 
 
 def own_claims(claims: DataFrame, key: str = "trace_id") -> DataFrame:
-    """Claims, trimmed, without empty ones; of those that repeat in any case the first.
-
-    A key's claims stay together, so that they meet their answer without another shuffle and lie side by side afterwards.
-    """
+    """Claims, trimmed, without empty ones; of those that repeat in any case the first."""
     text = F.trim("claim")
     first = Window.partitionBy(key, F.lower(text)).orderBy("claim_no")
-    return claims.repartition(key).where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return claims.where(text != "").withColumn("claim", text).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def located(claims: DataFrame, answers: DataFrame, key: str = "trace_id") -> DataFrame:

@@ -58,11 +58,15 @@ _CLAIMS = f"""{I.ANSWERS_SQL}, cl0 AS (SELECT trace_id, conv_id, list_filter(lis
 claims AS (SELECT trace_id, conv_id, i AS claim_no, cs[i + 1] AS claim FROM cl0, unnest(range(len(cs)::BIGINT)) t(i))"""
 
 
-def claim_rows(s, d):
-    rows = I.answers(s, d).select("trace_id", "conv_id", F.posexplode(T.claims(F.col("answer"))).alias("claim_no", "claim"))
+def claims_of(answers, *keys: str):
+    rows = answers.select(*keys, F.posexplode(T.claims(F.col("answer"))).alias("claim_no", "claim"))
     return rows.withColumn("claim_no", F.col("claim_no").cast("long"))
 
 
+def claim_rows(s, d):
+    return claims_of(I.answers(s, d), "trace_id", "conv_id")
+
+
 @query("extract_claims", f"WITH {_CLAIMS} SELECT trace_id, claim_no, claim FROM claims")
 def extract_claims(s, d):
     return claim_rows(s, d).select("trace_id", "claim_no", "claim")

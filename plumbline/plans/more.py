@@ -32,9 +32,18 @@ _LOCATED = f"""WITH {PC._CLAIMS}, one AS (SELECT trace_id, claim_no, trim(claim)
 pl AS (SELECT o.trace_id, claim_no, claim, strpos(answer, claim) - 1 AS pos FROM one o JOIN answers a USING (trace_id))"""
 
 
+def _claims_and_answers(s, d):
+    """Dealt by trace before claims are taken out, so that these repeat and meet their answer where they are.
+
+    A claim has three words, so shorter answers have none; said here, this keeps both sides' shuffle the same one.
+    """
+    answers = K.dealt(I.answers(s, d).select("trace_id", "answer").where(F.length("answer") >= K.GRAM), "trace_id")
+    return PC.claims_of(answers, "trace_id"), answers
+
+
 @query("claim_places", f"{_LOCATED} SELECT trace_id, trace_id::VARCHAR || '_C' || lpad((claim_no + 1)::VARCHAR, 3, '0') AS claim_id, pos::INTEGER AS character_start, (pos + length(claim))::INTEGER AS character_end, sha256(lower(trim(claim))) AS claim_hash FROM pl WHERE pos >= 0")
 def claim_places(s, d):
-    found = K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d))
+    found = K.located(*_claims_and_answers(s, d))
     return found.where("match_type = 'exact'").select("trace_id", "claim_id", "character_start", "character_end", "claim_hash")
 
 
@@ -59,7 +68,7 @@ fz AS (SELECT * FROM di WHERE ratio >= {K.LEAST_RATIO} QUALIFY row_number() OVER
 al AS (SELECT trace_id, pos FROM pl WHERE pos >= 0 UNION ALL SELECT pl.trace_id, fz.pos FROM pl LEFT JOIN fz ON fz.trace_id = pl.trace_id AND fz.claim_no = pl.claim_no WHERE pl.pos < 0)
 SELECT trace_id, count(*) AS total_claims, count(DISTINCT pos) AS total_sentences, round(coalesce(count(*) / nullif(count(DISTINCT pos), 0)::DOUBLE, 0), 2) AS claims_per_sentence FROM al GROUP BY 1""")
 def claim_statistics(s, d):
-    return K.claim_statistics(K.located(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"), I.answers(s, d)))
+    return K.claim_statistics(K.located(*_claims_and_answers(s, d)))
 
 
 #: Claims are reworded: every second one loses letters, the others have some exchanged and a word put in.
@@ -69,11 +78,11 @@ _REWORDED = """SELECT trace_id, claim_no, CASE WHEN claim_no % 2 = 0 THEN replac
 @query("claim_fuzzy_places", f"{_LOCATED.replace('claim, strpos', 'o.claim, strpos')}, {_fuzzy_sql(_REWORDED.replace('SELECT trace_id, claim_no', 'SELECT pl.trace_id, pl.claim_no').replace('answer FROM', 'answers.answer FROM'))} SELECT trace_id, claim_no, pos::INTEGER AS character_start, round(ratio, 6) AS ratio FROM fz")
 def claim_fuzzy_places(s, d):
     """Where reworded claims come from in their answers."""
-    first = K.own_claims(PC.claim_rows(s, d).select("trace_id", "claim_no", "claim"))
+    claims, answers = _claims_and_answers(s, d)
     less = F.replace(F.replace("claim", F.lit("on"), F.lit("o")), F.lit("er"), F.lit("e"))
     more = F.concat(F.replace(F.replace("claim", F.lit("e "), F.lit("a ")), F.lit("t"), F.lit("th")), F.lit(" indeed"))
-    reworded = first.select("trace_id", "claim_no", F.when(F.col("claim_no") % 2 == 0, less).otherwise(more).alias("claim")).join(I.answers(s, d).select("trace_id", "answer"), "trace_id")
-    return K.fuzzy_places(reworded).select("trace_id", "claim_no", F.col("at").alias("character_start"), F.round("ratio", 6).alias("ratio"))
+    reworded = K.own_claims(claims).select("trace_id", "claim_no", F.when(F.col("claim_no") % 2 == 0, less).otherwise(more).alias("claim")).join(answers, "trace_id")
+    return K.fuzzy_places(reworded, stay=True).select("trace_id", "claim_no", F.col("at").alias("character_start"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("prompt_context", f"WITH {PR._BM25} SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank DESC)) AS digest FROM sparse JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1")
