@@ -58,17 +58,18 @@ def fuzzy_places(rows: DataFrame, key: str = "trace_id", stay: bool = False) ->
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, number, length, place and distance of each claim (key, claim_no, claim, answer) that has a place."""
+    text = lambda x: x.as_py().decode("utf-8", "replace")  # noqa: E731  Spark's strings can hold any bytes
     for batch in batches:
         found, held, size = [], [], 0
-        answers = batch.column(3).dictionary_encode()
+        claim_column, answers = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()).dictionary_encode()
         of = answers.indices.to_numpy()
         for number, rows in groupby(np.argsort(of, kind="stable").tolist(), of.__getitem__):
-            rows, answer = list(rows), answers.dictionary[int(number)].as_py()
+            rows, answer = list(rows), text(answers.dictionary[int(number)])
             letters = _letters(answer)
             known, said = np.unique(letters, return_inverse=True)
             said, size = said.astype(np.int32), size + len(letters)
             for k in range(0, len(rows), LOT):
-                claims = [batch.column(2)[i].as_py() for i in rows[k : k + LOT]]
+                claims = [text(claim_column[i]) for i in rows[k : k + LOT]]
                 codes = [_letters(c) for c in claims]
                 held += [_Search(i, claim, code, answer, known, said, starts) for i, claim, code, starts in zip(rows[k:], claims, codes, _starts(codes, letters))]
                 size += sum(len(x.code) + len(x.starts) for x in held[-len(claims) :])
@@ -86,7 +87,7 @@ def _letters(text: str) -> np.ndarray:
 
 def _grams(letters: np.ndarray) -> np.ndarray:
     """The grams by place, each as one number."""
-    return sum(letters[i : len(letters) - GRAM + 1 + i] << 21 * i for i in range(GRAM))
+    return sum(letters[i : max(len(letters) - GRAM + 1, 0) + i] << 21 * i for i in range(GRAM))
 
 
 def _starts(claims: list[np.ndarray], answer: np.ndarray) -> list[np.ndarray]:
@@ -97,7 +98,8 @@ def _starts(claims: list[np.ndarray], answer: np.ndarray) -> list[np.ndarray]:
     n = np.array([len(c) for c in claims])
     last, width = np.maximum(len(answer) - n, 0), np.maximum(n // 8, BAND)
     first = np.concatenate([[0], np.cumsum(last // width + 1)])  # of each claim's bands
-    of, p, own = np.repeat(np.arange(len(n)), n - GRAM + 1), np.concatenate([np.arange(x - GRAM + 1) for x in n]), np.concatenate([_grams(c) for c in claims])
+    each = [_grams(c) for c in claims]
+    of, p, own = np.repeat(np.arange(len(n)), [len(x) for x in each]), np.concatenate([np.arange(len(x)) for x in each]), np.concatenate(each)
     order = np.lexsort((own, of))
     again = (own[order[1:]] == own[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
     before = np.full(len(own), -1)  # the claim's place before with the same gram
@@ -106,9 +108,9 @@ def _starts(claims: list[np.ndarray], answer: np.ndarray) -> list[np.ndarray]:
     ends, votes, start = np.cumsum(high - low), np.zeros(first[-1], np.int64), 0
     while start < len(own):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-        each = high[start:stop] - low[start:stop]
-        k = np.repeat(np.arange(start, stop), each)
-        a = places[np.arange(len(k)) + np.repeat(low[start:stop] - np.cumsum(each) + each, each)]
+        met = high[start:stop] - low[start:stop]
+        k = np.repeat(np.arange(start, stop), met)
+        a = places[np.arange(len(k)) + np.repeat(low[start:stop] - np.cumsum(met) + met, met)]
         most, wide = last[of][k], width[of][k]
         # later places have earlier bands, so a band that was spoken for is that of the place before
         spoken, had = (np.clip(a - x[k], 0, most) // wide for x in (p, before))

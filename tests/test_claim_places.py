@@ -177,3 +177,12 @@ def test_however_much_a_worker_holds(monkeypatch, odd_rows, limits):
     batches = [pa.RecordBatch.from_pylist([dict(zip(("trace_id", "claim_no", "claim", "answer"), r)) for r in part]) for part in (rows[:50], rows[50:])]
     got = {(r["trace_id"], r["claim_no"]): (r["at"], r["d"]) for b in K._placed(iter([*batches, batches[0].slice(0, 0)])) for r in b.to_pylist() if 1 - r["d"] / r["n"] >= K.LEAST_RATIO}
     assert got == want and len(want) > 40
+
+
+def test_texts_that_are_not_utf_8(spark):
+    """Spark's strings can hold any bytes; such rows neither fail nor harm others."""
+    text = lambda b: f"cast(unhex('{b.hex()}') as string)"
+    odd = [(b"caf\xe9 and the river", b"the caf\xe9 and the rivers \xff"), (b"\x80\x80\x80", b"\x80\x80\x80\x80"), (b"\xe2\x82\xe2\x82\xe2\x82", b"abc"), (b"the sky is blu", b"and the sky is blue")]
+    df = spark.sql(" union all ".join(f"select {i} as trace_id, 0 as claim_no, {text(c)} as claim, {text(a)} as answer" for i, (c, a) in enumerate(odd)))
+    got = {r.trace_id: (r["at"], r.ratio) for r in K.fuzzy_places(df).collect()}
+    assert got[3] == (4, 1.0) and got[0] == (4, 1.0)
